@@ -151,7 +151,7 @@ def text_rules(text: Column) -> list[Rule]:
         Rule("symbols", 10 * symbol_count(text) > n),
         Rule("word_length", let(words, lambda w: (10 * word_chars(w) < 20 * F.size(w)) | (10 * word_chars(w) > 150 * F.size(w)))),
         Rule("capitals", 100 * F.regexp_count(text, F.lit("[A-Z]")) > 40 * F.length(text)),
-        Rule("repeated_lines", 10 * duplicate_lines(text) > 3 * (1 + F.regexp_count(text, F.lit("\n")))),
+        Rule("repeated_lines", let(duplicate_lines(text), lambda d: (d > 2) & (10 * d > 3 * (1 + F.regexp_count(text, F.lit("\n")))))),
     ]
 
 
@@ -164,7 +164,7 @@ def figure_rules() -> list[Rule]:
         Rule("symbols", 10 * F.col("n_symbols") > n),
         Rule("word_length", (10 * F.col("word_chars") < 20 * n) | (10 * F.col("word_chars") > 150 * n)),
         Rule("capitals", 100 * F.col("n_capitals") > 40 * (F.col("word_chars") + n)),
-        Rule("repeated_lines", 10 * F.col("n_dup_lines") > 3 * (1 + F.col("n_breaks"))),
+        Rule("repeated_lines", (F.col("n_dup_lines") > 2) & (10 * F.col("n_dup_lines") > 3 * (1 + F.col("n_breaks")))),
     ]
 
 
@@ -200,7 +200,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SQL = r"""
 WITH w AS (
   SELECT doc_id, coalesce(text, '') AS text, row_number() OVER () AS r,
-    list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS words FROM documents
+    list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents
 ), pos AS (
   SELECT r, unnest(range(1, len(words) - 1)) AS i, words FROM w WHERE len(words) >= 3
 ), win AS (
@@ -212,8 +212,8 @@ WITH w AS (
 ), f AS (
   SELECT doc_id, len(words)::BIGINT AS n_words, length(array_to_string(words, ''))::BIGINT AS word_chars,
     length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
-    (len(list_filter(string_split(text, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')))
-      - len(list_distinct(list_filter(string_split(text, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')))))::BIGINT AS n_dup_lines,
+    (len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))
+      - len(list_distinct(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))))::BIGINT AS n_dup_lines,
     coalesce(c.n, 0)::BIGINT AS n_repeat_words,
     length(text) - length(replace(text, chr(10), '')) AS n_breaks, length(regexp_replace(text, '[^A-Z]', '', 'g')) AS n_capitals
   FROM w LEFT JOIN covered c USING (r)
@@ -222,7 +222,7 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
   NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR 10 * n_symbols > n_words
     OR 10 * word_chars < 20 * n_words OR 10 * word_chars > 150 * n_words
-    OR 100 * n_capitals > 40 * (word_chars + n_words) OR 10 * n_dup_lines > 3 * (1 + n_breaks)) AS kept
+    OR 100 * n_capitals > 40 * (word_chars + n_words) OR (n_dup_lines > 2 AND 10 * n_dup_lines > 3 * (1 + n_breaks))) AS kept
 FROM f
 """
 
