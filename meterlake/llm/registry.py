@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Modules with QUERIES and ORACLE_SQL.
-MODULES = ("chat", "packing", "secrets", "rules")
+MODULES = ("chat", "packing", "secrets", "simhash", "rules")
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
