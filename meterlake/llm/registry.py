@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Modules with QUERIES and ORACLE_SQL.
-MODULES = ("chat", "packing", "decontam", "secrets", "simhash", "rules")
+MODULES = ("chat", "quality", "packing", "decontam", "secrets", "simhash", "rules")
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
