@@ -1,4 +1,9 @@
-"""Bloom filters of bounded size, made block by block on the executors."""
+"""Bloom filters of bounded size, made block by block on the executors.
+
+A key is a 64-bit hash; its upper bits choose a block, and all its probes fall into
+that block, so a block is filled by one task from its own keys. A key may be
+entered at several levels, each with probes of its own.
+"""
 
 from __future__ import annotations
 
@@ -14,6 +19,7 @@ from meterlake.llm.words import mixed
 PROBES = 3
 #: Bits of one block; blocks are what the driver receives.
 BLOCK = 1 << 19
+_STEP = np.uint64(0xA0761D6478BD642F)
 
 
 def bits_for(keys: int, most: int, each: int = 12) -> int:
@@ -21,45 +27,50 @@ def bits_for(keys: int, most: int, each: int = 12) -> int:
     return min(most, max(BLOCK, 1 << max(0, each * keys - 1).bit_length()))
 
 
-def positions(keys: np.ndarray, bits: int, probes: int = PROBES) -> Iterator[np.ndarray]:
-    """Bit positions of each key (uint64), one array a probe."""
-    step = mixed(keys ^ np.uint64(0xA0761D6478BD642F)) | np.uint64(1)
-    at = mixed(keys)
-    for _ in range(probes):
-        yield (at >> np.uint64(20)) & np.uint64(bits - 1)
-        at = at + step
+def _block_shift(bits: int) -> int:
+    return 64 - (bits // BLOCK).bit_length() + 1
 
 
-def build(keys: DataFrame, bits: int, probes: int = PROBES) -> np.ndarray:
-    """The filter of all values of the bigint column ``key``: ``bits`` / 8 bytes, whatever the number of keys."""
+def _probe(keys: np.ndarray, level: int, k: int) -> np.ndarray:
+    return (mixed(keys + np.uint64(1 + level * PROBES + k) * _STEP) >> np.uint64(24)) & np.uint64(BLOCK - 1)
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            at = np.concatenate(list(positions(b.column(0).to_numpy().view(np.uint64), bits, probes)))
-            at = np.unique(at).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(at // BLOCK), pa.array((at % BLOCK).astype(np.int32))], ["block", "bit"])
+
+def build(keys: DataFrame, bits: int) -> np.ndarray:
+    """The filter of all rows of ``key`` (bigint), ``lo`` and ``hi`` (levels, inclusive): ``bits`` / 8 bytes, whatever the number of keys."""
+    shift = _block_shift(bits)
+    block = F.shiftrightunsigned("key", shift) if shift < 64 else F.lit(0).cast("bigint")
+    dealt = keys.filter("key IS NOT NULL AND lo <= hi").select(block.alias("block"), "key", "lo", "hi").repartition("block")
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blocks: dict[int, np.ndarray] = {}
         for b in batches:
-            block, bit = b.column(0).to_numpy(), b.column(1).to_numpy()
-            for k in np.unique(block).tolist():
-                blocks.setdefault(k, np.zeros(BLOCK, dtype=np.uint8))[bit[block == k]] = 1
-        for k, flags in blocks.items():
-            packed = np.packbits(flags, bitorder="little").tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([packed], pa.binary())], ["block", "bits"])
-
-    placed = keys.select(F.col("key").cast("bigint")).filter("key IS NOT NULL").mapInArrow(place, "block bigint, bit int")
-    found = placed.repartition("block").mapInArrow(fill, "block bigint, bits binary").toArrow().to_pydict()
+            block, key = b.column("block").to_numpy(), b.column("key").to_numpy().view(np.uint64)
+            lo, hi = b.column("lo").to_numpy(), b.column("hi").to_numpy()
+            for n in np.unique(block).tolist():
+                flags = blocks.setdefault(n, np.zeros(BLOCK // 8, dtype=np.uint8))
+                mine = block == n
+                key_n, lo_n, hi_n = key[mine], lo[mine], hi[mine]
+                for level in range(int(lo_n.min()), int(hi_n.max()) + 1):
+                    at_level = key_n[(lo_n <= level) & (level <= hi_n)]
+                    for k in range(PROBES):
+                        at = _probe(at_level, level, k)
+                        np.bitwise_or.at(flags, at >> np.uint64(3), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
+        for n, flags in blocks.items():
+            yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([flags.tobytes()], pa.binary())], ["block", "bits"])
+
+    found = dealt.mapInArrow(fill, "block bigint, bits binary").toArrow().to_pydict()
     out = np.zeros(bits // 8, dtype=np.uint8)
-    for k, packed in zip(found["block"], found["bits"]):
-        out[k * BLOCK // 8 : (k + 1) * BLOCK // 8] = np.frombuffer(packed, dtype=np.uint8)
-    return out.view(np.uint64)
+    for n, packed in zip(found["block"], found["bits"]):
+        out[n * BLOCK // 8 : (n + 1) * BLOCK // 8] = np.frombuffer(packed, dtype=np.uint8)
+    return out
 
 
-def contains(bitmap: np.ndarray, keys: np.ndarray, probes: int = PROBES) -> np.ndarray:
-    """For each key (uint64): is it in the filter? Wrong only as true."""
+def contains(bitmap: np.ndarray, keys: np.ndarray, level: int = 0) -> np.ndarray:
+    """For each key (uint64): was it entered at ``level``? Wrong only as true."""
+    shift = _block_shift(len(bitmap) * 8)
+    base = (keys >> np.uint64(shift)) * np.uint64(BLOCK // 8) if shift < 64 else np.zeros(len(keys), dtype=np.uint64)
     found = np.ones(len(keys), dtype=bool)
-    for at in positions(keys, len(bitmap) * 64, probes):
-        found &= (bitmap[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+    for k in range(PROBES):
+        at = _probe(keys, level, k)
+        found &= (bitmap[base + (at >> np.uint64(3))] >> (at & np.uint64(7)).astype(np.uint8) & np.uint8(1)).astype(bool)
     return found

@@ -99,6 +99,10 @@ def repeated_prefixes(rows: DataFrame) -> DataFrame:
     return found.agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.sum("n").alias("n")).filter("lo < hi").select("a", "n")
 
 
+def _keys(prefixes: DataFrame) -> DataFrame:
+    return prefixes.select(F.col("a").alias("key"), F.lit(0).alias("lo"), F.lit(0).alias("hi"))
+
+
 def _suffixes(rows: DataFrame, maps: list[np.ndarray]) -> DataFrame:
     """Windows by anchor: prefix, part, document, text's checksum, start, and the hashes of neighbouring windows."""
     shared = rows.sparkSession.sparkContext.broadcast(maps)
@@ -203,11 +207,11 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = _rows(docs, id_col, text_col).select("doc", "text")
     prefixes = materialize(repeated_prefixes(rows), "prefixes")
     count, most = prefixes.agg(F.count(F.lit(1)), F.coalesce(F.max("n"), F.lit(0))).first()
-    maps = [build(prefixes.select(F.col("a").alias("key")), bits_for(count, map_bits))]
+    maps = [build(_keys(prefixes), bits_for(count, map_bits))]
     least = group
     while most > least:
-        large = prefixes.filter(F.col("n") > least).select(F.col("a").alias("key"))
-        maps.append(build(large, bits_for(large.count(), map_bits)))
+        large = prefixes.filter(F.col("n") > least)
+        maps.append(build(_keys(large), bits_for(large.count(), map_bits)))
         least *= PARTS
     dealt = _suffixes(rows, maps).repartition("a", "part").sortWithinPartitions("a", "part")
     marks = materialize(dealt.mapInArrow(_marks, _MARKS), "marks")
