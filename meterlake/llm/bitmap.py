@@ -19,7 +19,7 @@ from meterlake.llm.words import mixed
 PROBES = 3
 #: Bits of one block; blocks are what the driver receives.
 BLOCK = 1 << 19
-_STEP = np.uint64(0xA0761D6478BD642F)
+_STEP = 0xA0761D6478BD642F
 
 
 def bits_for(keys: int, most: int, each: int = 12) -> int:
@@ -32,7 +32,8 @@ def _block_shift(bits: int) -> int:
 
 
 def _probe(keys: np.ndarray, level: int, k: int) -> np.ndarray:
-    return (mixed(keys + np.uint64(1 + level * PROBES + k) * _STEP) >> np.uint64(24)) & np.uint64(BLOCK - 1)
+    salt = np.uint64((1 + level * PROBES + k) * _STEP % (1 << 64))
+    return (mixed(keys + salt) >> np.uint64(24)) & np.uint64(BLOCK - 1)
 
 
 def build(keys: DataFrame, bits: int) -> np.ndarray:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Modules with QUERIES and ORACLE_SQL.
-MODULES = ("chat", "quality", "packing", "decontam", "secrets", "substrings", "simhash", "rules")
+MODULES = ("chat", "quality", "packing", "decontam", "secrets", "lm", "substrings", "simhash", "rules")
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
