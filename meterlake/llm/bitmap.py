@@ -1,6 +1,6 @@
 """Bloom filters of bounded size, made block by block on the executors.
 
-A key is a 64-bit hash; its upper bits choose a block, and all its probes fall into
+A key is a 64-bit hash; its lowest bits choose a block, and all its probes fall into
 that block, so a block is filled by one task from its own keys. A key may be
 entered at several levels, each with probes of its own.
 """
@@ -27,10 +27,6 @@ def bits_for(keys: int, most: int, each: int = 12) -> int:
     return min(most, max(BLOCK, 1 << max(0, each * keys - 1).bit_length()))
 
 
-def _block_shift(bits: int) -> int:
-    return 64 - (bits // BLOCK).bit_length() + 1
-
-
 def _probe(keys: np.ndarray, level: int, k: int) -> np.ndarray:
     salt = np.uint64((1 + level * PROBES + k) * _STEP % (1 << 64))
     return (mixed(keys + salt) >> np.uint64(24)) & np.uint64(BLOCK - 1)
@@ -38,8 +34,7 @@ def _probe(keys: np.ndarray, level: int, k: int) -> np.ndarray:
 
 def build(keys: DataFrame, bits: int) -> np.ndarray:
     """The filter of all rows of ``key`` (bigint), ``lo`` and ``hi`` (levels, inclusive): ``bits`` / 8 bytes, whatever the number of keys."""
-    shift = _block_shift(bits)
-    block = F.shiftrightunsigned("key", shift) if shift < 64 else F.lit(0).cast("bigint")
+    block = F.col("key").bitwiseAND(F.lit(bits // BLOCK - 1)).cast("bigint")
     dealt = keys.filter("key IS NOT NULL AND lo <= hi").select(block.alias("block"), "key", "lo", "hi").repartition("block")
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -68,8 +63,7 @@ def build(keys: DataFrame, bits: int) -> np.ndarray:
 
 def contains(bitmap: np.ndarray, keys: np.ndarray, level: int = 0) -> np.ndarray:
     """For each key (uint64): was it entered at ``level``? Wrong only as true."""
-    shift = _block_shift(len(bitmap) * 8)
-    base = (keys >> np.uint64(shift)) * np.uint64(BLOCK // 8) if shift < 64 else np.zeros(len(keys), dtype=np.uint64)
+    base = (keys & np.uint64(len(bitmap) * 8 // BLOCK - 1)) * np.uint64(BLOCK // 8)
     found = np.ones(len(keys), dtype=bool)
     for k in range(PROBES):
         at = _probe(keys, level, k)
