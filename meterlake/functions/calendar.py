@@ -38,10 +38,9 @@ def days(spark: SparkSession, first: Column, last: Column, name: str = "day") ->
 
 
 def slot_start(ts: Column, minutes: int = SLOT_MINUTES) -> Column:
-    """The start of the slot that holds ``ts``."""
-    day = F.date_trunc("day", ts)
-    minute = F.hour(ts) * 60 + F.minute(ts)
-    return day + F.make_dt_interval(F.lit(0), F.lit(0), (minute - minute % minutes).cast("int"))
+    """The start of the slot that holds ``ts``; ``minutes`` divides an hour."""
+    past = F.make_dt_interval(F.lit(0), F.lit(0), (F.minute(ts) % minutes).cast("int"), F.extract(F.lit("SECOND"), ts))
+    return ts - past
 
 
 def on_grid(ts: Column, minutes: int = SLOT_MINUTES) -> Column:
