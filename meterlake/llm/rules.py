@@ -14,7 +14,7 @@ Statistics (words are runs of characters outside ASCII white space):
 Defined results: null text is read as empty; an empty text has zeros everywhere and
 fails the base rules; a null id stays null; repeated rows are judged each; an empty
 table gives no rows (and the given order of rules); other columns are ignored by
-``statistics`` and kept by ``cascade``. All work is inside a row, so no key or group
+``statistics`` and kept by ``cascade``, whose ``kept`` replaces one of that name. All work is inside a row, so no key or group
 can be hot.
 """
 
