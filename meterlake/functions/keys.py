@@ -89,7 +89,7 @@ def distinct_keys(df: DataFrame, column: str, mode: str = "digits", name: str =
 
 
 def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[Column] | None = None) -> DataFrame:
-    """One row per key, the first by ``order`` (by default all other columns ascending, nulls last); rows with a null key go."""
+    """One row per key, the first by ``order``, ascending (by default all other columns, nulls last); rows with a null key go."""
     rest = [c for c in df.columns if c not in keys]
     parts = order or [x for c in rest for x in (F.col(c).isNull(), F.col(c))]
     rows = df.filter(" AND ".join(f"`{k}` IS NOT NULL" for k in keys))

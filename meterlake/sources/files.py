@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,12 +30,23 @@ def write_list(df: DataFrame, column: str, path: str) -> None:
     df.select(F.col(column).cast("string")).write.mode("overwrite").text(path)
 
 
-def write_dated(df: DataFrame, path: str, day: str = "report_day", order: Sequence[str] = (), csv_path: str | None = None) -> None:
-    """Parquet (and delimited text) partitioned by day; only the days in ``df`` are replaced. Rows are sorted inside files."""
+def write_dated(
+    df: DataFrame,
+    path: str,
+    day: str = "report_day",
+    order: Sequence[str] = (),
+    csv_path: str | None = None,
+    counted: Observation | None = None,
+) -> None:
+    """Parquet (and delimited text) partitioned by day; only the days in ``df`` are replaced. Rows are sorted inside files.
+
+    ``counted`` gets the rows of the Parquet write. It is attached after the exchange: finding ranges reads the rows before it once more.
+    """
     rows = df.repartitionByRange(day, *order).sortWithinPartitions(day, *order) if order else df.repartition(day)
     for target, kind in ((path, "parquet"), (csv_path, "csv")):
         if target:
-            w = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(day).format(kind)
+            seen = rows.observe(counted, F.count(F.lit(1)).alias("rows")) if counted and kind == "parquet" else rows
+            w = seen.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(day).format(kind)
             (w.option("sep", ";").option("header", True).option("escape", '"') if kind == "csv" else w).save(target)
 
 

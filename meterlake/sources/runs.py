@@ -29,7 +29,7 @@ class Run:
 
     def write(self, name: str, df: DataFrame, path: str, day: str = "report_day", order: tuple[str, ...] = ()) -> int:
         began, counted = datetime.now(timezone.utc), Observation()
-        write_dated(df.observe(counted, F.count(F.lit(1)).alias("rows")), path, day, order)
+        write_dated(df, path, day, order, counted=counted)
         rows = counted.get["rows"]
         self.record(name, rows, (datetime.now(timezone.utc) - began).total_seconds(), path)
         return rows
@@ -68,7 +68,7 @@ def load_snapshot(spark: SparkSession, path: str, day: date | str) -> DataFrame:
 def publish(df: DataFrame, target: str, log: str, day: str = "report_day") -> int:
     """Replace the days in ``df`` at ``target`` and note rows and bytes in ``log``; returns the rows."""
     spark, counted = df.sparkSession, Observation()
-    write_dated(df.observe(counted, F.count(F.lit(1)).alias("rows")), target, day)
+    write_dated(df, target, day, counted=counted)
     rows = counted.get["rows"]
     size = inventory(spark, target).agg(F.sum("size_bytes")).first()[0] or 0
     noted = spark.createDataFrame([(target, _now(), rows, size)], "target string, copied_at string, row_count bigint, file_size_bytes bigint")
