@@ -42,6 +42,8 @@ for _k, _chars in enumerate((b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQR
     _KIND[list(_chars)] = _k
 _KIND[128:] = 8
 _SHARES = [1, 2, 4, 5, 6, 7, 8]
+#: Usual shares of these kinds, which count like so many bytes of every text, so that a few words do not look extreme.
+_USUAL, _WEIGHT = np.array([0.02, 0.002, 0.004, 0.02, 0.001, 0.001, 0.02]), 100
 
 FEATURES = (
     "words", "word_length", "distinct_words", "words_like_the_one_before", "repeated_lines",
@@ -61,11 +63,11 @@ def features(text: str) -> np.ndarray:
     repeated = len(lines) - len(set(lines))
     out = np.empty(D)
     out[0] = k + 1
-    out[1] = (n + 5) / (k + 1)
+    out[1] = (n + _WEIGHT / 4) / (k + _WEIGHT / 20)
     out[2] = (len(set(words)) + 1) / (k + 1)
     out[3] = (same + 0.5) / (k + 10)
     out[4] = (repeated + 0.5) / (len(lines) + 2)
-    out[5:] = (kinds[_SHARES] + 0.5) / (n + 20)
+    out[5:] = (kinds[_SHARES] + _WEIGHT * _USUAL) / (n + _WEIGHT)
     return np.log(out)
 
 

@@ -1,32 +1,16 @@
-"""Helpers that several corpus operators use: tables cut from their lineage, and text columns."""
+"""Helpers that several corpus operators use."""
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: ASCII white space; words are runs of anything else.
-SPACE = r"[\x20\x09-\x0D]"
-
+from meterlake.sources.shared import materialize, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or the warehouse where it is unset."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
+__all__ = ["SPACE", "materialize", "remainder", "shared_dir", "text_of"]
 
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
-
-    Later steps then depend on files that every executor can read, not on shuffle
-    files of executors that may be lost. The folder belongs to the job; whoever
-    owns ``spark.checkpoint.dir`` clears it.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/meterlake-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: ASCII white space; words are runs of anything else.
+SPACE = r"[\x20\x09-\x0D]"
 
 
 def text_of(column: str | Column = "text") -> Column:
