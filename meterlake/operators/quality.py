@@ -12,10 +12,16 @@ from pyspark.sql import functions as F
 from meterlake.functions.calendar import day_literal, days, file_day
 from meterlake.functions.keys import find_column, size_text
 
-#: Patterns of file names by kind.
-FILE_PATTERNS = {
-    kind: rf"^araucaria_{kind}(_sample_\d+)?_\d{{8}}\.(csv|parquet)$" for kind in ("cis", "geo", "mdm", "timegrid", "model_input", "daily_report", "weather")
-}
+#: Kinds of dated files.
+FILE_KINDS = ("cis", "geo", "mdm", "timegrid", "model_input", "daily_report", "weather")
+
+
+def file_patterns(prefix: str = "meter") -> dict[str, str]:
+    """Patterns of file names by kind: prefix, kind, maybe a sample's size, the day, and csv or parquet."""
+    return {kind: rf"^{prefix}_{kind}(_sample_\d+)?_\d{{8}}\.(csv|parquet)$" for kind in FILE_KINDS}
+
+
+FILE_PATTERNS = file_patterns()
 COVERAGE_DAYS, OUTLIER_STD, FRESH_DAYS, ROW_TOLERANCE = 30, 1.5, 3, 0.1
 
 

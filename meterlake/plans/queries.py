@@ -443,13 +443,13 @@ def days_back(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _NAMES = """
-SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'araucaria_cis_' WHEN 1 THEN 'araucaria_mdm_sample_200_' WHEN 2 THEN '_araucaria_geo_' WHEN 3 THEN 'other_' ELSE 'araucaria_daily_report_' END
+SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'meter_cis_' WHEN 1 THEN 'meter_mdm_sample_200_' WHEN 2 THEN '_meter_geo_' WHEN 3 THEN 'other_' ELSE 'meter_daily_report_' END
   || (20240100 + page_id % 40)::VARCHAR || CASE page_id % 3 WHEN 0 THEN '.csv' WHEN 1 THEN '.parquet' ELSE '.txt' END AS name, (1000 + page_id % 13)::BIGINT AS size_bytes FROM pages
 """
 
 
 def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kind = "element_at(array('araucaria_cis_', 'araucaria_mdm_sample_200_', '_araucaria_geo_', 'other_', 'araucaria_daily_report_'), cast(page_id % 5 as int) + 1)"
+    kind = "element_at(array('meter_cis_', 'meter_mdm_sample_200_', '_meter_geo_', 'other_', 'meter_daily_report_'), cast(page_id % 5 as int) + 1)"
     end = "element_at(array('.csv', '.parquet', '.txt'), cast(page_id % 3 as int) + 1)"
     name = F.expr(f"concat({kind}, cast(20240100 + page_id % 40 as string), {end})")
     return table(spark, sf_dir, "pages").select("page_id", name.alias("name"), (F.lit(1000) + F.col("page_id") % 13).alias("size_bytes"))
@@ -457,7 +457,7 @@ def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _DATED = f"""
 SELECT page_id, name, size_bytes, TRY_CAST(TRY_STRPTIME(regexp_extract(name, '_([0-9]{{8}})\\.(csv|parquet)$', 1), '%Y%m%d') AS DATE) AS file_date,
-  regexp_matches(name, '^araucaria_(cis|geo|mdm|timegrid|model_input|daily_report|weather)(_sample_[0-9]+)?_[0-9]{{8}}\\.(csv|parquet)$') AS shaped FROM ({_NAMES})
+  regexp_matches(name, '^meter_(cis|geo|mdm|timegrid|model_input|daily_report|weather)(_sample_[0-9]+)?_[0-9]{{8}}\\.(csv|parquet)$') AS shaped FROM ({_NAMES})
 WHERE regexp_matches(name, '\\.(csv|parquet)$') AND name NOT LIKE '.%' AND substr(name, 1, 1) <> '_'
 """
 

@@ -71,11 +71,11 @@ def test_calendar(spark):
 @pytest.mark.parametrize(
     "name, want",
     [
-        ("araucaria_cis_20260615.csv", date(2026, 6, 15)),
-        ("araucaria_mdm_sample_200_20260615.parquet", date(2026, 6, 15)),
-        ("araucaria_cis.csv", None),
-        ("araucaria_cis_99999999.csv", None),
-        ("araucaria_cis_20260615.txt", None),
+        ("meter_cis_20260615.csv", date(2026, 6, 15)),
+        ("meter_mdm_sample_200_20260615.parquet", date(2026, 6, 15)),
+        ("meter_cis.csv", None),
+        ("meter_cis_99999999.csv", None),
+        ("meter_cis_20260615.txt", None),
         ("", None),
     ],
 )

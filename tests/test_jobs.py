@@ -18,7 +18,7 @@ def sources(spark):
 
 
 def test_daily_report_over_several_days(spark):
-    got = P.daily_report(sources(spark), "2023-12-31", "2024-01-02", "2024-01-02", "araucaria")
+    got = P.daily_report(sources(spark), "2023-12-31", "2024-01-02", "2024-01-02", "riverton")
     rows = {(r["NIO"], r["REPORT_DAY"]): r for r in got.collect()}
     assert set(rows) == {(n, d) for n in ("123", "77") for d in (date(2023, 12, 31), date(2024, 1, 1))}  # the day itself is not over
     assert rows["123", date(2024, 1, 1)]["HAS_MDM_DATA"] and not rows["77", date(2024, 1, 1)]["HAS_MDM_DATA"]
@@ -27,7 +27,7 @@ def test_daily_report_over_several_days(spark):
 
 def test_run_period_is_repeatable(spark, tmp_path):
     for _ in range(2):
-        run = P.run_period(sources(spark), str(tmp_path), "2023-12-31", "2024-01-01", "2024-01-02", "araucaria")
+        run = P.run_period(sources(spark), str(tmp_path), "2023-12-31", "2024-01-01", "2024-01-02", "riverton")
     assert [s[2] for s in run.steps] == [4]
     assert spark.read.parquet(f"{tmp_path}/report").count() == 4 and spark.read.parquet(f"{tmp_path}/runs").count() == 2
     assert S.read_days(spark, f"{tmp_path}/report", "2024-01-01", "2024-01-01").count() == 2

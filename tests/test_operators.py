@@ -25,7 +25,7 @@ REGISTRY = {
     "cad_uc_ee": ("cod_un_cons_uee bigint, cod_loc_uee int, cod_situ_uee string, dta_situ_uee date, cod_tipo_fase_uee string, cod_gru_tens_fat_uee string, cod_sub_gru_fat_uee string, cod_clas_cons_uee string, cod_tipo_entg_uee string, cod_tipo_tar_fat_uee string, num_cli_uee bigint, qtd_tens_lig_uee int, cod_tipo_disj_uee string, num_pste_uee bigint", [
         (1, 5, "LG", day("2024-01-02"), "3", "B", None, "9109", "a", "05", 11, 127, "d", 900), (2, 5, "LG", None, "1", "B", "1", "1", "a", "01", None, 127, "d", 901), (3, 5, "LG", None, "1", "B", "1", "1", "a", "01", 13, 127, "d", None), (4, 6, "LG", None, "1", None, None, "1", "a", "01", 14, 127, "d", None)]),
     "tab_localidade": ("cod_loc_loc int, cod_mun_loc int", [(5, 50), (6, 60)]),
-    "tab_municipio": ("cod_mun_mun int, nom_mun_mun string", [(50, "Araucaria"), (60, "Other")]),
+    "tab_municipio": ("cod_mun_mun int, nom_mun_mun string", [(50, "Riverton"), (60, "Other")]),
     "cad_equip_med": ("num_eqip_emd string, cod_sub_tipo_eqip_emd string", [("41000001", "A"), ("77", "B")]),
     "tab_sub_tipo_equip": ("cod_sub_tipo_eqip_ste string, des_sub_tipo_eqip_ste string", [("A", "quali x"), ("B", "Inteligente")]),
     "cad_coordenada_uc_ee": ("cod_un_cons_xxx bigint, num_coory_xxx double, num_coorx_xxx double", [(1, -25.5, -49.4)]),
@@ -45,7 +45,7 @@ def tables(spark, spec):
 
 def test_registry(spark):
     t = tables(spark, REGISTRY)
-    got = {r["UC"]: r for r in registry(t, "2024-02-15", "araucaria").collect()}
+    got = {r["UC"]: r for r in registry(t, "2024-02-15", "riverton").collect()}
     assert set(got) == {1, 2} and len(next(iter(got.values()))) == 29
     one, two = got[1], got[2]
     assert (one["SMART"], two["SMART"]) == (0, 1)  # the kind rules the first out, and names the second
@@ -54,7 +54,7 @@ def test_registry(spark):
     assert (one["TIPO_GD"], two["TIPO_GD"], two["DATA_FIM_GD"]) == ("two", "four", "2021-01-01")
     assert (one["BENEFICIARIA_GD"], one["INICIO_BENEFICIARIA"], one["FIM_BENEFICIARIA"], two["BENEFICIARIA_GD"]) == ("S", "2023-01-01", None, "N")
     assert registry(t, "2024-02-15").count() == 3  # every town; one removed meter is out
-    poles = registry(t, "2024-02-15", "ARAUCARIA", with_poles=True)
+    poles = registry(t, "2024-02-15", "RIVERTON", with_poles=True)
     assert poles.filter("UC = 1").count() == 2 and "LAT_POSTE_WGS84" in with_pole_position(poles).columns
 
 
@@ -178,7 +178,7 @@ def test_spread_sample_prefers(spark):
 
 
 def files(spark, sizes):
-    return spark.createDataFrame([(f"araucaria_cis_202606{n:02d}.csv", s) for n, s in enumerate(sizes, 1)], "name string, size_bytes bigint")
+    return spark.createDataFrame([(f"meter_cis_202606{n:02d}.csv", s) for n, s in enumerate(sizes, 1)], "name string, size_bytes bigint")
 
 
 def test_sizes(spark):
@@ -201,11 +201,11 @@ def test_coverage(spark):
 
 
 def test_names_and_days(spark):
-    df = spark.createDataFrame([("araucaria_cis_20260615.csv",), ("cis_20260615.csv",), (".hidden.csv",), ("_x.csv",), ("a.txt",), ("araucaria_geo_99999999.csv",)], "name string")
+    df = spark.createDataFrame([("meter_cis_20260615.csv",), ("cis_20260615.csv",), (".hidden.csv",), ("_x.csv",), ("a.txt",), ("meter_geo_99999999.csv",)], "name string")
     got = {r["name"]: r["valid"] for r in Q.named_files(df).collect()}
-    assert got == {"araucaria_cis_20260615.csv": True, "cis_20260615.csv": False, "araucaria_geo_99999999.csv": False}
+    assert got == {"meter_cis_20260615.csv": True, "cis_20260615.csv": False, "meter_geo_99999999.csv": False}
     said = {r["name"]: r["message"] for r in Q.days_back_consistent(df, day_literal("2026-06-15")).collect()}
-    assert said["araucaria_cis_20260615.csv"] == "as expected" and said["a.txt"] == "no day in the name"
+    assert said["meter_cis_20260615.csv"] == "as expected" and said["a.txt"] == "no day in the name"
 
 
 def test_unique_keys(spark):
