@@ -68,7 +68,8 @@ _DAILY = f"SELECT user_id, day, {_SERIES} FROM ({_SLOTS}) GROUP BY 1, 2"
 @query(_DAILY)
 def daily_series_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per user and day, a JSON series for each type."""
-    return R.daily_series(_slots(spark, sf_dir), ["user_id"], TYPES)
+    slots = R.slot_values(_readings(spark, sf_dir), ["user_id"], TYPES, by_day=True)
+    return R.daily_series(slots, ["user_id"], TYPES)
 
 
 @query(_SLOTS)

@@ -35,6 +35,11 @@ def test_query_equals_sql(spark, db, name):
     assert got == plain(cursor.fetchall(), [c[0] for c in cursor.description])
 
 
+def test_daily_series_needs_one_exchange(spark):
+    plan = QUERIES["daily_series_json"](spark, D)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Python" not in plan and "event_id" not in plan
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
