@@ -44,7 +44,7 @@ from meterlake.sources.tables import table
 
 WINDOW, PREFIX = 13, 5
 #: Anchors of one group that a task holds at a time, and parts that a larger group is split into.
-GROUP, PARTS = 1 << 15, 64
+GROUP, PARTS = 1 << 12, 64
 #: Bits of the map of repeated prefixes, at most (32 MB).
 MAP_BITS = 1 << 28
 _LAST = (1 << 63) - 1
