@@ -15,6 +15,7 @@ from meterlake.operators.readings import daily_table
 from meterlake.operators.registry import registry
 from meterlake.operators.sampling import spread_sample
 from meterlake.operators.topology import join_colliding, join_prefixed, topology
+from meterlake.sources.files import read_days
 from meterlake.sources.runs import Run, save_snapshot
 
 
@@ -62,7 +63,8 @@ def run_period(sources: Mapping[str, DataFrame], out: str, first: date | str, la
     run = Run(spark)
     found = daily_report(sources, first, last, as_of, town).withColumnRenamed("REPORT_DAY", "report_day")
     run.write("report", found, f"{out}/report", "report_day", ("NIO",))
-    save_snapshot(distinct_keys(found, "UC", name="ucs"), f"{out}/daily_keys", last)
+    written = read_days(spark, f"{out}/report", first, last)  # one column of what is there, not the job again
+    save_snapshot(distinct_keys(written, "UC", name="ucs"), f"{out}/daily_keys", last)
     run.save(f"{out}/runs")
     return run
 
