@@ -196,10 +196,10 @@ def _mark(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     lo, hi = spans(repeat)
     if len(lo):
         yield out(lo, hi, pa.nulls(len(lo), pa.int64()), pa.nulls(len(lo), pa.binary()))
-    lo, hi = spans(~repeat & (part[run] > 0))
-    if len(lo):
-        again = pa.array([windows[x : y + 1].tobytes() for x, y in zip(lo.tolist(), hi.tolist())], pa.binary())
-        yield out(lo, hi, pa.array(a[run[lo]]), again)
+    left = np.flatnonzero(~repeat & (part[run] > 0))
+    if len(left):  # one row a window, under its own hash: a prefix of full depth
+        again = windows[left]
+        yield out(left, left, pa.array(again.view(np.int64)), _blobs(again, np.arange(len(again))))
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group: int = GROUP, map_bits: int = MAP_BITS) -> DataFrame:
