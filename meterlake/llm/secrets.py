@@ -2,13 +2,14 @@
 
 Around every assignment mark (``=``, ``:``, ``:=``, ``=>``) the lexer reads a target
 name on the left and an expression on the right: quoted strings, bare words, and
-names of constants, joined by ``+``, ``.`` or juxtaposition. Names bound to
+names of constants, joined by ``+``, ``.`` or juxtaposition, to the expression's end: over
+brackets, and over line breaks after a join, a backslash or inside brackets. Names bound to
 literals are remembered in text order, so a literal that reaches a sensitive
 target through other names (``a = "..."``, ``b = a + "..."``, ``password = b``, or
 ``"${a}"``) is found where it was written. A literal's score is the sensitivity of
 the target's name times the literal's strength (length, character classes,
 entropy, not a placeholder); literals of 0.5 and more are reported as ``literal``
-spans. Names without any binding to a literal, and literals bound to plain names,
+spans. So are all pieces of a value that has 0.5 once its pieces are put together. Names without any binding to a literal, and literals bound to plain names,
 are left alone.
 
 Three pattern kinds are always reported beside these: ``assign``, ``access`` and ``hex``
@@ -17,9 +18,9 @@ points; ends are exclusive.
 
 Defined results: null text is read as empty and gives no spans; a null id stays
 null; repeated rows are scanned each; an empty table gives no rows; columns other
-than id and text are ignored. Work per text is linear: the left side looks back
-``NAME_MAX`` characters, the right side reads at most ``ATOMS_MAX`` pieces a statement
-(later pieces belong to no statement), and each name keeps its newest binding.
+than id and text are ignored. The left side looks back ``NAME_MAX`` characters, and each name
+keeps its newest binding. Values are shared lists, each summed and reported once, so work per text
+is linear (times its different characters, for values of several pieces).
 """
 
 from __future__ import annotations
@@ -45,7 +46,9 @@ PATTERNS = (
 )
 KINDS = ("assign", "access", "hex", "literal")
 
-NAME_MAX, ATOMS_MAX, BINDINGS_MAX, MIN_SCORE = 120, 16, 8, 0.5
+NAME_MAX, MIN_SCORE = 120, 0.5
+#: Characters kept of both ends of an assembled value, and pieces from one kept sum to the next.
+_ENDS, _STEP = 32, 64
 
 #: Parts of a target's name that make it sensitive, with their weights.
 SENSITIVE = {
@@ -56,11 +59,15 @@ PLACEHOLDERS = re.compile(r"(?i)^(?:change_?me|example|sample|dummy|none|null|tr
 
 _OPERATOR = re.compile(r"(?::=|=>|(?<![=!<>:+*/|&^%-])=(?![=~])|(?<!:):(?![:=/]))")
 _TARGET = re.compile(r"""([A-Za-z_][A-Za-z0-9_.-]*)(?:["'`]|\]|["'`]\])?(?:[ \t]*:[ \t]*[A-Za-z_][\w.\[\]]*)?[ \t]*$""", re.A)
-_ATOM = re.compile(
-    r"""[ \t]*(?:(?P<join>\+|\.\.|\.(?=[ \t]*["'`$A-Za-z_])|\|\|)[ \t]*)?"""
-    r"""(?:[fFrRbBuU]{0,2}(?P<quote>["'`])(?P<text>(?:(?!(?P=quote))[^\\\n]|\\.)*+)(?P=quote)|\$\{?(?P<ref>[A-Za-z_]\w*)\}?|(?P<bare>[A-Za-z0-9_+/.~@%^&*!-]+={0,2}))""",
+_JOIN = re.compile(r"""\+|\.\.|\.(?=[ \t]*["'`$A-Za-z_])|\|\|""", re.A)
+_PIECE = re.compile(
+    r"""[fFrRbBuU]{0,2}(?P<quote>["'`])(?P<text>(?:(?!(?P=quote))[^\\\n]|\\.)*+)(?P=quote)|\$\{?(?P<ref>[A-Za-z_]\w*)\}?|(?P<bare>[A-Za-z0-9_+/.~@%^&*!-]+={0,2})""",
     re.A,
 )
+#: Between pieces of one line; after a join or inside brackets; and before a join that begins an indented line.
+_GAP = re.compile(r"(?:[ \t]|\\\r?\n)*+")
+_WIDE = re.compile(r"(?:[ \t\r\n]|\\\r?\n|(?:#|//)[^\n]*)*+")
+_NEXT = re.compile(r"""\r?\n[ \t]+(?=(?:\+|\.\.?|\|\|)[ \t]*["'`$])""")
 _INSIDE = re.compile(r"\$?\{([A-Za-z_]\w*)\}", re.A)
 _NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_]*\Z", re.A)
 _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+", re.A)
@@ -79,44 +86,181 @@ def name_weight(name: str) -> float:
     return max((SENSITIVE.get(x, 0.0) for x in tried), default=0.0)
 
 
+class _Sum(NamedTuple):
+    """What ``strength`` asks of a value: characters counted, and its two ends (all of it, if it has ``_ENDS`` or fewer)."""
+
+    n: int
+    counts: Counter
+    head: str
+    tail: str
+
+    def __add__(self, other: _Sum) -> _Sum:  # type: ignore[override]
+        return _Sum(self.n + other.n, self.counts + other.counts, (self.head + other.head)[:_ENDS], (self.tail + other.tail)[-_ENDS:])
+
+    def strength(self) -> float:
+        n = self.n
+        # longer ones: no fixed placeholder is so long, and the open ones ask for the ends or for all characters
+        shown = self.head if n <= _ENDS else self.head + "".join(self.counts) + self.tail
+        if n < 8 or PLACEHOLDERS.match(shown) or any(c.isspace() for c in self.counts):
+            return 0.0
+        entropy = -sum(c / n * math.log2(c / n) for c in self.counts.values() if c / n)
+        classes = sum(bool(re.search(p, shown)) for p in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
+        return min(1.0, 0.25 * min(n, 16) / 16 + 0.45 * min(entropy, 3.5) / 3.5 + 0.15 * min(classes, 3)) if classes > 1 else 0.0
+
+
+def _sum_of(literal: str) -> _Sum:
+    return _Sum(len(literal), Counter(literal), literal[:_ENDS], literal[-_ENDS:])
+
+
 def strength(literal: str) -> float:
     """How much a literal looks like a secret, 0 to 1."""
-    n = len(literal)
-    if n < 8 or PLACEHOLDERS.match(literal) or any(c.isspace() for c in literal):
-        return 0.0
-    entropy = -sum(c / n * math.log2(c / n) for c in Counter(literal).values())
-    classes = sum(bool(re.search(p, literal)) for p in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
-    return min(1.0, 0.25 * min(n, 16) / 16 + 0.45 * min(entropy, 3.5) / 3.5 + 0.15 * min(classes, 3)) if classes > 1 else 0.0
+    return _sum_of(literal).strength()
+
+
+class _Value:
+    """A literal (``span``), or a list of values that are written one after another: ``part``, then ``next``.
+
+    Lists are shared by all that refer to them. ``stop``: a comma follows, so ``next`` begins
+    another value. ``loose``: a word without a binding, which is no part of an assembled value.
+    """
+
+    __slots__ = ("judged", "loose", "next", "part", "span", "stop", "sum", "told", "walked")
+
+    def __init__(self, span=None, part=None, next=None, stop=False, loose=False):
+        self.span, self.part, self.next, self.stop, self.loose = span, part, next, stop, loose
+        self.sum, self.told, self.judged, self.walked = None, False, 0.0, 0.0
+
+
+_NOTHING = _Sum(0, Counter(), "", "")
+
+
+def _summed(x: _Value, text: str) -> _Sum:
+    """The sum of ``x``; kept at ``x`` and at each ``_STEP`` of its list, so that lists within lists are not summed anew."""
+    if x.sum is None and x.part is None:
+        x.sum = _sum_of(text[slice(*x.span)])
+    if x.sum is None:
+        run = []
+        y = x
+        while y is not None and y.sum is None:
+            run.append(y)
+            y = None if y.stop else y.next
+        total = y.sum if y is not None else _NOTHING
+        for k in range(len(run) - 1, -1, -1):
+            part = run[k].part
+            own = _NOTHING if part.loose else _summed(part, text)  # a literal, or a list that was summed when it was bound
+            total = own + total
+            if k % _STEP == 0:
+                run[k].sum = total
+    return x.sum
+
+
+def _expression(text: str, at: int, bound: dict[str, _Value], read: dict[tuple, _Value | None]) -> _Value | None:
+    """The value written at ``at``, up to its end; None if it has no literals. ``read`` has what was read before, by place."""
+    items: list[list] = []
+    depth, have, fresh, tail, key = 0, False, True, None, None
+    while True:
+        if key is not None and key in read:
+            tail = read[key]
+            break
+        at = (_WIDE if depth else _GAP).match(text, at).end()
+        mark = text[at : at + 1]
+        if depth and mark and mark in ")],":
+            at += 1
+            if mark == ",":
+                fresh = True
+                if items:
+                    items[-1][2] = True
+            else:
+                depth -= 1
+            continue
+        if not depth and not fresh and (line := _NEXT.match(text, at)):
+            at = line.end()
+        if join := _JOIN.match(text, at):
+            at = _WIDE.match(text, join.end()).end() if not fresh else _GAP.match(text, join.end()).end()
+        if (join or fresh) and text[at : at + 1] in ("(", "["):
+            depth, fresh, at = depth + 1, True, at + 1
+            continue
+        piece = _PIECE.match(text, at)
+        if not piece or not (join or fresh or (piece["quote"] and have)):
+            break
+        at, fresh = piece.end(), False
+        new: list[_Value] = []
+        if piece["quote"]:
+            have = True
+            lo, end = piece.span("text")
+            for inner in _INSIDE.finditer(text, lo, end):
+                if inner[1] in bound:
+                    new += [_Value((lo, inner.start()))] * (lo < inner.start()) + [bound[inner[1]]]
+                    lo = inner.end()
+            new += [_Value((lo, end))] * (lo < end)
+        elif (word := piece["ref"] or piece["bare"]) and _NAME.match(word) and word in bound:
+            have = True
+            new.append(bound[word])
+        elif piece["bare"]:
+            name = bool(_NAME.match(word))
+            have = True
+            if not (name and depth):
+                new.append(_Value(piece.span("bare"), loose=name))
+        for k, value in enumerate(new):
+            items.append([key if k == 0 else None, value, False])
+        key = (at, depth > 0, have)
+    for key, value, stop in reversed(items):
+        tail = _Value(part=value, next=tail, stop=stop)
+        if key is not None:
+            read[key] = tail
+    return tail.part if tail is not None and tail.next is None else tail
 
 
 def assigned_literals(text: str) -> list[Span]:
-    """Literals that reach a sensitive target, in text order, each once."""
-    bound: dict[str, list[tuple[int, int]]] = {}
+    """Literals that reach a sensitive target, in text order, each once: those strong enough alone, and all pieces of an assembled value that is."""
+    bound: dict[str, _Value] = {}
+    read: dict[tuple, _Value | None] = {}
     found: set[tuple[int, int]] = set()
+
+    def tell(x: _Value) -> None:
+        todo = [x]
+        while todo:
+            x = todo.pop()
+            if x.told:
+                continue
+            x.told = True
+            if x.part is None:
+                found.add(x.span)
+                continue
+            if not x.part.loose:
+                todo.append(x.part)
+            if x.next is not None and not x.stop:
+                todo.append(x.next)
+
+    def judge(x: _Value, weight: float) -> None:
+        todo = [(x, True)]
+        while todo:
+            x, whole = todo.pop()
+            if whole and x.judged < weight:
+                x.judged = weight
+                if not x.told and weight * _summed(x, text).strength() >= MIN_SCORE:
+                    tell(x)
+            if x.part is not None and x.walked < weight:
+                x.walked = weight
+                todo.append((x.part, True))
+                if x.next is not None:
+                    todo.append((x.next, x.stop))
+
     for op in _OPERATOR.finditer(text):
         left = text[max(0, op.start() - NAME_MAX) : op.start()]
         target = _TARGET.search(left.rsplit("\n", 1)[-1])
         if not target:
             continue
-        name, at = target[1], op.end()
-        literals: list[tuple[int, int]] = []
-        for k in range(ATOMS_MAX):
-            atom = _ATOM.match(text, at)
-            if not atom or (k and not atom["join"] and not (atom["quote"] and literals)):
-                break
-            at = atom.end()
-            if atom["quote"]:
-                literals.append(atom.span("text"))
-                for inner in _INSIDE.finditer(atom["text"]):
-                    literals += bound.get(inner[1], [])
-            elif (word := atom["ref"] or atom["bare"]) and _NAME.match(word) and word in bound:
-                literals += bound[word]
-            elif atom["bare"]:
-                literals.append(atom.span("bare"))
+        name, value = target[1], _expression(text, op.end(), bound, read)
         short = re.split(r"[.]", name)[-1]
-        bound[short] = literals[:BINDINGS_MAX]
+        if value is None:
+            bound.pop(short, None)
+            continue
+        if value.part is not None:
+            _summed(value, text)
+        bound[short] = value
         if weight := name_weight(name):
-            found.update(x for x in literals if weight * strength(text[slice(*x)]) >= MIN_SCORE)
+            judge(value, weight)
     return [Span("literal", *x) for x in sorted(found)]
 
 

@@ -76,3 +76,36 @@ def test_query(spark):
         assert r["base_sha256"] == hashlib.sha256(",".join(":".join(map(str, s)) for s in base).encode()).hexdigest()
         assert (r["n_assign"], r["n_access"], r["n_hex"]) == tuple(sum(s[0] == k for s in base) for k in ("assign", "access", "hex"))
         assert {":".join(map(str, s)) for s in base} <= set(r["spans"].split(","))
+
+
+def literals(text):
+    return [text[s.start : s.end] for s in scan_text(text) if s.kind == "literal"]
+
+
+def test_values_of_many_pieces_are_found_whole():
+    pieces = [f"{k:02d}x!Qz7{k:02d}k" for k in range(40)]
+    said = " + ".join(f"'{p}'" for p in pieces)
+    assert literals(f"password = {said}") == pieces
+    assert literals(f"key = {said}\npassword = key") == pieces
+    assert literals("password = " + " +\n  ".join(f"'{p}'" for p in pieces)) == pieces
+    assert literals("token = (\n" + "\n".join(f"  '{p}'  # part" for p in pieces) + "\n)") == pieces
+    assert literals("token = " + " \\\n  ".join(f"'{p}'" for p in pieces)) == pieces
+    assert literals("token = 'hunt'\n  + 'er2!'\n  + 'Xq9z'\nname = 'plain1!Qz'") == ["hunt", "er2!", "Xq9z"]
+    assert literals("token = ['hunter2!Xq9z', 'short', \"Zx9-aa81kk\"]") == ["hunter2!Xq9z", "Zx9-aa81kk"]
+
+
+def test_short_pieces_are_judged_together():
+    assert literals("secret = 'hunt' + 'er2!' + 'Xq9z'") == ["hunt", "er2!", "Xq9z"]
+    assert literals("a = 'hunt'\nb = a + 'er2!'\nc = 'Xq9z'\nsecret = b + c") == ["hunt", "er2!", "Xq9z"]
+    assert literals("a = 'hunt'\nb = 'er2!'\nsecret = \"${a}${b}Xq9z\"") == ["hunt", "er2!", "Xq9z"]
+    assert literals("secret = 'change' + 'me'") == literals("secret = 'a1' + 'B!'") == literals("name = 'hunt' + 'er2!' + 'Xq9z'") == []
+
+
+def test_shared_and_nested_values_take_linear_time():
+    began = time.time()
+    for t in (
+        "a='k1!'\n" + "a=a+a\n" * 5000 + "password=a", "'+a='" * 20000, "'+token='" * 20000, "password=" + "'a1'+" * 50000, "token=(" * 20000, "token=['a'," * 10000,
+        "a='Qz7!'\n" + "".join(f"token{k}=a+'x{k}'\na=token{k}\n" for k in range(5000)), "token='a'" + "\n" * 50000, "a=b\\\n" * 20000, "token=(\n" + "\n" * 20000,
+    ):
+        scan_text(t)
+    assert time.time() - began < 30
