@@ -151,9 +151,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row per document: id, ``fp`` and ``component_id``, the smallest id among the documents it is linked to, directly or not."""
     prints = materialize(fingerprints(docs, id_col, text_col), "fingerprints")
     nodes = materialize(prints.groupBy("fp").agg(F.min(id_col).alias("rep")), "nodes")
-    roots = components(links(nodes.select("fp")))
-    placed = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
-    named = placed.join(placed.groupBy("root").agg(F.min("rep").alias("component_id")), "root").select("fp", "component_id")
+    return placed(prints, nodes, links(nodes.select("fp")), id_col)
+
+
+def placed(prints: DataFrame, nodes: DataFrame, edges: DataFrame, id_col: str) -> DataFrame:
+    """Id, ``fp`` and ``component_id`` of all ``prints`` (id, ``fp``), from the distinct ``nodes`` (``fp``, ``rep``) and the links between them."""
+    roots = components(edges)
+    rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
+    named = rooted.join(rooted.groupBy("root").agg(F.min("rep").alias("component_id")), "root").select("fp", "component_id")
     return prints.join(named, "fp").select(id_col, "fp", "component_id")
 
 
@@ -163,7 +168,11 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     Rows that share that id are one document and stay together; rows with a null id
     stay only where their component has no other id.
     """
-    found = near_duplicates(docs, id_col, text_col)
+    return kept(docs, near_duplicates(docs, id_col, text_col), id_col)
+
+
+def kept(docs: DataFrame, found: DataFrame, id_col: str) -> DataFrame:
+    """The rows of ``docs`` whose id names their component in ``found``."""
     keep = found.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__keep")).distinct()
     return docs.join(keep, docs[id_col].eqNullSafe(keep["__keep"]), "left_semi")
 
