@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import chain, count, filterfalse
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -69,17 +70,11 @@ def prefix_all(df: DataFrame, keys: Sequence[str], prefix: str) -> DataFrame:
 
 def collision_names(left: Sequence[str], right: Sequence[str], keys: Sequence[str], prefix: str) -> dict[str, str]:
     """New names for the right side's columns: only those that the left side has get ``prefix``, and a number if that is taken too."""
-    taken, names = set(left), {}
-    for c in right:
-        if c in keys:
-            continue
-        name, n = c, 2
-        if name in taken:
-            name = prefix + c
-            while name in taken:
-                name, n = f"{prefix}{c}_{n}", n + 1
-        names[c] = name
-        taken.add(name)
+    names: dict[str, str] = {}
+    for c in (c for c in right if c not in keys):
+        offered = chain((c, prefix + c), (f"{prefix}{c}_{n}" for n in count(2)))
+        free = filterfalse({*left, *names.values()}.__contains__, offered)
+        names[c] = next(free)
     return names
 
 

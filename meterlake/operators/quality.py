@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from meterlake.functions.calendar import day_literal, days, file_day
 from meterlake.functions.keys import find_column, size_text
+from meterlake.operators.sampling import median_of
 
 #: Kinds of dated files.
 FILE_KINDS = ("cis", "geo", "mdm", "timegrid", "model_input", "daily_report", "weather")
@@ -42,10 +43,6 @@ def require_unique(df: DataFrame, keys: Sequence[str], shown: int = 10) -> DataF
     return df
 
 
-def check(spark: SparkSession, name: str, passed: bool, detail: str) -> DataFrame:
-    return spark.range(1).select(F.lit(name).alias("check"), F.lit(passed).alias("passed"), F.lit(detail).alias("detail"))
-
-
 def verify_output(df: DataFrame, keys: Sequence[str], expected_rows: int) -> DataFrame:
     """One row per check (``check``, ``passed``, ``detail``): columns, blank keys, row count, repeated keys."""
     found = {k: c for k in keys if (c := find_column(df, k))}
@@ -86,38 +83,43 @@ def missing_days(spark: SparkSession, present: DataFrame, first: Column, last: C
     return days(spark, first, last, day).join(present.select(F.col(day).cast("date").alias(day)).distinct(), day, "left_anti")
 
 
-def coverage(spark: SparkSession, present: DataFrame, first: Column | None = None, last: Column | None = None, day: str = "day") -> DataFrame:
-    """One row: days in all and present, percent, complete, and the missing days. Without days given or present the period is complete with none."""
-    have = present.select(F.col(day).cast("date").alias("day")).filter("day IS NOT NULL").distinct()
-    ends = have.agg(
+def coverage(present: DataFrame, first: Column | None = None, last: Column | None = None, day: str = "day", by: Sequence[str] = ()) -> DataFrame:
+    """One row (for each group): days in all and present, percent, complete, and the missing days.
+
+    Without days present the period is complete with none of none, 0 percent, whatever its bounds; groups without days have no row.
+    """
+    have = present.select(*by, F.col(day).cast("date").alias("day")).filter("day IS NOT NULL").distinct()
+    ends = have.groupBy(*by).agg(
         (F.min("day") if first is None else F.any_value(first)).alias("first"), (F.max("day") if last is None else F.any_value(last)).alias("last")
     )
-    if first is not None and last is not None:
-        ends = spark.range(1).select(first.alias("first"), last.alias("last"))
-    expected = ends.filter("first <= last").select(F.explode(F.sequence("first", "last")).alias("day"))
-    met = expected.join(have.withColumn("hit", F.lit(True)), "day", "left")
-    out = met.agg(
+    expected = ends.filter("first <= last").select(*by, F.explode(F.sequence("first", "last")).alias("day"))
+    met = expected.join(have.withColumn("hit", F.lit(True)), [*by, "day"], "left")
+    out = met.groupBy(*by).agg(
         F.count(F.lit(1)).alias("total_days"),
         F.count("hit").alias("covered_days"),
         F.sort_array(F.collect_list(F.when(F.col("hit").isNull(), F.col("day").cast("string")))).alias("missing"),
     )
-    percent = F.when(F.col("total_days") > 0, F.round(100.0 * F.col("covered_days") / F.col("total_days"), 1)).otherwise(100.0)
+    percent = F.when(F.col("total_days") > 0, F.round(100.0 * F.col("covered_days") / F.col("total_days"), 1)).otherwise(0.0)
     return out.select(
-        "total_days", "covered_days", percent.alias("coverage_percent"), (F.size("missing") == 0).alias("complete"), F.concat_ws(",", "missing").alias("missing")
+        *by, "total_days", "covered_days", percent.alias("coverage_percent"), (F.size("missing") == 0).alias("complete"), F.concat_ws(",", "missing").alias("missing")
     )
 
 
 def size_stats(files: DataFrame, size: str = "size_bytes", day: str = "file_date") -> DataFrame:
-    """Count, mean, sample deviation (0 for one), least, most, median, and the days of least and most."""
-    return files.agg(
+    """Count, mean, sample deviation (0 for one), least, most, median, and the days of least and most among files that have a day."""
+    dated = lambda x: F.when(F.col(day).isNotNull(), x)
+    stats = files.agg(
         F.count(F.lit(1)).alias("count"),
         F.avg(size).alias("mean_bytes"),
         F.coalesce(F.stddev_samp(size), F.lit(0.0)).alias("std_bytes"),
         F.min(size).alias("min_bytes"),
         F.max(size).alias("max_bytes"),
-        F.median(size).alias("median_bytes"),
-        F.min_by(day, F.struct(size, day)).alias("min_date"),
-        F.max_by(day, F.struct(F.col(size), -F.datediff(F.col(day), F.lit("1970-01-01")))).alias("max_date"),
+        F.min_by(day, dated(F.struct(size, day))).alias("min_date"),
+        F.max_by(day, dated(F.struct(F.col(size), -F.datediff(F.col(day), F.lit("1970-01-01"))))).alias("max_date"),
+    )
+    middle = median_of(files, size, "median_bytes")
+    return stats.join(F.broadcast(middle), F.lit(True)).select(  # one row each
+        "count", "mean_bytes", "std_bytes", "min_bytes", "max_bytes", "median_bytes", "min_date", "max_date"
     )
 
 
@@ -164,12 +166,9 @@ def naming_check(files: DataFrame, name: str = "name") -> DataFrame:
 def coverage_check(present: DataFrame, as_of: date | str, days_back: int = COVERAGE_DAYS, day: str = "day") -> DataFrame:
     """Are all days from yesterday back ``days_back`` days there? Nothing there at all passes: there is nothing to check."""
     last = F.date_sub(day_literal(as_of), 1)
-    found = coverage(present.sparkSession, present, F.date_sub(last, days_back), last, day)
-    some = present.agg(F.count(F.lit(1)).alias("some"))
-    met = found.crossJoin(some)
-    return met.select(
+    return coverage(present, F.date_sub(last, days_back), last, day).select(
         F.lit("period_coverage").alias("check"),
-        (F.col("complete") | (F.col("some") == 0)).alias("passed"),
+        F.col("complete").alias("passed"),
         F.format_string("%d of %d days, missing: %s", "covered_days", "total_days", F.concat_ws(",", F.slice(F.split("missing", ","), 1, 5))).alias("detail"),
     )
 
@@ -192,13 +191,23 @@ def freshness_check(df: DataFrame, as_of: date | str, day: str = "day") -> DataF
     )
 
 
-def integrity_report(files: DataFrame, snapshots: DataFrame, as_of: date | str, days_back: int = COVERAGE_DAYS) -> DataFrame:
-    """The four checks, one row each. ``files``: name, size_bytes; ``snapshots``: day."""
-    dated = named_files(files)
+def of_kind(files: DataFrame, kind: str, prefix: str = "meter", suffix: str = ".csv", name: str = "name") -> DataFrame:
+    """Files of one kind, by the beginning and end of their names."""
+    return files.filter(F.col(name).startswith(f"{prefix}_{kind}") & F.col(name).endswith(suffix))
+
+
+def integrity_report(
+    files: DataFrame, snapshots: DataFrame, as_of: date | str, days_back: int = COVERAGE_DAYS, kind: str = "cis", prefix: str = "meter"
+) -> DataFrame:
+    """The four checks, one row each. ``files``: name, size_bytes; ``snapshots``: day.
+
+    All names are checked; days and sizes are those of one ``kind`` of file, so that no other file of a day hides a missing one.
+    """
+    one = of_kind(files, kind, prefix)
     checks = [
         naming_check(files),
-        coverage_check(dated.filter("file_date IS NOT NULL").select(F.col("file_date").alias("day")), as_of, days_back),
-        size_check(files),
+        coverage_check(one.select(file_day(F.col("name")).alias("day")), as_of, days_back),
+        size_check(one),
         freshness_check(snapshots, as_of),
     ]
     return reduce(DataFrame.unionByName, checks)

@@ -26,6 +26,28 @@ def with_ordinal(df: DataFrame, order: list[Column], name: str = "ordinal") -> D
     return met.withColumn(name, F.col("__before") + F.col("__n") - 1).drop("__part", "__n", "__before", *names)
 
 
+def median_of(df: DataFrame, column: str, name: str = "median") -> DataFrame:
+    """One row with the exact median of ``column`` without nulls (null if nothing is left), with no task that holds all values.
+
+    Different values are counted, dealt by range and summed up inside each range; the ranges' sums (one row each)
+    tell which of them holds the middle.
+    """
+    values = df.select(F.col(column).cast("double").alias("v")).filter("v IS NOT NULL").groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+    dealt = materialize(values.repartitionByRange("v").withColumn("part", F.spark_partition_id()), "values")
+    parts = dealt.groupBy("part").agg(F.sum("n").alias("rows"))
+    offsets = parts.select(
+        "part",
+        F.coalesce(F.sum("rows").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"),
+        F.sum("rows").over(Window.partitionBy()).alias("total"),
+    )
+    upto = F.sum("n").over(Window.partitionBy("part").orderBy("v"))
+    ranked = dealt.withColumn("upto", upto).join(F.broadcast(offsets), "part")  # a row for each partition
+    end = F.col("before") + F.col("upto")
+    holds = lambda at: (end - F.col("n") <= at) & (at < end)
+    low, high = F.floor((F.col("total") - 1) / 2), F.floor(F.col("total") / 2)
+    return ranked.filter(holds(low) | holds(high)).agg(F.avg("v").alias(name))
+
+
 def spread_positions(k: Column, n: Column) -> Column:
     """Positions of ``k`` of ``n`` rows: all, the middle one, or round(i (n-1) / (k-1)), halves to even."""
     spread = F.transform(F.sequence(F.lit(0), F.greatest(k, F.lit(1)) - 1), lambda i: F.rint(i * (n - 1) / F.greatest(k - 1, F.lit(1))).cast("bigint"))

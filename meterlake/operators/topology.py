@@ -54,10 +54,19 @@ def with_pole_position(df: DataFrame, x: str = "COORD_X_POSTE", y: str = "COORD_
 
 
 def join_prefixed(left: DataFrame, right: DataFrame, key: str, prefix: str = "GEO_", how: str = "inner") -> DataFrame:
-    """Join on ``key`` with all other columns of the right side prefixed; a right side without ``key`` leaves the left as it is."""
+    """Join on ``key`` with all other columns of the right side prefixed.
+
+    A right side without ``key`` leaves the left as it is. One without rows keeps all rows of the left, whatever ``how`` says,
+    with nulls in the prefixed columns, so that the schema does not depend on the data.
+    """
     if key not in left.columns or key not in right.columns:
         return left
-    return left.join(prefix_all(right, [key], prefix), key, how)
+    named = prefix_all(right, [key], prefix)
+    if how != "inner":
+        return left.join(named, key, how)
+    some = right.limit(1).agg((F.count(F.lit(1)) > 0).alias("__some"))
+    met = left.join(named.withColumn("__hit", F.lit(True)), key, "left").join(F.broadcast(some), F.lit(True))  # one row
+    return met.filter(F.col("__hit").isNotNull() | ~F.col("__some")).drop("__hit", "__some")
 
 
 def join_colliding(left: DataFrame, right: DataFrame, key: str, prefix: str, mode: str = "digits_keep_zero") -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meterlake.functions.keys import prefix_all
+from meterlake.operators.sampling import median_of
 
 #: Variables of the weather service.
 VARIABLES = ("temperature_2m", "relative_humidity_2m", "precipitation", "wind_speed_10m", "surface_pressure", "cloud_cover")
@@ -57,7 +58,7 @@ def onto_slots(slots: DataFrame, weather: DataFrame, day: str = "day", hour: str
 
 def median_point(df: DataFrame, lat: str = "LAT", lon: str = "LONG", accuracy: int | None = None) -> DataFrame:
     """Median latitude and longitude, each without nulls; ``accuracy`` asks for an approximation."""
-    middle = (lambda c: F.median(c)) if accuracy is None else (lambda c: F.percentile_approx(c, 0.5, accuracy))
-    return df.select(F.col(lat).try_cast("double").alias("lat"), F.col(lon).try_cast("double").alias("lon")).agg(
-        middle("lat").alias("lat"), middle("lon").alias("lon")
-    )
+    points = df.select(F.col(lat).try_cast("double").alias("lat"), F.col(lon).try_cast("double").alias("lon"))
+    if accuracy is not None:
+        return points.agg(*(F.percentile_approx(c, 0.5, accuracy).alias(c) for c in ("lat", "lon")))
+    return median_of(points, "lat", "lat").join(F.broadcast(median_of(points, "lon", "lon")), F.lit(True))  # one row each

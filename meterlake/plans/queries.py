@@ -5,6 +5,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,11 +19,13 @@ from meterlake.operators import quality as Q
 from meterlake.operators import readings as R
 from meterlake.operators import weather as W
 from meterlake.operators.latest import latest_by_end, latest_open_first, valid_in_month
-from meterlake.operators.registry import smart_flag, yes_no
+from meterlake.operators.registry import active_meters, own_generation, smart_flag, yes_no
 from meterlake.operators.sampling import spread_sample
-from meterlake.operators.topology import join_colliding, join_prefixed
+from meterlake.operators.topology import join_colliding, join_prefixed, topology
 from meterlake.plans import report as P
+from meterlake.sources.files import inventory, read_days, read_jdbc, write_dated, write_jdbc
 from meterlake.sources.runs import days_back_lookup, key_snapshot
+from meterlake.sources.shared import job_dir
 from meterlake.sources.tables import table
 
 TYPES = ("click", "error", "purchase", "signup", "view")
@@ -355,15 +358,15 @@ def match_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 WITH e AS (SELECT unnest(generate_series(DATE '2023-12-30', DATE '2024-01-31', INTERVAL 1 DAY))::DATE AS day),
-h AS (SELECT DISTINCT CAST(ts AS DATE) AS day FROM events WHERE event_type = 'purchase' AND user_id % 10 = 3),
-m AS (SELECT e.day, h.day IS NOT NULL AS hit FROM e LEFT JOIN h USING (day))
-SELECT count(*) AS total_days, count(*) FILTER (WHERE hit) AS covered_days, round(100.0 * count(*) FILTER (WHERE hit) / count(*), 1)::DOUBLE AS coverage_percent,
-  bool_and(hit) AS complete, coalesce(string_agg(day::VARCHAR, ',' ORDER BY day) FILTER (WHERE NOT hit), '') AS missing FROM m
+h AS (SELECT DISTINCT user_id % 10 AS user_group, CAST(ts AS DATE) AS day FROM events WHERE event_type = 'purchase'),
+m AS (SELECT g.user_group, e.day, h.day IS NOT NULL AS hit FROM (SELECT DISTINCT user_group FROM h) g CROSS JOIN e LEFT JOIN h ON h.user_group = g.user_group AND h.day = e.day)
+SELECT user_group, count(*) AS total_days, count(*) FILTER (WHERE hit) AS covered_days, round(100.0 * count(*) FILTER (WHERE hit) / count(*), 1)::DOUBLE AS coverage_percent,
+  bool_and(hit) AS complete, coalesce(string_agg(day::VARCHAR, ',' ORDER BY day) FILTER (WHERE NOT hit), '') AS missing FROM m GROUP BY user_group
 """)
 def coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Days with a purchase in one group of users (chosen as in a report, not to shorten the input)."""
-    e = table(spark, sf_dir, "events").filter("event_type = 'purchase' AND user_id % 10 = 3")
-    return Q.coverage(spark, e.select(F.col("ts").alias("day")), day_literal("2023-12-30"), day_literal("2024-01-31"))
+    """Days with a purchase in each group of users."""
+    e = table(spark, sf_dir, "events").filter("event_type = 'purchase'").select((F.col("user_id") % 10).alias("user_group"), F.col("ts").alias("day"))
+    return Q.coverage(e, day_literal("2023-12-30"), day_literal("2024-01-31"), by=["user_group"])
 
 
 _SIZES = "SELECT CAST(o_orderdate AS DATE) AS file_date, count(*) * 1000 + sum(o_orderkey % 7)::BIGINT AS size_bytes FROM orders GROUP BY 1"
@@ -511,8 +514,8 @@ def period_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""
 WITH d AS ({_DATED}), e AS (SELECT unnest(generate_series(DATE '2024-01-01', DATE '2024-01-31', INTERVAL 1 DAY))::DATE AS day),
-m AS (SELECT day, day IN (SELECT file_date FROM d WHERE file_date IS NOT NULL) AS hit FROM e),
-n AS ({_NAMES}), s AS (SELECT avg(size_bytes) AS a, stddev_samp(size_bytes) AS sd, count(*) AS n FROM n),
+n AS (SELECT * FROM ({_NAMES}) WHERE name LIKE 'meter_cis%' AND name LIKE '%.csv'),
+m AS (SELECT day, day IN (SELECT file_date FROM d WHERE file_date IS NOT NULL AND page_id IN (SELECT page_id FROM n)) AS hit FROM e), s AS (SELECT avg(size_bytes) AS a, stddev_samp(size_bytes) AS sd, count(*) AS n FROM n),
 o AS (SELECT count(*) AS k FROM n, s WHERE sd > 0 AND (size_bytes < greatest(0, a - 1.5 * sd) OR size_bytes > a + 1.5 * sd)),
 x AS (SELECT count(*) AS t, count(*) FILTER (WHERE NOT (shaped AND file_date IS NOT NULL)) AS b FROM d)
 SELECT 'file_naming' AS check, b = 0 AS passed, b || ' of ' || t || ' names are invalid' AS detail FROM x
@@ -530,3 +533,99 @@ def integrity_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 def truthy_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = F.when(F.col("c_custkey") % 2 == 1, F.lit(" sim ")).otherwise(F.col("c_mktsegment"))
     return table(spark, sf_dir, "customer").select("c_custkey", is_truthy(said).alias("truthy"))
+
+
+@query("""
+SELECT c_custkey, c_nationkey, n_regionkey, r_name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
+WHERE c_acctbal >= 0 AND upper(r_name) = 'EUROPE'
+""")
+def registry_population(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers with a balance as meters in place, nations as localities, regions as towns."""
+    c, n, r = (table(spark, sf_dir, t) for t in ("customer", "nation", "region"))
+    removed = F.when(F.col("c_acctbal") < 0, day_literal("2024-01-01"))
+    links = c.select(F.col("c_custkey").alias("cod_un_cons_reu"), removed.alias("dta_reti_reu"))
+    units = c.select(F.col("c_custkey").alias("cod_un_cons_uee"), F.col("c_nationkey").alias("cod_loc_uee"))
+    places = n.select(F.col("n_nationkey").alias("cod_loc_loc"), F.col("n_regionkey").alias("cod_mun_loc"))
+    towns = r.select(F.col("r_regionkey").alias("cod_mun_mun"), F.col("r_name").alias("nom_mun_mun"))
+    met = active_meters(links, units, places, towns, "europe")
+    names = {"cod_un_cons_reu": "c_custkey", "cod_loc_uee": "c_nationkey", "cod_mun_loc": "n_regionkey", "nom_mun_mun": "r_name"}
+    return met.withColumnsRenamed(names).select(*names.values())
+
+
+@query("""
+SELECT o_custkey AS uc, max(o_orderpriority) AS modalidade_geracao FROM orders
+WHERE o_orderpriority <> '5-LOW' AND (o_orderstatus = 'F' OR o_orderstatus = 'P') AND o_totalprice / 10 <= 25000
+  AND o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment <> 'BUILDING') GROUP BY 1
+""")
+def registry_generation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as generators: priority as mode, status as situation, price as power."""
+    g = table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias("cod_un_cons_utg"),
+        F.col("o_orderpriority").alias("cod_modl_dis_utg"),
+        F.when(F.col("o_orderpriority") == "5-LOW", F.col("o_orderdate")).alias("dta_fim_vign_utg"),
+        F.when(F.col("o_orderstatus") == "F", "AT").when(F.col("o_orderstatus") != "P", "IN").alias("cod_situ_utg"),
+        (F.col("o_totalprice") / 10).alias("qtd_pot_ger_utg"),
+    )
+    return own_generation(g, table(spark, sf_dir, "customer").filter("c_mktsegment <> 'BUILDING'").select(F.col("c_custkey").alias("uc")))
+
+
+@query("""
+SELECT DISTINCT c_custkey AS "UC", CASE c_mktsegment WHEN 'BUILDING' THEN 'LG' ELSE 'CR' END AS "SITUACAO", 'P' || c_custkey % 9 AS "POSTO_OPERACIONAL",
+  s_acctbal AS "POT_INST_KVA", n_name AS "GEDIS_ALIMENTADOR", CASE WHEN n_nationkey % 4 <> 1 THEN lower(n_name) END AS "ALIMENTADOR",
+  CASE WHEN n_nationkey % 4 <> 1 THEN n_nationkey END AS "TENSAO_ALIMENTADOR", r_name AS "SUBESTACAO", left(r_name, 2) AS "SIGLA_SE", r_regionkey * 10 AS "TENSAO_SE",
+  r_regionkey AS "CAR_SE", CASE WHEN r_name <> 'ASIA' THEN r_name END AS "MUNICIPIO_SE", CASE WHEN r_name <> 'ASIA' THEN r_regionkey END AS "COD_MUN_SE"
+FROM customer JOIN supplier ON c_custkey % 9 = s_suppkey LEFT JOIN nation ON s_nationkey = n_nationkey
+LEFT JOIN region ON n_regionkey = r_regionkey AND n_nationkey % 4 <> 1 WHERE c_mktsegment IN ('BUILDING', 'MACHINERY') AND c_custkey % 9 <> 3
+""")
+def network_topology(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as units, suppliers as transformers and their lines, nations as feeders, regions as substations and towns."""
+    c, s, n, r = (table(spark, sf_dir, t) for t in ("customer", "supplier", "nation", "region"))
+    k, nk, rk = F.col("c_custkey"), F.col("n_nationkey"), F.col("r_regionkey")
+    state = F.when(F.col("c_mktsegment") == "BUILDING", "LG").when(F.col("c_mktsegment") == "MACHINERY", "CR").otherwise("XX")
+    post = F.concat(F.lit("P"), k % 9, F.when(k % 9 == 3, "PTMUN").otherwise(""))
+    t = {
+        "UC_ENERGIA": c.select(k.alias("ISN_UC"), state.alias("TIPO_SIT_UC"), post.alias("NUMERO_POSTO_UC")),
+        "POSTO_TRANSFORMADOR": s.select(F.concat(F.lit("P"), "s_suppkey").alias("NUM_OPER_POSTO"), F.col("s_acctbal").alias("POT_INST_POSTO"), F.col("s_suppkey").alias("NUM_GEO_TRECHO_PRIM_POSTO")),
+        "TRECHO_PRIMARIO": s.select(F.col("s_suppkey").alias("NUM_SEQ_GEO"), F.col("s_nationkey").alias("NUM_GEO_ALIM_TRPRIM")),
+        "ALIMENTADOR_GEO": n.select(nk.alias("NUM_SEQ_GEO"), F.col("n_name").alias("NUM_GEDIS_ALIMG"), nk.alias("NUM_ALIM_ALIMG")),
+        "ALIMENTADOR": n.filter(nk % 4 != 1).select(F.col("n_name").alias("NUM_GEDIS_ALIM"), nk.alias("NUM_SEQ_ALIM"), F.lower("n_name").alias("NOME_ALIM"), nk.alias("TENSAO_OPER_ALIM"), F.col("n_regionkey").alias("NUM_SEQ_SE_ALIM")),
+        "SUBESTACAO": r.select(rk.alias("NUM_SEQ_SE"), F.col("r_name").alias("NOME_SE"), F.substring("r_name", 1, 2).alias("SIGLA_SE"), (rk * 10).alias("TENSAO_NOM_SE"), rk.alias("CAR_SE"), rk.alias("COD_MUN_SE")),
+        "MUNICIPIO": r.filter("r_name <> 'ASIA'").select(rk.alias("COD_MUN"), F.col("r_name").alias("NOME_MUN")),
+    }
+    return topology(t)
+
+
+def file_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names and bytes of the given tables' files, from the file system alone; no SQL sees those."""
+    return inventory(spark, f"{sf_dir}/*.parquet").select("name", "size_bytes")
+
+
+QUERIES["file_inventory"] = file_inventory
+
+
+@query("SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer")
+def jdbc_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers into a database and back in ranges of the key.
+
+    ``spark.meterlake.jdbc.url`` names the database; without it an in-memory one is used, which only a local master can share.
+    """
+    url = spark.conf.get("spark.meterlake.jdbc.url", None) or "jdbc:derby:memory:roundtrip;create=true"
+    driver = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"} if ":derby:" in url else {}
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")
+    write_jdbc(c, url, "customer_copy", "overwrite", **driver)
+    ends = c.agg(F.min("c_custkey"), F.max("c_custkey")).first()
+    return read_jdbc(spark, url, "customer_copy", "c_custkey", ends[0], ends[1] + 1, 4, **driver)
+
+
+@query("""
+SELECT o_orderkey, CASE WHEN month(o_orderdate) = 2 THEN o_totalprice * 2 ELSE o_totalprice END AS o_totalprice, date_trunc('month', o_orderdate)::DATE AS report_day FROM orders
+WHERE date_trunc('month', o_orderdate) BETWEEN DATE '1996-01-01' AND DATE '1996-12-01' AND (month(o_orderdate) <> 2 OR o_orderstatus = 'F')
+""")
+def partition_overwrite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders by month; the Februaries are written anew, then one year's partitions are read."""
+    path = f"{job_dir(spark)}/orders-{uuid.uuid4().hex}"
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice", F.trunc("o_orderdate", "MM").alias("report_day"))
+    write_dated(o, path, order=("o_orderkey",))
+    again = o.filter((F.month("report_day") == 2) & (F.col("o_orderstatus") == "F")).withColumn("o_totalprice", F.col("o_totalprice") * 2)
+    write_dated(again, path)
+    return read_days(spark, path, "1996-01-01", "1996-12-01").select("o_orderkey", "o_totalprice", "report_day")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import time
+from collections.abc import Callable, Mapping
 from datetime import date
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -57,14 +59,47 @@ def daily_report(sources: Mapping[str, DataFrame], first: date | str, last: date
     return report(base, daily, wanted)
 
 
-def run_period(sources: Mapping[str, DataFrame], out: str, first: date | str, last: date | str, as_of: date | str, town: str | None = None) -> Run:
-    """Write the report of a period by day, the snapshot of its units, and the run's record."""
+def _attempt(run: Run, name: str, step: Callable[[], object]) -> bool:
+    """Did ``step`` succeed? Its error is noted otherwise."""
+    try:
+        step()
+    except Exception as e:
+        run.error(name, str(e)[:2000])
+        return False
+    return True
+
+
+def run_period(
+    sources: Mapping[str, DataFrame], out: str, first: date | str, last: date | str, as_of: date | str, town: str | None = None, go_on: bool = False
+) -> Run:
+    """Write the report of a period by day, the snapshot of its units, each day's outcome, and the run's record.
+
+    All days are one job. If that fails, its error is noted and raised or, with ``go_on``, each day is tried by itself,
+    so that one broken day costs no other. ``period_status`` under ``out`` gets the outcome of every day, with the run's duration.
+    """
     spark = next(iter(sources.values())).sparkSession
-    run = Run(spark)
-    found = daily_report(sources, first, last, as_of, town).withColumnRenamed("REPORT_DAY", "report_day")
-    run.write("report", found, f"{out}/report", "report_day", ("NIO",))
-    written = read_days(spark, f"{out}/report", first, last)  # one column of what is there, not the job again
-    save_snapshot(distinct_keys(written, "UC", name="ucs"), f"{out}/daily_keys", last)
+    run, began = Run(spark), time.monotonic()
+
+    def write(a: date | str, b: date | str) -> None:
+        found = daily_report(sources, a, b, as_of, town).withColumnRenamed("REPORT_DAY", "report_day")
+        run.write("report", found, f"{out}/report", "report_day", ("NIO",))
+
+    written: list[tuple[str, str]] = [(str(first), str(last))]
+    if not _attempt(run, "report", lambda: write(first, last)):
+        if not go_on:
+            run.save(f"{out}/runs")
+            raise RuntimeError(f"report of {first} to {last}: {run.steps[-1][5]}")
+        each = [str(r["day"]) for r in days(spark, day_literal(first), day_literal(last)).orderBy("day").collect()]  # a row a day
+        written = [(d, d) for d in each if _attempt(run, f"report {d}", lambda d=d: write(d, d))]
+    made = [read_days(spark, f"{out}/report", a, b) for a, b in written if any(s[5] is None for s in run.steps)]
+    present = made[0] if len(made) == 1 else reduce(DataFrame.unionByName, made) if made else None
+    if present is not None:
+        save_snapshot(distinct_keys(present, "UC", name="ucs"), f"{out}/daily_keys", last)
+    there = present.select(F.col("report_day").alias("day")) if present is not None else spark.createDataFrame([], "day date")
+    status = period_status(spark, there, first, last, as_of).withColumns(
+        {"run_id": F.lit(run.run_id), "duration_seconds": F.lit(round(time.monotonic() - began, 3))}
+    )
+    status.write.mode("append").parquet(f"{out}/period_status")
     run.save(f"{out}/runs")
     return run
 
@@ -78,8 +113,10 @@ def period_status(spark, present: DataFrame, first: date | str, last: date | str
 
 
 def period_summary(status: DataFrame) -> DataFrame:
+    """Days in all and by outcome; with the run's duration where ``status`` has it."""
+    took = [F.max("duration_seconds").alias("duration_seconds")] if "duration_seconds" in status.columns else []
     return status.agg(
-        F.count(F.lit(1)).alias("total_days"), *(F.count_if(F.col("status") == s).alias(f"{s}_days") for s in ("ok", "failed", "skipped"))
+        F.count(F.lit(1)).alias("total_days"), *(F.count_if(F.col("status") == s).alias(f"{s}_days") for s in ("ok", "failed", "skipped")), *took
     )
 
 

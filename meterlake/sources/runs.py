@@ -6,6 +6,7 @@ import uuid
 from dataclasses import dataclass, field
 from datetime import date, datetime, timezone
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,7 +51,7 @@ class Run:
 def key_snapshot(keys: DataFrame, day: date | str, created_at: str, column: str = "ucs") -> DataFrame:
     """A day's keys, each once, with their number on every row."""
     distinct = keys.select(F.col(keys.columns[0]).cast("string").alias(column)).filter(f"{column} IS NOT NULL").distinct()
-    total = distinct.agg(F.count(F.lit(1)).alias("count"))
+    total = distinct.agg(F.count(F.lit(1)).alias("count"))  # reads the exchange of ``distinct`` a second time, not its input
     return distinct.crossJoin(F.broadcast(total)).select(column, "count", day_literal(day).alias("date"), F.lit(created_at).alias("created_at"))
 
 
@@ -65,9 +66,22 @@ def load_snapshot(spark: SparkSession, path: str, day: date | str) -> DataFrame:
     return found
 
 
+def keep_version(df: DataFrame, target: str, day: str = "report_day", version: str | None = None) -> bool:
+    """Copy what ``target`` has of the days in ``df`` to ``target``-versions/version=...; False if there is no such table yet."""
+    spark = df.sparkSession
+    try:
+        old = spark.read.parquet(target)
+    except AnalysisException:
+        return False
+    kept = old.join(df.select(day).distinct(), day, "left_semi").withColumn("version", F.lit(version or _now().replace(":", "-")))
+    kept.write.mode("append").partitionBy("version", day).parquet(f"{target.rstrip('/')}-versions")
+    return True
+
+
 def publish(df: DataFrame, target: str, log: str, day: str = "report_day") -> int:
-    """Replace the days in ``df`` at ``target`` and note rows and bytes in ``log``; returns the rows."""
+    """Replace the days in ``df`` at ``target``, with a copy of what they were, and note rows and bytes in ``log``; returns the rows."""
     spark, counted = df.sparkSession, Observation()
+    keep_version(df, target, day)
     write_dated(df, target, day, counted=counted)
     rows = counted.get["rows"]
     size = inventory(spark, target).agg(F.sum("size_bytes")).first()[0] or 0

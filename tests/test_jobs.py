@@ -37,6 +37,46 @@ def test_run_period_is_repeatable(spark, tmp_path):
         U.load_snapshot(spark, f"{tmp_path}/daily_keys", "2024-01-05")
 
 
+def test_run_period_notes_outcomes_and_goes_on(spark, tmp_path, monkeypatch):
+    whole = P.daily_report
+
+    def broken(sources, first, last, *rest):
+        if str(first) != str(last) or str(first) == "2023-12-31":
+            raise ValueError("no database")
+        return whole(sources, first, last, *rest)
+
+    P.run_period(sources(spark), str(tmp_path / "a"), "2023-12-31", "2024-01-02", "2024-01-02", "riverton")
+    status = spark.read.parquet(str(tmp_path / "a/period_status"))
+    assert {str(r["day"]): r["status"] for r in status.collect()} == {"2023-12-31": "ok", "2024-01-01": "ok", "2024-01-02": "skipped"}
+    assert tuple(P.period_summary(status).first())[:4] == (3, 2, 0, 1) and P.period_summary(status).first()["duration_seconds"] > 0
+    monkeypatch.setattr(P, "daily_report", broken)
+    with pytest.raises(RuntimeError, match="no database"):
+        P.run_period(sources(spark), str(tmp_path / "b"), "2023-12-31", "2024-01-01", "2024-01-02", "riverton")
+    assert spark.read.parquet(str(tmp_path / "b/runs")).first()["error"] == "no database"
+    P.run_period(sources(spark), str(tmp_path / "c"), "2023-12-31", "2024-01-01", "2024-01-02", "riverton", go_on=True)
+    status = spark.read.parquet(str(tmp_path / "c/period_status"))
+    assert {str(r["day"]): r["status"] for r in status.collect()} == {"2023-12-31": "failed", "2024-01-01": "ok"}
+
+
+def test_shared_folder_is_needed_on_a_cluster(spark, monkeypatch):
+    from meterlake.sources import shared
+
+    made = shared.materialize(spark.range(3), "x")
+    assert made.count() == 3
+    shared.clear_job(spark)
+    assert not spark._jvm.java.io.File(shared.job_dir(spark)).exists()
+
+    class Conf:
+        def get(self, key, default=None):
+            return {"spark.master": "yarn", "spark.sql.warehouse.dir": "w"}.get(key, default)
+
+    class Session:
+        conf = Conf()
+
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        shared.shared_dir(Session())
+
+
 def test_sample_report_keeps_right_rows(spark):
     left = spark.createDataFrame([("0012", "a"), ("", "x")], "NIO string, NAME string")
     right = spark.createDataFrame([("12", "s"), ("99", "t"), (None, "u")], "NIO string, NAME string")
@@ -96,6 +136,9 @@ def test_publish_and_lookup(spark, tmp_path):
     df = spark.createDataFrame([(date(2024, 1, 2), 1)], "report_day date, x int")
     assert U.publish(df, str(tmp_path / "p"), str(tmp_path / "log")) == 1
     note = spark.read.parquet(str(tmp_path / "log")).first()
+    assert not U.keep_version(df, str(tmp_path / "absent"))
+    assert U.publish(df.withColumn("x", F.lit(7)), str(tmp_path / "p"), str(tmp_path / "log")) == 1
+    assert spark.read.parquet(str(tmp_path / "p")).first()["x"] == 7 and spark.read.parquet(str(tmp_path / "p-versions")).first()["x"] == 1
     assert note["row_count"] == 1 and note["file_size_bytes"] > 0
     found = U.days_back_lookup(spark, df.withColumnRenamed("report_day", "day"), "2024-01-04", 3)
     assert {r["days_back"]: r["found"] for r in found.collect()} == {1: False, 2: True, 3: False}

@@ -10,7 +10,7 @@ from meterlake.operators import readings as R
 from meterlake.operators import weather as W
 from meterlake.operators.latest import latest_by_end, latest_open_first
 from meterlake.operators.registry import registry, smart_flag
-from meterlake.operators.sampling import spread_sample
+from meterlake.operators.sampling import median_of, spread_sample
 from meterlake.operators.topology import join_colliding, join_prefixed, topology, with_pole_position
 from meterlake.schemas import CHANNELS, MEASURES, channel_schema
 
@@ -86,6 +86,7 @@ def test_topology(spark):
 def test_joins_keep_names_apart(spark):
     left = spark.createDataFrame([("1", "a"), ("2", "b")], "UC string, NAME string")
     right = spark.createDataFrame([("01", "x", 1)], "UC string, NAME string, POWER int")
+    assert join_prefixed(left, right.limit(0), "UC").count() == left.count()  # nothing to join with changes no rows
     assert join_prefixed(left, right, "UC").count() == 0 and join_prefixed(left, right.drop("UC"), "UC").columns == left.columns
     assert join_prefixed(left, right, "UC", how="left").columns == ["UC", "NAME", "GEO_NAME", "GEO_POWER"]
     met = join_colliding(left, right, "UC", "GEO_")
@@ -189,14 +190,31 @@ def test_sizes(spark):
     assert Q.size_outliers(files(spark, [1000] * 10 + [1_000_000])).count() == 1 and Q.size_outliers(files(spark, [7] * 5)).count() == 0
 
 
+def test_size_days_skip_files_without_a_day(spark):
+    dated = files(spark, [100, 300]).union(spark.createDataFrame([("nameless.csv", 1), ("other.csv", 900)], files(spark, [1]).schema))
+    s = Q.size_stats(Q.named_files(dated)).first()
+    assert (s["min_bytes"], s["max_bytes"], s["median_bytes"]) == (1, 900, 200.0) and (s["min_date"], s["max_date"]) == (day("2026-06-01"), day("2026-06-02"))
+    assert tuple(Q.size_stats(Q.named_files(dated.limit(0))).first())[:2] == (0, None)
+
+
+def test_median(spark):
+    import statistics
+
+    values = [5.0, 1.0, 1.0, 9.5, None, 2.0] * 7 + [3.0]
+    df = spark.createDataFrame([(v,) for v in values], "x double").repartition(5)
+    assert median_of(df, "x").first()[0] == statistics.median(v for v in values if v is not None)
+    assert median_of(df.filter("x > 100"), "x").first()[0] is None
+
+
 def test_coverage(spark):
     def got(days, first=None, last=None):
         df = spark.createDataFrame([(day(d),) for d in days], "day date")
-        return tuple(Q.coverage(spark, df, first and day_literal(first), last and day_literal(last)).first())
+        return tuple(Q.coverage(df, first and day_literal(first), last and day_literal(last)).first())
 
     assert got(["2026-06-01", "2026-06-03"]) == (3, 2, 66.7, False, "2026-06-02")
     assert got(["2026-06-01", "2026-06-05"])[0::4] == (5, "2026-06-02,2026-06-03,2026-06-04")
-    assert got([]) == (0, 0, 100.0, True, "")
+    assert got([]) == (0, 0, 0.0, True, "")
+    assert got([], "2026-06-01", "2026-06-09") == (0, 0, 0.0, True, "")
     assert got(["2026-06-02"], "2026-06-01", "2026-06-02") == (2, 1, 50.0, False, "2026-06-01")
 
 
@@ -228,7 +246,10 @@ def test_integrity(spark):
     snaps = spark.createDataFrame([(day("2026-06-29"),)], "day date")
     report = Q.integrity_report(good, snaps, "2026-07-01", 29)
     assert tuple(Q.summary(report).first()) == (4, 4, 0, True)
-    bad = Q.integrity_report(good.union(spark.createDataFrame([("x.csv", 9_000_000)], good.schema)), snaps, "2026-07-09")
+    bad = Q.integrity_report(good.union(spark.createDataFrame([("x.csv", 1), ("meter_cis_20260615.csv", 9_000_000)], good.schema)), snaps, "2026-07-09")
     assert {r["check"]: r["passed"] for r in bad.collect()} == {"file_naming": False, "period_coverage": False, "file_sizes": False, "ucs_file": False}
+    other = spark.createDataFrame([("meter_geo_20260701.csv", 9_000_000)], good.schema)
+    hidden = Q.integrity_report(good.union(other), snaps, "2026-07-02", 30)  # a file of another kind neither fills a day nor stands out
+    assert {r["check"]: r["passed"] for r in hidden.collect()} == {"file_naming": True, "period_coverage": False, "file_sizes": True, "ucs_file": True}
     none = Q.integrity_report(good.limit(0), snaps.limit(0), "2026-07-01")
     assert {r["check"]: r["passed"] for r in none.collect()} == {"file_naming": True, "period_coverage": True, "file_sizes": True, "ucs_file": False}
