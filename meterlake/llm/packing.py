@@ -4,17 +4,18 @@ Every partition packs the documents it reads, so nothing is shuffled and no key
 be hot. A document longer than a window first fills whole windows; its tail goes to
 the fill level h that makes the sum over levels of (number of windows at that
 level) squared smallest, looked up in a level array (ties: the fullest window).
-A window is written out as soon as it is full. What is still open when the
-partition ends is cut again: its pieces fill windows to the brim, and the last, part-filled
-one is written as windows of powers of two, which need no padding.
+At most ``OPEN`` windows are open at a time. A tail for which the rule wants one more goes
+into one of them, whole or, where none has room, cut: its beginning fills the window at the level
+that leaves the smallest sum, its end opens the next window. A window is written out as soon as it is full.
+Only the last ``OPEN`` windows of a partition are left to be cut again: their pieces fill windows to the
+brim, and the last, part-filled one is written as windows of powers of two, which need no padding.
 
 ``sequence_id`` holds the partition in its upper bits, so ids are unique over the
 job without coordination.
 
 Defined results: null text is read as empty; an empty text is its end id alone; a
 null id stays null; repeated rows are packed each; an empty table gives no rows;
-other columns are ignored. Open windows keep their ids in memory: at most one tail
-of each document of the partition.
+other columns are ignored. Memory holds ``OPEN`` windows and the document at hand.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ from meterlake.llm.shared import text_of
 from meterlake.sources.tables import table
 
 WINDOW, END_ID, TOKENIZER = 1024, 0, "byte_bpe_50k"
+#: Windows that a partition keeps open.
+OPEN = 8
 #: Texts read at a time.
 ROWS = 500
 #: Outside these characters the ``tokenizers`` library encodes; inside, ``tiktoken`` gives the same ids, three times as fast.
@@ -80,8 +83,8 @@ class Piece:
 class Levels:
     """Open windows by fill level, and the choice of a level for a new piece."""
 
-    def __init__(self, window: int) -> None:
-        self.window = window
+    def __init__(self, window: int, most: int = OPEN) -> None:
+        self.window, self.most = window, most
         self.count = np.zeros(window + 1, dtype=np.int64)
         self.open: dict[int, list[list[Piece]]] = defaultdict(list)
 
@@ -97,20 +100,39 @@ class Levels:
                 return best + 1
         return 0
 
+    def level_within(self, size: int) -> int:
+        """As ``level_for``, among open windows alone; a piece that a window has no room for leaves its rest in a new one."""
+        at = self.count[1 : self.window]
+        to = np.arange(1, self.window) + size
+        after = self.count[np.where(to <= self.window, to, to - self.window)]
+        change = 2 * (after - at) + 2 - (to == self.window)
+        change = np.where(at > 0, change, np.iinfo(np.int64).max)
+        return len(change) - int(np.argmin(change[::-1]))
+
     def place(self, piece: Piece) -> list[Piece] | None:
         """Put a piece of under one window; a window that it fills is returned."""
         level = self.level_for(len(piece.ids))
+        if not level and self.count.sum() >= self.most:
+            level = self.level_within(len(piece.ids))
         pieces = []
         if level:
             pieces = self.open[level].pop()
             self.count[level] -= 1
+        room, rest = self.window - level, None
+        if len(piece.ids) > room:
+            piece, rest = piece.cut(room)
         pieces.append(piece)
         level += len(piece.ids)
+        if rest is not None:
+            self._keep([rest], len(rest.ids))
         if level == self.window:
             return pieces
+        self._keep(pieces, level)
+        return None
+
+    def _keep(self, pieces: list[Piece], level: int) -> None:
         self.open[level].append(pieces)
         self.count[level] += 1
-        return None
 
     def rest(self) -> Iterator[list[Piece]]:
         """What is open, cut anew: full windows, then powers of two."""

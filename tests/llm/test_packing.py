@@ -35,6 +35,35 @@ def test_level_choice_is_the_least_sum_of_squares():
         levels.place(Piece(0, 0, np.zeros(size, dtype=np.uint32), size))
 
 
+def test_choice_among_open_windows_is_the_least_sum_of_squares():
+    rng = random.Random(8)
+    levels = Levels(24, most=5)
+    for _ in range(400):
+        size = rng.randint(1, 23)
+        if levels.count.sum() == 5:
+            sums = {}
+            for h in np.flatnonzero(levels.count).tolist():
+                c = levels.count.copy()
+                c[h] -= 1
+                c[h + size if h + size <= 24 else h + size - 24] += 1
+                sums[h] = sum(int(n) ** 2 for n in c[1:24])
+            assert levels.level_within(size) == max(h for h, s in sums.items() if s == min(sums.values()))
+        levels.place(Piece(0, 0, np.zeros(size, dtype=np.uint32), size))
+        assert levels.count.sum() <= 5
+
+
+def test_few_ids_are_left_to_the_end_of_a_partition(spark, monkeypatch):
+    """Of 300 documents' tails, under a tenth is placed by the last cut, and nothing but a power of two is padded."""
+    encode = encoder()
+    texts = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").limit(300).collect()]
+    ids = [np.append(encode(t or ""), np.uint32(0)) for t in texts]
+    left, rest = [], Levels.rest
+    monkeypatch.setattr(Levels, "rest", lambda self: (left.append(sum(len(p.ids) for x in self.open.values() for ps in x for p in ps)), rest(self))[1])
+    sizes = [sum(len(p.ids) for p in pieces) for pieces in windows_of(enumerate(ids), 1024)]
+    assert all(s == 1024 or s & (s - 1) == 0 for s in sizes) and sum(sizes) == sum(map(len, ids))
+    assert left[0] < 0.1 * sum(len(x) % 1024 for x in ids)
+
+
 def test_windows_hold_every_id_once_without_padding():
     rng = random.Random(4)
     docs = [(i, np.arange(rng.choice([1, 3, 40, 64, 65, 200])).astype(np.uint32) + i) for i in range(150)]
