@@ -1,8 +1,8 @@
 """Bloom filters of bounded size, made block by block on the executors.
 
-A key is a 64-bit hash; its lowest bits choose a block, and all its probes fall into
-that block, so a block is filled by one task from its own keys. A key may be
-entered at several levels, each with probes of its own.
+A key is a 64-bit hash; its upper bits choose a block, and all its probes fall into that block, so a
+block is filled by itself from its own keys. A key may be entered at several levels, each
+with probes of its own.
 """
 
 from __future__ import annotations
@@ -23,49 +23,71 @@ _STEP = 0xA0761D6478BD642F
 
 
 def bits_for(keys: int, most: int, each: int = 12) -> int:
-    """A power of two with ``each`` bits a key or more, but at most ``most`` bits."""
-    return min(most, max(BLOCK, 1 << max(0, each * keys - 1).bit_length()))
+    """Whole blocks of ``each`` bits a key or more, but at most ``most`` bits (a multiple of ``BLOCK``)."""
+    return min(most, max(1, -(-each * keys // BLOCK)) * BLOCK)
 
 
-def _probe(keys: np.ndarray, level: int, k: int) -> np.ndarray:
-    salt = np.uint64((1 + level * PROBES + k) * _STEP % (1 << 64))
-    return (mixed(keys + salt) >> np.uint64(24)) & np.uint64(BLOCK - 1)
+def _places(keys: np.ndarray, level: int | np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place of the first probe of each key at its level, and the step to the next one."""
+    salt = (np.atleast_1d(level).astype(np.uint64) + np.uint64(1)) * np.uint64(_STEP)
+    h = mixed(mixed(keys + salt))
+    return (h >> np.uint64(40)).astype(np.uint32), (h >> np.uint64(16)).astype(np.uint32) | np.uint32(1)
 
 
-def build(keys: DataFrame, bits: int) -> np.ndarray:
+def build(keys: DataFrame, bits: int, probes: int = PROBES) -> np.ndarray:
     """The filter of all rows of ``key`` (bigint), ``lo`` and ``hi`` (levels, inclusive): ``bits`` / 8 bytes, whatever the number of keys."""
-    block = F.col("key").bitwiseAND(F.lit(bits // BLOCK - 1)).cast("bigint")
-    dealt = keys.filter("key IS NOT NULL AND lo <= hi").select(block.alias("block"), "key", "lo", "hi").repartition("block")
+    block = F.shiftrightunsigned("key", 8) % F.lit(bits // BLOCK)
+    dealt = keys.filter("key IS NOT NULL AND lo <= hi").select(block.cast("bigint").alias("block"), "key", "lo", "hi")
+    dealt = dealt.repartition("block").sortWithinPartitions("block")
+
+    def filled(n: int, held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        key, lo, hi = (np.concatenate(x) for x in zip(*held))
+        levels = (hi - lo + 1).astype(np.int64)
+        begin = np.cumsum(levels) - levels
+        level = np.repeat(lo, levels) + np.arange(levels.sum()) - np.repeat(begin, levels)
+        at, step = _places(np.repeat(key, levels), level)
+        flags = np.zeros(BLOCK, dtype=bool)
+        for _ in range(probes):
+            flags[at & np.uint32(BLOCK - 1)] = True
+            at += step
+        return pa.RecordBatch.from_arrays([pa.array([n]), pa.array([np.packbits(flags, bitorder="little").tobytes()], pa.binary())], ["block", "bits"])
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks: dict[int, np.ndarray] = {}
+        now, held = -1, []
         for b in batches:
-            block, key = b.column("block").to_numpy(), b.column("key").to_numpy().view(np.uint64)
-            lo, hi = b.column("lo").to_numpy(), b.column("hi").to_numpy()
-            for n in np.unique(block).tolist():
-                flags = blocks.setdefault(n, np.zeros(BLOCK // 8, dtype=np.uint8))
-                mine = block == n
-                key_n, lo_n, hi_n = key[mine], lo[mine], hi[mine]
-                for level in range(int(lo_n.min()), int(hi_n.max()) + 1):
-                    at_level = key_n[(lo_n <= level) & (level <= hi_n)]
-                    for k in range(PROBES):
-                        at = _probe(at_level, level, k)
-                        np.bitwise_or.at(flags, at >> np.uint64(3), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
-        for n, flags in blocks.items():
-            yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([flags.tobytes()], pa.binary())], ["block", "bits"])
-
-    found = dealt.mapInArrow(fill, "block bigint, bits binary").toArrow().to_pydict()
+            block = b.column("block").to_numpy()
+            cols = b.column("key").to_numpy().view(np.uint64), b.column("lo").to_numpy(), b.column("hi").to_numpy()
+            cuts = np.flatnonzero(np.diff(block)) + 1
+            for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(block)]):
+                if lo == hi:
+                    continue
+                if block[lo] != now and held:
+                    yield filled(now, held)
+                    held = []
+                now = int(block[lo])
+                held.append(tuple(c[lo:hi] for c in cols))
+        if held:
+            yield filled(now, held)
+
+    found = dealt.mapInArrow(fill, "block bigint, bits binary").toArrow()
     out = np.zeros(bits // 8, dtype=np.uint8)
-    for n, packed in zip(found["block"], found["bits"]):
-        out[n * BLOCK // 8 : (n + 1) * BLOCK // 8] = np.frombuffer(packed, dtype=np.uint8)
+    for n, packed in zip(found.column("block").to_pylist(), found.column("bits")):
+        out[n * BLOCK // 8 : (n + 1) * BLOCK // 8] = np.frombuffer(packed.as_buffer(), dtype=np.uint8)
     return out
 
 
-def contains(bitmap: np.ndarray, keys: np.ndarray, level: int = 0) -> np.ndarray:
+def contains(bitmap: np.ndarray, keys: np.ndarray, level: int = 0, probes: int = PROBES) -> np.ndarray:
     """For each key (uint64): was it entered at ``level``? Wrong only as true."""
-    base = (keys & np.uint64(len(bitmap) * 8 // BLOCK - 1)) * np.uint64(BLOCK // 8)
-    found = np.ones(len(keys), dtype=bool)
-    for k in range(PROBES):
-        at = _probe(keys, level, k)
-        found &= (bitmap[base + (at >> np.uint64(3))] >> (at & np.uint64(7)).astype(np.uint8) & np.uint8(1)).astype(bool)
+    base = ((keys >> np.uint64(8)) % np.uint64(len(bitmap) * 8 // BLOCK)) * np.uint64(BLOCK // 8)
+    at, step = _places(keys, level)
+    alive = np.arange(len(keys))
+    for k in range(probes):
+        place = at & np.uint32(BLOCK - 1)
+        hit = (bitmap[base + (place >> np.uint32(3))] >> (place & np.uint32(7)).astype(np.uint8) & np.uint8(1)).astype(bool)
+        if k == probes - 1:
+            alive = alive[hit]
+            break
+        base, at, step, alive = base[hit], at[hit] + step[hit], step[hit], alive[hit]
+    found = np.zeros(len(keys), dtype=bool)
+    found[alive] = True
     return found
