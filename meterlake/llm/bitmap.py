@@ -27,15 +27,18 @@ def bits_for(keys: int, most: int, each: int = 12) -> int:
     return min(most, max(1, -(-each * keys // BLOCK)) * BLOCK)
 
 
-def _places(keys: np.ndarray, level: int | np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Place of the first probe of each key at its level, and the step to the next one."""
+def _places(keys: np.ndarray, level: int | np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Place of the first probe of each key at its level, the step to the next one, and by how much each step is longer than the one before."""
     salt = (np.atleast_1d(level).astype(np.uint64) + np.uint64(1)) * np.uint64(_STEP)
     h = mixed(mixed(keys + salt))
-    return (h >> np.uint64(40)).astype(np.uint32), (h >> np.uint64(16)).astype(np.uint32) | np.uint32(1)
+    return tuple((h >> np.uint64(n)).astype(np.uint32) | np.uint32(n == 7) for n in (45, 26, 7))
 
 
-def build(keys: DataFrame, bits: int, probes: int = PROBES) -> np.ndarray:
-    """The filter of all rows of ``key`` (bigint), ``lo`` and ``hi`` (levels, inclusive): ``bits`` / 8 bytes, whatever the number of keys."""
+def build(keys: DataFrame, bits: int, probes: int = PROBES, higher: int | None = None) -> np.ndarray:
+    """The filter of all rows of ``key`` (bigint), ``lo`` and ``hi`` (levels, inclusive): ``bits`` / 8 bytes, whatever the number of keys.
+
+    ``higher``: probes at levels above ``lo``, where fewer may do.
+    """
     block = F.shiftrightunsigned("key", 8) % F.lit(bits // BLOCK)
     dealt = keys.filter("key IS NOT NULL AND lo <= hi").select(block.cast("bigint").alias("block"), "key", "lo", "hi")
     dealt = dealt.repartition("block").sortWithinPartitions("block")
@@ -45,11 +48,16 @@ def build(keys: DataFrame, bits: int, probes: int = PROBES) -> np.ndarray:
         levels = (hi - lo + 1).astype(np.int64)
         begin = np.cumsum(levels) - levels
         level = np.repeat(lo, levels) + np.arange(levels.sum()) - np.repeat(begin, levels)
-        at, step = _places(np.repeat(key, levels), level)
+        at, step, more = _places(np.repeat(key, levels), level)
         flags = np.zeros(BLOCK, dtype=bool)
-        for _ in range(probes):
+        for k in range(probes):
+            if k == higher:
+                lowest = np.zeros(len(at), dtype=bool)
+                lowest[begin] = True
+                at, step, more = at[lowest], step[lowest], more[lowest]
             flags[at & np.uint32(BLOCK - 1)] = True
             at += step
+            step += more
         return pa.RecordBatch.from_arrays([pa.array([n]), pa.array([np.packbits(flags, bitorder="little").tobytes()], pa.binary())], ["block", "bits"])
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,7 +87,7 @@ def build(keys: DataFrame, bits: int, probes: int = PROBES) -> np.ndarray:
 def contains(bitmap: np.ndarray, keys: np.ndarray, level: int = 0, probes: int = PROBES) -> np.ndarray:
     """For each key (uint64): was it entered at ``level``? Wrong only as true."""
     base = ((keys >> np.uint64(8)) % np.uint64(len(bitmap) * 8 // BLOCK)) * np.uint64(BLOCK // 8)
-    at, step = _places(keys, level)
+    at, step, more = _places(keys, level)
     alive = np.arange(len(keys))
     for k in range(probes):
         place = at & np.uint32(BLOCK - 1)
@@ -87,7 +95,9 @@ def contains(bitmap: np.ndarray, keys: np.ndarray, level: int = 0, probes: int =
         if k == probes - 1:
             alive = alive[hit]
             break
-        base, at, step, alive = base[hit], at[hit] + step[hit], step[hit], alive[hit]
+        base, alive, step, more = base[hit], alive[hit], step[hit], more[hit]
+        at = at[hit] + step
+        step += more
     found = np.zeros(len(keys), dtype=bool)
     found[alive] = True
     return found
