@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 
@@ -34,6 +35,51 @@ def test_tiles_equal_plain_tiling():
         assert got == brute_tiles(a.split(), b.split(), 3)
 
 
+def test_tiling_is_linear_where_words_repeat():
+    import time
+    import tracemalloc
+
+    hashes = Hashes()
+    doc, item = hashes.of("same " * 200_000 + "other words here"), hashes.of("same " * 2_000 + "here")
+    tracemalloc.start()
+    began = time.perf_counter()
+    got = tiles(doc, item)
+    assert got == [(0, 0, 2000)] and time.perf_counter() - began < 10 and tracemalloc.get_traced_memory()[1] < 100e6
+    tracemalloc.stop()
+
+
+def brute_leaks(docs, items, least=3, coverage=0.8):
+    out = {}
+    for d, text in docs:
+        for i, item in items:
+            a, b = (re.findall(r"\w+", (t or "").lower()) for t in (text, item))
+            n = sum(x[2] for x in brute_tiles(a, b, least)) if len(b) >= least else 0
+            if n and n >= coverage * len(b) - 1e-9:
+                out[d, i] = max(out.get((d, i), 0), n)
+    return out
+
+
+def test_leaks_equal_tiling_all_pairs(spark):
+    """Reordered, shortened and diluted passages against every pair, with repeated words, short items, text ids and null ids."""
+    rng = random.Random(12)
+    few = ["a", "b", "c"]
+    items = [(f"i{k}", words(rng, rng.choice([2, 3, 4, 5, 9, 12, 15]))) for k in range(25)]
+    items += [("r", "x x x x x x y"), ("s", " ".join(rng.choice(few) for _ in range(12))), (None, "one two three four five six"), ("z", None), ("a1", "a1 a2 a3 a4 b1 b2 b3 b4 c1 c2 c3 c4")]
+    docs = [(0, "c1 c2 c3 c4 z b1 b2 b3 b4 z a1 a2 a3 a4"), (1, "ONE two, three; four five"), (2, "x x x x q x x y"), (3, None), (4, " ".join(rng.choice(few) for _ in range(40)))]
+    for k in range(60):
+        w = (rng.choice(items)[1] or "").split()
+        size = rng.choice([3, 3, 4, 5, 8])
+        pieces = [w[i : i + size] for i in range(0, len(w), size)]
+        rng.shuffle(pieces)
+        if len(pieces) > 2 and rng.random() < 0.4:
+            pieces.pop()
+        docs.append((10 + k, " ".join(" ".join(p) + rng.choice(["", " zz", " " + words(rng, 4)]) for p in pieces)))
+    table = spark.createDataFrame(docs, "doc_id int, text string").repartition(3)
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    got = {(r["doc_id"], r["item_id"]): r["matched_words"] for r in contamination(table, bench).collect()}
+    assert got == brute_leaks(docs, items) and (0, "a1") in got and (1, None) in got and len(got) > 20
+
+
 def row(i, text):
     return (i, text, None, None, None, *("z" for _ in CLASHES))
 
