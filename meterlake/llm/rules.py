@@ -1,10 +1,11 @@
 """Quality rules as a short-circuit cascade, with DataFrame functions only.
 
-A rule is a Boolean expression over statistics of one text. The cascade runs each
-rule on a sample, measures its time and the share of rows it rejects, and orders
-the rules by rejections per second. They become one nested CASE expression, which
-Spark evaluates left to right and leaves at the first rejecting rule. Order changes
-cost, never the verdict.
+A rule is a Boolean expression over one text, with its work: an expression for the steps that it takes there (characters
+and elements visited). One aggregation over a sample tells, for each set of rules that reject a row together, how many rows
+there are and what work they cost; from that the cascade takes rule after rule, each time the one with the most
+rejections per step among the rows that no earlier rule has rejected. The rules become one nested CASE expression, which
+Spark evaluates left to right and leaves at the first rejecting rule, so a later rule's figures are never computed for
+rejected rows. Order changes cost, never the verdict. Work is counted, not timed: the same sample gives the same order every time.
 
 Statistics (words are runs of characters outside ASCII white space):
 ``n_words``; ``word_chars``, code points in words; ``n_symbols``, characters of
@@ -20,8 +21,7 @@ can be hot.
 
 from __future__ import annotations
 
-import time
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,6 +32,7 @@ from meterlake.sources.tables import table
 
 #: Rows that the cost and selectivity of rules are estimated on, about.
 SAMPLE_ROWS = 2000
+STATISTICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
 def words_of(text: Column) -> Column:
@@ -80,8 +81,8 @@ def repeated_words(words: Column) -> Column:
     return F.when(F.size(words) < 3, F.lit(0)).otherwise(let(words, lambda w: let(windows(w), covered))).cast("long")
 
 
-def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document with the five statistics and the share of capitals among its letters."""
+def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
+    """One row per document with the five statistics, and with ``text`` where asked for."""
     rows = docs.select(docs[id_col].alias("id"), text_of(docs[text_col]).alias("text"))
     words = rows.select("id", "text", words_of(F.col("text")).alias("words"))
     return words.select(
@@ -91,40 +92,42 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         symbol_count(F.col("text")).alias("n_symbols"),
         duplicate_lines(F.col("text")).alias("n_dup_lines"),
         repeated_words(F.col("words")).alias("n_repeat_words"),
-        F.regexp_count(F.col("text"), F.lit("\n")).cast("long").alias("n_breaks"),
-        F.regexp_count(F.col("text"), F.lit("[A-Z]")).cast("long").alias("n_capitals"),
+        *(["text"] if keep_text else []),
     )
 
 
 @dataclass(frozen=True)
 class Rule:
-    """``rejects`` is true on rows to drop (null counts as not); ``seconds`` and ``rejected`` are the sample's figures."""
+    """``rejects`` is true on rows to drop (null counts as not), ``work`` the steps it takes on a row.
+
+    Of the sample: ``reached``, rows that no earlier rule rejects; ``rejected``, those of them that this one does; ``steps``, its work on them.
+    """
 
     name: str
     rejects: Column
-    seconds: float = 0.0
-    rejected: float = 0.0
-
-    @property
-    def worth(self) -> float:
-        return self.rejected / max(self.seconds, 1e-6)
+    work: Column
+    reached: int = 0
+    rejected: int = 0
+    steps: float = 0.0
 
 
 def estimate(sample: DataFrame, rules: Sequence[Rule]) -> list[Rule]:
-    """The rules with figures of ``sample``, best rejection per second first; equal ones keep their order."""
-    sample = sample.persist()
-    try:
-        total = sample.count()
-        if not total:
-            return list(rules)
-        seen = []
-        for r in rules:
-            began = time.perf_counter()
-            rejected = sample.filter(F.coalesce(r.rejects, F.lit(False))).count()
-            seen.append(replace(r, seconds=time.perf_counter() - began, rejected=rejected / total))
-    finally:
-        sample.unpersist()
-    return sorted(seen, key=lambda r: -r.worth)
+    """The rules in order of rejections per step among rows that reach them; equal ones, and all without a sample, keep their order."""
+    hit = [F.coalesce(r.rejects, F.lit(False)).cast("long") * (1 << i) for i, r in enumerate(rules)]
+    rows = sample.select(sum(hit, F.lit(0)).alias("hits"), *(r.work.cast("double").alias(f"w{i}") for i, r in enumerate(rules)))
+    # a row for each set of rules that reject together: 2 ** rules at most
+    seen = rows.groupBy("hits").agg(F.count(F.lit(1)).alias("n"), *(F.sum(f"w{i}").alias(f"w{i}") for i in range(len(rules)))).collect()
+    left, order = list(enumerate(rules)), []
+    while left:
+        figures = {}
+        for i, _ in left:
+            rejected = sum(g["n"] for g in seen if g["hits"] >> i & 1)
+            figures[i] = (sum(g["n"] for g in seen), rejected, sum(g[f"w{i}"] or 0.0 for g in seen))
+        best, rule = max(left, key=lambda x: figures[x[0]][1] / max(figures[x[0]][2], 1.0))
+        order.append(replace(rule, reached=figures[best][0], rejected=figures[best][1], steps=figures[best][2]))
+        left = [x for x in left if x[0] != best]
+        seen = [g for g in seen if not g["hits"] >> best & 1]
+    return order
 
 
 def verdict(rules: Sequence[Rule]) -> Column:
@@ -140,34 +143,40 @@ def sample_of(df: DataFrame, rows: int, about: int, seed: int = 7) -> DataFrame:
     return df.sample(fraction=min(1.0, rows / max(1, about)), seed=seed)
 
 
-def text_rules(text: Column) -> list[Rule]:
-    """The production rules, over the text alone. The first two are the base rules."""
+def figures_of(text: Column) -> dict[str, Column]:
+    """What the rules look at, as expressions over a text."""
     words = words_of(text)
-    n = F.size(words)
-    let = lambda value, body: F.get(F.transform(F.array(value), body), F.lit(0))
-    return [
-        Rule("few_words", n < 50),
-        Rule("repeats", let(words, lambda w: 100 * repeated_words(w) > 50 * F.size(w))),
-        Rule("symbols", 10 * symbol_count(text) > n),
-        Rule("word_length", let(words, lambda w: (10 * word_chars(w) < 20 * F.size(w)) | (10 * word_chars(w) > 150 * F.size(w)))),
-        Rule("capitals", 100 * F.regexp_count(text, F.lit("[A-Z]")) > 40 * F.length(text)),
-        Rule("repeated_lines", let(duplicate_lines(text), lambda d: (d > 2) & (10 * d > 3 * (1 + F.regexp_count(text, F.lit("\n")))))),
-    ]
+    return {
+        "n_words": word_count(words),
+        "word_chars": word_chars(words),
+        "n_symbols": symbol_count(text),
+        "n_dup_lines": duplicate_lines(text),
+        "n_repeat_words": repeated_words(words),
+        "n_breaks": F.regexp_count(text, F.lit("\n")).cast("long"),
+        "n_capitals": F.regexp_count(text, F.lit("[A-Z]")).cast("long"),
+    }
+
 
+def rules_over(f: Mapping[str, Column], text: Column) -> list[Rule]:
+    """The production rules over figures, which may be columns at hand or expressions over the text. The first two are the base rules.
 
-def figure_rules() -> list[Rule]:
-    """The same rules over columns of ``statistics``, where those are at hand."""
-    n = F.col("n_words")
+    Work: a figure from the text visits each character once; words seen three at a time are also sorted.
+    """
+    n, chars = f["n_words"], F.length(text)
     return [
-        Rule("few_words", n < 50),
-        Rule("repeats", 100 * F.col("n_repeat_words") > 50 * n),
-        Rule("symbols", 10 * F.col("n_symbols") > n),
-        Rule("word_length", (10 * F.col("word_chars") < 20 * n) | (10 * F.col("word_chars") > 150 * n)),
-        Rule("capitals", 100 * F.col("n_capitals") > 40 * (F.col("word_chars") + n)),
-        Rule("repeated_lines", (F.col("n_dup_lines") > 2) & (10 * F.col("n_dup_lines") > 3 * (1 + F.col("n_breaks")))),
+        Rule("few_words", n < 50, chars),
+        Rule("repeats", 100 * f["n_repeat_words"] > 50 * n, chars + chars / 6 * F.log2(chars + 2)),
+        Rule("symbols", 10 * f["n_symbols"] > n, 2 * chars),
+        Rule("word_length", (10 * f["word_chars"] < 20 * n) | (10 * f["word_chars"] > 150 * n), 2 * chars),
+        Rule("capitals", 100 * f["n_capitals"] > 40 * (f["word_chars"] + n), 3 * chars),
+        Rule("repeated_lines", (f["n_dup_lines"] > 2) & (10 * f["n_dup_lines"] > 3 * (1 + f["n_breaks"])), 2 * chars),
     ]
 
 
+def text_rules(text: Column) -> list[Rule]:
+    return rules_over(figures_of(text), text)
+
+
 def cascade(docs: DataFrame, rules: Sequence[Rule] | None = None, text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """``docs`` with a Boolean column ``kept``, by rules over the text in the order that the sample suggests."""
     rules = text_rules(text_of(docs[text_col])) if rules is None else rules
@@ -177,23 +186,24 @@ def cascade(docs: DataFrame, rules: Sequence[Rule] | None = None, text_col: str
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics of every document, the base verdict and the cascade's.
 
-    All statistics are asked for, so they are computed once and the cascade tries
-    its rules on them; the order comes from the rules over texts on the sample.
+    The five statistics are asked for in every row; the cascade takes them as they are, and counts capitals and
+    line breaks only in rows that get as far as the rules that look at them.
     """
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    sampled = sample_of(docs, SAMPLE_ROWS, docs.count()).select(text_of("text").alias("text"))
-    order = [r.name for r in estimate(sampled, text_rules(F.col("text")))]
-    rules = sorted(figure_rules(), key=lambda r: order.index(r.name))
-    base = [r.rejects for r in figure_rules()[:2]]
-    return statistics(docs).select(
+    docs = table(spark, sf_dir, "documents").select("doc_id", text_of("text").alias("text"))
+    text = F.col("text")
+    order = [r.name for r in estimate(sample_of(docs, SAMPLE_ROWS, docs.count()), text_rules(text))]
+    found = statistics(docs, keep_text=True)
+    rules = rules_over(figures_of(text) | {c: F.col(c) for c in STATISTICS}, text)
+    base = rules[0].rejects | rules[1].rejects
+    return found.select(
         "doc_id",
         "n_words",
         "word_chars",
         "n_symbols",
         "n_dup_lines",
         "n_repeat_words",
-        (base[0] | base[1]).alias("base_failed"),
-        (~(base[0] | base[1]) & verdict(rules)).alias("kept"),
+        base.alias("base_failed"),
+        (~base & verdict(sorted(rules, key=lambda r: order.index(r.name)))).alias("kept"),
     )
 
 

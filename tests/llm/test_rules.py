@@ -1,6 +1,7 @@
 import re
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from meterlake.llm import rules as R
@@ -33,19 +34,45 @@ def test_order_changes_no_verdict(spark, docs):
 
 def test_estimates_put_cheap_strong_rules_first(spark):
     df = spark.range(4000).withColumn("text", F.repeat(F.lit("word "), 200))
-    slow = R.Rule("slow", R.repeated_words(R.words_of(F.col("text"))) < 0)
-    quick = R.Rule("quick", F.col("id") % 2 == 0)
+    slow = R.Rule("slow", F.col("id") % 4 == 1, F.lit(100))
+    quick = R.Rule("quick", F.col("id") % 2 == 0, F.lit(1))
     got = R.estimate(df, [slow, quick])
-    assert [r.name for r in got] == ["quick", "slow"] and got[0].rejected == 0.5
+    assert [(r.name, r.reached, r.rejected, r.steps) for r in got] == [("quick", 4000, 2000, 4000.0), ("slow", 2000, 1000, 200_000.0)]
     assert R.estimate(df.limit(0), [slow, quick])[0].name == "slow"
 
 
-def test_text_rules_equal_rules_on_figures(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    a = docs.select("doc_id", R.verdict(R.text_rules(F.col("text"))).alias("k"))
-    b = R.statistics(docs).select("doc_id", R.verdict(R.figure_rules()).alias("k"))
-    differ = a.exceptAll(b).count()
-    assert differ <= 2  # one rule measures text length with its blanks, the other without
+def test_a_rule_counts_for_what_earlier_ones_leave(spark):
+    df = spark.range(1000)
+    wide = R.Rule("wide", F.col("id") < 600, F.lit(10))
+    inside = R.Rule("inside", F.col("id") < 590, F.lit(12))  # second best alone, of no use after the first
+    other = R.Rule("other", F.col("id") >= 900, F.lit(10))
+    assert [r.name for r in R.estimate(df, [inside, other, wide])] == ["wide", "other", "inside"]
+
+
+def test_repeated_estimates_give_one_order(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").withColumn("text", R.text_of("text"))
+    rules = R.text_rules(F.col("text"))
+    orders = {tuple(r.name for r in R.estimate(docs, rules)) for _ in range(3)}
+    assert len(orders) == 1 and set(orders.pop()) == {r.name for r in rules}
+
+
+def test_later_rules_see_only_what_earlier_ones_leave(spark):
+    """The second rule fails the job wherever it is evaluated on a row that the first rejects."""
+    df = spark.range(1000).withColumn("text", F.repeat(F.lit("word "), 100))
+    first = R.Rule("first", F.col("id") % 3 == 0, F.lit(1))
+    trap = R.Rule("trap", F.when(F.col("id") % 3 == 0, F.raise_error(F.lit("evaluated")).cast("boolean")).otherwise(F.col("id") == 1), F.lit(1))
+    assert df.withColumn("kept", R.verdict([first, trap])).filter("kept").count() == 1000 - 334 - 1
+    with pytest.raises(Exception, match="evaluated"):
+        df.withColumn("kept", R.verdict([trap, first])).filter("kept").count()
+
+
+def test_rules_over_texts_equal_rules_over_figures(spark, docs):
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").union(docs.select("doc_id", "text")).withColumn("text", R.text_of("text"))
+    table = table.union(spark.createDataFrame([(-9, "AB   " * 60)], "doc_id bigint, text string"))
+    a = table.select("doc_id", R.verdict(R.text_rules(F.col("text"))).alias("k"))
+    found = R.statistics(table, keep_text=True)
+    b = found.select("doc_id", R.verdict(R.rules_over(R.figures_of(F.col("text")) | {c: F.col(c) for c in R.STATISTICS}, F.col("text"))).alias("k"))
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
 
 
 def test_main_path_has_no_python(spark):
