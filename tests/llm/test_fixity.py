@@ -1,4 +1,6 @@
 import hashlib
+import random
+from collections import Counter
 
 from meterlake.llm import fixity as X
 
@@ -39,6 +41,39 @@ def test_audit_finds_exactly_what_differs(spark):
     assert X.audit(index, none).count() == 2300 and X.audit(none, none).count() == 0
 
 
+def test_losses_and_additions_before_indexing_equal_plain_counts(spark):
+    rng = random.Random(21)
+    rows = [(i, f"http://h/{i}", "<p>" + "x" * rng.randint(0, 900)) for i in range(2300)]
+    rows += [(None, f"n{i}", "y") for i in range(40)] + [(44, "http://h/44", "again")] * 3 + [(None, "same", "z")] * 30
+    other = []
+    for i, u, h in rows:
+        fate = rng.random()
+        if fate < 0.01:
+            continue
+        other.append((i, u, h[:-1] + "!" if 0.01 <= fate < 0.02 else h[: len(h) // 2] if fate < 0.03 else h))
+        if fate > 0.99:
+            other.append((rng.choice([5000, None, i]), u, h))
+    got = X.audit(X.index_of(pages(spark, rows)), X.index_of(pages(spark, other))).collect()
+    digest = lambda r: (r[0], r[1], r[2])
+    a, b = Counter(map(digest, rows)), Counter(map(digest, other))
+    lost, new = a - b, b - a
+    want = Counter()
+    for i in {x[0] for x in [*lost, *new]}:
+        x, y = [n for k, n in lost.items() if k[0] == i], [n for k, n in new.items() if k[0] == i]
+        both = 0 if i is None else min(len(x), len(y))
+        want[str(i), "corrupt"] += both
+        want[str(i), "missing"] += len(x) - both
+        want[str(i), "extra"] += len(y) - both
+    assert Counter((str(r["page_id"]), r["status"]) for r in got) == +want
+    assert sum(r["copies"] for r in got if r["page_id"] is None and r["status"] == "missing") == sum(n for k, n in lost.items() if k[0] is None)
+
+
+def test_one_lost_record_is_one_row(spark):
+    rows = [(i, f"http://h/{i}", "x" * (i * 37 % 900)) for i in range(1000)]
+    got = X.audit(X.index_of(pages(spark, rows)), X.index_of(pages(spark, rows[:3] + rows[4:]))).collect()
+    assert [(r["page_id"], r["status"], r["copies"]) for r in got] == [(3, "missing", 1)]
+
+
 def test_roots_cover_every_record(spark):
     index = X.index_of(pages(spark, [(i, "u", "y" * 5000) for i in range(300)]))
     levels = X.levels_for(300 * 5300)
