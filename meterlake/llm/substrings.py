@@ -7,14 +7,14 @@ id. All suffixes of all documents would be a tree far larger than the input, so:
    prefixes that start inside a window, the one with the smallest hash. Equal
    windows have their anchor at the same place, so they meet in one group. Prefixes that
    occur in one document only are leaves and go no further.
-2. Prefix counts set how far a group is split: a group of more than ``GROUP`` anchors is dealt over
-   64 parts by document, a 64 times larger one over 4096, and so on; every part fits in memory.
-   (Longer prefixes alone cannot split copies of one passage.)
+2. Prefix counts set how far a group is split. A group of more than ``GROUP`` anchors gets longer prefixes, up to ``WINDOW`` words
+   (a node of full depth), and as no prefix splits copies of one passage, its suffixes are dealt over 64 parts by a hash of
+   document and place, those of a 64 times larger one over 4096, and so on; every part fits in memory.
 3. In each group the suffixes that reach depth ``WINDOW`` are sorted, so nodes of its
    subtree at that depth are runs of equal entries. A run over two documents or more
    is an internal node that deep: all its occurrences but those of the smallest id are
-   marked, and neighbouring marks join to maximal repeats. From a divided group the smallest of
-   each part meet once more.
+   marked, and neighbouring marks join to maximal repeats. From a part the smallest document of each node of full depth goes
+   on, as one row with all its places; the smallest over all parts is found by an aggregation that tasks begin on their own.
 
 Spans are judged on the input and brought to the texts by one join. Suffixes are
 held as 64-bit hashes of their words. The map of repeated prefixes is a Bloom filter of bounded size; a false
@@ -39,12 +39,14 @@ from pyspark.sql import functions as F
 
 from meterlake.llm.bitmap import bits_for, build, contains
 from meterlake.llm.shared import materialize, text_of
-from meterlake.llm.words import hash_values, rolling, same_text, slices, split_words
+from meterlake.llm.words import BASE, hash_values, mixed, rolling, same_text, slices, split_words
 from meterlake.sources.tables import table
 
 WINDOW, PREFIX = 13, 5
 #: Anchors of one group that a task holds at a time, and parts that a larger group is split into.
 GROUP, PARTS = 1 << 12, 64
+#: Neighbouring places of a document that go to one part.
+STRETCH = 1 << 10
 #: Bits of the map of repeated prefixes, at most (32 MB).
 MAP_BITS = 1 << 28
 _LAST = (1 << 63) - 1
@@ -123,9 +125,10 @@ def _suffixes(rows: DataFrame, maps: list[np.ndarray]) -> DataFrame:
                 for r in np.unique(row).tolist():
                     tags[r] = zlib.crc32(texts[r].as_buffer())
                 parts = np.zeros(len(row), dtype=np.int64)
+                dealt = mixed(mixed(doc[row].view(np.uint64) * BASE + (start // STRETCH).astype(np.uint64))) >> np.uint64(8)
                 for level, m in enumerate(large, 1):
                     big = contains(m, anchor)
-                    parts[big] = 1 + doc[row[big]] % PARTS**level
+                    parts[big] = 1 + (dealt[big] % np.uint64(PARTS**level)).astype(np.int64)
                 blobs = _blobs(window, first)
                 cols = [anchor.view(np.int64), parts, doc[row], tags[row], start]
                 yield pa.RecordBatch.from_arrays([*map(pa.array, cols), blobs], ["a", "part", "doc", "tag", "start", "windows"])
@@ -139,11 +142,12 @@ def _blobs(values: np.ndarray, first: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(values.tobytes())])
 
 
-_MARKS = "a bigint, doc bigint, tag bigint, lo bigint, hi bigint, windows binary"
+#: A span to remove (``lo`` to ``hi``), or a node ``a`` of full depth with the ``places`` where one document has it.
+_MARKS = "a bigint, doc bigint, tag bigint, lo bigint, hi bigint, places binary"
 
 
 def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Spans of repeats of groups that come sorted by (a, part); of parts of groups also what has to meet again (with ``windows``)."""
+    """Spans of repeats of groups that come sorted by (a, part); of parts of groups also what has to meet again (with ``places``)."""
     held: list[pa.RecordBatch] = []
     for b in batches:
         if not b.num_rows:
@@ -183,23 +187,39 @@ def _mark(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     repeat[order] = d != least
     at = start[run] + np.arange(len(run)) - begin[run]
 
-    def spans(which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:  # runs of neighbouring true entries of one row
-        i = np.flatnonzero(which)
-        new = np.concatenate(([True], (i[1:] != i[:-1] + 1) | (run[i[1:]] != run[i[:-1]]))) if len(i) else np.zeros(0, dtype=bool)
-        return i[new], i[np.concatenate((np.flatnonzero(new)[1:], [len(i)])) - 1] if len(i) else i
-
-    def out(lo: np.ndarray, hi: np.ndarray, keys: pa.Array, blobs: pa.Array) -> pa.RecordBatch:
-        r = run[lo]
-        cols = [doc[r], tag[r], at[lo], at[hi] + WINDOW]
-        return pa.RecordBatch.from_arrays([keys, *map(pa.array, cols), blobs], ["a", "doc", "tag", "lo", "hi", "windows"])
-
-    lo, hi = spans(repeat)
-    if len(lo):
-        yield out(lo, hi, pa.nulls(len(lo), pa.int64()), pa.nulls(len(lo), pa.binary()))
+    names = ["a", "doc", "tag", "lo", "hi", "places"]
+    hit = np.flatnonzero(repeat)
+    if len(hit):
+        hit = hit[np.lexsort((at[hit], tag[run[hit]], docs[hit]))]
+        d, t, p = docs[hit], tag[run[hit]], at[hit]
+        lo = np.flatnonzero(np.concatenate(([True], (d[1:] != d[:-1]) | (t[1:] != t[:-1]) | (p[1:] > p[:-1] + WINDOW))))
+        hi = np.concatenate((lo[1:], [len(hit)])) - 1
+        cols = [d[lo], t[lo], p[lo], p[hi] + WINDOW]
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(lo), pa.int64()), *map(pa.array, cols), pa.nulls(len(lo), pa.binary())], names)
     left = np.flatnonzero(~repeat & (part[run] > 0))
-    if len(left):  # one row a window, under its own hash: a prefix of full depth
-        again = windows[left]
-        yield out(left, left, pa.array(again.view(np.int64)), _blobs(again, np.arange(len(again))))
+    if len(left):
+        left = left[np.lexsort((at[left], tag[run[left]], docs[left], windows[left]))]
+        keys = windows[left].view(np.int64), docs[left], tag[run[left]]
+        new = np.flatnonzero(np.concatenate(([True], np.any([k[1:] != k[:-1] for k in keys], axis=0))))
+        ends = np.concatenate((new, [len(left)])).astype(np.int32) * 8
+        blobs = pa.Array.from_buffers(pa.binary(), len(new), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(at[left].astype(np.int64).tobytes())])
+        none = pa.nulls(len(new), pa.int64())
+        yield pa.RecordBatch.from_arrays([*(pa.array(k[new]) for k in keys), none, none, blobs], names)
+
+
+def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Spans of rows with ``places``."""
+    for b in batches:
+        if not b.num_rows:
+            continue
+        places = [np.frombuffer(p.as_buffer(), dtype=np.int64) for p in b.column("places")]
+        size = [len(p) for p in places]
+        lo = np.concatenate(places)
+        row = np.repeat(np.arange(b.num_rows), size)
+        first = np.concatenate(([True], (row[1:] != row[:-1]) | (lo[1:] > lo[:-1] + WINDOW)))
+        last = np.concatenate((np.flatnonzero(first)[1:], [len(lo)])) - 1
+        doc, tag = (b.column(c).to_numpy()[row[first]] for c in ("doc", "tag"))
+        yield pa.RecordBatch.from_arrays([*map(pa.array, (doc, tag, lo[first], lo[last] + WINDOW))], ["doc", "tag", "lo", "hi"])
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group: int = GROUP, map_bits: int = MAP_BITS) -> DataFrame:
@@ -215,14 +235,16 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         least *= PARTS
     dealt = _suffixes(rows, maps).repartition("a", "part").sortWithinPartitions("a", "part")
     marks = materialize(dealt.mapInArrow(_marks, _MARKS), "marks")
-    again = marks.filter("a IS NOT NULL").select("a", F.lit(0).cast("bigint").alias("part"), "doc", "tag", F.col("lo").alias("start"), "windows")
-    last = again.repartition("a").sortWithinPartitions("a", "part").mapInArrow(_marks, _MARKS)
-    return marks.filter("a IS NULL").union(last).select("doc", "tag", "lo", "hi")
+    again = marks.filter("a IS NOT NULL").select("a", "doc", "tag", "places")
+    least = again.groupBy("a").agg(F.min("doc").alias("least"))
+    later = again.join(least, "a").filter("doc <> least").select("doc", "tag", "places")
+    spans = "doc bigint, tag bigint, lo bigint, hi bigint"
+    return marks.filter("a IS NULL").select("doc", "tag", "lo", "hi").union(later.mapInArrow(_placed, spans))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, ``n_words``, ``n_removed``, and ``kept``, the words left, joined by a blank."""
-    spans = repeated_spans(docs, id_col, text_col).groupBy("doc", "tag").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    spans = repeated_spans(docs, id_col, text_col).groupBy("doc", "tag").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
     rows = _rows(docs, id_col, text_col)
     kind = rows.schema["id"].dataType.simpleString()
     met = rows.withColumn("tag", F.crc32(F.col("text").cast("binary"))).join(spans, ["doc", "tag"], "left").select("id", "text", "spans")

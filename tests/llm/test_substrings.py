@@ -57,3 +57,15 @@ def test_query_digest(spark):
     want = plain([(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{d}/documents.parquet").collect()])
     got = Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in S.op7_substring_dedup(spark, d).collect())
     assert got == Counter((i, n, k, hashlib.sha256(t.encode()).hexdigest()) for i, n, k, t in want)
+
+
+def test_one_word_over_and_over_and_copies_of_one_row(spark):
+    """Few rows go on from divided groups, whatever the number of places and copies; and results are those of a small group."""
+    rng = random.Random(3)
+    text, passage = "same " * 20_000, " ".join(f"w{rng.random()}" for _ in range(80))
+    rows = [(7, text), (3, text + " end"), (9, "a b " * 3000)] + [(k * 64, passage) for k in range(300)] + [(5, passage + " once more")] * 200
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    one = found(df)
+    assert one == plain(rows)
+    most = S.repeated_spans(df, group=16).distinct().groupBy("doc", "tag").count().agg({"count": "max"}).first()[0]
+    assert most < 500
