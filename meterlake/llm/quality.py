@@ -30,11 +30,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from meterlake.llm.bitmap import bits_for, build, contains
 from meterlake.llm.shared import materialize, remainder, text_of
 from meterlake.sources.tables import table
 
 FOLDS, THRESHOLD = 5, 0.3
 POOLED, RIDGE = 0.3, 0.01
+#: Bits of the filter of labelled ids, at most.
+FILTER_BITS = 1 << 27
 
 #: Kinds of bytes: lower case, then capitals, digits, blanks, line breaks, punctuation, shouting, symbols, non-ASCII.
 _KIND = np.full(256, 7, dtype=np.int64)
@@ -71,13 +74,16 @@ def features(text: str) -> np.ndarray:
     return np.log(out)
 
 
-def feature_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col`` and ``x``, an array of the twelve numbers."""
-    rows = docs.select(docs[id_col].alias("id"), text_of(docs[text_col]).alias("text"))
+def feature_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wanted: np.ndarray | None = None) -> DataFrame:
+    """``id_col`` and ``x``, an array of the twelve numbers; only of rows whose id is in the filter ``wanted``, if there is one."""
+    rows = docs.select(docs[id_col].alias("id"), text_of(docs[text_col]).alias("text"), F.xxhash64(docs[id_col]).alias("hash"))
     kind = rows.schema["id"].dataType.simpleString()
+    shared = docs.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            if shared.value is not None:
+                b = b.filter(pa.array(contains(shared.value, b.column("hash").to_numpy().view(np.uint64))))
             for k in range(0, b.num_rows, 1000):
                 part = b.slice(k, 1000)
                 x = np.array([features(t) for t in part.column("text").to_pylist()]).reshape(-1)
@@ -172,7 +178,9 @@ def text_score_of(text: Column, model: Discriminant) -> Column:
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` without the documents scored under ``threshold``; texts are scored where they are read, not shuffled."""
-    model = fit(feature_rows(docs, id_col, text_col), labels, id_col)
+    ids = labels.filter("quality IN (0, 1)").select(F.xxhash64(labels[id_col].cast(docs.schema[id_col].dataType)).alias("key"), F.lit(0).alias("lo"), F.lit(0).alias("hi"))
+    labelled = build(ids, bits_for(ids.count(), FILTER_BITS))  # a full filter would cost time only: ``fit`` joins by id
+    model = fit(feature_rows(docs, id_col, text_col, labelled), labels, id_col)
     return docs.filter(text_score_of(docs[text_col], model) >= threshold)
 
 
