@@ -10,7 +10,7 @@ target through other names (``a = "..."``, ``b = a + "..."``, ``password = b``,
 the target's name times the literal's strength (length, character classes,
 entropy, not a placeholder); literals of 0.5 and more are reported as ``literal``
 spans. So are all pieces of a value that has 0.5 once its pieces are put together. Names without any binding to a literal, and literals bound to plain names,
-are left alone.
+are left alone. Elements (``<password>...</password>``) and options (``--password ...``) are pairs of a name and a literal too.
 
 Three pattern kinds are always reported beside these: ``assign``, ``access`` and ``hex``
 (see ``PATTERNS``), leftmost and non-overlapping per kind. Offsets count code
@@ -18,7 +18,7 @@ points; ends are exclusive.
 
 Defined results: null text is read as empty and gives no spans; a null id stays
 null; repeated rows are scanned each; an empty table gives no rows; columns other
-than id and text are ignored. The left side looks back ``NAME_MAX`` characters, and each name
+than id and text are ignored. Of a target's name the last ``NAME_MAX`` characters count, whatever blanks follow it, and each name
 keeps its newest binding. Values are shared lists, each summed and reported once, so work per text
 is linear (times its different characters, for values of several pieces).
 """
@@ -68,6 +68,8 @@ _PIECE = re.compile(
 _GAP = re.compile(r"(?:[ \t]|\\\r?\n)*+")
 _WIDE = re.compile(r"(?:[ \t\r\n]|\\\r?\n|(?:#|//)[^\n]*)*+")
 _NEXT = re.compile(r"""\r?\n[ \t]+(?=(?:\+|\.\.?|\|\|)[ \t]*["'`$])""")
+#: Names and values without an assignment mark: elements, and options of a command.
+_PAIRS = (re.compile(r"<([A-Za-z_][\w.-]*)(?:\s[^<>]*)?>\s*([^<>\s]+)\s*</\1\s*>", re.A), re.compile(r"(?<![\w-])--([A-Za-z][\w-]*)[ \t]+[\"']?([^\s\"'-][^\s\"']*)", re.A))
 _INSIDE = re.compile(r"\$?\{([A-Za-z_]\w*)\}", re.A)
 _NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_]*\Z", re.A)
 _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+", re.A)
@@ -105,7 +107,7 @@ class _Sum(NamedTuple):
             return 0.0
         entropy = -sum(c / n * math.log2(c / n) for c in self.counts.values() if c / n)
         classes = sum(bool(re.search(p, shown)) for p in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
-        return min(1.0, 0.25 * min(n, 16) / 16 + 0.45 * min(entropy, 3.5) / 3.5 + 0.15 * min(classes, 3)) if classes > 1 else 0.0
+        return min(1.0, 0.25 * min(n, 16) / 16 + 0.45 * min(entropy, 3.5) / 3.5 + 0.15 * min(classes, 3)) if classes > 1 or n >= 12 else 0.0
 
 
 def _sum_of(literal: str) -> _Sum:
@@ -247,7 +249,10 @@ def assigned_literals(text: str) -> list[Span]:
                     todo.append((x.next, x.stop))
 
     for op in _OPERATOR.finditer(text):
-        left = text[max(0, op.start() - NAME_MAX) : op.start()]
+        end = op.start()
+        while end and text[end - 1] in " \t":  # blanks before one mark are those of no other
+            end -= 1
+        left = text[max(0, end - NAME_MAX) : end]
         target = _TARGET.search(left.rsplit("\n", 1)[-1])
         if not target:
             continue
@@ -261,13 +266,17 @@ def assigned_literals(text: str) -> list[Span]:
         bound[short] = value
         if weight := name_weight(name):
             judge(value, weight)
+    for pattern in _PAIRS:
+        for m in pattern.finditer(text):
+            if (weight := name_weight(m[1])) and weight * strength(m[2]) >= MIN_SCORE:
+                found.add(m.span(2))
     return [Span("literal", *x) for x in sorted(found)]
 
 
 def scan_text(text: str) -> list[Span]:
     """All spans of a text, by start, then kind in the order of ``KINDS``."""
     spans = [Span(kind, *m.span()) for kind, p, group, least in PATTERNS for m in p.finditer(text) if len(m[group]) >= least]
-    if "=" in text or ":" in text:
+    if "=" in text or ":" in text or "--" in text or "</" in text:
         spans += assigned_literals(text)
     return sorted(spans, key=lambda s: (s.start, KINDS.index(s.kind)))
 

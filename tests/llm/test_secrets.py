@@ -1,11 +1,12 @@
 import hashlib
+import random
 import re
 import time
 
 import pytest
 from pyspark.sql import functions as F
 
-from meterlake.llm.secrets import op5_secret_scan, redact_secrets, redact_text, scan_secrets, scan_text
+from meterlake.llm.secrets import assigned_literals, op5_secret_scan, redact_secrets, redact_text, scan_secrets, scan_text, strength
 
 PLAIN = [
     ("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), 2, 12),
@@ -109,3 +110,51 @@ def test_shared_and_nested_values_take_linear_time():
     ):
         scan_text(t)
     assert time.time() - began < 30
+
+
+def test_elements_options_and_blanks():
+    said = lambda t: [t[s.start : s.end] for s in assigned_literals(t)]
+    assert said("<conf><password> hUnter2Xq9z!</password><user>hUnter2Xq9z!</user></conf>") == ["hUnter2Xq9z!"]
+    assert said("mysql --user root --password hUnter2Xq9z! --port 3306") == ["hUnter2Xq9z!"]
+    assert said("password" + " " * 130 + '= "hUnter2Xq9z!"') == ["hUnter2Xq9z!"]
+    assert said('password = "hunterhunterhunter"') == ["hunterhunterhunter"]
+    assert said("see --password for this, and a -- b, and <password>x</password>") == []
+
+
+def test_long_texts_take_linear_time():
+    import time
+
+    text = 'key = "' + "aB3$" * 3000 + '"\n' + "password = key\n" * 5000 + " " * 100_000 + "<a " * 50_000 + "--token" * 20_000
+    began = time.perf_counter()
+    assert len(assigned_literals(text)) == 1 and time.perf_counter() - began < 5
+
+
+def test_spans_equal_a_plain_evaluator():
+    """Random programs of bindings and joins: pieces of a value that reaches a sensitive name are told, and no others."""
+    rng = random.Random(4)
+    for _ in range(150):
+        lines, bound, want, reached, at = [], {}, set(), set(), 0
+        for n in range(rng.randint(2, 12)):
+            name = rng.choice(["password", "colour", "size", f"part{n}", f"part{max(n - 1, 0)}"])
+            pieces, values = [], []
+            for _ in range(rng.randint(1, 4)):
+                if bound and rng.random() < 0.5:
+                    other = rng.choice(sorted(bound))
+                    pieces.append(other)
+                    values += bound[other]
+                else:
+                    literal = "".join(rng.choice("aK7%xQ2z") for _ in range(rng.randint(2, 6)))
+                    offset = at + len(f"{name} = " + " + ".join(pieces) + (" + " if pieces else "")) + 1
+                    pieces.append(f'"{literal}"')
+                    values.append((offset, offset + len(literal), literal))
+            line = f"{name} = " + " + ".join(pieces)
+            bound[name] = values
+            reached |= {v[:2] for v in values} if name == "password" else set()
+            if name == "password" and strength("".join(v[2] for v in values)) >= 0.5:
+                want |= {v[:2] for v in values}
+            lines.append(line)
+            at += len(line) + 1
+        text = "\n".join(lines)
+        got = {(s.start, s.end) for s in assigned_literals(text)}
+        assert want <= got, (text, want - got)
+        assert got <= reached, text  # parts of a value that stand out by themselves may be told too, but nothing else
