@@ -7,17 +7,17 @@ id. All suffixes of all documents would be a tree far larger than the input, so:
    prefixes that start inside a window, the one with the smallest hash. Equal
    windows have their anchor at the same place, so they meet in one group. Prefixes that
    occur in one document only are leaves and go no further.
-2. Prefix counts set how far a group is split. A group of more than ``GROUP`` anchors gets longer prefixes, up to ``WINDOW`` words
-   (a node of full depth), and as no prefix splits copies of one passage, its suffixes are dealt over 64 parts by a hash of
-   document and place, those of a 64 times larger one over 4096, and so on; every part fits in memory.
-3. In each group the suffixes that reach depth ``WINDOW`` are sorted, so nodes of its
-   subtree at that depth are runs of equal entries. A run over two documents or more
-   is an internal node that deep: all its occurrences but those of the smallest id are
-   marked, and neighbouring marks join to maximal repeats. From a part the smallest document of each node of full depth goes
-   on, as one row with all its places; the smallest over all parts is found by an aggregation that tasks begin on their own.
+2. Prefix counts set how far a group is split. Prefixes of more than ``GROUP`` anchors are lengthened to ``WINDOW`` words
+   (nodes of full depth); as no prefix splits copies of one passage, their suffixes are dealt over 64 parts by a hash of
+   document and place, those of a 64 times larger group over 4096, and so on; every part fits in memory.
+3. In each group a subtree is grown from the prefix down, word by word: a node's suffixes are sorted by their next word,
+   and each run of equal words is a child. A node whose suffixes are of one document is a leaf and not
+   grown further. Nodes left at depth ``WINDOW`` are the deep internal ones: all their occurrences but those of the smallest id are
+   marked, and neighbouring marks join to maximal repeats. In parts of groups nodes are grown to full depth whatever their documents;
+   one row for a node and document with all its places goes on, and the smallest document over all parts is found by an aggregation that tasks begin on their own.
 
 Spans are judged on the input and brought to the texts by one join. Suffixes are
-held as 64-bit hashes of their words. The map of repeated prefixes is a Bloom filter of bounded size; a false
+held as the 64-bit hashes of each of their words but the prefix's, which a group shares. The map of repeated prefixes is a Bloom filter of bounded size; a false
 hit only costs a row that the sort rejects.
 
 Defined results: null text has no words; rows with a null id count as later than all
@@ -53,21 +53,22 @@ _LAST = (1 << 63) - 1
 
 
 def _anchored(texts: pa.Array) -> tuple[np.ndarray, ...]:
-    """Of all windows of all texts: row, start in the text, hash, anchor's hash, and the anchor's place in the batch."""
+    """Hashes of all words of all texts; and of all windows: row, the text's first word, place, anchor's hash, anchor's place (places in the batch)."""
     words, offsets = split_words(texts)
     hashes = hash_values(words)
-    prefixes, windows = rolling(hashes, PREFIX), rolling(hashes, WINDOW)
+    prefixes = rolling(hashes, PREFIX)
     inside = np.flatnonzero(same_text(offsets, WINDOW))
-    least = prefixes[: len(windows)].copy()
-    place = np.zeros(len(windows), dtype=np.int64)
+    windows = max(len(hashes) - WINDOW + 1, 0)
+    least = prefixes[:windows].copy()
+    place = np.zeros(windows, dtype=np.int64)
     for k in range(1, WINDOW - PREFIX + 1):
-        other = prefixes[k : k + len(windows)]
+        other = prefixes[k : k + windows]
         smaller = other < least
         np.copyto(least, other, where=smaller)
         place[smaller] = k
-    place += np.arange(len(windows))
+    place += np.arange(windows)
     row = np.searchsorted(offsets, inside, side="right") - 1
-    return row, inside - offsets[row], windows[inside], least[inside], place[inside]
+    return hashes, row, offsets[row], inside, least[inside], place[inside]
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -82,7 +83,7 @@ def repeated_prefixes(rows: DataFrame) -> DataFrame:
         for b in batches:
             for part in slices(b):
                 doc = part.column("doc").to_numpy()
-                row, _, _, anchor, place = _anchored(part.column("text"))
+                _, row, _, _, anchor, place = _anchored(part.column("text"))
                 if not len(row):
                     continue
                 first = np.concatenate(([True], place[1:] != place[:-1]))
@@ -106,7 +107,7 @@ def _keys(prefixes: DataFrame) -> DataFrame:
 
 
 def _suffixes(rows: DataFrame, maps: list[np.ndarray]) -> DataFrame:
-    """Windows by anchor: prefix, part, document, text's checksum, start, and the hashes of neighbouring windows."""
+    """Neighbouring suffixes by their anchor: prefix, part, document, text's checksum, first start, words before the anchor, and hashes of the words around it."""
     shared = rows.sparkSession.sparkContext.broadcast(maps)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,13 +115,14 @@ def _suffixes(rows: DataFrame, maps: list[np.ndarray]) -> DataFrame:
         for b in batches:
             for part in slices(b):
                 doc, texts = part.column("doc").to_numpy(), part.column("text")
-                row, start, window, anchor, place = _anchored(texts)
-                kept = contains(repeated, anchor)
-                row, start, window, anchor, place = (x[kept] for x in (row, start, window, anchor, place))
+                hashes, *found = _anchored(texts)
+                kept = contains(repeated, found[3])
+                row, begin, window, anchor, place = (x[kept] for x in found)
                 if not len(row):
                     continue
                 first = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
-                row, start, anchor = row[first], start[first], anchor[first]
+                size = np.diff(np.concatenate((first, [len(row)]))) + WINDOW - PREFIX - 1
+                row, start, window, anchor, left = row[first], (window - begin)[first], window[first], anchor[first], (place - window)[first]
                 tags = np.zeros(len(doc), dtype=np.int64)
                 for r in np.unique(row).tolist():
                     tags[r] = zlib.crc32(texts[r].as_buffer())
@@ -129,17 +131,54 @@ def _suffixes(rows: DataFrame, maps: list[np.ndarray]) -> DataFrame:
                 for level, m in enumerate(large, 1):
                     big = contains(m, anchor)
                     parts[big] = 1 + (dealt[big] % np.uint64(PARTS**level)).astype(np.int64)
-                blobs = _blobs(window, first)
-                cols = [anchor.view(np.int64), parts, doc[row], tags[row], start]
-                yield pa.RecordBatch.from_arrays([*map(pa.array, cols), blobs], ["a", "part", "doc", "tag", "start", "windows"])
+                run, at = _counted(size)
+                around = hashes[window[run] + at + np.where(at < left[run], 0, PREFIX)]
+                cols = [anchor.view(np.int64), parts, doc[row], tags[row], start, left]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, cols), _blobs(around, size)], ["a", "part", "doc", "tag", "start", "around", "words"])
 
-    return rows.mapInArrow(scan, "a bigint, part bigint, doc bigint, tag bigint, start bigint, windows binary")
+    return rows.mapInArrow(scan, "a bigint, part bigint, doc bigint, tag bigint, start bigint, around bigint, words binary")
 
 
-def _blobs(values: np.ndarray, first: np.ndarray) -> pa.Array:
-    """The values from each index in ``first`` to the next, as binaries."""
-    ends = np.concatenate((first, [len(values)])).astype(np.int32) * 8
-    return pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(values.tobytes())])
+def _counted(size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For runs of these sizes, one after another: each entry's run, and its number in it."""
+    run = np.repeat(np.arange(len(size)), size)
+    return run, np.arange(len(run)) - (np.cumsum(size) - size)[run]
+
+
+def _blobs(values: np.ndarray, size: np.ndarray) -> pa.Array:
+    """Values of 64 bits in runs of these sizes, as binaries."""
+    ends = np.concatenate(([0], np.cumsum(size))).astype(np.int32) * 8
+    return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(values.tobytes())])
+
+
+def _starts(*keys: np.ndarray) -> np.ndarray:
+    """Where a run of equal keys begins."""
+    return np.flatnonzero(np.concatenate(([True], np.any([k[1:] != k[:-1] for k in keys], axis=0))))
+
+
+def _deep_nodes(node: np.ndarray, words: np.ndarray, at: np.ndarray, doc: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The suffixes below nodes of full depth, and the smallest document of each one's node.
+
+    ``node``: the nodes to grow from; ``words[at + d]``: the word that a suffix reads at step d. Nodes of one document are
+    grown no further, except in parts (``part`` > 0).
+    """
+    steps = WINDOW - PREFIX
+    letters, letter = np.unique(words, return_inverse=True)
+    alive = np.arange(len(node))
+    for step in range(steps + 1):
+        if step:
+            node = node * len(letters) + letter[at[alive] + step - 1]
+        order = np.argsort(node, kind="stable")
+        node, alive = node[order], alive[order]
+        lo = _starts(node)
+        least, most = (f.reduceat(doc[alive], lo) for f in (np.minimum, np.maximum))
+        inner = (least != most) | (part[alive[lo]] > 0)
+        child = np.repeat(np.arange(len(lo)), np.diff(np.concatenate((lo, [len(node)]))))
+        kept = inner[child]
+        alive, node = alive[kept], child[kept]
+        if not len(alive):
+            break
+    return alive, least[node]
 
 
 #: A span to remove (``lo`` to ``hi``), or a node ``a`` of full depth with the ``places`` where one document has it.
@@ -171,24 +210,22 @@ def _mark(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     if not b.num_rows:
         return
     a, part, doc, tag, start = (b.column(c).to_numpy() for c in ("a", "part", "doc", "tag", "start"))
-    blobs = b.column("windows")
-    windows = np.frombuffer(b"".join(blobs.to_pylist()), dtype=np.uint64)
-    size = np.diff(np.frombuffer(blobs.buffers()[1], dtype=np.int32)[blobs.offset : blobs.offset + len(blobs) + 1]) // 8
-    run = np.repeat(np.arange(len(size)), size)
-    begin = np.cumsum(size) - size
-    docs = doc[run]
+    left, blobs = b.column("around").to_numpy(), b.column("words")
+    words = np.frombuffer(b"".join(blobs.to_pylist()), dtype=np.uint64)
+    held = np.diff(np.frombuffer(blobs.buffers()[1], dtype=np.int32)[blobs.offset : blobs.offset + len(blobs) + 1]) // 8
+    size = held - (WINDOW - PREFIX - 1)
+    run, number = _counted(size)
+    first = (np.cumsum(held) - held)[run] + number
     group = np.zeros(len(a), dtype=np.int64)
     group[1:] = np.cumsum((a[1:] != a[:-1]) | (part[1:] != part[:-1]))
-    order = np.lexsort((docs, windows, group[run]))
-    w, d, g = windows[order], docs[order], group[run][order]
-    first = np.concatenate(([True], (w[1:] != w[:-1]) | (g[1:] != g[:-1])))
-    least = d[first][np.cumsum(first) - 1]
-    repeat = np.zeros(len(w), dtype=bool)
-    repeat[order] = d != least
-    at = start[run] + np.arange(len(run)) - begin[run]
+    before = left[run] - number  # words of a suffix before its anchor
+    docs = doc[run]
+    at = start[run] + number
+    alive, least = _deep_nodes(group[run] * WINDOW + before, words, first, docs, part[run])
+    later = docs[alive] != least
 
     names = ["a", "doc", "tag", "lo", "hi", "places"]
-    hit = np.flatnonzero(repeat)
+    hit = alive[later]
     if len(hit):
         hit = hit[np.lexsort((at[hit], tag[run[hit]], docs[hit]))]
         d, t, p = docs[hit], tag[run[hit]], at[hit]
@@ -196,14 +233,18 @@ def _mark(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         hi = np.concatenate((lo[1:], [len(hit)])) - 1
         cols = [d[lo], t[lo], p[lo], p[hi] + WINDOW]
         yield pa.RecordBatch.from_arrays([pa.nulls(len(lo), pa.int64()), *map(pa.array, cols), pa.nulls(len(lo), pa.binary())], names)
-    left = np.flatnonzero(~repeat & (part[run] > 0))
-    if len(left):
-        left = left[np.lexsort((at[left], tag[run[left]], docs[left], windows[left]))]
-        keys = windows[left].view(np.int64), docs[left], tag[run[left]]
-        new = np.flatnonzero(np.concatenate(([True], np.any([k[1:] != k[:-1] for k in keys], axis=0))))
-        ends = np.concatenate((new, [len(left)])).astype(np.int32) * 8
-        blobs = pa.Array.from_buffers(pa.binary(), len(new), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(at[left].astype(np.int64).tobytes())])
+    open_ = alive[~later & (part[run[alive]] > 0)]
+    if len(open_):
+        name = a[run[open_]].view(np.uint64) * BASE + before[open_].astype(np.uint64)
+        for step in range(WINDOW - PREFIX):
+            name = name * BASE + words[first[open_] + step]
+        name = mixed(name).view(np.int64)
+        order = np.lexsort((at[open_], tag[run[open_]], docs[open_], name))
+        open_, name = open_[order], name[order]
+        keys = name, docs[open_], tag[run[open_]]
+        new = _starts(*keys)
         none = pa.nulls(len(new), pa.int64())
+        blobs = _blobs(at[open_], np.diff(np.concatenate((new, [len(open_)]))))
         yield pa.RecordBatch.from_arrays([*(pa.array(k[new]) for k in keys), none, none, blobs], names)
 
 

@@ -2,6 +2,7 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
@@ -52,6 +53,24 @@ def test_any_texts(spark, rows):
     assert found(spark.createDataFrame(rows, "doc_id bigint, text string")) == plain(rows)
 
 
+def test_subtrees_hold_what_occurs_in_two_documents():
+    rng = np.random.default_rng(2)
+    steps = S.WINDOW - S.PREFIX
+    for letters in (1, 2, 3):
+        words = rng.integers(0, letters, 3000).astype(np.uint64) + np.uint64(1 << 63)
+        at = np.sort(rng.choice(len(words) - steps, 900, replace=False))
+        node, doc = rng.integers(0, 4, 900), rng.integers(0, 50, 900)
+        part = (node == 3).astype(np.int64)
+        met = {}
+        for n, p, d in zip(node, at, doc):
+            met.setdefault((n, *words[p : p + steps]), set()).add(d)
+        want = {k: min(met[n, *words[p : p + steps]]) for k, (n, p) in enumerate(zip(node, at)) if len(met[n, *words[p : p + steps]]) > 1 or n == 3}
+        alive, least = S._deep_nodes(node, words, at, doc, part)
+        assert dict(zip(alive.tolist(), least.tolist())) == want
+    lone = np.arange(3)
+    assert not len(S._deep_nodes(lone, words, lone, lone, lone * 0)[0])
+
+
 def test_query_digest(spark):
     d = "/root/testdata/sf0.001"
     want = plain([(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{d}/documents.parquet").collect()])
