@@ -11,6 +11,9 @@ the target's name times the literal's strength (length, character classes,
 entropy, not a placeholder); literals of 0.5 and more are reported as ``literal``
 spans. So are all pieces of a value that has 0.5 once its pieces are put together. Names without any binding to a literal, and literals bound to plain names,
 are left alone. Elements (``<password>...</password>``) and options (``--password ...``) are pairs of a name and a literal too.
+Names before commas at a line's begin (``user, password = "...", "..."``) take the values in their order; a name whose line ends
+in ``: |`` or ``: >`` takes the lines below that are indented further (blocks inside a block are not read again). Where there are
+more or fewer values than names, the last name alone takes the first value.
 
 Three pattern kinds are always reported beside these: ``assign``, ``access`` and ``hex``
 (see ``PATTERNS``), leftmost and non-overlapping per kind. Offsets count code
@@ -70,6 +73,11 @@ _WIDE = re.compile(r"(?:[ \t\r\n]|\\\r?\n|(?:#|//)[^\n]*)*+")
 _NEXT = re.compile(r"""\r?\n[ \t]+(?=(?:\+|\.\.?|\|\|)[ \t]*["'`$])""")
 #: Names and values without an assignment mark: elements, and options of a command.
 _PAIRS = (re.compile(r"<([A-Za-z_][\w.-]*)(?:\s[^<>]*)?>\s*([^<>\s]+)\s*</\1\s*>", re.A), re.compile(r"(?<![\w-])--([A-Za-z][\w-]*)[ \t]+[\"']?([^\s\"'-][^\s\"']*)", re.A))
+#: The other names of a list of targets; a value of a list; the rest of a line that begins a block, and a line.
+_OTHERS = re.compile(r"(?:\A|;)[ \t]*(?:(?:const|let|var|local)[ \t]+)?((?:[A-Za-z_][\w.]*[ \t]*,[ \t]*)+)\Z", re.A)
+_ELEMENT = re.compile(r"""[ \t]*((?:"(?:[^"\\\n]|\\.)*+"|'(?:[^'\\\n]|\\.)*+'|\([^()\n]*+\)|[^,\n=;#])++)""")
+_BLOCK = re.compile(r"[ \t]*[|>][-+0-9]{0,2}[ \t]*\r?\n")
+_LINE = re.compile(r"([ \t]*+)([^\n]*+)\n?")
 _INSIDE = re.compile(r"\$?\{([A-Za-z_]\w*)\}", re.A)
 _NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_]*\Z", re.A)
 _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+", re.A)
@@ -213,6 +221,38 @@ def _expression(text: str, at: int, bound: dict[str, _Value], read: dict[tuple,
     return tail.part if tail is not None and tail.next is None else tail
 
 
+def _chained(values: list[_Value]) -> _Value | None:
+    tail = None
+    for value in reversed(values):
+        tail = _Value(part=value, next=tail)
+    return values[0] if len(values) == 1 else tail
+
+
+def _block(text: str, mark: int, at: int) -> tuple[_Value | None, int]:
+    """The lines from ``at`` that are indented further than the line of ``mark``, without the blanks around them, and where they end."""
+    least, lines = len(_LINE.match(text, text.rfind("\n", 0, mark) + 1)[1]), []
+    while at < len(text):
+        line = _LINE.match(text, at)
+        if said := line[2].rstrip():
+            if len(line[1]) <= least:
+                break
+            lines.append(_Value((line.start(2), line.start(2) + len(said))))
+        at = line.end()
+    return _chained(lines), at
+
+
+def _listed(text: str, at: int, names: list[str]) -> list[tuple[str, int]]:
+    """Each name with the place of its value in the list at ``at``; nothing if there are not as many values up to the end of the statement."""
+    starts: list[int] = []
+    while (element := _ELEMENT.match(text, at)) and len(starts) < len(names):
+        starts.append(element.start(1))
+        at = element.end()
+        if text[at : at + 1] != ",":
+            break
+        at += 1
+    return list(zip(names, starts)) if len(starts) == len(names) and text[at : at + 1] in ("", "\n", ";", "#") else []
+
+
 def assigned_literals(text: str) -> list[Span]:
     """Literals that reach a sensitive target, in text order, each once: those strong enough alone, and all pieces of an assembled value that is."""
     bound: dict[str, _Value] = {}
@@ -248,6 +288,7 @@ def assigned_literals(text: str) -> list[Span]:
                 if x.next is not None:
                     todo.append((x.next, x.stop))
 
+    block = 0
     for op in _OPERATOR.finditer(text):
         end = op.start()
         while end and text[end - 1] in " \t":  # blanks before one mark are those of no other
@@ -256,16 +297,25 @@ def assigned_literals(text: str) -> list[Span]:
         target = _TARGET.search(left.rsplit("\n", 1)[-1])
         if not target:
             continue
-        name, value = target[1], _expression(text, op.end(), bound, read)
-        short = re.split(r"[.]", name)[-1]
-        if value is None:
-            bound.pop(short, None)
-            continue
-        if value.part is not None:
-            _summed(value, text)
-        bound[short] = value
-        if weight := name_weight(name):
-            judge(value, weight)
+        line = left[left.rfind("\n") + 1 :]
+        pairs = []
+        if op[0] != ":" and "," in line and (len(line) < len(left) or end <= NAME_MAX) and (others := _OTHERS.search(line[: target.start()])):
+            pairs = _listed(text, op.end(), [*(n.strip() for n in others[1].split(",")[:-1]), target[1]])
+        if op[0] == ":" and op.start() >= block and (header := _BLOCK.match(text, op.end())):
+            value, block = _block(text, op.start(), header.end())
+            met = [(target[1], value)]
+        else:
+            met = [(name, _expression(text, at, bound, read)) for name, at in pairs or [(target[1], op.end())]]
+        for name, value in met:
+            short = re.split(r"[.]", name)[-1]
+            if value is None:
+                bound.pop(short, None)
+                continue
+            if value.part is not None:
+                _summed(value, text)
+            bound[short] = value
+            if weight := name_weight(name):
+                judge(value, weight)
     for pattern in _PAIRS:
         for m in pattern.finditer(text):
             if (weight := name_weight(m[1])) and weight * strength(m[2]) >= MIN_SCORE:

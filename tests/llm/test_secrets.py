@@ -121,7 +121,25 @@ def test_elements_options_and_blanks():
     assert said("see --password for this, and a -- b, and <password>x</password>") == []
 
 
-def test_long_texts_take_linear_time():
+def test_blocks_and_lists_of_targets():
+    assert literals("db:\n  password: |\n    hUnter2Xq9z!\n\n    Zx9-aa81kk\n  user: |\n    hUnter2Xq9z!\n") == ["hUnter2Xq9z!", "Zx9-aa81kk"]
+    assert literals("- token: >-\r\n    hUnter2Xq9z! \r\n- name: hUnter2Xq9z!") == ["hUnter2Xq9z!"]
+    assert literals("secret: |\n    hunt\n    er2!\n    Xq9z\n") == ["hunt", "er2!", "Xq9z"]
+    assert literals("password: |\nhUnter2Xq9z!\n") == literals("password: |") == literals("password: |\n\n") == []
+    assert literals("conf: |\n  password: hUnter2Xq9z!\n  token: |\n    Zx9-aa81kk\n") == ["hUnter2Xq9z!"]
+    assert literals("user, password = 'hUnter1Xq9z!', 'hUnter2Xq9z!'") == ["hUnter2Xq9z!"]
+    assert literals("a = 'hUnter2Xq9z!'\nconst password, user = a, 'Zx9-aa81kk'; b = 1") == ["hUnter2Xq9z!"]
+    assert literals("def f(a, password='hUnter2Xq9z!', name='Zx9-aa81kk')") == ["hUnter2Xq9z!"]
+    assert literals("  user, password='hUnter2Xq9z!', name='Zx9-aa81kk')") == ["hUnter2Xq9z!"]
+    # other numbers of values than of names: one assignment to the last name
+    assert literals("user, password = 'hUnter2Xq9z!', b, c") == ["hUnter2Xq9z!"] and literals("user, password = find('Zx9-aa81kk')") == []
+    began = time.time()
+    for t in ("a,b=" * 30000, "a,b='" * 30000, "a,b=(" * 30000, "a: |\n" * 30000, "".join(" " * k + "a: |\n" for k in range(1000)), "\na,b=" + "x" * 200000, "a: |\n" + " x: y\n" * 30000):
+        scan_text(t)
+    assert time.time() - began < 20
+
+
+def test_one_long_value_read_often_takes_linear_time():
     import time
 
     text = 'key = "' + "aB3$" * 3000 + '"\n' + "password = key\n" * 5000 + " " * 100_000 + "<a " * 50_000 + "--token" * 20_000
