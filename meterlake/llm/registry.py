@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Modules with QUERIES and ORACLE_SQL.
-MODULES = ("chat", "quality", "packing", "decontam", "secrets", "lm", "substrings", "simhash", "fixity", "rules", "lines", "negatives")
+MODULES = ("chat", "quality", "packing", "decontam", "secrets", "lm", "substrings", "simhash", "fixity", "rules", "lines", "phrases", "negatives")
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
