@@ -1,4 +1,4 @@
-"""Checks of keys, outputs, dated files and periods. Every check gives rows; only ``require_unique`` raises."""
+"""Checks of keys, outputs, dated files and periods. Every check gives rows; only ``require_unique`` and, when its rows are read, ``unique_rows`` raise."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 from datetime import date
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from meterlake.functions.calendar import day_literal, days, file_day
@@ -43,6 +43,16 @@ def require_unique(df: DataFrame, keys: Sequence[str], shown: int = 10) -> DataF
     return df
 
 
+def unique_rows(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``df`` as it is, in a plan that fails once a key repeats: no action of its own, and no second reading.
+
+    Rows are counted over the key's own exchange, which a join on the same key shares. All keys count, null and empty ones too.
+    """
+    n = F.count(F.lit(1)).over(Window.partitionBy(*keys))
+    said = F.concat(F.lit("repeated keys: "), F.concat_ws("/", *keys), F.lit(" ("), F.col("__n").cast("string"), F.lit(" rows)"))
+    return df.withColumn("__n", n).filter(F.when(F.col("__n") == 1, F.lit(True)).otherwise(F.raise_error(said).cast("boolean"))).drop("__n")
+
+
 def verify_output(df: DataFrame, keys: Sequence[str], expected_rows: int) -> DataFrame:
     """One row per check (``check``, ``passed``, ``detail``): columns, blank keys, row count, repeated keys."""
     found = {k: c for k in keys if (c := find_column(df, k))}
@@ -191,6 +201,12 @@ def freshness_check(df: DataFrame, as_of: date | str, day: str = "day") -> DataF
     )
 
 
+def folder_files(files: DataFrame, prefix: str = "meter", suffix: str = ".csv") -> DataFrame:
+    """Dated folders (as of ``sources.files.dated_folders``) as one file a day: ``name`` as the patterns want it, ``size_bytes``."""
+    name = F.concat(F.lit(f"{prefix}_"), "dataset", F.lit("_"), F.date_format("day", "yyyyMMdd"), F.lit(suffix))
+    return files.select(name.alias("name"), "size_bytes", "dataset", "day")
+
+
 def of_kind(files: DataFrame, kind: str, prefix: str = "meter", suffix: str = ".csv", name: str = "name") -> DataFrame:
     """Files of one kind, by the beginning and end of their names."""
     return files.filter(F.col(name).startswith(f"{prefix}_{kind}") & F.col(name).endswith(suffix))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from meterlake.functions.geo import to_wgs84
 from meterlake.functions.keys import collision_names, key_of, normalize_key, prefix_all
-from meterlake.operators.quality import require_unique
+from meterlake.operators.quality import unique_rows
 
 #: States of a unit that count as connected.
 CONNECTED = ("LG", "CR", "DS")
@@ -70,9 +70,9 @@ def join_prefixed(left: DataFrame, right: DataFrame, key: str, prefix: str = "GE
 
 
 def join_colliding(left: DataFrame, right: DataFrame, key: str, prefix: str, mode: str = "digits_keep_zero") -> DataFrame:
-    """Left join on the normalised key; the right side's keys must be unique, and only its colliding names are prefixed."""
+    """Left join on the normalised key; the right side's keys must be unique (reading the result fails otherwise), and only its colliding names are prefixed."""
     names = collision_names(left.columns, right.columns, [key], prefix)
     keyed = right.select(key_of(right, key, mode).alias("__key"), *(right[c].alias(n) for c, n in names.items()))
-    require_unique(keyed, ["__key"])
-    met = left.withColumn("__left", key_of(left, key, mode)).join(keyed.filter("__key <> ''"), F.col("__left") == F.col("__key"), "left")
+    unique = unique_rows(keyed.filter("__key <> ''"), ["__key"])
+    met = left.withColumn("__left", key_of(left, key, mode)).join(unique, F.col("__left") == F.col("__key"), "left")
     return met.drop("__left", "__key")

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meterlake.functions.keys import prefix_all
 from meterlake.operators.sampling import median_of
+from meterlake.sources.files import write_dated
 
 #: Variables of the weather service.
 VARIABLES = ("temperature_2m", "relative_humidity_2m", "precipitation", "wind_speed_10m", "surface_pressure", "cloud_cover")
@@ -19,6 +20,46 @@ def payload_schema(variables: Sequence[str] = VARIABLES) -> str:
     return f"day date, lat double, lon double, hourly struct<time: array<string>, {series}>"
 
 
+#: Where a reader puts the text of a record that is not JSON of the schema.
+CORRUPT = "_corrupt"
+
+
+def read_payloads(spark: SparkSession, path: str, variables: Sequence[str] = VARIABLES, multiline: bool = False) -> DataFrame:
+    """Landed payloads, one a line (or one a file), with the file they come from; a record that cannot be read keeps its text in ``_corrupt``."""
+    reader = spark.read.schema(f"{payload_schema(variables)}, {CORRUPT} string").option("columnNameOfCorruptRecord", CORRUPT).option("multiLine", multiline)
+    return reader.option("mode", "PERMISSIVE").json(path).withColumn("file", F.col("_metadata.file_path"))
+
+
+def judged(payloads: DataFrame) -> DataFrame:
+    """``payloads`` with ``reason``: why one cannot be used, else null. A short series is no reason: it gives nulls."""
+    times = F.col("hourly.time")
+    odd = F.exists(times, lambda t: F.try_to_timestamp(t, F.lit("yyyy-MM-dd'T'HH:mm")).isNull())
+    reason = (
+        F.when(F.col(CORRUPT).isNotNull(), "not a payload")
+        .when(F.col("day").isNull(), "no day")
+        .when(times.isNull() | (F.size(times) == 0), "no hours")
+        .when(odd, "an hour that is none")
+    )
+    return payloads.withColumn("reason", reason)
+
+
+def accepted(payloads: DataFrame) -> DataFrame:
+    return judged(payloads).filter("reason IS NULL").drop(CORRUPT, "reason")
+
+
+def quarantined(payloads: DataFrame) -> DataFrame:
+    """``file``, ``reason`` and the ``record`` as text of the payloads that are not accepted."""
+    bad = judged(payloads).filter("reason IS NOT NULL")
+    return bad.select("file", "reason", F.coalesce(CORRUPT, F.to_json(F.struct("day", "lat", "lon", "hourly"))).alias("record"))
+
+
+def land_payloads(spark: SparkSession, path: str, out: str, variables: Sequence[str] = VARIABLES, multiline: bool = False) -> None:
+    """Hourly rows by day under ``out``/hourly (only the days that come are replaced), and what was refused under ``out``/quarantine."""
+    payloads = read_payloads(spark, path, variables, multiline)
+    write_dated(hourly_rows(accepted(payloads), variables), f"{out}/hourly", "day", ("hour",))
+    quarantined(payloads).write.mode("append").parquet(f"{out}/quarantine")
+
+
 def hourly_rows(payloads: DataFrame, variables: Sequence[str] = VARIABLES) -> DataFrame:
     """``day``, ``hour`` and a column for each variable; a series that is too short gives nulls."""
     at = payloads.select("day", "hourly", F.posexplode("hourly.time").alias("i", "time"))

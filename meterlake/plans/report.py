@@ -12,13 +12,13 @@ from pyspark.sql import functions as F
 
 from meterlake.functions.calendar import day_literal, days, in_retention
 from meterlake.functions.keys import collision_names, distinct_keys, is_truthy, keep_first, key_of, upper_names
-from meterlake.operators.quality import require_unique, verify_output
+from meterlake.operators.quality import unique_rows, verify_output
 from meterlake.operators.readings import daily_table
 from meterlake.operators.registry import registry
 from meterlake.operators.sampling import spread_sample
 from meterlake.operators.topology import join_colliding, join_prefixed, topology
-from meterlake.sources.files import read_days
-from meterlake.sources.runs import Run, save_snapshot
+from meterlake.sources import versions as V
+from meterlake.sources.runs import Run, save_snapshots
 
 
 def report(base: DataFrame, daily: DataFrame, report_days: DataFrame, key: str = "NIO") -> DataFrame:
@@ -31,10 +31,9 @@ def report(base: DataFrame, daily: DataFrame, report_days: DataFrame, key: str =
 
 
 def sample_report(left: DataFrame, right: DataFrame, key: str = "NIO", prefix: str = "MDM_") -> DataFrame:
-    """Right join on the normalised key, whose left side must be unique; rows without a partner keep the key and have empty left columns."""
+    """Right join on the normalised key, whose left side must be unique (checked by the plan itself, in its one pass over that side); rows without a partner keep the key and have empty left columns."""
     names = collision_names(left.columns, right.columns, [key], prefix)
-    a = left.withColumn("__left", key_of(left, key, "digits_keep_zero")).filter("__left <> ''")
-    require_unique(a, ["__left"])
+    a = unique_rows(left.withColumn("__left", key_of(left, key, "digits_keep_zero")).filter("__left <> ''"), ["__left"])
     b = right.select(key_of(right, key, "digits_keep_zero").alias("__right"), F.col(key).alias("__name"), *(right[c].alias(n) for c, n in names.items()))
     met = a.join(b, F.col("__left") == F.col("__right"), "right")
     own = [F.coalesce(a[key], F.col("__name"), F.col("__right")).alias(key) if c == key else F.col(c) for c in left.columns]
@@ -72,7 +71,9 @@ def _attempt(run: Run, name: str, step: Callable[[], object]) -> bool:
 def run_period(
     sources: Mapping[str, DataFrame], out: str, first: date | str, last: date | str, as_of: date | str, town: str | None = None, go_on: bool = False
 ) -> Run:
-    """Write the report of a period by day, the snapshot of its units, each day's outcome, and the run's record.
+    """Publish the report of a period by day, a snapshot of the units of each day, each day's outcome, and the run's record.
+
+    Report and snapshots become versions that cover the period: days that have no rows any more are not in them.
 
     All days are one job. If that fails, its error is noted and raised or, with ``go_on``, each day is tried by itself,
     so that one broken day costs no other. ``period_status`` under ``out`` gets the outcome of every day, with the run's duration.
@@ -82,7 +83,7 @@ def run_period(
 
     def write(a: date | str, b: date | str) -> None:
         found = daily_report(sources, a, b, as_of, town).withColumnRenamed("REPORT_DAY", "report_day")
-        run.write("report", found, f"{out}/report", "report_day", ("NIO",))
+        run.publish("report", found, f"{out}/report", "report_day", ("NIO",), (a, b))
 
     written: list[tuple[str, str]] = [(str(first), str(last))]
     if not _attempt(run, "report", lambda: write(first, last)):
@@ -91,10 +92,13 @@ def run_period(
             raise RuntimeError(f"report of {first} to {last}: {run.steps[-1][5]}")
         each = [str(r["day"]) for r in days(spark, day_literal(first), day_literal(last)).orderBy("day").collect()]  # a row a day
         written = [(d, d) for d in each if _attempt(run, f"report {d}", lambda d=d: write(d, d))]
-    made = [read_days(spark, f"{out}/report", a, b) for a, b in written if any(s[5] is None for s in run.steps)]
-    present = made[0] if len(made) == 1 else reduce(DataFrame.unionByName, made) if made else None
-    if present is not None:
-        save_snapshot(distinct_keys(present, "UC", name="ucs"), f"{out}/daily_keys", last)
+    made = V.read(spark, f"{out}/report") if any(s[5] is None for s in run.steps) else None
+    present = None
+    if made is not None:
+        present = made.filter(reduce(lambda x, y: x | y, (F.col("report_day").between(day_literal(a), day_literal(b)) for a, b in written)))
+        for a, b in written:
+            part = present.filter(F.col("report_day").between(day_literal(a), day_literal(b)))
+            save_snapshots(part, f"{out}/daily_keys", a, b, "UC", "report_day")
     there = present.select(F.col("report_day").alias("day")) if present is not None else spark.createDataFrame([], "day date")
     status = period_status(spark, there, first, last, as_of).withColumns(
         {"run_id": F.lit(run.run_id), "duration_seconds": F.lit(round(time.monotonic() - began, 3))}

@@ -55,12 +55,31 @@ def read_days(spark: SparkSession, path: str, first: date | str, last: date | st
     return spark.read.parquet(path).filter(F.col(day).between(day_literal(first), day_literal(last)))
 
 
+def on_days(rows: DataFrame, wanted: DataFrame, day: str = "report_day") -> DataFrame:
+    """Rows of a table by day whose day is in ``wanted`` (one column). Partitions are pruned while the query runs, by the days that it finds."""
+    few = wanted.select(F.col(wanted.columns[0]).cast("date").alias(day)).distinct()  # a row a day
+    return rows.join(F.broadcast(few), day, "left_semi").select(*rows.columns)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def inventory(spark: SparkSession, glob: str) -> DataFrame:
     """``path``, ``name``, ``size_bytes``, ``modified`` of files, without reading them."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(glob)
     return found.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified"))
 
 
+def dated_folders(files: DataFrame) -> DataFrame:
+    """``dataset``, ``day``, ``size_bytes``, ``files``, ``modified`` of folders like .../dataset/day=2024-01-31/, from an inventory: no data is opened."""
+    part = r"/([^/]+)/[^/=]+=(\d{4}-\d{2}-\d{2})/[^/]+$"
+    found = files.select(F.regexp_extract("path", part, 1).alias("dataset"), F.try_to_date(F.nullif(F.regexp_extract("path", part, 2), F.lit(""))).alias("day"), "size_bytes", "modified")
+    by_day = found.filter("dataset <> ''").groupBy("dataset", "day")
+    return by_day.agg(F.sum("size_bytes").alias("size_bytes"), F.count(F.lit(1)).alias("files"), F.max("modified").alias("modified"))
+
+
 def read_jdbc(spark: SparkSession, url: str, table: str, column: str | None = None, low: int = 0, high: int = 0, parts: int = 1, fetch: int = 1000, **options: str) -> DataFrame:
     """A table or query of a database, in ``parts`` ranges of a numeric column."""
     reader = spark.read.format("jdbc").options(url=url, dbtable=table, fetchsize=str(fetch), **options)
@@ -71,3 +90,21 @@ def read_jdbc(spark: SparkSession, url: str, table: str, column: str | None = No
 
 def write_jdbc(df: DataFrame, url: str, table: str, mode: str = "append", batch: int = 1000, **options: str) -> None:
     df.write.format("jdbc").options(url=url, dbtable=table, batchsize=str(batch), **options).mode(mode).save()
+
+
+def read_jdbc_keys(
+    spark: SparkSession, url: str, table: str, column: str, keys: DataFrame, staging: str, parts: int = 8, fetch: int = 1000, expression: str | None = None, **options: str
+) -> DataFrame:
+    """The rows of a database table whose ``column`` is in ``keys`` (one column); the database looks the keys up, no other row leaves it.
+
+    Keys go into the table ``staging``, each once, with a part number from their hash; it is written anew by each call with this name. Each Spark partition then
+    asks for one part's rows, by a join inside the database. However long the list is, it never passes the driver.
+    ``expression`` says how the database makes a key of the table's row ``t``, if it is not the column itself.
+    """
+    listed = keys.select(F.col(keys.columns[0]).alias("key")).filter("key IS NOT NULL").distinct()
+    listed = listed.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(parts)).cast("int"))
+    write_jdbc(listed, url, staging, "overwrite", fetch, **options)
+    quoted = f"(SELECT t.*, k.\"part\" FROM {table} t JOIN {staging} k ON {expression or f't."{column}"'} = k.\"key\") found"
+    connection = {"fetchsize": str(fetch), **options}
+    found = spark.read.jdbc(url, quoted, predicates=[f'"part" = {n}' for n in range(parts)], properties=connection)
+    return found.drop("part")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from meterlake.plans import report as P
 from meterlake.sources import files as S
 from meterlake.sources import runs as U
+from meterlake.sources import versions as V
 from meterlake.streaming.slots import slot_stream
 from tests.test_operators import NETWORK, REGISTRY, channels, tables
 
@@ -29,8 +30,8 @@ def test_run_period_is_repeatable(spark, tmp_path):
     for _ in range(2):
         run = P.run_period(sources(spark), str(tmp_path), "2023-12-31", "2024-01-01", "2024-01-02", "riverton")
     assert [s[2] for s in run.steps] == [4]
-    assert spark.read.parquet(f"{tmp_path}/report").count() == 4 and spark.read.parquet(f"{tmp_path}/runs").count() == 2
-    assert S.read_days(spark, f"{tmp_path}/report", "2024-01-01", "2024-01-01").count() == 2
+    assert V.read(spark, f"{tmp_path}/report").count() == 4 and spark.read.parquet(f"{tmp_path}/runs").count() == 2
+    assert V.read(spark, f"{tmp_path}/report").filter("report_day = '2024-01-01'").count() == 2 and V.versions(spark, f"{tmp_path}/report") == [1, 2]
     snap = U.load_snapshot(spark, f"{tmp_path}/daily_keys", "2024-01-01")
     assert {r["count"] for r in snap.collect()} == {2}
     with pytest.raises(FileNotFoundError):
