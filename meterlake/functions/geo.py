@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 from math import radians, sqrt
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -28,50 +29,71 @@ SRID = {
 _WGS84 = (6378137.0, 1 / 298.257223563)
 
 
-def to_wgs84(x: Column, y: Column, srid: int = 29192) -> tuple[Column, Column]:
-    """(latitude, longitude) in degrees of easting ``x`` and northing ``y``."""
-    p = SRID[srid]
+def _steps(p: Projection) -> dict[str, Callable[[Mapping[str, Column]], Column]]:
+    """Named steps from ``x`` and ``y`` to ``lat`` and ``lon``, each from the values before it."""
     a, f = p.semi_major, 1 / p.inverse_flattening
     e2 = f * (2 - f)
     ep2, n = e2 / (1 - e2), f / (2 - f)
     k0, lon0 = 0.9996, radians(6 * p.zone - 183)
-    x, y = x.cast("double") - 500000.0, y.cast("double") - (10000000.0 if p.south else 0.0)
-    mu = y / (k0 * a / (1 + n) * (1 + n**2 / 4 + n**4 / 64))
-    foot = (
-        mu
-        + (3 * n / 2 - 27 * n**3 / 32) * F.sin(2 * mu)
-        + (21 * n**2 / 16 - 55 * n**4 / 32) * F.sin(4 * mu)
-        + (151 * n**3 / 96) * F.sin(6 * mu)
-        + (1097 * n**4 / 512) * F.sin(8 * mu)
-    )
-    sin1, cos1, tan1 = F.sin(foot), F.cos(foot), F.tan(foot)
-    c, t = ep2 * cos1 * cos1, tan1 * tan1
-    w = 1 - e2 * sin1 * sin1
-    radius, meridian = a / F.sqrt(w), a * (1 - e2) / (w * F.sqrt(w))
-    d = x / (radius * k0)
-    lat = foot - (radius * tan1 / meridian) * (
-        d * d / 2
-        - (5 + 3 * t + 10 * c - 4 * c * c - 9 * ep2) * F.pow(d, F.lit(4)) / 24
-        + (61 + 90 * t + 298 * c + 45 * t * t - 252 * ep2 - 3 * c * c) * F.pow(d, F.lit(6)) / 720
-    )
-    lon = lon0 + (
-        d - (1 + 2 * t + c) * F.pow(d, F.lit(3)) / 6 + (5 - 2 * c + 28 * t - 3 * c * c + 8 * ep2 + 24 * t * t) * F.pow(d, F.lit(5)) / 120
-    ) / cos1
-    return _shifted(lat, lon, a, e2, p.shift)
-
-
-def _shifted(lat: Column, lon: Column, a: float, e2: float, shift: tuple[float, float, float]) -> tuple[Column, Column]:
-    if shift == (0.0, 0.0, 0.0):
-        return F.degrees(lat), F.degrees(lon)
-    radius = a / F.sqrt(1 - e2 * F.sin(lat) * F.sin(lat))
-    gx = radius * F.cos(lat) * F.cos(lon) + shift[0]
-    gy = radius * F.cos(lat) * F.sin(lon) + shift[1]
-    gz = radius * (1 - e2) * F.sin(lat) + shift[2]
+    power = lambda c, k: F.pow(c, F.lit(k))
+    steps = {
+        "east": lambda v: v["x"].cast("double") - 500000.0,
+        "north": lambda v: v["y"].cast("double") - (10000000.0 if p.south else 0.0),
+        "mu": lambda v: v["north"] / (k0 * a / (1 + n) * (1 + n**2 / 4 + n**4 / 64)),
+        "foot": lambda v: (
+            v["mu"]
+            + (3 * n / 2 - 27 * n**3 / 32) * F.sin(2 * v["mu"])
+            + (21 * n**2 / 16 - 55 * n**4 / 32) * F.sin(4 * v["mu"])
+            + (151 * n**3 / 96) * F.sin(6 * v["mu"])
+            + (1097 * n**4 / 512) * F.sin(8 * v["mu"])
+        ),
+        "c": lambda v: ep2 * F.cos(v["foot"]) * F.cos(v["foot"]),
+        "t": lambda v: F.tan(v["foot"]) * F.tan(v["foot"]),
+        "w": lambda v: 1 - e2 * F.sin(v["foot"]) * F.sin(v["foot"]),
+        "radius": lambda v: a / F.sqrt(v["w"]),
+        "d": lambda v: v["east"] / (v["radius"] * k0),
+        "phi": lambda v: v["foot"] - (v["radius"] * F.tan(v["foot"]) / (a * (1 - e2) / (v["w"] * F.sqrt(v["w"])))) * (
+            v["d"] * v["d"] / 2
+            - (5 + 3 * v["t"] + 10 * v["c"] - 4 * v["c"] * v["c"] - 9 * ep2) * power(v["d"], 4) / 24
+            + (61 + 90 * v["t"] + 298 * v["c"] + 45 * v["t"] * v["t"] - 252 * ep2 - 3 * v["c"] * v["c"]) * power(v["d"], 6) / 720
+        ),
+        "lam": lambda v: lon0 + (
+            v["d"]
+            - (1 + 2 * v["t"] + v["c"]) * power(v["d"], 3) / 6
+            + (5 - 2 * v["c"] + 28 * v["t"] - 3 * v["c"] * v["c"] + 8 * ep2 + 24 * v["t"] * v["t"]) * power(v["d"], 5) / 120
+        ) / F.cos(v["foot"]),
+    }
+    if p.shift == (0.0, 0.0, 0.0):
+        return steps | {"lat": lambda v: F.degrees(v["phi"]), "lon": lambda v: F.degrees(v["lam"])}
     wa, wf = _WGS84
     we2 = wf * (2 - wf)
-    flat = F.sqrt(gx * gx + gy * gy)
     wb = wa * sqrt(1 - we2)
-    angle = F.atan2(gz * wa, flat * wb)
-    up = gz + we2 / (1 - we2) * wb * F.pow(F.sin(angle), F.lit(3))
-    out = flat - we2 * wa * F.pow(F.cos(angle), F.lit(3))
-    return F.degrees(F.atan2(up, out)), F.degrees(F.atan2(gy, gx))
+    return steps | {
+        "bend": lambda v: a / F.sqrt(1 - e2 * F.sin(v["phi"]) * F.sin(v["phi"])),
+        "gx": lambda v: v["bend"] * F.cos(v["phi"]) * F.cos(v["lam"]) + p.shift[0],
+        "gy": lambda v: v["bend"] * F.cos(v["phi"]) * F.sin(v["lam"]) + p.shift[1],
+        "gz": lambda v: v["bend"] * (1 - e2) * F.sin(v["phi"]) + p.shift[2],
+        "flat": lambda v: F.sqrt(v["gx"] * v["gx"] + v["gy"] * v["gy"]),
+        "angle": lambda v: F.atan2(v["gz"] * wa, v["flat"] * wb),
+        "lat": lambda v: F.degrees(
+            F.atan2(v["gz"] + we2 / (1 - we2) * wb * power(F.sin(v["angle"]), 3), v["flat"] - we2 * wa * power(F.cos(v["angle"]), 3))
+        ),
+        "lon": lambda v: F.degrees(F.atan2(v["gy"], v["gx"])),
+    }
+
+
+def to_wgs84(x: Column, y: Column, srid: int = 29192) -> tuple[Column, Column]:
+    """(latitude, longitude) in degrees of easting ``x`` and northing ``y``, as expressions; ``reproject`` plans faster."""
+    values = {"x": x, "y": y}
+    for name, step in _steps(SRID[srid]).items():
+        values[name] = step(values)
+    return values["lat"], values["lon"]
+
+
+def reproject(df: DataFrame, x: str, y: str, lat: str, lon: str, srid: int = 29192) -> DataFrame:
+    """``df`` with latitude and longitude of columns ``x`` and ``y``. Steps are columns of their own, so none is computed or planned twice."""
+    values, out = {"x": F.col(x), "y": F.col(y)}, df
+    for name, step in _steps(SRID[srid]).items():
+        out = out.withColumn(f"__{name}", step(values))
+        values[name] = F.col(f"__{name}")
+    return out.withColumns({lat: F.col("__lat"), lon: F.col("__lon")}).drop(*(f"__{n}" for n in values if n not in ("x", "y")))

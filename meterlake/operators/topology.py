@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meterlake.functions.geo import to_wgs84
+from meterlake.functions.geo import reproject
 from meterlake.functions.keys import collision_names, key_of, normalize_key, prefix_all
 from meterlake.operators.quality import unique_rows
 
@@ -49,8 +49,7 @@ def topology(t: Mapping[str, DataFrame], keys: DataFrame | None = None, feeders:
 
 
 def with_pole_position(df: DataFrame, x: str = "COORD_X_POSTE", y: str = "COORD_Y_POSTE", srid: int = 29192) -> DataFrame:
-    lat, lon = to_wgs84(F.col(x), F.col(y), srid)
-    return df.withColumns({"LAT_POSTE_WGS84": lat, "LONG_POSTE_WGS84": lon})
+    return reproject(df, x, y, "LAT_POSTE_WGS84", "LONG_POSTE_WGS84", srid)
 
 
 def join_prefixed(left: DataFrame, right: DataFrame, key: str, prefix: str = "GEO_", how: str = "inner") -> DataFrame:

@@ -286,12 +286,13 @@ def median_point(spark: SparkSession, sf_dir: str) -> DataFrame:
     return W.median_point(c)
 
 
-_HOURS = "SELECT CAST(ts AS DATE) AS day, hour(ts) AS hour, max(CAST(value AS DECIMAL(18,2))) AS top FROM events WHERE value > 50 GROUP BY 1, 2"
+_HOURS = "SELECT CAST(ts AS DATE) AS day, hour(ts) AS hour, max(CASE WHEN event_type = 'signup' THEN CAST(value AS DECIMAL(18,2)) END) AS top FROM events GROUP BY 1, 2"
 
 
 def _hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").filter("value > 50")
-    return e.groupBy(F.col("ts").cast("date").alias("day"), F.hour("ts").alias("hour")).agg(F.max(F.col("value").cast("decimal(18,2)")).alias("top"))
+    """Each hour's highest signup; null where an hour has none."""
+    e = table(spark, sf_dir, "events").groupBy(F.col("ts").cast("date").alias("day"), F.hour("ts").alias("hour"))
+    return e.agg(F.max(F.when(F.col("event_type") == "signup", F.col("value").cast("decimal(18,2)"))).alias("top"))
 
 
 @query(f"""
@@ -339,12 +340,12 @@ WITH k AS (SELECT upper(trim(coalesce(o_custkey::VARCHAR, ''))) AS a, upper(trim
 t AS (SELECT count(*) AS n, count(*) - (SELECT count(*) FROM (SELECT DISTINCT a, b FROM k)) AS rep, count(*) FILTER (WHERE a = '') AS ba, count(*) FILTER (WHERE b = '') AS bb FROM k)
 SELECT 'has_header' AS check, TRUE AS passed, '2 columns' AS detail UNION ALL SELECT 'key_columns_present', TRUE, '2 key columns'
 UNION ALL SELECT 'no_nulls_in_keys', ba = 0 AND bb = 0, CASE WHEN ba = 0 AND bb = 0 THEN 'no blank keys' ELSE concat_ws(', ', CASE WHEN ba > 0 THEN 'O_CUSTKEY: ' || ba END, CASE WHEN bb > 0 THEN 'PRIO: ' || bb END) END FROM t
-UNION ALL SELECT 'row_count_coherent', n BETWEEN 14000 AND 16000, n || ' rows, expected 13500 to 16500' FROM (SELECT count(*) AS n FROM k)
+UNION ALL SELECT 'row_count_coherent', n BETWEEN e - e // 10 AND e + e // 10, n || ' rows, expected ' || (e - e // 10) || ' to ' || (e + e // 10) FROM (SELECT count(*) AS n FROM k), (SELECT 10 * count(*) AS e FROM customer)
 UNION ALL SELECT 'no_duplicates', rep = 0, rep || ' repeated rows' FROM t
-""".replace("14000 AND 16000", "13500 AND 16500"))
+""")
 def verify_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").select("o_custkey", F.nullif("o_orderpriority", F.lit("1-URGENT")).alias("prio"))
-    return Q.verify_output(o, ["O_CUSTKEY", "PRIO"], 15000)
+    return Q.verify_output(o, ["O_CUSTKEY", "PRIO"], 10 * table(spark, sf_dir, "customer").count())
 
 
 @query("""
@@ -358,15 +359,15 @@ def match_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 WITH e AS (SELECT unnest(generate_series(DATE '2023-12-30', DATE '2024-01-31', INTERVAL 1 DAY))::DATE AS day),
-h AS (SELECT DISTINCT user_id % 10 AS user_group, CAST(ts AS DATE) AS day FROM events WHERE event_type = 'purchase'),
-m AS (SELECT g.user_group, e.day, h.day IS NOT NULL AS hit FROM (SELECT DISTINCT user_group FROM h) g CROSS JOIN e LEFT JOIN h ON h.user_group = g.user_group AND h.day = e.day)
-SELECT user_group, count(*) AS total_days, count(*) FILTER (WHERE hit) AS covered_days, round(100.0 * count(*) FILTER (WHERE hit) / count(*), 1)::DOUBLE AS coverage_percent,
-  bool_and(hit) AS complete, coalesce(string_agg(day::VARCHAR, ',' ORDER BY day) FILTER (WHERE NOT hit), '') AS missing FROM m GROUP BY user_group
+h AS (SELECT DISTINCT user_id, CAST(ts AS DATE) AS day FROM events),
+m AS (SELECT g.user_id, e.day, h.day IS NOT NULL AS hit FROM (SELECT DISTINCT user_id FROM h) g CROSS JOIN e LEFT JOIN h ON h.user_id = g.user_id AND h.day = e.day)
+SELECT user_id, count(*) AS total_days, count(*) FILTER (WHERE hit) AS covered_days, round(100.0 * count(*) FILTER (WHERE hit) / count(*), 1)::DOUBLE AS coverage_percent,
+  bool_and(hit) AS complete, coalesce(string_agg(day::VARCHAR, ',' ORDER BY day) FILTER (WHERE NOT hit), '') AS missing FROM m GROUP BY user_id
 """)
 def coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Days with a purchase in each group of users."""
-    e = table(spark, sf_dir, "events").filter("event_type = 'purchase'").select((F.col("user_id") % 10).alias("user_group"), F.col("ts").alias("day"))
-    return Q.coverage(e, day_literal("2023-12-30"), day_literal("2024-01-31"), by=["user_group"])
+    """Days with and without an event of each user."""
+    e = table(spark, sf_dir, "events").select("user_id", F.col("ts").alias("day"))
+    return Q.coverage(e, day_literal("2023-12-30"), day_literal("2024-01-31"), by=["user_id"])
 
 
 _SIZES = "SELECT CAST(o_orderdate AS DATE) AS file_date, count(*) * 1000 + sum(o_orderkey % 7)::BIGINT AS size_bytes FROM orders GROUP BY 1"
@@ -439,10 +440,10 @@ def key_snapshot_day(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT i::INT AS days_back, (DATE '2024-02-01' - i::INT) AS day, (DATE '2024-02-01' - i::INT) IN (SELECT CAST(ts AS DATE) FROM events WHERE event_type = 'signup' AND value > 90) AS found FROM range(1, 41) r(i)
+SELECT i::INT AS days_back, (DATE '2024-02-01' - i::INT) AS day, (DATE '2024-02-01' - i::INT) IN (SELECT CAST(ts AS DATE) FROM events) AS found FROM range(1, 41) r(i)
 """)
 def days_back(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").filter("event_type = 'signup' AND value > 90")
+    e = table(spark, sf_dir, "events")
     return days_back_lookup(spark, e.select(F.col("ts").alias("day")), AS_OF, 40)
 
 
@@ -569,21 +570,28 @@ def registry_generation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own_generation(g, table(spark, sf_dir, "customer").filter("c_mktsegment <> 'BUILDING'").select(F.col("c_custkey").alias("uc")))
 
 
-@query("""
+NETWORK_SQL = """
 SELECT DISTINCT c_custkey AS "UC", CASE c_mktsegment WHEN 'BUILDING' THEN 'LG' ELSE 'CR' END AS "SITUACAO", 'P' || c_custkey % 9 AS "POSTO_OPERACIONAL",
   s_acctbal AS "POT_INST_KVA", n_name AS "GEDIS_ALIMENTADOR", CASE WHEN n_nationkey % 4 <> 1 THEN lower(n_name) END AS "ALIMENTADOR",
   CASE WHEN n_nationkey % 4 <> 1 THEN n_nationkey END AS "TENSAO_ALIMENTADOR", r_name AS "SUBESTACAO", left(r_name, 2) AS "SIGLA_SE", r_regionkey * 10 AS "TENSAO_SE",
   r_regionkey AS "CAR_SE", CASE WHEN r_name <> 'ASIA' THEN r_name END AS "MUNICIPIO_SE", CASE WHEN r_name <> 'ASIA' THEN r_regionkey END AS "COD_MUN_SE"
 FROM customer JOIN supplier ON c_custkey % 9 = s_suppkey LEFT JOIN nation ON s_nationkey = n_nationkey
 LEFT JOIN region ON n_regionkey = r_regionkey AND n_nationkey % 4 <> 1 WHERE c_mktsegment IN ('BUILDING', 'MACHINERY') AND c_custkey % 9 <> 3
-""")
+"""
+
+
+@query(NETWORK_SQL)
 def network_topology(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topology(network(spark, sf_dir))
+
+
+def network(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """Customers as units, suppliers as transformers and their lines, nations as feeders, regions as substations and towns."""
     c, s, n, r = (table(spark, sf_dir, t) for t in ("customer", "supplier", "nation", "region"))
     k, nk, rk = F.col("c_custkey"), F.col("n_nationkey"), F.col("r_regionkey")
     state = F.when(F.col("c_mktsegment") == "BUILDING", "LG").when(F.col("c_mktsegment") == "MACHINERY", "CR").otherwise("XX")
     post = F.concat(F.lit("P"), k % 9, F.when(k % 9 == 3, "PTMUN").otherwise(""))
-    t = {
+    return {
         "UC_ENERGIA": c.select(k.alias("ISN_UC"), state.alias("TIPO_SIT_UC"), post.alias("NUMERO_POSTO_UC")),
         "POSTO_TRANSFORMADOR": s.select(F.concat(F.lit("P"), "s_suppkey").alias("NUM_OPER_POSTO"), F.col("s_acctbal").alias("POT_INST_POSTO"), F.col("s_suppkey").alias("NUM_GEO_TRECHO_PRIM_POSTO")),
         "TRECHO_PRIMARIO": s.select(F.col("s_suppkey").alias("NUM_SEQ_GEO"), F.col("s_nationkey").alias("NUM_GEO_ALIM_TRPRIM")),
@@ -592,7 +600,6 @@ def network_topology(spark: SparkSession, sf_dir: str) -> DataFrame:
         "SUBESTACAO": r.select(rk.alias("NUM_SEQ_SE"), F.col("r_name").alias("NOME_SE"), F.substring("r_name", 1, 2).alias("SIGLA_SE"), (rk * 10).alias("TENSAO_NOM_SE"), rk.alias("CAR_SE"), rk.alias("COD_MUN_SE")),
         "MUNICIPIO": r.filter("r_name <> 'ASIA'").select(rk.alias("COD_MUN"), F.col("r_name").alias("NOME_MUN")),
     }
-    return topology(t)
 
 
 def file_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -603,14 +610,18 @@ def file_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["file_inventory"] = file_inventory
 
 
+def database(spark: SparkSession) -> tuple[str, dict[str, str]]:
+    url = spark.conf.get("spark.meterlake.jdbc.url", None) or "jdbc:derby:memory:roundtrip;create=true"
+    return url, {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"} if ":derby:" in url else {}
+
+
 @query("SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer")
 def jdbc_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers into a database and back in ranges of the key.
 
     ``spark.meterlake.jdbc.url`` names the database; without it an in-memory one is used, which only a local master can share.
     """
-    url = spark.conf.get("spark.meterlake.jdbc.url", None) or "jdbc:derby:memory:roundtrip;create=true"
-    driver = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"} if ":derby:" in url else {}
+    url, driver = database(spark)
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")
     write_jdbc(c, url, "customer_copy", "overwrite", **driver)
     ends = c.agg(F.min("c_custkey"), F.max("c_custkey")).first()

@@ -93,18 +93,21 @@ def write_jdbc(df: DataFrame, url: str, table: str, mode: str = "append", batch:
 
 
 def read_jdbc_keys(
-    spark: SparkSession, url: str, table: str, column: str, keys: DataFrame, staging: str, parts: int = 8, fetch: int = 1000, expression: str | None = None, **options: str
-) -> DataFrame:
+    spark: SparkSession, url: str, table: str, column: str, keys: DataFrame, staging: str, parts: int = 8, fetch: int = 1000, expression: str | None = None,
+    key_type: str | None = None, **options: str,
+) -> DataFrame:
     """The rows of a database table whose ``column`` is in ``keys`` (one column); the database looks the keys up, no other row leaves it.
 
     Keys go into the table ``staging``, each once, with a part number from their hash; it is written anew by each call with this name. Each Spark partition then
     asks for one part's rows, by a join inside the database. However long the list is, it never passes the driver.
-    ``expression`` says how the database makes a key of the table's row ``t``, if it is not the column itself.
+    ``expression`` says how the database makes a key of the table's row ``t``, if it is not the column itself; ``key_type`` is the
+    database's type for keys (text keys need one that can be compared, such as VARCHAR(40)).
     """
     listed = keys.select(F.col(keys.columns[0]).alias("key")).filter("key IS NOT NULL").distinct()
     listed = listed.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(parts)).cast("int"))
-    write_jdbc(listed, url, staging, "overwrite", fetch, **options)
-    quoted = f"(SELECT t.*, k.\"part\" FROM {table} t JOIN {staging} k ON {expression or f't."{column}"'} = k.\"key\") found"
+    declared = {"createTableColumnTypes": f"key {key_type}"} if key_type else {}
+    write_jdbc(listed, url, staging, "overwrite", fetch, **options, **declared)
+    quoted = f"(SELECT t.*, k.\"part\" FROM {table} t JOIN {staging} k ON {expression or f't."{column}"'} = k.\"key\") keyed"
     connection = {"fetchsize": str(fetch), **options}
     found = spark.read.jdbc(url, quoted, predicates=[f'"part" = {n}' for n in range(parts)], properties=connection)
     return found.drop("part")

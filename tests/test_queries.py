@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from meterlake.plans.queries import ORACLE_SQL, QUERIES
+from meterlake.plans.flows import ORACLE_SQL, QUERIES
 
 D = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
