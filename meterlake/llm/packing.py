@@ -4,11 +4,13 @@ Every partition packs the documents it reads, so nothing is shuffled and no key
 be hot. A document longer than a window first fills whole windows; its tail goes to
 the fill level h that makes the sum over levels of (number of windows at that
 level) squared smallest, looked up in a level array (ties: the fullest window).
-At most ``OPEN`` windows are open at a time. A tail for which the rule wants one more goes
-into one of them, whole or, where none has room, cut: its beginning fills the window at the level
-that leaves the smallest sum, its end opens the next window. A window is written out as soon as it is full.
-Only the last ``OPEN`` windows of a partition are left to be cut again: their pieces fill windows to the
-brim, and the last, part-filled one is written as windows of powers of two, which need no padding.
+Level 0 is a new window, and the rule is free to open one: how many may be open is bound by memory alone (``OPEN``, 4 KB each), and
+only a tail for which the rule wants one more than that is cut: its beginning fills the window at the level that leaves the smallest sum, its
+end opens the next. A window is written out as soon as it is full.
+
+When a partition ends, windows filled to ``KEEP`` or more stay as the rule left them, and are padded. The others' pieces fill windows to
+the brim, and the last, part-filled one is written as windows of powers of two, which need no padding. The share of tails that this
+concerns falls with the documents of a partition.
 
 ``sequence_id`` holds the partition in its upper bits, so ids are unique over the
 job without coordination.
@@ -34,8 +36,8 @@ from meterlake.llm.shared import text_of
 from meterlake.sources.tables import table
 
 WINDOW, END_ID, TOKENIZER = 1024, 0, "byte_bpe_50k"
-#: Windows that a partition keeps open.
-OPEN = 8
+#: Windows that a partition keeps open at most (40 MB), and how full one has to be to stay as it is at the end.
+OPEN, KEEP = 10_000, 7 / 8
 #: Texts read at a time.
 ROWS = 500
 #: Outside these characters the ``tokenizers`` library encodes; inside, ``tiktoken`` gives the same ids, three times as fast.
@@ -134,8 +136,11 @@ class Levels:
         self.open[level].append(pieces)
         self.count[level] += 1
 
-    def rest(self) -> Iterator[list[Piece]]:
-        """What is open, cut anew: full windows, then powers of two."""
+    def rest(self, keep: float = KEEP) -> Iterator[list[Piece]]:
+        """What is open: windows that are full enough, then the others cut anew to full ones and to powers of two."""
+        for level in sorted(self.open, reverse=True):
+            if level >= keep * self.window:
+                yield from self.open.pop(level)
         left = [p for level in sorted(self.open, reverse=True) for pieces in self.open[level] for p in pieces]
         total = sum(len(p.ids) for p in left)
         left.reverse()
@@ -153,16 +158,16 @@ class Levels:
             yield pieces
 
 
-def windows_of(documents: Iterator[tuple[object, np.ndarray]], window: int) -> Iterator[list[Piece]]:
+def windows_of(documents: Iterator[tuple[object, np.ndarray]], window: int, most: int = OPEN, keep: float = KEEP) -> Iterator[list[Piece]]:
     """Windows, each a list of pieces in order, of documents given as (id, token ids)."""
-    levels = Levels(window)
+    levels = Levels(window, most)
     for doc, ids in documents:
         whole = len(ids) - len(ids) % window
         for start in range(0, whole, window):
             yield [Piece(doc, start, ids[start : start + window], len(ids))]
         if whole < len(ids) and (full := levels.place(Piece(doc, whole, ids[whole:].copy(), len(ids)))):
             yield full
-    yield from levels.rest()
+    yield from levels.rest(keep)
 
 
 def pack(
@@ -173,6 +178,8 @@ def pack(
     folder: str | None = None,
     id_col: str = "doc_id",
     text_col: str = "text",
+    open_windows: int = OPEN,
+    keep: float = KEEP,
 ) -> DataFrame:
     """One row per piece: id, ``start``, ``length``, ``ids`` (little-endian unsigned 32-bit), ``doc_tokens``, ``sequence_id``, ``offset``."""
     rows = docs.select(docs[id_col].alias("id"), text_of(docs[text_col]).alias("text"))
@@ -200,7 +207,7 @@ def pack(
             return batch
 
         sequence = TaskContext.get().partitionId() << 36
-        for pieces in windows_of(documents(), window):
+        for pieces in windows_of(documents(), window, open_windows, keep):
             offset = 0
             for p in pieces:
                 out.append((p.doc, p.start, len(p.ids), p.ids.astype("<u4").tobytes(), p.total, sequence, offset))
