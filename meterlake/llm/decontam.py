@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from meterlake.llm.bitmap import bits_for, build, contains
+from meterlake.llm.lookup import without
 from meterlake.llm.shared import materialize, text_of
 from meterlake.sources.tables import table
 
@@ -244,9 +245,8 @@ def contamination(
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the documents that hold a test item."""
-    leaked = contamination(docs, benchmark, id_col, text_col).select(F.col(id_col).alias("__leak")).distinct()
-    return docs.join(leaked, docs[id_col].eqNullSafe(leaked["__leak"]), "left_anti")
+    """``docs`` without the documents that hold a test item. Texts stay where they are: only the ids that go are looked up."""
+    return without(docs, contamination(docs, benchmark, id_col, text_col).select(id_col), id_col)
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -54,8 +54,11 @@ def attach(rows: DataFrame, small: DataFrame, keys: Sequence[str], most: int = B
 
 
 def without(rows: DataFrame, gone: DataFrame, key: str, most: int = BROADCAST_BYTES) -> DataFrame:
-    """``rows`` but those whose ``key`` is in the one column of ``gone``. A null key is in no table."""
-    gone = materialize(gone.toDF("__gone").filter("__gone IS NOT NULL").distinct(), "gone")
+    """``rows`` but those whose ``key`` is in the one column of ``gone``; a null in it takes the rows without a key away."""
+    gone = materialize(gone.toDF("__gone").distinct(), "gone")
+    if not gone.filter("__gone IS NULL").isEmpty():
+        rows = rows.filter(F.col(key).isNotNull())
+    gone = gone.filter("__gone IS NOT NULL")
     count, size = _size(gone)
     if size <= most:
         return rows.join(F.broadcast(gone), rows[key] == F.col("__gone"), "left_anti")

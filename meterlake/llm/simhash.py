@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meterlake.llm.components import components
+from meterlake.llm.lookup import without
 from meterlake.llm.shared import materialize, text_of
 from meterlake.sources.tables import table
 
@@ -172,9 +173,9 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
 
 def kept(docs: DataFrame, found: DataFrame, id_col: str) -> DataFrame:
-    """The rows of ``docs`` whose id names their component in ``found``."""
-    keep = found.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__keep")).distinct()
-    return docs.join(keep, docs[id_col].eqNullSafe(keep["__keep"]), "left_semi")
+    """The rows of ``docs`` whose id names their component in ``found``. Texts stay where they are: only the ids that go are looked up."""
+    names = F.bool_or(F.col(id_col).eqNullSafe(F.col("component_id"))).alias("names")
+    return without(docs, found.groupBy(id_col).agg(names).filter(~F.col("names")).select(id_col), id_col)
 
 
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,8 @@
 import re
 from collections import Counter, defaultdict
 
+from pyspark.sql import functions as F
+
 from meterlake.llm.packing import encoder
 
 import corpus_pipeline as P
@@ -97,3 +99,31 @@ def test_null_texts_pass(spark, tmp_path):
     for t in ("labels", "benchmark"):
         spark.read.parquet(f"{D}/{t}.parquet").limit(0).write.parquet(str(tmp_path / f"{t}.parquet"))
     assert P.run(spark, str(tmp_path)).count() > 0
+
+
+def test_stages_that_drop_rows_move_no_texts(spark):
+    docs = spark.read.parquet(f"{D}/documents.parquet")
+    for stage in (P.near_dedup, P.decontaminate):
+        plan = stage(spark, docs, D)._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+        assert not any("Exchange" in line and "text" in line for line in plan.splitlines())
+
+
+def test_awkward_rows_pass_through_every_stage(spark, tmp_path):
+    """A null id, a text of megabytes, and columns whose names clash with inner ones."""
+    docs = spark.read.parquet(f"{D}/documents.parquet")
+    extra = {c: F.lit("z") for c in ("id", "row", "fp", "key", "tag", "words", "rep", "root", "n", "gone", "__gone")}
+    prose = " ".join(docs.filter("doc_id = 1").first()["text"].split())
+    own = " ".join(f"{w}{k}" for k in range(300) for w in prose.split()[:60]) + ". "
+    more = spark.createDataFrame([(None, own * 20, "en", "s", 0), (10**12, None, "en", "s", 0)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    now = docs.unionByName(more).withColumns(extra)
+    for name, stage in P.STAGES[1:4]:
+        now = stage(spark, now, D)
+        assert now.columns == ["doc_id", "text", "lang", "source", "n_chars"], name
+        now = now.withColumns(extra)
+    now.write.parquet(str(tmp_path / "kept"))
+    now = spark.read.parquet(str(tmp_path / "kept"))
+    found = {r["doc_id"]: r["text"] for r in now.collect()}
+    assert len(found[None]) > 2_000_000
+    pieces = P.packing(spark, now, D).filter("doc_id IS NULL").collect()
+    assert sum(r["length"] for r in pieces) == len(encoder()(found[None])) + 1
