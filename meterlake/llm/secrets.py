@@ -10,7 +10,10 @@ target through other names (``a = "..."``, ``b = a + "..."``, ``password = b``,
 the target's name times the literal's strength (length, character classes,
 entropy, not a placeholder); literals of 0.5 and more are reported as ``literal``
 spans. So are all pieces of a value that has 0.5 once its pieces are put together. Names without any binding to a literal, and literals bound to plain names,
-are left alone. Elements (``<password>...</password>``) and options (``--password ...``) are pairs of a name and a literal too.
+are left alone. A dotted name is read as what was bound to it (behind ``self``, ``this`` and ``cls`` also as what was bound to its last part), an element ``m["k"]`` or ``m.get("k")`` as what
+was bound to ``m["k"]``, ``m.k`` or, in a literal map, to ``k``. Arguments of a call are literals of its target, but for the first one of a function that gets a value by its name
+(``getenv("PASS", "...")``). Strings in triple quotes count line by line, put together. The body of a private key in PEM form is a literal named by its header.
+A target whose last part says that it is about a secret and is none (``token_url``, ``password_length``) is a plain one. Elements (``<password>...</password>``) and options (``--password ...``) are pairs of a name and a literal too.
 Names before commas at a line's begin (``user, password = "...", "..."``) take the values in their order; a name whose line ends
 in ``: |`` or ``: >`` takes the lines below that are indented further (blocks inside a block are not read again). Where there are
 more or fewer values than names, the last name alone takes the first value.
@@ -58,15 +61,30 @@ SENSITIVE = {
     "password": 1.0, "passwd": 1.0, "passphrase": 1.0, "pwd": 0.9, "secret": 1.0, "token": 0.9, "apikey": 1.0, "privatekey": 1.0,
     "accesskey": 1.0, "secretkey": 1.0, "signingkey": 1.0, "encryptionkey": 1.0, "credential": 0.9, "credentials": 0.9, "bearer": 0.8, "auth": 0.7,
 }
+#: Last parts of names that speak of a secret without being one.
+HARMLESS = frozenset(
+    "count description enabled endpoint error expires expiry field file filename format header help hint host label length limit link location max message min name "
+    "param path pattern placeholder policy prefix prompt regex required rule size suffix timeout title ttl type uri url version visible".split()
+)
+#: Functions whose first argument is the name of a value.
+GETTERS = frozenset("env environ fetch get getenv getparameter getproperty getsecret getvalue lookup read resolve".split())
 PLACEHOLDERS = re.compile(r"(?i)^(?:change_?me|example|sample|dummy|none|null|true|false|test|todo|your[_-].*|x{3,}|\*{3,}|<.*>|\.{3,})$")
 
 _OPERATOR = re.compile(r"(?::=|=>|(?<![=!<>:+*/|&^%-])=(?![=~])|(?<!:):(?![:=/]))")
 _TARGET = re.compile(r"""([A-Za-z_][A-Za-z0-9_.-]*)(?:["'`]|\]|["'`]\])?(?:[ \t]*:[ \t]*[A-Za-z_][\w.\[\]]*)?[ \t]*$""", re.A)
 _JOIN = re.compile(r"""\+|\.\.|\.(?=[ \t]*["'`$A-Za-z_])|\|\|""", re.A)
 _PIECE = re.compile(
-    r"""[fFrRbBuU]{0,2}(?P<quote>["'`])(?P<text>(?:(?!(?P=quote))[^\\\n]|\\.)*+)(?P=quote)|\$\{?(?P<ref>[A-Za-z_]\w*)\}?|(?P<bare>[A-Za-z0-9_+/.~@%^&*!-]+={0,2})""",
-    re.A,
+    r"""[fFrRbBuU]{0,2}(?P<triple>"{3}|'{3})(?P<lines>(?:(?!(?P=triple))(?:\\.|[^\\]))*+)(?P=triple)|[fFrRbBuU]{0,2}(?P<quote>["'`])(?P<text>(?:(?!(?P=quote))[^\\\n]|\\.)*+)(?P=quote)|\$\{?(?P<ref>[A-Za-z_]\w*)\}?|(?P<bare>[A-Za-z0-9_+/.~@%^&*!-]+={0,2})""",
+    re.A | re.S,
 )
+#: What makes a name before it a call, an element, or an element with a default.
+_CALL = re.compile(r"\(")
+_ITEM = re.compile(r"""(?:\[[ \t]*["']([A-Za-z_][\w.-]*)["'][ \t]*\])+|\.get\([ \t]*["']([A-Za-z_][\w.-]*)["'][ \t]*(?=[,)])""", re.A)
+_DOTTED = re.compile(r"[A-Za-z_]\w*(?:\.[A-Za-z_]\w*)+\Z", re.A)
+_LIKE_NAME = re.compile(r"(?:[A-Za-z_][A-Za-z_.:/-]*|[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)+)\Z", re.A)
+_OWNER = re.compile(r"""([A-Za-z_][\w.]*)\[[ \t]*["'`]\Z""", re.A)
+#: Bodies of private keys.
+_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----\s*([^-\s][^-]*)-----END", re.A)
 #: Between pieces of one line; after a join or inside brackets; and before a join that begins an indented line.
 _GAP = re.compile(r"(?:[ \t]|\\\r?\n)*+")
 _WIDE = re.compile(r"(?:[ \t\r\n]|\\\r?\n|(?:#|//)[^\n]*)*+")
@@ -92,6 +110,8 @@ class Span(NamedTuple):
 def name_weight(name: str) -> float:
     """How sensitive a target's name is: the best weight among its parts and neighbouring pairs of parts."""
     parts = [x.lower() for x in _PARTS.findall(name[-NAME_MAX:])]
+    if parts and parts[-1] in HARMLESS:
+        return 0.0
     tried = parts + [a + b for a, b in zip(parts, parts[1:])]
     return max((SENSITIVE.get(x, 0.0) for x in tried), default=0.0)
 
@@ -164,10 +184,25 @@ def _summed(x: _Value, text: str) -> _Sum:
     return x.sum
 
 
+def _named(word: str, bound: dict[str, _Value]) -> _Value | None:
+    """What a name, maybe a dotted one, is bound to."""
+    if _NAME.match(word):
+        return bound.get(word)
+    if not _DOTTED.match(word):
+        return None
+    return bound.get(word) or (bound.get(word.rpartition(".")[2]) if word.partition(".")[0] in ("self", "this", "cls") else None)
+
+
+def _lines(lo: int, hi: int, text: str) -> list[_Value]:
+    """The lines of a string in triple quotes, without the blanks around them and the marks of a key."""
+    found = [(m.start(2), m.start(2) + len(m[2].rstrip())) for m in _LINE.finditer(text, lo, hi) if m[2].strip() and not m[2].startswith("-----")]
+    return [_Value(x) for x in found]
+
+
 def _expression(text: str, at: int, bound: dict[str, _Value], read: dict[tuple, _Value | None]) -> _Value | None:
     """The value written at ``at``, up to its end; None if it has no literals. ``read`` has what was read before, by place."""
     items: list[list] = []
-    depth, have, fresh, tail, key = 0, False, True, None, None
+    depth, have, fresh, tail, key, skip = 0, False, True, None, None, False
     while True:
         if key is not None and key in read:
             tail = read[key]
@@ -177,11 +212,11 @@ def _expression(text: str, at: int, bound: dict[str, _Value], read: dict[tuple,
         if depth and mark and mark in ")],":
             at += 1
             if mark == ",":
-                fresh = True
+                fresh, skip = True, False
                 if items:
                     items[-1][2] = True
             else:
-                depth -= 1
+                depth, skip = depth - 1, False
             continue
         if not depth and not fresh and (line := _NEXT.match(text, at)):
             at = line.end()
@@ -195,7 +230,28 @@ def _expression(text: str, at: int, bound: dict[str, _Value], read: dict[tuple,
             break
         at, fresh = piece.end(), False
         new: list[_Value] = []
-        if piece["quote"]:
+        word = piece["ref"] or piece["bare"]
+        if piece["bare"] and (item := _ITEM.match(text, at)) and (item[1] or item[2]):
+            inner = item[1] or item[2]
+            base = word.removesuffix(".get")
+            value = bound.get(f"{base}.{inner}") or bound.get(inner)
+            at, have, opened = item.end(), True, item[2] is not None
+            new += [value] * (value is not None)
+            depth += opened
+        elif piece["bare"] and (_NAME.match(word) or _DOTTED.match(word)) and (call := _CALL.match(text, at)):
+            base, _, last = word.rpartition(".")
+            argument = _PIECE.match(text, _WIDE.match(text, call.end()).end())
+            said = argument["text"] if argument and argument["quote"] else None
+            if last == "get" and said is not None and ((value := bound.get(f"{base}.{said}")) or (value := bound.get(said))):
+                new.append(value)
+            at, depth, fresh, have = call.end(), depth + 1, True, True
+            skip = last.lower().replace("_", "") in GETTERS and said is not None and (bool(_LIKE_NAME.match(said)) or text[argument.end() : argument.end() + 1] == ",")
+            if skip:
+                at, fresh = argument.end(), False
+        elif piece["triple"]:
+            have = True
+            new += _lines(*piece.span("lines"), text)
+        elif piece["quote"]:
             have = True
             lo, end = piece.span("text")
             for inner in _INSIDE.finditer(text, lo, end):
@@ -203,13 +259,13 @@ def _expression(text: str, at: int, bound: dict[str, _Value], read: dict[tuple,
                     new += [_Value((lo, inner.start()))] * (lo < inner.start()) + [bound[inner[1]]]
                     lo = inner.end()
             new += [_Value((lo, end))] * (lo < end)
-        elif (word := piece["ref"] or piece["bare"]) and _NAME.match(word) and word in bound:
+        elif (value := _named(word, bound)) is not None:
             have = True
-            new.append(bound[word])
+            new.append(value)
         elif piece["bare"]:
-            name = bool(_NAME.match(word))
+            name = bool(_NAME.match(word) or _DOTTED.match(word))
             have = True
-            if not (name and depth):
+            if not (name and depth) and not (_DOTTED.match(word) and not any(map(str.isdigit, word))):  # a dotted name of letters is one of something else
                 new.append(_Value(piece.span("bare"), loose=name))
         for k, value in enumerate(new):
             items.append([key if k == 0 else None, value, False])
@@ -307,15 +363,20 @@ def assigned_literals(text: str) -> list[Span]:
         else:
             met = [(name, _expression(text, at, bound, read)) for name, at in pairs or [(target[1], op.end())]]
         for name, value in met:
-            short = re.split(r"[.]", name)[-1]
+            names = {name, name.rpartition(".")[2]}
+            if owner := _OWNER.search(line[: target.start()]):
+                names.add(f"{owner[1]}.{name}")
             if value is None:
-                bound.pop(short, None)
+                for n in names:
+                    bound.pop(n, None)
                 continue
             if value.part is not None:
                 _summed(value, text)
-            bound[short] = value
+            bound.update(dict.fromkeys(names, value))
             if weight := name_weight(name):
                 judge(value, weight)
+    for m in _PEM.finditer(text):
+        found.update(v.span for v in _lines(*m.span(2), text))
     for pattern in _PAIRS:
         for m in pattern.finditer(text):
             if (weight := name_weight(m[1])) and weight * strength(m[2]) >= MIN_SCORE:

@@ -132,7 +132,7 @@ def test_blocks_and_lists_of_targets():
     assert literals("def f(a, password='hUnter2Xq9z!', name='Zx9-aa81kk')") == ["hUnter2Xq9z!"]
     assert literals("  user, password='hUnter2Xq9z!', name='Zx9-aa81kk')") == ["hUnter2Xq9z!"]
     # other numbers of values than of names: one assignment to the last name
-    assert literals("user, password = 'hUnter2Xq9z!', b, c") == ["hUnter2Xq9z!"] and literals("user, password = find('Zx9-aa81kk')") == []
+    assert literals("user, password = 'hUnter2Xq9z!', b, c") == ["hUnter2Xq9z!"] and literals("user, password = find('Zx9-aa81kk')") == ["Zx9-aa81kk"]
     began = time.time()
     for t in ("a,b=" * 30000, "a,b='" * 30000, "a,b=(" * 30000, "a: |\n" * 30000, "".join(" " * k + "a: |\n" for k in range(1000)), "\na,b=" + "x" * 200000, "a: |\n" + " x: y\n" * 30000):
         scan_text(t)
@@ -176,3 +176,76 @@ def test_spans_equal_a_plain_evaluator():
         got = {(s.start, s.end) for s in assigned_literals(text)}
         assert want <= got, (text, want - got)
         assert got <= reached, text  # parts of a value that stand out by themselves may be told too, but nothing else
+
+
+@pytest.mark.parametrize(
+    "text, found",
+    [
+        ('self.k = "Zk9xQw81mmP0"\npassword = self.k', ["Zk9xQw81mmP0"]),
+        ('cfg.k = "Zk9xQw81mmP0"\npassword = cfg.k', ["Zk9xQw81mmP0"]),
+        ('k = "Zk9xQw81mmP0"\npassword = cfg.k', []),
+        ('cfg.k = "Zk9xQw81mmP0"\ncfg.k = other\npassword = cfg.k', []),
+        ('MAP = {"k": "Zk9xQw81mmP0"}\npassword = MAP["k"]', ["Zk9xQw81mmP0"]),
+        ('MAP["k"] = "Zk9xQw81mmP0"\npassword = MAP.get("k", None)', ["Zk9xQw81mmP0"]),
+        ('MAP["k"] = "Zk9xQw81mmP0"\nk = 1\npassword = MAP["k"]', ["Zk9xQw81mmP0"]),
+        ('password = """\n  Zk9xQw81mmP0\n"""\n', ["Zk9xQw81mmP0"]),
+        ("token = '''Zk9x\nQw81mmP0'''\nname = 'Zk9xQw81mmP1'", ["Zk9x", "Qw81mmP0"]),
+        ('key = """-----BEGIN RSA PRIVATE KEY-----\nMIIEow+abc/9Qx\nZZ81mm==\n-----END RSA PRIVATE KEY-----"""', ["MIIEow+abc/9Qx", "ZZ81mm=="]),
+        ("x: |\n  -----BEGIN PRIVATE KEY-----\n  MIIEow+abc/9Qx\n  -----END PRIVATE KEY-----\n", ["MIIEow+abc/9Qx"]),
+        ('config["password"] = get("Zk9xQw81mmP0")', ["Zk9xQw81mmP0"]),
+        ('password = os.environ.get("PASS", "Zk9xQw81mmP0")', ["Zk9xQw81mmP0"]),
+        ('password = os.getenv("DATABASE_PASSWORD")', []),
+        ("password = os.environ.get", []),
+        ('password = base64.b64decode("Zk9x" + "Qw81mmP0").strip()', ["Zk9x", "Qw81mmP0"]),
+        ('password_hash_length = "Zk9xQw81mmP0"', []),
+        ('token_url = "https://auth.example.com/v1/token"', []),
+        ('class A:\n  def __init__(self):\n    self.key = "Zk9xQw81mmP0"\n  def go(self):\n    connect(password=self.key)', ["Zk9xQw81mmP0"]),
+    ],
+)
+def test_attributes_elements_calls_and_long_strings(text, found):
+    assert literals(text) == found
+
+
+def test_new_forms_take_linear_time():
+    began = time.time()
+    for t in ('a="""' * 30000, "f(" * 50000 + "password=f(", "password=get(" * 20000, 'x["a"]=' * 30000, "m.get('a'" * 20000, "-----BEGIN PRIVATE KEY-----x" * 10000, "password=a.b.c.d" * 10000, "password=f('a'," * 20000):
+        scan_text(t)
+    assert time.time() - began < 25
+
+
+def test_reads_of_all_forms_equal_a_plain_evaluator():
+    """Random programs that bind and read names, attributes and elements, and pass literals through calls."""
+    rng = random.Random(9)
+    for _ in range(200):
+        lines, bound, want, reached, at = [], {}, set(), set(), 0
+        for n in range(rng.randint(2, 14)):
+            kind = rng.choice(["name", "attribute", "element", "password", "password"])
+            target, key = {"name": (f"v{n}", f"v{n}"), "attribute": (f"self.a{n}", f"self.a{n}"), "element": (f'box["e{n}"]', f'box["e{n}"]'), "password": ("password", "password")}[kind]
+            line, values = f"{target} = ", []
+            for k in range(rng.randint(1, 3)):
+                line += " + " if k else ""
+                if bound and rng.random() < 0.5:
+                    other = rng.choice(sorted(bound))
+                    line += other
+                    values += bound[other]
+                else:
+                    literal = "".join(rng.choice("aK7%xQ2z") for _ in range(rng.randint(3, 9)))
+                    opening, closing = rng.choice([('"', '"'), ("'", "'"), ('"""', '"""'), ('decode("', '")')])
+                    values.append((at + len(line) + len(opening), at + len(line) + len(opening) + len(literal), literal))
+                    line += opening + literal + closing
+            bound[key] = values
+            if kind == "password":
+                reached |= {v[:2] for v in values}
+                if strength("".join(v[2] for v in values)) >= 0.5:
+                    want |= {v[:2] for v in values}
+            lines.append(line)
+            at += len(line) + 1
+        text = "\n".join(lines)
+        got = {(s.start, s.end) for s in assigned_literals(text)}
+        assert want <= got <= reached, (text, [text[slice(*x)] for x in want - got], [text[slice(*x)] for x in got - reached])
+
+
+def test_a_text_of_megabytes(spark):
+    text = "plain words, no mark in them. " * 100_000 + 'password = "Zk9xQw81mmP0"'
+    df = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
+    assert [(s["kind"], text[s["start"] : s["end"]]) for s in scan_secrets(df).first()["spans"] if s["kind"] == "literal"] == [("literal", "Zk9xQw81mmP0")]
