@@ -1,11 +1,12 @@
 """Quality rules as a short-circuit cascade, with DataFrame functions only.
 
-A rule is a Boolean expression over one text, with its work: an expression for the steps that it takes there (characters
-and elements visited). One aggregation over a sample tells, for each set of rules that reject a row together, how many rows
-there are and what work they cost; from that the cascade takes rule after rule, each time the one with the most
-rejections per step among the rows that no earlier rule has rejected. The rules become one nested CASE expression, which
+A rule is a Boolean expression over one text. Its cost and its selectivity are measured on a sample, which is written once: each rule is run over it by itself
+a few times, and its least time beyond that of a run without any rule is its cost; one aggregation tells, for each set of rules that reject a row together, how many rows
+there are. From that the cascade takes rule after rule, each time the one with the most
+rejections per cost among the rows that no earlier rule has rejected. The rules become one nested CASE expression, which
 Spark evaluates left to right and leaves at the first rejecting rule, so a later rule's figures are never computed for
-rejected rows. Order changes cost, never the verdict. Work is counted, not timed: the same sample gives the same order every time.
+rejected rows. Order changes cost, never the verdict. Times are rounded to powers of two, so that only real differences change the order; where a rule comes
+with an expression for its ``work``, that is summed over the rows instead of a time.
 
 Statistics (words are runs of characters outside ASCII white space):
 ``n_words``; ``word_chars``, code points in words; ``n_symbols``, characters of
@@ -21,17 +22,21 @@ can be hot.
 
 from __future__ import annotations
 
+import math
+import time
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterlake.llm.shared import SPACE, text_of
+from meterlake.llm.shared import SPACE, materialize, text_of
 from meterlake.sources.tables import table
 
 #: Rows that the cost and selectivity of rules are estimated on, about.
 SAMPLE_ROWS = 2000
+#: Runs of a rule over the sample, and the least time that counts, in seconds.
+RUNS, SHORTEST = 3, 1 / 256
 STATISTICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -59,8 +64,8 @@ def duplicate_lines(text: Column) -> Column:
 def repeated_words(words: Column) -> Column:
     """Words inside 3-word windows that occur twice or more, each word once.
 
-    Windows are sorted by their 64-bit hash with their position, so equal ones are
-    neighbours; this is n log n in the text's words.
+    Windows are compared by their 64-bit hashes. Only where some repeat are they sorted with their positions, so that equal ones are
+    neighbours; most texts are done before that.
     """
 
     def covered(sorted_windows: Column) -> Column:
@@ -70,15 +75,16 @@ def repeated_words(words: Column) -> Column:
         )
         return F.size(F.array_distinct(F.flatten(F.transform(twice, lambda x: F.array(x["i"], x["i"] + 1, x["i"] + 2)))))
 
-    def windows(w: Column) -> Column:
-        tagged = F.transform(
-            w, lambda x, i: F.struct(F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)).alias("h"), i.alias("i"))
-        )
-        return F.sort_array(F.slice(tagged, 1, F.size(w) - 2))
+    def hashes(w: Column) -> Column:
+        return F.slice(F.transform(w, lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2))), 1, F.size(w) - 2)
+
+    def repeats(h: Column) -> Column:
+        placed = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+        return F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(let(placed, covered))
 
     # let: a lambda's variable is evaluated once, an expression named twice would be evaluated for each element
     let = lambda value, body: F.get(F.transform(F.array(value), body), F.lit(0))
-    return F.when(F.size(words) < 3, F.lit(0)).otherwise(let(words, lambda w: let(windows(w), covered))).cast("long")
+    return F.when(F.size(words) < 3, F.lit(0)).otherwise(let(words, lambda w: let(hashes(w), repeats))).cast("long")
 
 
 def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
@@ -98,33 +104,56 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 @dataclass(frozen=True)
 class Rule:
-    """``rejects`` is true on rows to drop (null counts as not), ``work`` the steps it takes on a row.
+    """``rejects`` is true on rows to drop (null counts as not); it names columns, as it is run on a sample too. ``work``: steps that it takes on a row, where they are known.
 
-    Of the sample: ``reached``, rows that no earlier rule rejects; ``rejected``, those of them that this one does; ``steps``, its work on them.
+    Of the sample: ``reached``, rows that no earlier rule rejects; ``rejected``, those of them that this one does; ``cost``, of this rule on the rows that reach it.
     """
 
     name: str
     rejects: Column
-    work: Column
+    work: Column | None = None
     reached: int = 0
     rejected: int = 0
-    steps: float = 0.0
+    cost: float = 0.0
+
+
+def measured(sample: DataFrame, rules: Sequence[Rule], runs: int = RUNS) -> list[float]:
+    """Seconds of each rule on the rows of ``sample``: the least of ``runs``, less what a run without a rule takes, to powers of two."""
 
+    def least(asked: Column) -> float:
+        times = []
+        for _ in range(runs):
+            began = time.perf_counter()
+            sample.agg(F.count_if(asked)).collect()
+            times.append(time.perf_counter() - began)
+        return min(times)
 
-def estimate(sample: DataFrame, rules: Sequence[Rule]) -> list[Rule]:
-    """The rules in order of rejections per step among rows that reach them; equal ones, and all without a sample, keep their order."""
+    texts = [c for c, kind in sample.dtypes if kind == "string"]
+    idle = least(F.length(F.concat_ws("", *texts)) >= 0 if texts else F.lit(True))
+    return [2.0 ** round(math.log2(max(least(F.coalesce(r.rejects, F.lit(False))) - idle, SHORTEST))) for r in rules]
+
+
+def estimate(sample: DataFrame, rules: Sequence[Rule], runs: int = RUNS) -> list[Rule]:
+    """The rules in order of rejections per cost among rows that reach them; equal ones, and all without a sample, keep their order."""
+    timed = [r for r in rules if r.work is None]
+    if timed:
+        sample = materialize(sample, "sample")
     hit = [F.coalesce(r.rejects, F.lit(False)).cast("long") * (1 << i) for i, r in enumerate(rules)]
-    rows = sample.select(sum(hit, F.lit(0)).alias("hits"), *(r.work.cast("double").alias(f"w{i}") for i, r in enumerate(rules)))
+    work = {i: r.work.cast("double").alias(f"w{i}") for i, r in enumerate(rules) if r.work is not None}
+    rows = sample.select(sum(hit, F.lit(0)).alias("hits"), *work.values())
     # a row for each set of rules that reject together: 2 ** rules at most
-    seen = rows.groupBy("hits").agg(F.count(F.lit(1)).alias("n"), *(F.sum(f"w{i}").alias(f"w{i}") for i in range(len(rules)))).collect()
+    seen = rows.groupBy("hits").agg(F.count(F.lit(1)).alias("n"), *(F.sum(f"w{i}").alias(f"w{i}") for i in work)).collect()
+    whole = max(1, sum(g["n"] for g in seen))
+    seconds = dict(zip((r.name for r in timed), measured(sample, timed, runs))) if timed and seen else {}
     left, order = list(enumerate(rules)), []
     while left:
         figures = {}
-        for i, _ in left:
-            rejected = sum(g["n"] for g in seen if g["hits"] >> i & 1)
-            figures[i] = (sum(g["n"] for g in seen), rejected, sum(g[f"w{i}"] or 0.0 for g in seen))
-        best, rule = max(left, key=lambda x: figures[x[0]][1] / max(figures[x[0]][2], 1.0))
-        order.append(replace(rule, reached=figures[best][0], rejected=figures[best][1], steps=figures[best][2]))
+        for i, r in left:
+            reached, rejected = sum(g["n"] for g in seen), sum(g["n"] for g in seen if g["hits"] >> i & 1)
+            cost = sum(g[f"w{i}"] or 0.0 for g in seen) if i in work else seconds.get(r.name, 0.0) * reached / whole
+            figures[i] = (reached, rejected, cost)
+        best, rule = max(left, key=lambda x: figures[x[0]][1] / max(figures[x[0]][2], SHORTEST))
+        order.append(replace(rule, reached=figures[best][0], rejected=figures[best][1], cost=figures[best][2]))
         left = [x for x in left if x[0] != best]
         seen = [g for g in seen if not g["hits"] >> best & 1]
     return order
@@ -157,29 +186,26 @@ def figures_of(text: Column) -> dict[str, Column]:
     }
 
 
-def rules_over(f: Mapping[str, Column], text: Column) -> list[Rule]:
-    """The production rules over figures, which may be columns at hand or expressions over the text. The first two are the base rules.
-
-    Work: a figure from the text visits each character once; words seen three at a time are also sorted.
-    """
-    n, chars = f["n_words"], F.length(text)
+def rules_over(f: Mapping[str, Column]) -> list[Rule]:
+    """The production rules over figures, which may be columns at hand or expressions over the text. The first two are the base rules."""
+    n = f["n_words"]
     return [
-        Rule("few_words", n < 50, chars),
-        Rule("repeats", 100 * f["n_repeat_words"] > 50 * n, chars + chars / 6 * F.log2(chars + 2)),
-        Rule("symbols", 10 * f["n_symbols"] > n, 2 * chars),
-        Rule("word_length", (10 * f["word_chars"] < 20 * n) | (10 * f["word_chars"] > 150 * n), 2 * chars),
-        Rule("capitals", 100 * f["n_capitals"] > 40 * (f["word_chars"] + n), 3 * chars),
-        Rule("repeated_lines", (f["n_dup_lines"] > 2) & (10 * f["n_dup_lines"] > 3 * (1 + f["n_breaks"])), 2 * chars),
+        Rule("few_words", n < 50),
+        Rule("repeats", 100 * f["n_repeat_words"] > 50 * n),
+        Rule("symbols", 10 * f["n_symbols"] > n),
+        Rule("word_length", (10 * f["word_chars"] < 20 * n) | (10 * f["word_chars"] > 150 * n)),
+        Rule("capitals", 100 * f["n_capitals"] > 40 * (f["word_chars"] + n)),
+        Rule("repeated_lines", (f["n_dup_lines"] > 2) & (10 * f["n_dup_lines"] > 3 * (1 + f["n_breaks"]))),
     ]
 
 
 def text_rules(text: Column) -> list[Rule]:
-    return rules_over(figures_of(text), text)
+    return rules_over(figures_of(text))
 
 
 def cascade(docs: DataFrame, rules: Sequence[Rule] | None = None, text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """``docs`` with a Boolean column ``kept``, by rules over the text in the order that the sample suggests."""
-    rules = text_rules(text_of(docs[text_col])) if rules is None else rules
+    rules = text_rules(text_of(text_col)) if rules is None else rules
     return docs.withColumn("kept", verdict(estimate(sample_of(docs, sample_rows, docs.count()), rules)))
 
 
@@ -193,7 +219,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.col("text")
     order = [r.name for r in estimate(sample_of(docs, SAMPLE_ROWS, docs.count()), text_rules(text))]
     found = statistics(docs, keep_text=True)
-    rules = rules_over(figures_of(text) | {c: F.col(c) for c in STATISTICS}, text)
+    rules = rules_over(figures_of(text) | {c: F.col(c) for c in STATISTICS})
     base = rules[0].rejects | rules[1].rejects
     return found.select(
         "doc_id",
