@@ -1,19 +1,19 @@
 """WARC fixity audit: Merkle trees over records and offset ranges, compared between replicas.
 
 A record is hashed where it is read; from there on only its place, length and
-digest move. Records lie in archives, one after another. A tree node stands for
-an offset range: ``RANGE`` bytes at the lowest level, ``FAN`` times more at each level above, up
-to one root an archive. Its hash covers its ordered records or children with their
-offsets. The audit joins the roots of two replicas, then only the children of nodes
-that differ, level by level, down to records.
+digest move. Records lie in archives, one after another. A leaf of an archive's tree is a range of
+neighbouring records, its hash covers them in their order, with their offsets from the range's begin. Ranges are cut by content: after a
+record whose digest begins with a zero digit (every sixteenth on average), and wherever ``MOST`` records of the archive are full. The levels above are ranges of ranges, cut
+by the hashes of those in the same way, up to one root an archive.
 
-Offsets are running sums within an archive. A record that is lost, added or cut shifts all that follow in its archive, so
-every later range differs; inside the ranges that differ, records are therefore matched by id and digest, wherever
-they lie, and only those without a match are told: one row for a lost record, not one for each that moved.
+So a record that is lost, added or cut short changes the range it lies in, and maybe the next one, and moves all others without changing their hashes. The audit compares
+roots; below a node that differs it looks at the children of both replicas and goes on only with those whose hash the other side does not have as often, level by
+level, down to records. What it looks at is some nodes a level for each difference (see ``visits``). In the leaves that are left, records are matched by id and
+digest, wherever they lie, and only those without a match are told.
 
-A node has at most ``RANGE`` bytes of records or ``FAN`` children. Archives hold ``PER_ARCHIVE`` ids, and may hold any number of rows:
-rows are dealt by range, equal ones too, summed inside each part, and the parts' sums give the offsets. Records
-inside ranges are counted by id and digest before they meet. So no key gathers its rows in one task.
+Archives hold ``PER_ARCHIVE`` ids, and may hold any number of
+rows: running sums (of offsets, of cuts, of ranks) are made over range partitions, equal rows dealt too, summed inside each part, and the parts' sums give the
+beginnings. Records inside leaves are counted by id and digest before they meet, and a root is a sum over its children. So no key gathers its rows in one task.
 
 Defined results: null url or html is read as empty; rows with a null id form an archive of their own (-1), in order of
 url and digest, and are never told as corrupt, only as missing or extra; repeated rows are records each, and equal ones that
@@ -23,6 +23,7 @@ empty tables give no rows; other columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -32,7 +33,8 @@ from pyspark.sql import functions as F
 from meterlake.llm.shared import materialize
 from meterlake.sources.tables import table
 
-PER_ARCHIVE, RANGE, FAN = 1000, 1 << 16, 16
+#: Ids of an archive; children of a node on average, and records or children of one at most.
+PER_ARCHIVE, FAN, MOST = 1000, 16, 1024
 CRLF = "\r\n"
 
 
@@ -54,8 +56,32 @@ def record(page_id: Column, url: Column, html: Column, date: str = "2024-01-01T0
     )
 
 
+def running(rows: DataFrame, keys: Sequence[str], order: Sequence[Column], sums: Mapping[str, Column]) -> DataFrame:
+    """``rows`` with sums over the rows before, in ``order`` (ties in any order, but a fixed one) among those of equal ``keys``.
+
+    Rows lie in range partitions, so one key may fill many of them; a part's own sums are carried to the parts after it.
+    """
+    tied = rows.withColumn("__tie", F.monotonically_increasing_id())
+    dealt = materialize(tied.repartitionByRange(*keys, *order, "__tie").withColumn("__part", F.spark_partition_id()), "dealt")
+    own = dealt.groupBy(*keys, "__part").agg(*(F.sum(x).alias(f"__{c}") for c, x in sums.items()))  # mostly a row a key
+    earlier = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = own.select(*keys, "__part", *(F.coalesce(F.sum(f"__{c}").over(earlier), F.lit(0)).alias(f"__{c}") for c in sums))
+    before = Window.partitionBy(*keys, "__part").orderBy(*order, "__tie").rowsBetween(Window.unboundedPreceding, -1)
+    inside = dealt.withColumns({c: F.coalesce(F.sum(x).over(before), F.lit(0)) for c, x in sums.items()}).join(starts, [*keys, "__part"])
+    return inside.withColumns({c: (F.col(c) + F.col(f"__{c}")).cast("bigint") for c in sums}).drop("__tie", "__part", *(f"__{c}" for c in sums))
+
+
+def _ends(digest: str) -> Column:
+    """1 where a range ends by content."""
+    return (F.substring(F.hex(digest), 1, 1) == "0").cast("bigint")
+
+
+def _range() -> Column:
+    return F.col("cuts") + F.floor(F.col("ordinal") / MOST)
+
+
 def index_of(pages: DataFrame) -> DataFrame:
-    """One row per record: ``archive_id``, ``page_id``, ``offset``, ``length``, ``sha256`` (binary)."""
+    """One row per record: ``archive_id``, ``page_id``, ``offset``, ``length``, ``sha256`` (binary), ``leaf`` (the number of its range)."""
     text = record(pages["page_id"], pages["url"], pages["html"])
     rows = pages.select(
         F.coalesce(F.floor(pages["page_id"] / PER_ARCHIVE), F.lit(-1)).cast("bigint").alias("archive_id"),
@@ -64,90 +90,89 @@ def index_of(pages: DataFrame) -> DataFrame:
         F.octet_length(text).cast("bigint").alias("length"),
         F.unhex(F.sha2(text, 256)).alias("sha256"),
     )
-    order = [F.col("archive_id"), F.col("page_id").asc_nulls_first(), F.col("url").asc_nulls_first(), F.col("sha256")]
-    tied = rows.withColumn("tie", F.monotonically_increasing_id())  # equal rows may lie in any order, and in several parts
-    dealt = materialize(tied.repartitionByRange(*order, "tie").withColumn("part", F.spark_partition_id()), "records")
-    sums = dealt.groupBy("archive_id", "part").agg(F.sum("length").alias("bytes"))  # mostly a row an archive
-    earlier = Window.partitionBy("archive_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select("archive_id", "part", F.coalesce(F.sum("bytes").over(earlier), F.lit(0)).alias("start"))
-    inside = Window.partitionBy("archive_id", "part").orderBy(*order[1:], "tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ends = dealt.withColumn("end", F.sum("length").over(inside)).join(starts, ["archive_id", "part"])
-    return ends.select("archive_id", "page_id", (F.col("start") + F.col("end") - F.col("length")).alias("offset"), "length", "sha256")
-
-
-def _hash(parts: Column) -> Column:
-    """Digest of an array of (at, size, hash), in order."""
-    said = F.transform(F.sort_array(parts), lambda x: F.concat_ws(":", x["at"].cast("string"), x["size"].cast("string"), F.hex(x["hash"])))
-    return F.unhex(F.sha2(F.concat_ws(",", said), 256))
-
-
-def _above(rows: DataFrame, node: Column) -> DataFrame:
-    grouped = rows.groupBy("archive_id", node.alias("node")).agg(F.collect_list(F.struct("at", "size", "hash")).alias("parts"))
-    return grouped.select(
-        "archive_id",
-        "node",
-        F.array_min(F.transform("parts", lambda x: x["at"])).alias("at"),
-        F.aggregate("parts", F.lit(0).cast("bigint"), lambda n, x: n + x["size"]).alias("size"),
-        _hash(F.col("parts")).alias("hash"),
-    )
+    order = [F.col("page_id").asc_nulls_first(), F.col("url").asc_nulls_first(), F.col("sha256")]
+    placed = running(rows, ["archive_id"], order, {"offset": F.col("length"), "ordinal": F.lit(1), "cuts": _ends("sha256")})
+    return placed.select("archive_id", "page_id", "offset", "length", "sha256", _range().alias("leaf"))
+
+
+def _above(rows: DataFrame) -> DataFrame:
+    """Nodes (``archive_id``, ``node``) over rows with ``at``, ``size``, ``hash``: hash of the rows in order, by their places from the first one's."""
+    grouped = rows.groupBy("archive_id", "node").agg(F.sort_array(F.collect_list(F.struct("at", "size", "hash"))).alias("parts"), F.min("at").alias("first"), F.sum("size").alias("all"))
+    said = F.transform("parts", lambda x: F.concat_ws(":", (x["at"] - F.col("first")).cast("string"), x["size"].cast("string"), F.hex(x["hash"])))
+    return grouped.select("archive_id", "node", F.col("first").alias("at"), F.col("all").alias("size"), F.unhex(F.sha2(F.concat_ws(",", said), 256)).alias("hash"))
 
 
 @dataclass(frozen=True)
 class Tree:
-    """An index and its nodes: ``level``, ``archive_id``, ``node``, ``at``, ``size``, ``hash``; the highest level has one node an archive."""
+    """An index and its levels of nodes from the leaves up: ``archive_id``, ``node``, ``above`` (the node that it lies in), ``at``, ``size``, ``hash``; and the roots."""
 
     index: DataFrame
-    nodes: DataFrame
-    levels: int
+    levels: list[DataFrame]
+    roots: DataFrame
 
 
-def levels_for(last_offset: int) -> int:
-    """Levels above the records, so that the highest range begins at 0 for every offset."""
-    n, span = 1, RANGE
-    while span <= last_offset:
-        n, span = n + 1, span * FAN
+def levels_for(leaves: int) -> int:
+    """Levels between the roots and the records, for archives of so many leaves at most: a root has about ``FAN`` children or fewer."""
+    n = 1
+    while leaves > FAN:
+        n, leaves = n + 1, -(-leaves // FAN)
     return n
 
 
+def leaves_of(index: DataFrame) -> int:
+    """The leaves of the largest archive."""
+    return index.groupBy("archive_id").agg(F.count_distinct("leaf").alias("n")).agg(F.max("n")).first()[0] or 0
+
+
 def tree_of(index: DataFrame, levels: int) -> Tree:
-    rows = index.select("archive_id", F.col("offset").alias("at"), F.col("length").alias("size"), F.col("sha256").alias("hash"))
-    level = _above(rows, F.floor(F.col("at") / RANGE))
-    found = [level.withColumn("level", F.lit(1))]
-    for n in range(2, levels + 1):
-        level = _above(level, F.floor(F.col("node") / FAN))
-        found.append(level.withColumn("level", F.lit(n)))
-    return Tree(index, materialize(reduce(DataFrame.unionByName, found), "tree"), levels)
+    nodes = _above(index.select("archive_id", F.col("leaf").alias("node"), F.col("offset").alias("at"), F.col("length").alias("size"), F.col("sha256").alias("hash")))
+    found = []
+    for _ in range(levels - 1):
+        placed = running(nodes, ["archive_id"], [F.col("node")], {"ordinal": F.lit(1), "cuts": _ends("hash")}).withColumn("above", _range())
+        found.append(materialize(placed.select("archive_id", "node", "above", "at", "size", "hash"), "nodes"))
+        nodes = _above(found[-1].drop("node").withColumnRenamed("above", "node"))
+    found.append(materialize(nodes.withColumn("above", F.lit(0).cast("bigint")), "nodes"))
+    # an archive may have any number of children: a sum takes the place of a list
+    sums = found[-1].groupBy("archive_id").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"), F.sum(F.xxhash64("hash", "size").cast("decimal(38,0)")).alias("sum"))
+    return Tree(index, found, materialize(sums.select("archive_id", "size", F.sha2(F.concat_ws(":", "n", "size", "sum"), 256).alias("hash")), "roots"))
+
+
+def descend(one: Tree, other: Tree) -> tuple[list[DataFrame], DataFrame]:
+    """Leaves (``archive_id``, ``node``) of each tree that the other does not have; and what was looked at on the way: ``level``, ``nodes``, ``visited``, ``differing``, the roots as the highest level."""
+    both = one.roots.select("archive_id", F.col("hash").alias("a")).join(other.roots.select("archive_id", F.col("hash").alias("b")), "archive_id", "full")
+    bad = materialize(both.filter(~F.col("a").eqNullSafe(F.col("b"))).select("archive_id", F.lit(0).cast("bigint").alias("node")), "roots-that-differ")
+    sides = [bad, bad]
+    seen = [both.agg(F.lit(len(one.levels) + 1).alias("level"), F.count(F.lit(1)).alias("nodes"), F.count(F.lit(1)).alias("visited")).crossJoin(bad.agg(F.count(F.lit(1)).alias("differing")))]  # one row each
+    for level in range(len(one.levels), 0, -1):
+        looked = []
+        for n, t in enumerate((one, other)):
+            above = sides[n].select("archive_id", F.col("node").alias("above"))
+            looked.append(t.levels[level - 1].join(above, ["archive_id", "above"], "left_semi").select("archive_id", "node", "hash", F.lit(n).alias("side")))
+        children = materialize(looked[0].union(looked[1]), "children")
+        counted = children.groupBy("archive_id", "hash").agg(*(F.count_if(F.col("side") == n).alias(f"n{n}") for n in (0, 1)))
+        differ = materialize(children.join(counted.filter("n0 <> n1"), ["archive_id", "hash"], "left_semi").select("archive_id", "node", "side"), "differing")
+        sides = [differ.filter(F.col("side") == n).select("archive_id", "node") for n in (0, 1)]
+        rows = lambda df, c: df.agg(F.count(F.lit(1)).alias(c))
+        whole = rows(one.levels[level - 1].select("node").union(other.levels[level - 1].select("node")), "nodes")
+        seen.append(whole.crossJoin(rows(children, "visited")).crossJoin(rows(differ, "differing")).select(F.lit(level).alias("level"), "nodes", "visited", "differing"))
+    return sides, reduce(DataFrame.unionByName, seen)
 
 
 def mismatches(one: Tree, other: Tree) -> DataFrame:
     """Records that differ: ``archive_id``, ``page_id``, ``offset`` and ``length`` (in the replica that has it, the first one first), both digests in hex, ``status`` (corrupt, missing, extra) and ``copies``."""
-    keys = ["archive_id", "node"]
-    bad = None
-    for n in range(one.levels, 0, -1):
-        sides = []
-        for t in (one, other):
-            side = t.nodes.filter(F.col("level") == n).select(*keys, "hash")
-            if bad is not None:
-                above = bad.select("archive_id", F.col("node").alias("__above"))
-                met = (side["archive_id"] == above["archive_id"]) & (F.floor(side["node"] / FAN) == above["__above"])
-                side = side.join(above, met, "left_semi")
-            sides.append(side)
-        both = sides[0].join(sides[1].withColumnRenamed("hash", "other"), keys, "full")
-        bad = both.filter(~F.col("hash").eqNullSafe(F.col("other"))).select(*keys)
-    bad = materialize(bad, "ranges")
+    bad, _ = descend(one, other)
     sides = []
-    for t, name in ((one, "expected"), (other, "found")):
-        inside = (t.index["archive_id"] == bad["archive_id"]) & (F.floor(t.index["offset"] / RANGE) == bad["node"])
-        sides.append(t.index.join(bad, inside, "left_semi").withColumn("side", F.lit(name)))
+    for t, leaves, name in zip((one, other), bad, ("expected", "found")):
+        sides.append(t.index.join(leaves.withColumnRenamed("node", "leaf"), ["archive_id", "leaf"], "left_semi").withColumn("side", F.lit(name)))
     counted = sides[0].unionByName(sides[1]).groupBy("archive_id", "page_id", "sha256", "length").agg(
         *(F.count_if(F.col("side") == x).alias(x) for x in ("expected", "found")),
         *(F.min(F.when(F.col("side") == x, F.col("offset"))).alias(f"{x}_at") for x in ("expected", "found")),
     )
-    differ = counted.filter("expected <> found")
+    differ = counted.filter("expected <> found").withColumn("more", F.col("expected") > F.col("found"))
     # versions of one id that one side alone has: the first of them meets the first of the other side
-    rank = F.row_number().over(Window.partitionBy("archive_id", "page_id", F.col("expected") > F.col("found")).orderBy("sha256", "length"))
-    ranked = differ.filter("page_id IS NOT NULL").withColumn("rank", rank).unionByName(differ.filter("page_id IS NULL").withColumn("rank", F.lit(None).cast("int")))
-    lost, new = ranked.filter("expected > found").alias("a"), ranked.filter("expected < found").alias("b")
+    ranked = running(differ.filter("page_id IS NOT NULL"), ["archive_id", "page_id", "more"], [F.col("sha256"), F.col("length")], {"rank": F.lit(1)})
+    ranked = ranked.unionByName(differ.filter("page_id IS NULL").withColumn("rank", F.lit(None).cast("bigint")))
+    lost, new = ranked.filter("more").alias("a"), ranked.filter("NOT more").alias("b")
     met = lost.join(new, (F.col("a.archive_id") == F.col("b.archive_id")) & (F.col("a.page_id") == F.col("b.page_id")) & (F.col("a.rank") == F.col("b.rank")), "full")
     either = lambda c: F.coalesce(F.col(f"a.{c}"), F.col(f"b.{c}")).alias(c)
     status = F.when(F.col("b.sha256").isNull(), "missing").when(F.col("a.sha256").isNull(), "extra").otherwise("corrupt")
@@ -164,12 +189,21 @@ def mismatches(one: Tree, other: Tree) -> DataFrame:
     )
 
 
+def trees(one: DataFrame, other: DataFrame) -> tuple[Tree, Tree]:
+    """The trees of two indexes (as of ``index_of``), of as many levels."""
+    one, other = materialize(one, "index"), materialize(other, "index")
+    levels = levels_for(max(leaves_of(one), leaves_of(other)))
+    return tree_of(one, levels), tree_of(other, levels)
+
+
+def visits(one: DataFrame, other: DataFrame) -> DataFrame:
+    """How many nodes of two indexes' trees an audit looks at, by level: ``level``, ``nodes``, ``visited``, ``differing``."""
+    return descend(*trees(one, other))[1]
+
+
 def audit(one: DataFrame, other: DataFrame) -> DataFrame:
     """Mismatches of two indexes (as of ``index_of``)."""
-    one, other = materialize(one, "index"), materialize(other, "index")
-    last = one.select("offset").union(other.select("offset")).agg(F.max("offset")).first()[0] or 0
-    levels = levels_for(last)
-    return mismatches(tree_of(one, levels), tree_of(other, levels))
+    return mismatches(*trees(one, other))
 
 
 def _mark(page_id: Column) -> Column:

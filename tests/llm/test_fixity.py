@@ -2,6 +2,8 @@ import hashlib
 import random
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from meterlake.llm import fixity as X
 
 PAGES = "page_id bigint, url string, html string, offset bigint, node bigint, sha256 string"
@@ -76,9 +78,60 @@ def test_one_lost_record_is_one_row(spark):
 
 def test_roots_cover_every_record(spark):
     index = X.index_of(pages(spark, [(i, "u", "y" * 5000) for i in range(300)]))
-    levels = X.levels_for(300 * 5300)
-    tree = X.tree_of(index, levels)
-    top = tree.nodes.filter(f"level = {levels}").collect()
-    assert len(top) == 1 and top[0]["size"] == index.agg({"length": "sum"}).first()[0]
-    changed = X.tree_of(index.withColumn("offset", index["offset"] + 1), levels).nodes.filter(f"level = {levels}").first()
-    assert changed["hash"] != top[0]["hash"]
+    root = lambda index: X.trees(index, index)[0].roots.first()
+    top = root(index)
+    assert top["size"] == index.agg({"length": "sum"}).first()[0]
+    assert root(index.withColumn("offset", index["offset"] + 1))["hash"] == top["hash"]  # moved as a whole
+    assert root(index.withColumn("sha256", F.when(F.col("page_id") == 7, F.lit(b"x")).otherwise(F.col("sha256"))))["hash"] != top["hash"]
+
+
+def test_one_lost_record_is_found_by_a_few_nodes(spark):
+    rng = random.Random(5)
+    rows = [(i, f"http://h/{i}", "x" * rng.randint(0, 900)) for i in range(6000)]
+    one = X.index_of(pages(spark, rows))
+    for gone in (3, 2500, 5999):
+        seen = {r["level"]: r for r in X.visits(one, X.index_of(pages(spark, rows[:gone] + rows[gone + 1 :]))).collect()}
+        assert seen[max(seen)]["differing"] == 1
+        assert all(r["differing"] <= 6 and r["visited"] <= 130 for n, r in seen.items() if n < max(seen)), seen
+        assert seen[1]["nodes"] > 600 and seen[1]["differing"] <= 4
+
+
+def test_few_leaves_differ_in_the_query(spark):
+    table = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("page_id", "url", "html")
+    other = X.damaged(table).filter(~F.coalesce(X._mark(F.col("page_id")) == "a1", F.lit(False)))
+    seen = {r["level"]: r for r in X.visits(X.index_of(table), X.index_of(other)).collect()}
+    assert seen[1]["differing"] < 0.25 * seen[1]["nodes"], seen
+
+
+def test_hundreds_of_differences_equal_plain_counts(spark):
+    """Ids with many versions, equal records in long runs, and records that come and go."""
+    rng = random.Random(8)
+    rows = [(i % 1500, f"v{i // 1500}", "x" * (i % 7)) for i in range(4500)] + [(77, f"w{k}", "") for k in range(300)] + [(5, "same", "same")] * 2500 + [(None, "n", "z")] * 200
+    other = [(i, u, h + "!" if rng.random() < 0.06 else h) for i, u, h in rows if rng.random() > 0.05] + [(3000 + k, "new", "") for k in range(40)] + [(5, "same", "same")] * 150
+    got = X.audit(X.index_of(pages(spark, rows)), X.index_of(pages(spark, other))).collect()
+    a, b = Counter(rows), Counter(other)
+    lost, new = a - b, b - a
+    want = Counter()
+    for i in {x[0] for x in [*lost, *new]}:
+        x, y = sum(k[0] == i for k in lost), sum(k[0] == i for k in new)
+        both = 0 if i is None else min(x, y)
+        want.update({(str(i), "corrupt"): both, (str(i), "missing"): x - both, (str(i), "extra"): y - both})
+    assert Counter((str(r["page_id"]), r["status"]) for r in got) == +want and len(got) > 400
+    missing = sum(r["copies"] for r in got if r["page_id"] == 5 and r["status"] != "extra")
+    assert missing >= lost[5, "same", "same"]
+
+
+def test_ranges_are_bounded_and_sums_run_over_parts(spark):
+    same = [(1, "u", "same")] * 5000
+    index = X.index_of(pages(spark, same)).repartition(3)
+    sizes = [r["count"] for r in index.groupBy("leaf").count().collect()]
+    assert max(sizes) <= X.MOST and sum(sizes) == 5000
+    rows = spark.createDataFrame([(k % 3, k) for k in range(500)], "k int, v int").repartition(7)
+    got = X.running(rows, ["k"], [F.col("v")], {"n": F.lit(1), "s": F.col("v")}).collect()
+    assert all(r["n"] == r["v"] // 3 and r["s"] == sum(range(r["k"], r["v"], 3)) for r in got) and len(got) == 500
+
+
+def test_columns_with_clashing_names(spark):
+    df = pages(spark, [(1, "u", "a"), (2, "v", "b")])
+    more = df.selectExpr("*", *(f"'z' as {c}" for c in ("archive_id", "leaf", "hash", "size", "at", "side", "rank", "above", "length", "ordinal", "cuts")))
+    assert records(more) == records(df)
