@@ -7,9 +7,10 @@ id. All suffixes of all documents would be a tree far larger than the input, so:
    prefixes that start inside a window, the one with the smallest hash. Equal
    windows have their anchor at the same place, so they meet in one group. Prefixes that
    occur in one document only are leaves and go no further.
-2. Prefix counts set how far a group is split. Prefixes of more than ``GROUP`` anchors are lengthened to ``WINDOW`` words
-   (nodes of full depth); as no prefix splits copies of one passage, their suffixes are dealt over 64 parts by a hash of
-   document and place, those of a 64 times larger group over 4096, and so on; every part fits in memory.
+2. Prefix counts set how far a group is split. A prefix of more than ``GROUP`` anchors is lengthened word by word, each window in its own order: its suffixes are
+   written once, counted by the prefix of 6 words (of windows that begin as many words before the anchor), those still too many by 7, and so on up to ``WINDOW``. As no prefix splits
+   copies of one passage, suffixes of a prefix that has full depth and is still too large are dealt over 64 parts by a hash of
+   document and place, those of a 64 times larger one over 4096, and so on; every part fits in memory.
 3. In each group a subtree is grown from the prefix down, word by word: a node's suffixes are sorted by their next word,
    and each run of equal words is a child. A node whose suffixes are of one document is a leaf and not
    grown further. Nodes left at depth ``WINDOW`` are the deep internal ones: all their occurrences but those of the smallest id are
@@ -38,6 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meterlake.llm.bitmap import bits_for, build, contains
+from meterlake.llm.lookup import attach
 from meterlake.llm.shared import materialize, text_of
 from meterlake.llm.words import BASE, hash_values, mixed, rolling, same_text, slices, split_words
 from meterlake.sources.tables import table
@@ -106,37 +108,99 @@ def _keys(prefixes: DataFrame) -> DataFrame:
     return prefixes.select(F.col("a").alias("key"), F.lit(0).alias("lo"), F.lit(0).alias("hi"))
 
 
-def _suffixes(rows: DataFrame, maps: list[np.ndarray]) -> DataFrame:
-    """Neighbouring suffixes by their anchor: prefix, part, document, text's checksum, first start, words before the anchor, and hashes of the words around it."""
-    shared = rows.sparkSession.sparkContext.broadcast(maps)
+def _found(part: pa.RecordBatch) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """Words' hashes of some texts, their windows (as of ``_anchored``), and the texts' checksums."""
+    texts = part.column("text")
+    hashes, *found = _anchored(texts)
+    tags = np.zeros(len(texts), dtype=np.int64)
+    for r in np.unique(found[0]).tolist():
+        tags[r] = zlib.crc32(texts[r].as_buffer())
+    return hashes, found, tags
+
+
+def _suffixes(rows: DataFrame, repeated: np.ndarray, large: np.ndarray) -> DataFrame:
+    """Neighbouring suffixes by their anchor, but for those of large prefixes: prefix, part (0), document, text's checksum, first start, words before the anchor, and hashes of the words around it."""
+    shared = rows.sparkSession.sparkContext.broadcast((repeated, large))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        repeated, *large = shared.value
+        repeated, large = shared.value
         for b in batches:
             for part in slices(b):
-                doc, texts = part.column("doc").to_numpy(), part.column("text")
-                hashes, *found = _anchored(texts)
+                doc = part.column("doc").to_numpy()
+                hashes, found, tags = _found(part)
                 kept = contains(repeated, found[3])
+                kept[kept] = ~contains(large, found[3][kept])
                 row, begin, window, anchor, place = (x[kept] for x in found)
                 if not len(row):
                     continue
                 first = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
                 size = np.diff(np.concatenate((first, [len(row)]))) + WINDOW - PREFIX - 1
                 row, start, window, anchor, left = row[first], (window - begin)[first], window[first], anchor[first], (place - window)[first]
-                tags = np.zeros(len(doc), dtype=np.int64)
-                for r in np.unique(row).tolist():
-                    tags[r] = zlib.crc32(texts[r].as_buffer())
-                parts = np.zeros(len(row), dtype=np.int64)
-                dealt = mixed(mixed(doc[row].view(np.uint64) * BASE + (start // STRETCH).astype(np.uint64))) >> np.uint64(8)
-                for level, m in enumerate(large, 1):
-                    big = contains(m, anchor)
-                    parts[big] = 1 + (dealt[big] % np.uint64(PARTS**level)).astype(np.int64)
                 run, at = _counted(size)
                 around = hashes[window[run] + at + np.where(at < left[run], 0, PREFIX)]
-                cols = [anchor.view(np.int64), parts, doc[row], tags[row], start, left]
+                cols = [anchor.view(np.int64), np.zeros(len(row), dtype=np.int64), doc[row], tags[row], start, left]
                 yield pa.RecordBatch.from_arrays([*map(pa.array, cols), _blobs(around, size)], ["a", "part", "doc", "tag", "start", "around", "words"])
 
-    return rows.mapInArrow(scan, "a bigint, part bigint, doc bigint, tag bigint, start bigint, around bigint, words binary")
+    return rows.mapInArrow(scan, _SUFFIX)
+
+
+_SUFFIX = "a bigint, part bigint, doc bigint, tag bigint, start bigint, around bigint, words binary"
+_WORDS = [f"w{k}" for k in range(1, WINDOW - PREFIX + 1)]
+
+
+def _large_suffixes(rows: DataFrame, large: np.ndarray) -> DataFrame:
+    """The suffixes of large prefixes, one row a window: prefix, document, text's checksum, start, words before the anchor, and the words around it, ``w1`` and so on, in the window's order."""
+    shared = rows.sparkSession.sparkContext.broadcast(large)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part in slices(b):
+                doc = part.column("doc").to_numpy()
+                hashes, found, tags = _found(part)
+                kept = contains(shared.value, found[3])
+                row, begin, window, anchor, place = (x[kept] for x in found)
+                left = place - window
+                around = [hashes[window + k + np.where(k < left, 0, PREFIX)].view(np.int64) for k in range(len(_WORDS))]
+                cols = [anchor.view(np.int64), doc[row], tags[row], window - begin, left, *around]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, cols)], ["a", "doc", "tag", "start", "around", *_WORDS])
+
+    return rows.mapInArrow(scan, ", ".join(f"{c} bigint" for c in ("a", "doc", "tag", "start", "around", *_WORDS)))
+
+
+def lengthened(suffixes: DataFrame, group: int = GROUP) -> DataFrame:
+    """Each suffix of ``_large_suffixes`` with ``depth``, the words of the shortest prefix that has ``group`` suffixes or fewer (or ``WINDOW``), that prefix's hash ``node``, and its number of suffixes ``n`` where that is still more."""
+    names = [f"h{k}" for k in range(len(_WORDS) + 1)]
+    out = suffixes.withColumns({h: F.xxhash64("a", "around", *_WORDS[:k]) for k, h in enumerate(names)})
+    left, levels = out, 0
+    for h in names:
+        large = materialize(left.groupBy(h).agg(F.count(F.lit(1)).alias(f"n_{h}")).filter(F.col(f"n_{h}") > group), "large")
+        if large.isEmpty():
+            break
+        levels += 1
+        left = left.join(large.select(h), h, "left_semi")
+        out = attach(out, large, [h])  # a row for every ``group`` suffixes at most
+    longer = sum((F.col(f"n_{h}").isNotNull().cast("int") for h in names[:levels]), F.lit(0))
+    node = F.element_at(F.array(*names), F.least(longer, F.lit(len(_WORDS))) + 1)
+    n = F.col(f"n_{names[-1]}") if levels == len(names) else F.lit(None).cast("bigint")
+    return out.select(*suffixes.columns, (F.least(longer, F.lit(len(_WORDS))) + PREFIX).alias("depth"), node.alias("node"), n.alias("n"))
+
+
+def _in_parts(suffixes: DataFrame, group: int) -> DataFrame:
+    """Lengthened suffixes as rows of ``_suffixes``; those of full depth that are too many are dealt over parts."""
+    parts = F.lit(PARTS).cast("bigint")
+    for level in range(2, 8):
+        parts = F.when(F.col("n") > group * PARTS ** (level - 1), F.lit(PARTS**level).cast("bigint")).otherwise(parts)
+    dealt = F.pmod(F.xxhash64("doc", F.floor(F.col("start") / STRETCH)), parts) + 1
+    part = F.when(F.col("n").isNull(), F.lit(0).cast("bigint")).otherwise(dealt)
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            words = np.column_stack([b.column(w).to_numpy() for w in _WORDS]) if b.num_rows else np.zeros((0, len(_WORDS)), dtype=np.int64)
+            blobs = _blobs(np.ascontiguousarray(words), np.full(b.num_rows, len(_WORDS), dtype=np.int64))
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("a", "part", "doc", "tag", "start", "around")), blobs], ["a", "part", "doc", "tag", "start", "around", "words"])
+
+    rows = suffixes.select(F.col("node").alias("a"), part.alias("part"), "doc", "tag", "start", "around", *_WORDS)
+    return rows.mapInArrow(packed, _SUFFIX)
 
 
 def _counted(size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -268,13 +332,13 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = _rows(docs, id_col, text_col).select("doc", "text")
     prefixes = materialize(repeated_prefixes(rows), "prefixes")
     count, most = prefixes.agg(F.count(F.lit(1)), F.coalesce(F.max("n"), F.lit(0))).first()
-    maps = [build(_keys(prefixes), bits_for(count, map_bits))]
-    least = group
-    while most > least:
-        large = prefixes.filter(F.col("n") > least)
-        maps.append(build(_keys(large), bits_for(large.count(), map_bits)))
-        least *= PARTS
-    dealt = _suffixes(rows, maps).repartition("a", "part").sortWithinPartitions("a", "part")
+    repeated, hot = build(_keys(prefixes), bits_for(count, map_bits)), prefixes.filter(F.col("n") > group)
+    large = build(_keys(hot), bits_for(hot.count(), map_bits))
+    suffixes = _suffixes(rows, repeated, large)
+    if most > group:
+        # what the filter lets through by mistake is lengthened too, to where it fits at once
+        suffixes = suffixes.union(_in_parts(lengthened(materialize(_large_suffixes(rows, large), "suffixes"), group), group))
+    dealt = suffixes.repartition("a", "part").sortWithinPartitions("a", "part")
     marks = materialize(dealt.mapInArrow(_marks, _MARKS), "marks")
     again = marks.filter("a IS NOT NULL").select("a", "doc", "tag", "places")
     least = again.groupBy("a").agg(F.min("doc").alias("least"))

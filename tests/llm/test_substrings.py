@@ -88,3 +88,34 @@ def test_one_word_over_and_over_and_copies_of_one_row(spark):
     assert one == plain(rows)
     most = S.repeated_spans(df, group=16).distinct().groupBy("doc", "tag").count().agg({"count": "max"}).first()[0]
     assert most < 500
+
+
+def test_a_hot_prefix_is_lengthened_word_by_word(spark):
+    """Suffixes of one prefix part where their words do: at 6 to 12 words; copies of one window stay together and are dealt."""
+    common = [f"c{k}" for k in range(13)]
+    rows = []
+    for depth in range(5, 13):
+        rows += [(len(rows) + k, " ".join(common[:depth] + [f"d{depth}x{k // 6}"] + [f"e{depth}x{k // 6}y{j}" for j in range(12)])) for k in range(60)]
+    rows += [(10_000 + k, " ".join(common)) for k in range(40)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    assert found(df) == plain(rows)
+    least = S.repeated_spans.__defaults__
+    plain_spans = found(df)
+    S.repeated_spans.__defaults__ = ("doc_id", "text", 8, S.MAP_BITS)
+    try:
+        assert found(df) == plain_spans
+    finally:
+        S.repeated_spans.__defaults__ = least
+    prefixes = S.repeated_prefixes(S._rows(df, "doc_id", "text").select("doc", "text"))
+    large = S.build(S._keys(prefixes.filter("n > 8")), 1 << 19)
+    got = S.lengthened(S._large_suffixes(S._rows(df, "doc_id", "text").select("doc", "text"), large), 8)
+    by_depth = {r["depth"]: r["count"] for r in got.groupBy("depth").count().collect()}
+    assert {6, 7, 8, 9, 10, 11, 12, 13} <= set(by_depth) and got.filter("n IS NOT NULL").count() > 0
+    assert got.filter("n IS NULL").groupBy("node").count().agg({"count": "max"}).first()[0] <= 8
+    assert got.filter("n IS NOT NULL AND depth < 13").count() == 0
+
+
+def test_a_text_of_megabytes(spark):
+    text = " ".join(f"w{k % 7_001}" for k in range(400_000))
+    rows = [(1, text), (2, "x " + " ".join(text.split()[100:140])), (0, " ".join(text.split()[500:520]))]
+    assert found(spark.createDataFrame(rows, "doc_id bigint, text string")) == plain(rows)
