@@ -34,9 +34,9 @@ from meterlake.llm.shared import SPACE, materialize, text_of
 from meterlake.sources.tables import table
 
 #: Rows that the cost and selectivity of rules are estimated on, about.
-SAMPLE_ROWS = 2000
+SAMPLE_ROWS = 1000
 #: Runs of a rule over the sample, and the least time that counts, in seconds.
-RUNS, SHORTEST = 3, 1 / 256
+RUNS, SHORTEST = 2, 1 / 256
 STATISTICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
