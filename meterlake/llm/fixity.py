@@ -95,16 +95,20 @@ def index_of(pages: DataFrame) -> DataFrame:
     return placed.select("archive_id", "page_id", "offset", "length", "sha256", _range().alias("leaf"))
 
 
+#: A tree's name: replica (0 or 1) and archive. Both replicas go through every step together.
+_TREE = ["side", "archive_id"]
+
+
 def _above(rows: DataFrame) -> DataFrame:
-    """Nodes (``archive_id``, ``node``) over rows with ``at``, ``size``, ``hash``: hash of the rows in order, by their places from the first one's."""
-    grouped = rows.groupBy("archive_id", "node").agg(F.sort_array(F.collect_list(F.struct("at", "size", "hash"))).alias("parts"), F.min("at").alias("first"), F.sum("size").alias("all"))
+    """Nodes (``side``, ``archive_id``, ``node``) over rows with ``at``, ``size``, ``hash``: hash of the rows in order, by their places from the first one's."""
+    grouped = rows.groupBy(*_TREE, "node").agg(F.sort_array(F.collect_list(F.struct("at", "size", "hash"))).alias("parts"), F.min("at").alias("first"), F.sum("size").alias("all"))
     said = F.transform("parts", lambda x: F.concat_ws(":", (x["at"] - F.col("first")).cast("string"), x["size"].cast("string"), F.hex(x["hash"])))
-    return grouped.select("archive_id", "node", F.col("first").alias("at"), F.col("all").alias("size"), F.unhex(F.sha2(F.concat_ws(",", said), 256)).alias("hash"))
+    return grouped.select(*_TREE, "node", F.col("first").alias("at"), F.col("all").alias("size"), F.unhex(F.sha2(F.concat_ws(",", said), 256)).alias("hash"))
 
 
 @dataclass(frozen=True)
-class Tree:
-    """An index and its levels of nodes from the leaves up: ``archive_id``, ``node``, ``above`` (the node that it lies in), ``at``, ``size``, ``hash``; and the roots."""
+class Trees:
+    """The index of two replicas (``side`` 0 and 1), their levels of nodes from the leaves up: ``side``, ``archive_id``, ``node``, ``above`` (the node that it lies in), ``at``, ``size``, ``hash``; and the roots."""
 
     index: DataFrame
     levels: list[DataFrame]
@@ -119,54 +123,47 @@ def levels_for(leaves: int) -> int:
     return n
 
 
-def leaves_of(index: DataFrame) -> int:
-    """The leaves of the largest archive."""
-    return index.groupBy("archive_id").agg(F.count_distinct("leaf").alias("n")).agg(F.max("n")).first()[0] or 0
-
-
-def tree_of(index: DataFrame, levels: int) -> Tree:
-    nodes = _above(index.select("archive_id", F.col("leaf").alias("node"), F.col("offset").alias("at"), F.col("length").alias("size"), F.col("sha256").alias("hash")))
+def trees(one: DataFrame, other: DataFrame) -> Trees:
+    """The trees of two indexes (as of ``index_of``), of as many levels."""
+    index = materialize(one.withColumn("side", F.lit(0)).unionByName(other.withColumn("side", F.lit(1))), "index")
+    nodes = _above(index.select(*_TREE, F.col("leaf").alias("node"), F.col("offset").alias("at"), F.col("length").alias("size"), F.col("sha256").alias("hash")))
+    nodes = materialize(nodes, "nodes")
+    most = nodes.groupBy(*_TREE).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
     found = []
-    for _ in range(levels - 1):
-        placed = running(nodes, ["archive_id"], [F.col("node")], {"ordinal": F.lit(1), "cuts": _ends("hash")}).withColumn("above", _range())
-        found.append(materialize(placed.select("archive_id", "node", "above", "at", "size", "hash"), "nodes"))
+    for _ in range(levels_for(most) - 1):
+        placed = running(nodes, _TREE, [F.col("node")], {"ordinal": F.lit(1), "cuts": _ends("hash")}).withColumn("above", _range())
+        found.append(materialize(placed.select(*_TREE, "node", "above", "at", "size", "hash"), "nodes"))
         nodes = _above(found[-1].drop("node").withColumnRenamed("above", "node"))
     found.append(materialize(nodes.withColumn("above", F.lit(0).cast("bigint")), "nodes"))
     # an archive may have any number of children: a sum takes the place of a list
-    sums = found[-1].groupBy("archive_id").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"), F.sum(F.xxhash64("hash", "size").cast("decimal(38,0)")).alias("sum"))
-    return Tree(index, found, materialize(sums.select("archive_id", "size", F.sha2(F.concat_ws(":", "n", "size", "sum"), 256).alias("hash")), "roots"))
-
-
-def descend(one: Tree, other: Tree) -> tuple[list[DataFrame], DataFrame]:
-    """Leaves (``archive_id``, ``node``) of each tree that the other does not have; and what was looked at on the way: ``level``, ``nodes``, ``visited``, ``differing``, the roots as the highest level."""
-    both = one.roots.select("archive_id", F.col("hash").alias("a")).join(other.roots.select("archive_id", F.col("hash").alias("b")), "archive_id", "full")
-    bad = materialize(both.filter(~F.col("a").eqNullSafe(F.col("b"))).select("archive_id", F.lit(0).cast("bigint").alias("node")), "roots-that-differ")
-    sides = [bad, bad]
-    seen = [both.agg(F.lit(len(one.levels) + 1).alias("level"), F.count(F.lit(1)).alias("nodes"), F.count(F.lit(1)).alias("visited")).crossJoin(bad.agg(F.count(F.lit(1)).alias("differing")))]  # one row each
-    for level in range(len(one.levels), 0, -1):
-        looked = []
-        for n, t in enumerate((one, other)):
-            above = sides[n].select("archive_id", F.col("node").alias("above"))
-            looked.append(t.levels[level - 1].join(above, ["archive_id", "above"], "left_semi").select("archive_id", "node", "hash", F.lit(n).alias("side")))
-        children = materialize(looked[0].union(looked[1]), "children")
-        counted = children.groupBy("archive_id", "hash").agg(*(F.count_if(F.col("side") == n).alias(f"n{n}") for n in (0, 1)))
-        differ = materialize(children.join(counted.filter("n0 <> n1"), ["archive_id", "hash"], "left_semi").select("archive_id", "node", "side"), "differing")
-        sides = [differ.filter(F.col("side") == n).select("archive_id", "node") for n in (0, 1)]
-        rows = lambda df, c: df.agg(F.count(F.lit(1)).alias(c))
-        whole = rows(one.levels[level - 1].select("node").union(other.levels[level - 1].select("node")), "nodes")
-        seen.append(whole.crossJoin(rows(children, "visited")).crossJoin(rows(differ, "differing")).select(F.lit(level).alias("level"), "nodes", "visited", "differing"))
-    return sides, reduce(DataFrame.unionByName, seen)
-
-
-def mismatches(one: Tree, other: Tree) -> DataFrame:
+    sums = found[-1].groupBy(*_TREE).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"), F.sum(F.xxhash64("hash", "size").cast("decimal(38,0)")).alias("sum"))
+    return Trees(index, found, materialize(sums.select(*_TREE, "size", F.sha2(F.concat_ws(":", "n", "size", "sum"), 256).alias("hash")), "roots"))
+
+
+def _unlike(nodes: DataFrame) -> DataFrame:
+    """Nodes whose hash the other replica's archive does not have as often among ``nodes``."""
+    counted = nodes.groupBy("archive_id", "hash").agg(*(F.count_if(F.col("side") == n).alias(f"n{n}") for n in (0, 1)))
+    return nodes.join(counted.filter("n0 <> n1"), ["archive_id", "hash"], "left_semi")
+
+
+def descend(t: Trees) -> tuple[DataFrame, list[tuple[DataFrame, DataFrame, DataFrame]]]:
+    """Leaves (``side``, ``archive_id``, ``node``) that the other replica does not have; and for each level, the roots first: its nodes, those looked at, those that differ."""
+    bad = materialize(_unlike(t.roots).select(*_TREE, F.lit(0).cast("bigint").alias("node")), "differing")
+    seen = [(t.roots, t.roots, bad)]
+    for nodes in reversed(t.levels):
+        below = nodes.join(bad.withColumnRenamed("node", "above"), [*_TREE, "above"], "left_semi").select(*_TREE, "node", "hash")
+        bad = materialize(_unlike(below).select(*_TREE, "node"), "differing")
+        seen.append((nodes, below, bad))
+    return bad, seen
+
+
+def mismatches(t: Trees) -> DataFrame:
     """Records that differ: ``archive_id``, ``page_id``, ``offset`` and ``length`` (in the replica that has it, the first one first), both digests in hex, ``status`` (corrupt, missing, extra) and ``copies``."""
-    bad, _ = descend(one, other)
-    sides = []
-    for t, leaves, name in zip((one, other), bad, ("expected", "found")):
-        sides.append(t.index.join(leaves.withColumnRenamed("node", "leaf"), ["archive_id", "leaf"], "left_semi").withColumn("side", F.lit(name)))
-    counted = sides[0].unionByName(sides[1]).groupBy("archive_id", "page_id", "sha256", "length").agg(
-        *(F.count_if(F.col("side") == x).alias(x) for x in ("expected", "found")),
-        *(F.min(F.when(F.col("side") == x, F.col("offset"))).alias(f"{x}_at") for x in ("expected", "found")),
+    leaves, _ = descend(t)
+    rows = t.index.join(leaves.withColumnRenamed("node", "leaf"), [*_TREE, "leaf"], "left_semi")
+    sides = {"expected": F.col("side") == 0, "found": F.col("side") == 1}
+    counted = rows.groupBy("archive_id", "page_id", "sha256", "length").agg(
+        *(F.count_if(x).alias(c) for c, x in sides.items()), *(F.min(F.when(x, F.col("offset"))).alias(f"{c}_at") for c, x in sides.items())
     )
     differ = counted.filter("expected <> found").withColumn("more", F.col("expected") > F.col("found"))
     # versions of one id that one side alone has: the first of them meets the first of the other side
@@ -189,21 +186,19 @@ def mismatches(one: Tree, other: Tree) -> DataFrame:
     )
 
 
-def trees(one: DataFrame, other: DataFrame) -> tuple[Tree, Tree]:
-    """The trees of two indexes (as of ``index_of``), of as many levels."""
-    one, other = materialize(one, "index"), materialize(other, "index")
-    levels = levels_for(max(leaves_of(one), leaves_of(other)))
-    return tree_of(one, levels), tree_of(other, levels)
-
-
 def visits(one: DataFrame, other: DataFrame) -> DataFrame:
-    """How many nodes of two indexes' trees an audit looks at, by level: ``level``, ``nodes``, ``visited``, ``differing``."""
-    return descend(*trees(one, other))[1]
+    """How many nodes of two indexes' trees an audit looks at, by level, leaves are level 1: ``level``, ``nodes``, ``visited``, ``differing``."""
+    _, seen = descend(trees(one, other))
+    rows = []
+    for n, parts in enumerate(seen):
+        counts = [df.agg(F.count(F.lit(1)).alias(c)) for df, c in zip(parts, ("nodes", "visited", "differing"))]  # one row each
+        rows.append(counts[0].crossJoin(counts[1]).crossJoin(counts[2]).select(F.lit(len(seen) - n).alias("level"), "nodes", "visited", "differing"))
+    return reduce(DataFrame.unionByName, rows)
 
 
 def audit(one: DataFrame, other: DataFrame) -> DataFrame:
     """Mismatches of two indexes (as of ``index_of``)."""
-    return mismatches(*trees(one, other))
+    return mismatches(trees(one, other))
 
 
 def _mark(page_id: Column) -> Column:

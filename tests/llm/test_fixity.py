@@ -78,7 +78,7 @@ def test_one_lost_record_is_one_row(spark):
 
 def test_roots_cover_every_record(spark):
     index = X.index_of(pages(spark, [(i, "u", "y" * 5000) for i in range(300)]))
-    root = lambda index: X.trees(index, index)[0].roots.first()
+    root = lambda index: X.trees(index, index).roots.filter("side = 0").first()
     top = root(index)
     assert top["size"] == index.agg({"length": "sum"}).first()[0]
     assert root(index.withColumn("offset", index["offset"] + 1))["hash"] == top["hash"]  # moved as a whole
@@ -91,8 +91,8 @@ def test_one_lost_record_is_found_by_a_few_nodes(spark):
     one = X.index_of(pages(spark, rows))
     for gone in (3, 2500, 5999):
         seen = {r["level"]: r for r in X.visits(one, X.index_of(pages(spark, rows[:gone] + rows[gone + 1 :]))).collect()}
-        assert seen[max(seen)]["differing"] == 1
-        assert all(r["differing"] <= 6 and r["visited"] <= 130 for n, r in seen.items() if n < max(seen)), seen
+        assert seen[max(seen)]["differing"] == 2  # the archive's root on either side
+        assert all(r["differing"] <= 6 and r["visited"] <= 160 for n, r in seen.items() if n < max(seen)), seen
         assert seen[1]["nodes"] > 600 and seen[1]["differing"] <= 4
 
 
