@@ -42,7 +42,7 @@ LEAST, DEPTH, TOP = 30, 4, 2000
 #: Per cent of a candidate's count that a longer one around it needs.
 INSIDE = 80
 #: Suffixes of a group, records that a task sums before it passes them on, characters of text whose prefixes are summed together.
-BUDGET, FLUSH, PART_CHARS = 1 << 20, 1 << 21, 1 << 23
+BUDGET, FLUSH, PART_CHARS = 1 << 20, 1 << 20, 1 << 22
 #: Bits of a filter at most (32 MB); ranges of hashes that counts are collected for, at most, as a power of two.
 FILTER_BITS, RANGES = 1 << 28, 20
 
