@@ -7,14 +7,15 @@ id. All suffixes of all documents would be a tree far larger than the input, so:
    prefixes that start inside a window, the one with the smallest hash. Equal
    windows have their anchor at the same place, so they meet in one group. Prefixes that
    occur in one document only are leaves and go no further.
-2. Prefix counts set how far a group is split. A prefix of more than ``GROUP`` anchors is lengthened word by word, each window in its own order: its suffixes are
-   written once, counted by the prefix of 6 words (of windows that begin as many words before the anchor), those still too many by 7, and so on up to ``WINDOW``. As no prefix splits
+2. Prefix counts set how far a group is split. A prefix of more than ``GROUP`` anchors is lengthened word by word: its suffixes are
+   written once, counted by their first 6 words, those still too many by 7, and so on up to ``WINDOW``. As no prefix splits
    copies of one passage, suffixes of a prefix that has full depth and is still too large are dealt over 64 parts by a hash of
-   document and place, those of a 64 times larger one over 4096, and so on; every part fits in memory.
+   document and place, those of a 64 times larger one over 4096, and so on; every part fits in memory. A window that holds all words of the lengthened prefix lies whole
+   in its part; others (they end before it) may lie in several, and are open.
 3. In each group a subtree is grown from the prefix down, word by word: a node's suffixes are sorted by their next word,
    and each run of equal words is a child. A node whose suffixes are of one document is a leaf and not
    grown further. Nodes left at depth ``WINDOW`` are the deep internal ones: all their occurrences but those of the smallest id are
-   marked, and neighbouring marks join to maximal repeats. In parts of groups nodes are grown to full depth whatever their documents;
+   marked, and neighbouring marks join to maximal repeats. Open nodes are grown to full depth whatever their documents;
    one row for a node and document with all its places goes on, and the smallest document over all parts is found by an aggregation that tasks begin on their own.
 
 Spans are judged on the input and brought to the texts by one join. Suffixes are
@@ -55,7 +56,7 @@ _LAST = (1 << 63) - 1
 
 
 def _anchored(texts: pa.Array) -> tuple[np.ndarray, ...]:
-    """Hashes of all words of all texts; and of all windows: row, the text's first word, place, anchor's hash, anchor's place (places in the batch)."""
+    """Hashes of all words of all texts; and of all windows: row, the text's first word, place, anchor's hash, anchor's place, and the text's end (places in the batch)."""
     words, offsets = split_words(texts)
     hashes = hash_values(words)
     prefixes = rolling(hashes, PREFIX)
@@ -70,7 +71,7 @@ def _anchored(texts: pa.Array) -> tuple[np.ndarray, ...]:
         place[smaller] = k
     place += np.arange(windows)
     row = np.searchsorted(offsets, inside, side="right") - 1
-    return hashes, row, offsets[row], inside, least[inside], place[inside]
+    return hashes, row, offsets[row], inside, least[inside], place[inside], offsets[row + 1]
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -85,7 +86,7 @@ def repeated_prefixes(rows: DataFrame) -> DataFrame:
         for b in batches:
             for part in slices(b):
                 doc = part.column("doc").to_numpy()
-                _, row, _, _, anchor, place = _anchored(part.column("text"))
+                _, row, _, _, anchor, place, _ = _anchored(part.column("text"))
                 if not len(row):
                     continue
                 first = np.concatenate(([True], place[1:] != place[:-1]))
@@ -118,8 +119,17 @@ def _found(part: pa.RecordBatch) -> tuple[np.ndarray, list[np.ndarray], np.ndarr
     return hashes, found, tags
 
 
-def _suffixes(rows: DataFrame, repeated: np.ndarray, large: np.ndarray) -> DataFrame:
-    """Neighbouring suffixes by their anchor, but for those of large prefixes: prefix, part (0), document, text's checksum, first start, words before the anchor, and hashes of the words around it."""
+#: A window that begins ``open`` words before its anchor, or more, may have equals in other parts.
+_SUFFIX = "a bigint, part bigint, open bigint, doc bigint, tag bigint, start bigint, around bigint, words binary"
+_LONGER = WINDOW - PREFIX
+_LEVELS = [f"h{k}" for k in range(1, _LONGER + 1)]
+
+
+def _suffixes(rows: DataFrame, repeated: np.ndarray, large: np.ndarray, hot: bool) -> DataFrame:
+    """Neighbouring suffixes by their anchor: prefix, part (0), ``open`` (of none), document, text's checksum, first start, words before the anchor, and hashes of the words around it.
+
+    Those of large prefixes (``hot``), with hashes of the prefix lengthened by 1 to 8 words (of the text, 0 behind its end), or those of the others.
+    """
     shared = rows.sparkSession.sparkContext.broadcast((repeated, large))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,78 +139,56 @@ def _suffixes(rows: DataFrame, repeated: np.ndarray, large: np.ndarray) -> DataF
                 doc = part.column("doc").to_numpy()
                 hashes, found, tags = _found(part)
                 kept = contains(repeated, found[3])
-                kept[kept] = ~contains(large, found[3][kept])
-                row, begin, window, anchor, place = (x[kept] for x in found)
+                kept[kept] = contains(large, found[3][kept]) == hot
+                row, begin, window, anchor, place, end = (x[kept] for x in found)
                 if not len(row):
                     continue
                 first = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
                 size = np.diff(np.concatenate((first, [len(row)]))) + WINDOW - PREFIX - 1
-                row, start, window, anchor, left = row[first], (window - begin)[first], window[first], anchor[first], (place - window)[first]
+                row, start, window, anchor, place, end = row[first], (window - begin)[first], window[first], anchor[first], place[first], end[first]
+                left = place - window
                 run, at = _counted(size)
                 around = hashes[window[run] + at + np.where(at < left[run], 0, PREFIX)]
-                cols = [anchor.view(np.int64), np.zeros(len(row), dtype=np.int64), doc[row], tags[row], start, left]
-                yield pa.RecordBatch.from_arrays([*map(pa.array, cols), _blobs(around, size)], ["a", "part", "doc", "tag", "start", "around", "words"])
-
-    return rows.mapInArrow(scan, _SUFFIX)
-
-
-_SUFFIX = "a bigint, part bigint, doc bigint, tag bigint, start bigint, around bigint, words binary"
-_WORDS = [f"w{k}" for k in range(1, WINDOW - PREFIX + 1)]
-
-
-def _large_suffixes(rows: DataFrame, large: np.ndarray) -> DataFrame:
-    """The suffixes of large prefixes, one row a window: prefix, document, text's checksum, start, words before the anchor, and the words around it, ``w1`` and so on, in the window's order."""
-    shared = rows.sparkSession.sparkContext.broadcast(large)
+                cols = [anchor.view(np.int64), np.zeros(len(row), dtype=np.int64), np.full(len(row), WINDOW, dtype=np.int64), doc[row], tags[row], start, left]
+                longer = []
+                if hot:
+                    name = anchor
+                    for k in range(_LONGER):
+                        next_ = place + PREFIX + k
+                        name = mixed(name * BASE + np.where(next_ < end, hashes[np.minimum(next_, len(hashes) - 1)], np.uint64(0)))
+                        longer.append(pa.array(name.view(np.int64)))
+                names = ["a", "part", "open", "doc", "tag", "start", "around", "words", *_LEVELS[: len(longer)]]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, cols), _blobs(around, size), *longer], names)
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for part in slices(b):
-                doc = part.column("doc").to_numpy()
-                hashes, found, tags = _found(part)
-                kept = contains(shared.value, found[3])
-                row, begin, window, anchor, place = (x[kept] for x in found)
-                left = place - window
-                around = [hashes[window + k + np.where(k < left, 0, PREFIX)].view(np.int64) for k in range(len(_WORDS))]
-                cols = [anchor.view(np.int64), doc[row], tags[row], window - begin, left, *around]
-                yield pa.RecordBatch.from_arrays([*map(pa.array, cols)], ["a", "doc", "tag", "start", "around", *_WORDS])
-
-    return rows.mapInArrow(scan, ", ".join(f"{c} bigint" for c in ("a", "doc", "tag", "start", "around", *_WORDS)))
+    return rows.mapInArrow(scan, _SUFFIX + "".join(f", {h} bigint" for h in _LEVELS if hot))
 
 
 def lengthened(suffixes: DataFrame, group: int = GROUP) -> DataFrame:
-    """Each suffix of ``_large_suffixes`` with ``depth``, the words of the shortest prefix that has ``group`` suffixes or fewer (or ``WINDOW``), that prefix's hash ``node``, and its number of suffixes ``n`` where that is still more."""
-    names = [f"h{k}" for k in range(len(_WORDS) + 1)]
-    out = suffixes.withColumns({h: F.xxhash64("a", "around", *_WORDS[:k]) for k, h in enumerate(names)})
-    left, levels = out, 0
-    for h in names:
+    """Suffixes of large prefixes with ``longer``, by how many words theirs is lengthened until it has ``group`` suffixes or fewer (or is ``WINDOW`` words long), and ``n``, the number of its suffixes where that is still more."""
+    out, left, levels = suffixes, suffixes, 0
+    for h in _LEVELS:
         large = materialize(left.groupBy(h).agg(F.count(F.lit(1)).alias(f"n_{h}")).filter(F.col(f"n_{h}") > group), "large")
         if large.isEmpty():
             break
         levels += 1
         left = left.join(large.select(h), h, "left_semi")
         out = attach(out, large, [h])  # a row for every ``group`` suffixes at most
-    longer = sum((F.col(f"n_{h}").isNotNull().cast("int") for h in names[:levels]), F.lit(0))
-    node = F.element_at(F.array(*names), F.least(longer, F.lit(len(_WORDS))) + 1)
-    n = F.col(f"n_{names[-1]}") if levels == len(names) else F.lit(None).cast("bigint")
-    return out.select(*suffixes.columns, (F.least(longer, F.lit(len(_WORDS))) + PREFIX).alias("depth"), node.alias("node"), n.alias("n"))
+    more = sum((F.col(f"n_{h}").isNotNull().cast("int") for h in _LEVELS[:levels]), F.lit(1))
+    n = F.col(f"n_{_LEVELS[-1]}") if levels == _LONGER else F.lit(None).cast("bigint")
+    return out.select(*suffixes.columns, F.least(more, F.lit(_LONGER)).alias("longer"), n.alias("n"))
 
 
 def _in_parts(suffixes: DataFrame, group: int) -> DataFrame:
-    """Lengthened suffixes as rows of ``_suffixes``; those of full depth that are too many are dealt over parts."""
+    """Lengthened suffixes as rows of ``_suffixes`` with their parts; those of full depth that are too many are dealt over parts by a hash."""
     parts = F.lit(PARTS).cast("bigint")
     for level in range(2, 8):
         parts = F.when(F.col("n") > group * PARTS ** (level - 1), F.lit(PARTS**level).cast("bigint")).otherwise(parts)
-    dealt = F.pmod(F.xxhash64("doc", F.floor(F.col("start") / STRETCH)), parts) + 1
-    part = F.when(F.col("n").isNull(), F.lit(0).cast("bigint")).otherwise(dealt)
-
-    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            words = np.column_stack([b.column(w).to_numpy() for w in _WORDS]) if b.num_rows else np.zeros((0, len(_WORDS)), dtype=np.int64)
-            blobs = _blobs(np.ascontiguousarray(words), np.full(b.num_rows, len(_WORDS), dtype=np.int64))
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("a", "part", "doc", "tag", "start", "around")), blobs], ["a", "part", "doc", "tag", "start", "around", "words"])
-
-    rows = suffixes.select(F.col("node").alias("a"), part.alias("part"), "doc", "tag", "start", "around", *_WORDS)
-    return rows.mapInArrow(packed, _SUFFIX)
+    dealt = F.pmod(F.xxhash64("doc", F.floor(F.col("start") / STRETCH)), parts)
+    prefix = F.element_at(F.array(*_LEVELS), F.col("longer"))
+    part = F.when(F.col("n").isNull(), prefix).otherwise(F.xxhash64(prefix, dealt))
+    # the prefix ends ``longer`` words behind the anchor's: a window that begins k words before the anchor holds 8 - k of them
+    open_ = F.when(F.col("n").isNull(), _LONGER + 1 - F.col("longer")).otherwise(F.lit(0)).cast("bigint")
+    return suffixes.select("a", part.alias("part"), open_.alias("open"), "doc", "tag", "start", "around", "words")
 
 
 def _counted(size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -220,11 +208,11 @@ def _starts(*keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate(([True], np.any([k[1:] != k[:-1] for k in keys], axis=0))))
 
 
-def _deep_nodes(node: np.ndarray, words: np.ndarray, at: np.ndarray, doc: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _deep_nodes(node: np.ndarray, words: np.ndarray, at: np.ndarray, doc: np.ndarray, meets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The suffixes below nodes of full depth, and the smallest document of each one's node.
 
     ``node``: the nodes to grow from; ``words[at + d]``: the word that a suffix reads at step d. Nodes of one document are
-    grown no further, except in parts (``part`` > 0).
+    grown no further, unless they are open (``meets`` > 0).
     """
     steps = WINDOW - PREFIX
     letters, letter = np.unique(words, return_inverse=True)
@@ -236,7 +224,7 @@ def _deep_nodes(node: np.ndarray, words: np.ndarray, at: np.ndarray, doc: np.nda
         node, alive = node[order], alive[order]
         lo = _starts(node)
         least, most = (f.reduceat(doc[alive], lo) for f in (np.minimum, np.maximum))
-        inner = (least != most) | (part[alive[lo]] > 0)
+        inner = (least != most) | (meets[alive[lo]] > 0)
         child = np.repeat(np.arange(len(lo)), np.diff(np.concatenate((lo, [len(node)]))))
         kept = inner[child]
         alive, node = alive[kept], child[kept]
@@ -273,7 +261,7 @@ def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _mark(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     if not b.num_rows:
         return
-    a, part, doc, tag, start = (b.column(c).to_numpy() for c in ("a", "part", "doc", "tag", "start"))
+    a, part, opens, doc, tag, start = (b.column(c).to_numpy() for c in ("a", "part", "open", "doc", "tag", "start"))
     left, blobs = b.column("around").to_numpy(), b.column("words")
     words = np.frombuffer(b"".join(blobs.to_pylist()), dtype=np.uint64)
     held = np.diff(np.frombuffer(blobs.buffers()[1], dtype=np.int32)[blobs.offset : blobs.offset + len(blobs) + 1]) // 8
@@ -285,7 +273,8 @@ def _mark(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     before = left[run] - number  # words of a suffix before its anchor
     docs = doc[run]
     at = start[run] + number
-    alive, least = _deep_nodes(group[run] * WINDOW + before, words, first, docs, part[run])
+    meets = (before >= opens[run]).astype(np.int64)
+    alive, least = _deep_nodes(group[run] * WINDOW + before, words, first, docs, meets)
     later = docs[alive] != least
 
     names = ["a", "doc", "tag", "lo", "hi", "places"]
@@ -297,7 +286,7 @@ def _mark(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         hi = np.concatenate((lo[1:], [len(hit)])) - 1
         cols = [d[lo], t[lo], p[lo], p[hi] + WINDOW]
         yield pa.RecordBatch.from_arrays([pa.nulls(len(lo), pa.int64()), *map(pa.array, cols), pa.nulls(len(lo), pa.binary())], names)
-    open_ = alive[~later & (part[run[alive]] > 0)]
+    open_ = alive[~later & (meets[alive] > 0)]
     if len(open_):
         name = a[run[open_]].view(np.uint64) * BASE + before[open_].astype(np.uint64)
         for step in range(WINDOW - PREFIX):
@@ -334,10 +323,10 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     count, most = prefixes.agg(F.count(F.lit(1)), F.coalesce(F.max("n"), F.lit(0))).first()
     repeated, hot = build(_keys(prefixes), bits_for(count, map_bits)), prefixes.filter(F.col("n") > group)
     large = build(_keys(hot), bits_for(hot.count(), map_bits))
-    suffixes = _suffixes(rows, repeated, large)
+    suffixes = _suffixes(rows, repeated, large, False)
     if most > group:
         # what the filter lets through by mistake is lengthened too, to where it fits at once
-        suffixes = suffixes.union(_in_parts(lengthened(materialize(_large_suffixes(rows, large), "suffixes"), group), group))
+        suffixes = suffixes.union(_in_parts(lengthened(materialize(_suffixes(rows, repeated, large, True), "suffixes"), group), group))
     dealt = suffixes.repartition("a", "part").sortWithinPartitions("a", "part")
     marks = materialize(dealt.mapInArrow(_marks, _MARKS), "marks")
     again = marks.filter("a IS NOT NULL").select("a", "doc", "tag", "places")

@@ -108,11 +108,12 @@ def test_a_hot_prefix_is_lengthened_word_by_word(spark):
         S.repeated_spans.__defaults__ = least
     prefixes = S.repeated_prefixes(S._rows(df, "doc_id", "text").select("doc", "text"))
     large = S.build(S._keys(prefixes.filter("n > 8")), 1 << 19)
-    got = S.lengthened(S._large_suffixes(S._rows(df, "doc_id", "text").select("doc", "text"), large), 8)
-    by_depth = {r["depth"]: r["count"] for r in got.groupBy("depth").count().collect()}
-    assert {6, 7, 8, 9, 10, 11, 12, 13} <= set(by_depth) and got.filter("n IS NOT NULL").count() > 0
-    assert got.filter("n IS NULL").groupBy("node").count().agg({"count": "max"}).first()[0] <= 8
-    assert got.filter("n IS NOT NULL AND depth < 13").count() == 0
+    every = S.build(S._keys(prefixes), 1 << 19)
+    got = S.lengthened(S._suffixes(S._rows(df, "doc_id", "text").select("doc", "text"), every, large, True), 8)
+    by_words = {r["longer"] for r in got.select("longer").distinct().collect()}
+    assert len(by_words) >= 6 and {1, 8} <= by_words and got.filter("n IS NOT NULL").count() > 0
+    assert S._in_parts(got, 8).filter("open > 0").groupBy("a", "part").count().agg({"count": "max"}).first()[0] <= 8
+    assert got.filter("n IS NOT NULL AND longer < 8").count() == 0
 
 
 def test_a_text_of_megabytes(spark):
