@@ -7,8 +7,8 @@ id. All suffixes of all documents would be a tree far larger than the input, so:
    prefixes that start inside a window, the one with the smallest hash. Equal
    windows have their anchor at the same place, so they meet in one group. Prefixes that
    occur in one document only are leaves and go no further.
-2. Prefix counts set how far a group is split. A prefix of more than ``GROUP`` anchors is lengthened word by word: its suffixes are
-   written once, counted by their first 6 words, those still too many by 7, and so on up to ``WINDOW``. As no prefix splits
+2. Prefix counts set how far a group is split. A prefix of more than ``GROUP`` anchors is lengthened word by word: one pass counts its suffixes by
+   their first 6, 7, and so on up to ``WINDOW`` words, summed by task, and each suffix takes the shortest prefix that is not too large. As no prefix splits
    copies of one passage, suffixes of a prefix that has full depth and is still too large are dealt over 64 parts by a hash of
    document and place, those of a 64 times larger one over 4096, and so on; every part fits in memory. A window that holds all words of the lengthened prefix lies whole
    in its part; others (they end before it) may lie in several, and are open.
@@ -32,6 +32,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import compress
 
 import numpy as np
@@ -40,7 +41,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meterlake.llm.bitmap import bits_for, build, contains
-from meterlake.llm.lookup import attach
 from meterlake.llm.shared import materialize, text_of
 from meterlake.llm.words import BASE, hash_values, mixed, rolling, same_text, slices, split_words
 from meterlake.sources.tables import table
@@ -109,86 +109,116 @@ def _keys(prefixes: DataFrame) -> DataFrame:
     return prefixes.select(F.col("a").alias("key"), F.lit(0).alias("lo"), F.lit(0).alias("hi"))
 
 
-def _found(part: pa.RecordBatch) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
-    """Words' hashes of some texts, their windows (as of ``_anchored``), and the texts' checksums."""
-    texts = part.column("text")
-    hashes, *found = _anchored(texts)
-    tags = np.zeros(len(texts), dtype=np.int64)
-    for r in np.unique(found[0]).tolist():
-        tags[r] = zlib.crc32(texts[r].as_buffer())
-    return hashes, found, tags
-
-
 #: A window that begins ``open`` words before its anchor, or more, may have equals in other parts.
 _SUFFIX = "a bigint, part bigint, open bigint, doc bigint, tag bigint, start bigint, around bigint, words binary"
+#: Words that a prefix can be lengthened by.
 _LONGER = WINDOW - PREFIX
-_LEVELS = [f"h{k}" for k in range(1, _LONGER + 1)]
 
 
-def _suffixes(rows: DataFrame, repeated: np.ndarray, large: np.ndarray, hot: bool) -> DataFrame:
-    """Neighbouring suffixes by their anchor: prefix, part (0), ``open`` (of none), document, text's checksum, first start, words before the anchor, and hashes of the words around it.
+def _lengthened(anchor: np.ndarray, place: np.ndarray, end: np.ndarray, hashes: np.ndarray) -> list[np.ndarray]:
+    """Hashes of anchors' prefixes lengthened by 1 to 8 words of the text (0 behind its end)."""
+    out = []
+    for k in range(_LONGER):
+        next_ = place + PREFIX + k
+        anchor = mixed(anchor * BASE + np.where(next_ < end, hashes[np.minimum(next_, len(hashes) - 1)], np.uint64(0)))
+        out.append(anchor)
+    return out
 
-    Those of large prefixes (``hot``), with hashes of the prefix lengthened by 1 to 8 words (of the text, 0 behind its end), or those of the others.
-    """
-    shared = rows.sparkSession.sparkContext.broadcast((repeated, large))
+
+def large_prefixes(rows: DataFrame, large: np.ndarray, group: int) -> DataFrame:
+    """Of the prefixes in the filter ``large``: those lengthened by ``longer`` words (1 to 8) that still have more than ``group`` suffixes, as ``key`` and ``n``."""
+    shared = rows.sparkSession.sparkContext.broadcast(large)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        repeated, large = shared.value
         for b in batches:
             for part in slices(b):
-                doc = part.column("doc").to_numpy()
-                hashes, found, tags = _found(part)
-                kept = contains(repeated, found[3])
-                kept[kept] = contains(large, found[3][kept]) == hot
+                hashes, _, _, _, anchor, place, end = _anchored(part.column("text"))
+                first = np.concatenate(([True], place[1:] != place[:-1])) if len(place) else np.zeros(0, dtype=bool)
+                first[first] = contains(shared.value, anchor[first])
+                if not first.any():
+                    continue
+                for k, h in enumerate(_lengthened(anchor[first], place[first], end[first], hashes), 1):
+                    key, n = np.unique(h, return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.full(len(key), k, dtype=np.int32)), pa.array(n)], ["key", "longer", "n"])
+
+    return rows.mapInArrow(scan, "key bigint, longer int, n bigint").groupBy("key", "longer").agg(F.sum("n").alias("n")).filter(F.col("n") > group)
+
+
+@dataclass(frozen=True)
+class Maps:
+    """Filters of repeated prefixes, of large ones, of those that are still large when lengthened (by words, as levels), and of whole windows by the parts that they need."""
+
+    repeated: np.ndarray
+    large: np.ndarray
+    longer: np.ndarray | None = None
+    whole: tuple[np.ndarray, ...] = ()
+
+    def parts(self, anchor: np.ndarray, place: np.ndarray, end: np.ndarray, hashes: np.ndarray, doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each suffix's part, and how many words before the anchor make a window open there."""
+        part, opens = np.zeros(len(anchor), dtype=np.uint64), np.full(len(anchor), WINDOW, dtype=np.int64)
+        hot = np.flatnonzero(contains(self.large, anchor)) if self.longer is not None else np.zeros(0, dtype=np.int64)
+        if not len(hot):
+            return part, opens
+        names = _lengthened(anchor[hot], place[hot], end[hot], hashes)
+        by, alive = np.zeros(len(hot), dtype=np.int64), np.arange(len(hot))
+        for k in range(1, _LONGER + 1):
+            by[alive] = k
+            alive = alive[contains(self.longer, names[k - 1][alive], k)]
+        # the prefix ends so many words behind the anchor's: a window that begins k words before the anchor holds 8 - k of them
+        part[hot], opens[hot] = np.column_stack(names)[np.arange(len(hot)), by - 1], _LONGER + 1 - by
+        dealt = mixed(mixed(doc[hot].view(np.uint64) * BASE + (start[hot] // STRETCH).astype(np.uint64))) >> np.uint64(8)
+        whole = names[-1][alive]
+        for level, m in enumerate(self.whole, 1):
+            big = contains(m, whole)
+            part[hot[alive[big]]] = mixed(whole[big] * BASE + dealt[alive[big]] % np.uint64(PARTS**level))
+        opens[hot[alive]] = 0
+        return part, opens
+
+
+def maps_of(rows: DataFrame, group: int, map_bits: int) -> Maps:
+    prefixes = materialize(repeated_prefixes(rows), "prefixes")
+    count, most = prefixes.agg(F.count(F.lit(1)), F.coalesce(F.max("n"), F.lit(0))).first()
+    filtered = lambda keys: build(keys, bits_for(keys.count(), map_bits))
+    repeated, large = build(_keys(prefixes), bits_for(count, map_bits)), filtered(_keys(prefixes.filter(F.col("n") > group)))
+    if most <= group:
+        return Maps(repeated, large)
+    still = materialize(large_prefixes(rows, large, group), "large")
+    longer = filtered(still.select("key", F.col("longer").alias("lo"), F.col("longer").alias("hi")))
+    windows, whole, least = still.filter(F.col("longer") == _LONGER), [], group
+    most = windows.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+    while most > least:
+        whole.append(filtered(windows.filter(F.col("n") > least).select("key", F.lit(0).alias("lo"), F.lit(0).alias("hi"))))
+        least *= PARTS
+    return Maps(repeated, large, longer, tuple(whole))
+
+
+def _suffixes(rows: DataFrame, maps: Maps) -> DataFrame:
+    """Neighbouring suffixes by their anchor: prefix, part (0, but for large prefixes), ``open``, document, text's checksum, first start, words before the anchor, and hashes of the words around it."""
+    shared = rows.sparkSession.sparkContext.broadcast(maps)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part in slices(b):
+                doc, texts = part.column("doc").to_numpy(), part.column("text")
+                hashes, *found = _anchored(texts)
+                kept = contains(shared.value.repeated, found[3])
                 row, begin, window, anchor, place, end = (x[kept] for x in found)
                 if not len(row):
                     continue
                 first = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
                 size = np.diff(np.concatenate((first, [len(row)]))) + WINDOW - PREFIX - 1
                 row, start, window, anchor, place, end = row[first], (window - begin)[first], window[first], anchor[first], place[first], end[first]
+                tags = np.zeros(len(doc), dtype=np.int64)
+                for r in np.unique(row).tolist():
+                    tags[r] = zlib.crc32(texts[r].as_buffer())
                 left = place - window
                 run, at = _counted(size)
                 around = hashes[window[run] + at + np.where(at < left[run], 0, PREFIX)]
-                cols = [anchor.view(np.int64), np.zeros(len(row), dtype=np.int64), np.full(len(row), WINDOW, dtype=np.int64), doc[row], tags[row], start, left]
-                longer = []
-                if hot:
-                    name = anchor
-                    for k in range(_LONGER):
-                        next_ = place + PREFIX + k
-                        name = mixed(name * BASE + np.where(next_ < end, hashes[np.minimum(next_, len(hashes) - 1)], np.uint64(0)))
-                        longer.append(pa.array(name.view(np.int64)))
-                names = ["a", "part", "open", "doc", "tag", "start", "around", "words", *_LEVELS[: len(longer)]]
-                yield pa.RecordBatch.from_arrays([*map(pa.array, cols), _blobs(around, size), *longer], names)
-
-    return rows.mapInArrow(scan, _SUFFIX + "".join(f", {h} bigint" for h in _LEVELS if hot))
-
-
-def lengthened(suffixes: DataFrame, group: int = GROUP) -> DataFrame:
-    """Suffixes of large prefixes with ``longer``, by how many words theirs is lengthened until it has ``group`` suffixes or fewer (or is ``WINDOW`` words long), and ``n``, the number of its suffixes where that is still more."""
-    out, left, levels = suffixes, suffixes, 0
-    for h in _LEVELS:
-        large = materialize(left.groupBy(h).agg(F.count(F.lit(1)).alias(f"n_{h}")).filter(F.col(f"n_{h}") > group), "large")
-        if large.isEmpty():
-            break
-        levels += 1
-        left = left.join(large.select(h), h, "left_semi")
-        out = attach(out, large, [h])  # a row for every ``group`` suffixes at most
-    more = sum((F.col(f"n_{h}").isNotNull().cast("int") for h in _LEVELS[:levels]), F.lit(1))
-    n = F.col(f"n_{_LEVELS[-1]}") if levels == _LONGER else F.lit(None).cast("bigint")
-    return out.select(*suffixes.columns, F.least(more, F.lit(_LONGER)).alias("longer"), n.alias("n"))
-
-
-def _in_parts(suffixes: DataFrame, group: int) -> DataFrame:
-    """Lengthened suffixes as rows of ``_suffixes`` with their parts; those of full depth that are too many are dealt over parts by a hash."""
-    parts = F.lit(PARTS).cast("bigint")
-    for level in range(2, 8):
-        parts = F.when(F.col("n") > group * PARTS ** (level - 1), F.lit(PARTS**level).cast("bigint")).otherwise(parts)
-    dealt = F.pmod(F.xxhash64("doc", F.floor(F.col("start") / STRETCH)), parts)
-    prefix = F.element_at(F.array(*_LEVELS), F.col("longer"))
-    part = F.when(F.col("n").isNull(), prefix).otherwise(F.xxhash64(prefix, dealt))
-    # the prefix ends ``longer`` words behind the anchor's: a window that begins k words before the anchor holds 8 - k of them
-    open_ = F.when(F.col("n").isNull(), _LONGER + 1 - F.col("longer")).otherwise(F.lit(0)).cast("bigint")
-    return suffixes.select("a", part.alias("part"), open_.alias("open"), "doc", "tag", "start", "around", "words")
+                parts, opens = shared.value.parts(anchor, place, end, hashes, doc[row], start)
+                cols = [anchor.view(np.int64), parts.view(np.int64), opens, doc[row], tags[row], start, left]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, cols), _blobs(around, size)], ["a", "part", "open", "doc", "tag", "start", "around", "words"])
+
+    return rows.mapInArrow(scan, _SUFFIX)
 
 
 def _counted(size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -319,15 +349,7 @@ def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group: int = GROUP, map_bits: int = MAP_BITS) -> DataFrame:
     """Spans of words to remove: ``doc`` (the id), ``tag`` (crc32 of the text), ``lo`` and ``hi`` (word positions, end exclusive). Spans may overlap."""
     rows = _rows(docs, id_col, text_col).select("doc", "text")
-    prefixes = materialize(repeated_prefixes(rows), "prefixes")
-    count, most = prefixes.agg(F.count(F.lit(1)), F.coalesce(F.max("n"), F.lit(0))).first()
-    repeated, hot = build(_keys(prefixes), bits_for(count, map_bits)), prefixes.filter(F.col("n") > group)
-    large = build(_keys(hot), bits_for(hot.count(), map_bits))
-    suffixes = _suffixes(rows, repeated, large, False)
-    if most > group:
-        # what the filter lets through by mistake is lengthened too, to where it fits at once
-        suffixes = suffixes.union(_in_parts(lengthened(materialize(_suffixes(rows, repeated, large, True), "suffixes"), group), group))
-    dealt = suffixes.repartition("a", "part").sortWithinPartitions("a", "part")
+    dealt = _suffixes(rows, maps_of(rows, group, map_bits)).repartition("a", "part").sortWithinPartitions("a", "part")
     marks = materialize(dealt.mapInArrow(_marks, _MARKS), "marks")
     again = marks.filter("a IS NOT NULL").select("a", "doc", "tag", "places")
     least = again.groupBy("a").agg(F.min("doc").alias("least"))
