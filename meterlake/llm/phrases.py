@@ -43,6 +43,8 @@ LEAST, DEPTH, TOP = 30, 4, 2000
 INSIDE = 80
 #: Suffixes of a group, records that a task sums before it passes them on, characters of text whose prefixes are summed together.
 BUDGET, FLUSH, PART_CHARS = 1 << 20, 1 << 20, 1 << 22
+#: Bytes of text that a task takes at a time.
+SLICE = 1 << 20
 #: Bits of a filter at most (32 MB); ranges of hashes that counts are collected for, at most, as a power of two.
 FILTER_BITS, RANGES = 1 << 28, 20
 
@@ -129,7 +131,7 @@ def word_counts(rows: DataFrame, least: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(different.view(np.int64)), langs, words, pa.array(np.bincount(back, weights=n).astype(np.int64))], ["key", "lang", "word", "n"])
 
         for b in batches:
-            for part in slices(b):
+            for part in slices(b, most=SLICE):
                 w = words_of(part.column("text"), part.column("lang"))
                 if not len(w.keys):
                     continue
@@ -179,7 +181,7 @@ def _pooled(records: Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray]],
             return pa.RecordBatch.from_arrays([pa.array(part[lo].astype(np.int64)), *blobs], ["part", "rows", "counts"])
 
         for b in batches:
-            for part in slices(b):
+            for part in slices(b, most=SLICE):
                 key, rows = records(part)
                 if not len(key):
                     continue
