@@ -207,9 +207,10 @@ def topology_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')
 """)
 def key_list_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    keys = distinct_keys(table(spark, sf_dir, "customer").filter("c_mktsegment = 'BUILDING'"), "c_name")
+    """Orders of a list of customers; both sides' keys are normalised in one way, which keeps zero and signs."""
+    keys = distinct_keys(table(spark, sf_dir, "customer").filter("c_mktsegment = 'BUILDING'"), "c_custkey", "zeros_only")
     o = table(spark, sf_dir, "orders")
-    return o.join(keys, o["o_custkey"].cast("string") == keys["key"], "left_semi").select("o_orderkey", "o_custkey", "o_totalprice")
+    return o.join(keys, key_of(o, "o_custkey", "zeros_only") == keys["key"], "left_semi").select("o_orderkey", "o_custkey", "o_totalprice")
 
 
 @query("""

@@ -4,6 +4,7 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from meterlake.plans.flows import ORACLE_SQL, QUERIES
@@ -49,3 +50,16 @@ def test_daily_series_needs_one_exchange(spark):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_key_list_goes_by_keys_whatever_the_names(spark, db, tmp_path):
+    """Names that say nothing of the key, and keys that are zero, negative or null."""
+    for t, key in (("customer", "c_custkey"), ("orders", "o_custkey")):
+        found = spark.read.parquet(f"{D}/{t}.parquet").limit(150)
+        found = found.withColumn(key, F.when(F.col(key) % 11 == 0, None).otherwise(F.col(key) % 40 - 9))
+        found.write.parquet(str(tmp_path / f"{t}.parquet"))
+    got = QUERIES["key_list_semi"](spark, str(tmp_path))
+    sql = ORACLE_SQL["key_list_semi"].replace("orders", f"'{tmp_path}/orders.parquet/*.parquet'").replace("customer", f"'{tmp_path}/customer.parquet/*.parquet'")
+    cursor = db.execute(sql)
+    want = plain(cursor.fetchall(), [c[0] for c in cursor.description])
+    assert plain(got.collect(), got.columns) == want and {r[0][:1] for r in want[1]} >= {"-", "0"}
