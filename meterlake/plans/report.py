@@ -19,6 +19,7 @@ from meterlake.operators.sampling import spread_sample
 from meterlake.operators.topology import join_colliding, join_prefixed, topology
 from meterlake.sources import versions as V
 from meterlake.sources.runs import Run, save_snapshots
+from meterlake.sources.shared import materialize
 
 
 def report(base: DataFrame, daily: DataFrame, report_days: DataFrame, key: str = "NIO") -> DataFrame:
@@ -46,12 +47,15 @@ def export_join(left: DataFrame, right: DataFrame, key: str = "NIO", prefix: str
 
 
 def daily_report(sources: Mapping[str, DataFrame], first: date | str, last: date | str, as_of: date | str, town: str | None = None, geo_how: str = "inner") -> DataFrame:
-    """Registry, topology and series of all days of the period inside retention, in one job."""
+    """Registry, topology and series of all days of the period inside retention, all days at once.
+
+    The units are written once and read by the steps that need them: topology and series ask for their keys, the report for their rows.
+    """
     spark = next(iter(sources.values())).sparkSession
     base = upper_names(registry(sources, as_of, town))
-    base = keep_first(base.withColumn("NIO", key_of(base, "NIO")), ["NIO"])
+    base = materialize(keep_first(base.withColumn("NIO", key_of(base, "NIO")), ["NIO"]), "registry")
     geo = topology(sources, base.select("UC"))
-    base = join_prefixed(base.withColumn("UC", F.col("UC").cast("string")), geo.withColumn("UC", F.col("UC").cast("string")), "UC", "GEO_", geo_how)
+    base = materialize(join_prefixed(base.withColumn("UC", F.col("UC").cast("string")), geo.withColumn("UC", F.col("UC").cast("string")), "UC", "GEO_", geo_how), "units")
     wanted = days(spark, day_literal(first), day_literal(last)).filter(in_retention(F.col("day"), as_of))
     channels = {k: v.filter(F.col("tv").cast("date").between(day_literal(first), day_literal(last))) for k, v in sources.items() if "tv" in v.columns}
     daily = daily_table(channels, sources["a_data_catalogue"], distinct_keys(base, "NIO"))
@@ -83,6 +87,7 @@ def run_period(
 
     def write(a: date | str, b: date | str) -> None:
         found = daily_report(sources, a, b, as_of, town).withColumnRenamed("REPORT_DAY", "report_day")
+        found = materialize(found, "report")  # finding the ranges of the published files reads it once more
         run.publish("report", found, f"{out}/report", "report_day", ("NIO",), (a, b))
 
     written: list[tuple[str, str]] = [(str(first), str(last))]

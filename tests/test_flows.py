@@ -196,3 +196,13 @@ def test_reprojection_by_steps_equals_the_expressions(spark):
         lat, lon = to_wgs84(F.col("x"), F.col("y"), srid)
         both = reproject(df, "x", "y", "a", "b", srid).select("a", "b", lat.alias("lat"), lon.alias("lon")).collect()
         assert all((r["a"], r["b"]) == (r["lat"], r["lon"]) for r in both)
+
+
+def test_a_run_computes_units_and_rows_of_the_report_once(spark, tmp_path, monkeypatch):
+    sources = flows.registry_tables(spark, D) | flows.network(spark, D) | flows.channels(spark, D)
+    found = plan(P.daily_report(sources, "2024-01-29", "2024-01-30", "2024-02-01"))
+    assert "orders.parquet" not in found and "customer.parquet" not in found and "events.parquet" in found
+    published = []
+    monkeypatch.setattr(U.Run, "publish", lambda self, name, df, target, *more: published.append(plan(df)) or V.publish(df, target, *more))
+    P.run_period(sources, str(tmp_path), "2024-01-29", "2024-01-30", "2024-02-01")
+    assert len(published) == 1 and "events.parquet" not in published[0]
