@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from meterlake.plans.flows import ORACLE_SQL, QUERIES
+from meterlake.plans.queries import database
 
 D = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -63,3 +64,14 @@ def test_key_list_goes_by_keys_whatever_the_names(spark, db, tmp_path):
     cursor = db.execute(sql)
     want = plain(cursor.fetchall(), [c[0] for c in cursor.description])
     assert plain(got.collect(), got.columns) == want and {r[0][:1] for r in want[1]} >= {"-", "0"}
+
+
+def test_a_cluster_needs_a_database_that_all_can_reach():
+    class Session:
+        def __init__(self, **conf):
+            self.conf = {f"spark.{k}": v for k, v in conf.items()}
+
+    assert database(Session(master="local[4]"))[0].startswith("jdbc:derby:memory")
+    with pytest.raises(RuntimeError, match="spark.meterlake.jdbc.url"):
+        database(Session(master="local-cluster[3,2,3000]"))
+    assert database(Session(master="yarn", **{"meterlake.jdbc.url": "jdbc:x://host/db"})) == ("jdbc:x://host/db", {})
