@@ -7,7 +7,7 @@ Filters are broadcast; their size follows the data up to ``FILTER_BITS``. Where
 are left out of the filter, and n-grams that are not found in it are joined with the table of those left out:
 the way of reading changes with the size, the model (up to hashes that collide) does not.
 
-The model interpolates its orders (here 3, 2 and 1; the query's has 2 and 1), with absolute discounting::
+The model interpolates its orders (here 3, 2 and 1, as in the query), with absolute discounting::
 
     p(w | u v) = max(q(u v w) - DISCOUNT, 0) / T(u v) + left(u v) * p(w | v)
     p(w | v)   = max(q(v w) - DISCOUNT, 0) / T(v) + left(v) * p(w)
@@ -50,8 +50,8 @@ from meterlake.llm.words import BASE, mixed, slices
 from meterlake.sources.tables import table
 
 FOLDS, ALPHA, DISCOUNT = 10, 0.1, 0.75
-#: Lengths of n-grams of the query's model; longer ones, such as (2, 3), are a parameter of ``train``.
-ORDERS = (2,)
+#: Lengths of n-grams: of a model for which none are asked for, and of the query's.
+ORDERS, QUERY_ORDERS = (2,), (2, 3)
 HEAD = 1 << 18
 #: Bits of a filter at most; probes and bits of an n-gram's first level, which tells it from those never seen, and of each higher one.
 FILTER_BITS = 5 << 27
@@ -61,7 +61,7 @@ FLAG_PROBES = 8
 #: Least level that is stored (2: seen twice).
 LEAST = 2
 #: n-grams that a task counts before it passes the counts on, and characters of text whose n-grams meet in one part.
-FLUSH, PART_CHARS, SLICE = 3 << 19, 1 << 23, 1 << 20
+FLUSH, PART_CHARS, SLICE = 3 << 18, 1 << 23, 1 << 19
 _END = np.uint64(0x5851F42D4C957F2D)
 
 
@@ -530,7 +530,7 @@ def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document scored by a model of those that are not held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", text_of("text").alias("text"))
     held_out = remainder("doc_id", FOLDS) == 0
-    model, counts, beyond = train(docs.filter(~held_out).select("text"))
+    model, counts, beyond = train(docs.filter(~held_out).select("text"), lengths=QUERY_ORDERS)
     return score(docs, model, counts, beyond).select(
         "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"), "base_score", "score"
     )

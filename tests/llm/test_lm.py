@@ -173,3 +173,11 @@ def test_totals_of_contexts_are_counts_of_words(spark):
     met = tables[2][0].join(counts.withColumn("context", F.shiftrightunsigned("key", 16)), "context")
     of, more, once = met.agg(F.count(F.lit(1)), F.count_if(F.col("total") != F.col("n")), F.count_if((F.col("left") < 0) | (F.col("left") >= 1))).first()
     assert of > 50_000 and more == 0 and once == 0
+
+
+def test_the_query_scores_with_triples(spark):
+    rows = [(r["doc_id"], r["text"] or "") for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    got = {r["doc_id"]: (r["score"], r["held_out"]) for r in lm.op6_lm_score(spark, "/root/testdata/sf0.001").collect()}
+    train = [t for i, t in rows if not got[i][1]]
+    off = np.abs(np.array([got[i][0] for i, _ in rows]) / np.array(plain_scores([t for _, t in rows], train, True, (2, 3))) - 1)
+    assert off.max() < 2e-3 and off.mean() < 2e-5
