@@ -6,7 +6,8 @@ of ``documents``.
 
 1. quality: documents that the classifier scores under its threshold go.
 2. near_dedup: of each group of near-duplicates (texts whose sets of five-word shingles have a
-   Jaccard similarity of 0.8 or more, directly or in steps) the document with the smallest id stays.
+   Jaccard similarity of 0.8 or more, directly or in steps) the document with the smallest id stays. Candidates
+   come from op8's SimHash fingerprints and from min-hash bands; all are compared exactly.
 3. decontaminate: documents that hold a benchmark item go.
 4. secrets: secrets in texts are replaced by a mark, and ``n_chars`` is counted anew.
 5. packing: the documents' token ids in windows of 1024.

@@ -1,9 +1,10 @@
 """Near-duplicates by resemblance: min-hash bands, exact shingle check, connected components.
 
 Two texts are linked if the Jaccard similarity of their sets of ``SHINGLE``-word shingles
-is ``LIKE`` (a fraction, 4/5) or more. A fingerprint of 64 bits cannot find them: at 0.8 it
+is ``LIKE`` (a fraction, 4/5) or more. Candidates are, first, texts whose SimHash fingerprints differ in at most
+3 bits, found by pigeonhole blocks as in ``simhash``. These are the closest copies only: at 0.8 a fingerprint of 64 bits
 differs in up to some 11 bits, and blocks that survive 11 changes are too short to
-tell texts apart. Candidates are texts that agree on all ``ROWS`` min-hashes of one of
+tell texts apart. So candidates are also texts that agree on all ``ROWS`` min-hashes of one of
 ``BANDS`` bands: of pairs at exactly 0.8 this misses (1 - 0.8 ** 5) ** 24, one in 14,000, at 0.9 none in
 10 ** 9. What meets, directly or not, is a group; inside a group all pairs are compared by their
 whole sets, so no link rests on an estimate. Only sets of texts in groups are shuffled.
@@ -29,6 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from meterlake.llm import simhash
 from meterlake.llm.bitmap import bits_for, build, contains
 from meterlake.llm.components import components
 from meterlake.llm.shared import materialize, text_of
@@ -80,7 +82,7 @@ def bands(flat: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def prints(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """``id_col``, ``fp`` (the node), ``size`` (shingles, repeats included) and ``keys`` (of the bands)."""
+    """``id_col``, ``fp`` (the node), ``size`` (shingles, repeats included), ``keys`` (of the bands) and ``simhash`` (the fingerprint)."""
     rows = docs.select(docs[id_col].alias("id"), text_of(docs[text_col]).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
 
@@ -89,9 +91,11 @@ def prints(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFra
             for part in slices(b):
                 node, flat, offsets = shingled(part.column("text"), shingle)
                 keys = pa.ListArray.from_arrays(pa.array(np.arange(len(node) + 1, dtype=np.int32) * BANDS), pa.array(bands(flat, offsets).view(np.int64).ravel()))
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(node.view(np.int64)), pa.array(np.diff(offsets)), keys], ["id", "fp", "size", "keys"])
+                bits = np.array([simhash.fingerprint(t) for t in part.column("text").to_pylist()], dtype=np.uint64)
+                cols = [part.column("id"), pa.array(node.view(np.int64)), pa.array(np.diff(offsets)), keys, pa.array(bits.view(np.int64))]
+                yield pa.RecordBatch.from_arrays(cols, ["id", "fp", "size", "keys", "simhash"])
 
-    return rows.mapInArrow(run, f"id {kind}, fp bigint, size bigint, keys array<bigint>").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(run, f"id {kind}, fp bigint, size bigint, keys array<bigint>, simhash bigint").withColumnRenamed("id", id_col)
 
 
 def sets(docs: DataFrame, nodes: np.ndarray, text_col: str, shingle: int) -> DataFrame:
@@ -175,11 +179,21 @@ def _forests(like: tuple[int, int]):
     return run
 
 
+def by_fingerprint(nodes: DataFrame) -> DataFrame:
+    """Edges (``a``, ``b``) that connect ``nodes`` (``fp``, ``simhash``) whose fingerprints are equal or differ in few bits, as ``simhash.links`` finds them."""
+    first = materialize(nodes.groupBy("simhash").agg(F.min("fp").alias("first"), F.max("fp").alias("last")), "fingerprints")
+    equal = nodes.join(first.filter("first < last"), "simhash").select(F.col("fp").alias("a"), F.col("first").alias("b"))
+    near = simhash.links(first.select(F.col("simhash").alias("fp")))
+    for c in ("a", "b"):
+        near = near.join(first.select(F.col("simhash").alias(c), F.col("first").alias(f"{c}_fp")), c)
+    return equal.union(near.select("a_fp", "b_fp"))
+
+
 def links(docs: DataFrame, nodes: DataFrame, text_col: str, shingle: int, like: tuple[int, int], slice_items: int = SLICE) -> DataFrame:
-    """Edges (``a``, ``b``) that connect the linked ones among ``nodes`` (``fp``, ``size``, ``keys``), the distinct nodes of ``docs``."""
+    """Edges (``a``, ``b``) that connect the linked ones among ``nodes`` (``fp``, ``size``, ``keys``, ``simhash``), the distinct nodes of ``docs``."""
     keyed = nodes.select("fp", F.explode("keys").alias("v"))
     met = keyed.groupBy("v").agg(F.min("fp").alias("b"), F.max("fp").alias("most")).filter("b < most").select("v", "b")
-    groups = components(keyed.join(met, "v").select(F.col("fp").alias("a"), "b"))
+    groups = components(keyed.join(met, "v").select(F.col("fp").alias("a"), "b").union(by_fingerprint(nodes)))
     members = groups.select(F.col("node").alias("fp"), "root").union(groups.select(F.col("root").alias("fp"), "root").distinct())
     members = materialize(members.join(nodes.select("fp", "size"), "fp"), "groups")
     busy = members.groupBy("root").agg(F.ceil(F.sum("size") / slice_items).cast("int").alias("slices"))
@@ -196,7 +210,7 @@ def links(docs: DataFrame, nodes: DataFrame, text_col: str, shingle: int, like:
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, like: tuple[int, int] = LIKE, slice_items: int = SLICE) -> DataFrame:
     """One row per document: id, ``fp`` and ``component_id``, the smallest id among the documents it is linked to, directly or not."""
     found = materialize(prints(docs, id_col, text_col, shingle), "bands")
-    nodes = materialize(found.groupBy("fp").agg(F.min(id_col).alias("rep"), F.max("size").alias("size"), F.max("keys").alias("keys")), "nodes")
+    nodes = materialize(found.groupBy("fp").agg(F.min(id_col).alias("rep"), F.max("size").alias("size"), F.max("keys").alias("keys"), F.max("simhash").alias("simhash")), "nodes")
     return placed(found, nodes, links(docs, nodes, text_col, shingle, like, slice_items), id_col)
 
 

@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from meterlake.llm import resemblance as R
 from tests.llm.conftest import words
@@ -96,3 +97,17 @@ def test_the_stages_after_it_against_a_plain_version(spark):
         got[r["doc_id"]] += r["length"]
     clean = {r["doc_id"]: redact_text(r["text"], scan_text(r["text"])) for r in second if r["doc_id"] not in leaks}
     assert got == {i: len(encode(t)) + 1 for i, t in clean.items()}
+
+
+def test_close_fingerprints_are_candidates_without_any_band(spark):
+    """Op8's fingerprints bring texts together by themselves, and the exact check judges them."""
+    rng = random.Random(8)
+    base = words(rng, 900).split()
+    rows = [(0, " ".join(base)), (1, " ".join([*base[:-1], "changed"])), (2, words(rng, 900)), (3, " ".join(base).upper())]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = R.prints(docs, "doc_id", "text", R.SHINGLE).withColumn("keys", F.array(F.xxhash64("fp")))
+    prints = {r["doc_id"]: r for r in found.collect()}
+    assert (prints[0]["simhash"] ^ prints[1]["simhash"]).bit_count() <= 3
+    nodes = found.groupBy("fp").agg(F.max("size").alias("size"), F.max("keys").alias("keys"), F.max("simhash").alias("simhash"))
+    got = R.links(docs, nodes, "text", R.SHINGLE, R.LIKE).collect()
+    assert {frozenset(r) for r in got} == {frozenset((prints[0]["fp"], prints[1]["fp"]))}
