@@ -19,6 +19,8 @@ from meterlake.llm.words import mixed
 PROBES = 3
 #: Bits of one block; blocks are what the driver receives.
 BLOCK = 1 << 19
+#: Keys that are looked up at a time.
+_RUN = 1 << 13
 _STEP = 0xA0761D6478BD642F
 
 
@@ -81,23 +83,27 @@ def build(keys: DataFrame, bits: int, probes: int = PROBES, higher: int | None =
     out = np.zeros(bits // 8, dtype=np.uint8)
     for n, packed in zip(found.column("block").to_pylist(), found.column("bits")):
         out[n * BLOCK // 8 : (n + 1) * BLOCK // 8] = np.frombuffer(packed.as_buffer(), dtype=np.uint8)
+    found = packed = None
+    pa.default_memory_pool().release_unused()
     return out
 
 
 def contains(bitmap: np.ndarray, keys: np.ndarray, level: int = 0, probes: int = PROBES) -> np.ndarray:
     """For each key (uint64): was it entered at ``level``? Wrong only as true."""
-    base = ((keys >> np.uint64(8)) % np.uint64(len(bitmap) * 8 // BLOCK)) * np.uint64(BLOCK // 8)
+    if len(keys) > _RUN:
+        return np.concatenate([contains(bitmap, keys[k : k + _RUN], level, probes) for k in range(0, len(keys), _RUN)])
+    base = ((keys >> np.uint64(8)) % np.uint64(len(bitmap) * 8 // BLOCK)).astype(np.int64) * (BLOCK // 8)
     at, step, more = _places(keys, level)
-    alive = np.arange(len(keys))
+    alive, hit = np.arange(len(keys)), np.ones(len(keys), dtype=bool)
     for k in range(probes):
         place = at & np.uint32(BLOCK - 1)
-        hit = (bitmap[base + (place >> np.uint32(3))] >> (place & np.uint32(7)).astype(np.uint8) & np.uint8(1)).astype(bool)
-        if k == probes - 1:
-            alive = alive[hit]
-            break
-        base, alive, step, more = base[hit], alive[hit], step[hit], more[hit]
-        at = at[hit] + step
+        hit &= (bitmap.take(base + (place >> np.uint32(3))) >> (place & np.uint32(7)).astype(np.uint8) & np.uint8(1)).view(bool)
+        if np.count_nonzero(hit) * 8 < len(hit) * 7:  # few misses are carried along
+            left = np.flatnonzero(hit)
+            base, alive, at, step, more = (x.take(left) for x in (base, alive, at, step, more))
+            hit = np.ones(len(alive), dtype=bool)
+        at += step
         step += more
     found = np.zeros(len(keys), dtype=bool)
-    found[alive] = True
+    found[alive] = hit
     return found

@@ -14,10 +14,10 @@ The model interpolates its orders (here 3, 2 and 1, as in the query), with absol
     p(w)       = (c(w) + 0.1) / (N + 0.1 * (V + 1))                            c(w) exact
 
 q is the count as the filter has it, T(c) the number of tokens seen in context c, which is the exact count of the words c. left(c) is made of the levels
-as they were entered, so it is never below zero and makes the sum over all words one, but for what probes find by mistake. T and left of frequent words are broadcast with their counts; the filter
-says which other contexts have stored n-grams at all, and tokens in those are joined with their T and left (in all others left is 1). N-grams seen once are left to the
-shorter context, at every size. A triple is counted only if its last two words were seen
-together twice or more, which no repeated triple fails. One absent n-gram in 10 ** 6 is found by mistake (``PROBES``),
+as they were entered, so it is never below zero and makes the sum over all words one, but for what probes find by mistake. T and left of each order's most frequent contexts (``CONTEXTS``) are broadcast; the filter
+says which others have stored n-grams at all, and tokens in those are joined with their T and left (in all others left is 1). N-grams seen once are left to the
+shorter context, at every size. A triple is counted only if its first two words were seen
+together twice or more, and its last two, which no repeated triple fails. One absent n-gram in 10 ** 6 is found by mistake (``PROBES``),
 and one stored n-gram in 4,000 is read a level too high (``HIGHER_PROBES``).
 
 The base score is the sum of log10 p(w). Counts of words are exact: the most frequent (``HEAD``) are broadcast, all others
@@ -35,8 +35,10 @@ each; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -53,6 +55,8 @@ FOLDS, ALPHA, DISCOUNT = 10, 0.1, 0.75
 #: Lengths of n-grams: of a model for which none are asked for, and of the query's.
 ORDERS, QUERY_ORDERS = (2,), (2, 3)
 HEAD = 1 << 18
+#: Contexts of each order whose numbers are broadcast, at most.
+CONTEXTS = 1 << 21
 #: Bits of a filter at most; probes and bits of an n-gram's first level, which tells it from those never seen, and of each higher one.
 FILTER_BITS = 5 << 27
 PROBES, BITS_EACH, HIGHER_PROBES, HIGHER_BITS = 20, 29, 12, 18
@@ -60,8 +64,14 @@ PROBES, BITS_EACH, HIGHER_PROBES, HIGHER_BITS = 20, 29, 12, 18
 FLAG_PROBES = 8
 #: Least level that is stored (2: seen twice).
 LEAST = 2
-#: n-grams that a task counts before it passes the counts on, and characters of text whose n-grams meet in one part.
-FLUSH, PART_CHARS, SLICE = 3 << 18, 1 << 23, 1 << 19
+#: Tokens that a task counts before it passes the counts on, characters of text whose n-grams meet in one part, and of a slice.
+FLUSH, PART_CHARS, SLICE = 1 << 20, 1 << 23, 1 << 19
+#: Rows that Python takes at a time.
+BATCH = 1000
+#: Parts up to which a context's followers meet in one; with every so many more, in one more.
+SPREAD = 128
+#: Places of two numbers in one.
+_HALF, _LOW = np.uint64(32), np.uint64((1 << 32) - 1)
 _END = np.uint64(0x5851F42D4C957F2D)
 
 
@@ -70,6 +80,15 @@ _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _NUMBER = np.random.default_rng(6).integers(0, 1 << 64, 256, dtype=np.uint64)
 _NUMBER[ord("A") : ord("Z") + 1] = _NUMBER[ord("a") : ord("z") + 1]
+_NUMBER[_SPACE] = 0
+_INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
+
+
+@lru_cache(maxsize=2)
+def _powers(base: np.uint64, n: int) -> np.ndarray:
+    out = np.full(n, base, dtype=np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
 
 
 @dataclass(frozen=True)
@@ -94,12 +113,14 @@ def tokens(texts: pa.Array) -> Tokens:
     starts = np.flatnonzero(first)
     hashes = np.zeros(0, dtype=np.uint64)
     if len(starts):
-        place = np.arange(starts[0], len(raw)) - np.repeat(starts, np.diff(np.append(starts, len(raw))))
-        powers = np.full(int(place.max()) + 1, BASE, dtype=np.uint64)
-        powers[0] = 1
-        value = _NUMBER[raw[starts[0] :]] * np.multiply.accumulate(powers)[place]
-        value[blank[starts[0] :]] = 0
-        hashes = mixed(mixed(np.add.reduceat(value, starts - starts[0])))
+        of = _powers if len(raw) <= SLICE else _powers.__wrapped__  # those of a long text are not kept
+        powers, inverse = (of(b, max(len(raw), SLICE)) for b in (BASE, _INVERSE))
+        value = _NUMBER[raw]
+        value *= powers[: len(raw)]
+        np.cumsum(value, out=value)
+        until = np.append(value[starts - 1], value[-1])
+        until[0] = 0  # what stands before the first word is blank
+        hashes = mixed(mixed(np.diff(until) * inverse[starts]))
     ends = np.searchsorted(starts, at[1:]) + np.arange(len(texts))
     words = np.full(len(hashes) + len(texts), _END, dtype=np.uint64)
     is_word = np.ones(len(words), dtype=bool)
@@ -127,20 +148,50 @@ def flag_keys(context: np.ndarray) -> np.ndarray:
     return mixed(context) & ~_KIND | _FLAG
 
 
-def ngrams(t: Tokens, most: int) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For each order from 2 to ``most``: by token, context, follower and key. An end mark stands before a text; where a text has no whole context there is none (0)."""
-    follower = word_keys(t.words) >> _CUT
-    before = word_keys(t.words)
-    found = {}
-    for order in range(2, most + 1):
-        context = np.full(len(before), word_keys(_END), dtype=np.uint64)
-        context[1:] = before[:-1]
-        context[t.offsets[:-1]] = word_keys(_END) if order == 2 else 0
-        context >>= _CUT
-        key = np.where(context > 0, _gram_keys(context, follower), 0)
-        found[order] = context, follower, key
-        before = key
-    return found
+def coded(t: Tokens) -> tuple[np.ndarray, np.ndarray]:
+    """Different keys of words, sorted, and each token's place among them."""
+    return _different(word_keys(t.words))
+
+
+def _different(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``np.unique`` with the inverse. Numbers are sorted with their places in their lowest bits, several times as fast as places by numbers; what that leaves unsorted is sorted anew."""
+    places = np.uint64(len(keys).bit_length())
+    lowest = (np.uint64(1) << places) - np.uint64(1)
+    free = np.uint64(64 - int(keys.max(initial=0)).bit_length())  # bits above all keys
+    order = (np.sort((keys << free) & ~lowest | np.arange(len(keys), dtype=np.uint64)) & lowest).astype(np.int64)
+    rows = keys[order]
+    if (rows[1:] < rows[:-1]).any():
+        order = np.argsort(keys)
+        rows = keys[order]
+    new = np.ones(len(rows), dtype=bool)
+    new[1:] = rows[1:] != rows[:-1]
+    back = np.empty(len(rows), dtype=np.int32 if len(rows) < 1 << 31 else np.int64)
+    back[order] = np.cumsum(new) - 1
+    return rows[new], back
+
+
+def _shifted(ids: np.ndarray, offsets: np.ndarray, first: int) -> np.ndarray:
+    """What stands one token before; ``first`` where a text begins."""
+    out = np.empty_like(ids)
+    out[1:] = ids[:-1]
+    out[offsets[:-1]] = first
+    return out
+
+
+def _both(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return a.astype(np.uint64) << _HALF | b.astype(np.uint64)
+
+
+def _grams(contexts: np.ndarray, words: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Different n-grams (as of ``_both``) and each token's place among them, from places in the keys of contexts and of words, of which there are ``most``."""
+    bits = np.uint64(int(most).bit_length())
+    found, back = _different(contexts.astype(np.uint64) << bits | words.astype(np.uint64))
+    return found >> bits << _HALF | found & ((np.uint64(1) << bits) - np.uint64(1)), back
+
+
+def _keys_of(grams: np.ndarray, contexts: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Keys of n-grams, given as places (``_both``) in the keys of contexts and of words."""
+    return _gram_keys(contexts[grams >> _HALF] >> _CUT, words[grams & _LOW] >> _CUT)
 
 
 def _short(x: np.ndarray) -> bytes:
@@ -154,155 +205,214 @@ def _long(raw: bytes) -> np.ndarray:
     return out.reshape(-1).view(np.uint64)
 
 
-def _total(key: np.ndarray, n: np.ndarray, *cols: np.ndarray) -> tuple[np.ndarray, ...]:
-    different, first, back = np.unique(key, return_index=True, return_inverse=True)
-    return different, np.bincount(back, weights=n, minlength=len(different)).astype(np.int64), *(c[first] for c in cols)
+def _small(n: np.ndarray) -> bytes:
+    """Counts in a byte each; those of 255 or more follow in four."""
+    big = n > 254
+    return np.where(big, 255, n).astype(np.uint8).tobytes() + n[big].astype("<u4").tobytes()
+
+
+def _counts(raw: bytes, k: int) -> np.ndarray:
+    n = np.frombuffer(raw, dtype=np.uint8, count=k).astype(np.int64)
+    n[n == 255] = np.frombuffer(raw, dtype="<u4", offset=k)
+    return n
+
 
+def _counted(rows: DataFrame, order: int, gate: Broadcast | None, parts: int) -> DataFrame:
+    """Counts of all n-grams of ``order`` (``key``, ``n``) seen ``LEAST`` times or more, and of their contexts (``key``, ``n``, ``total``, ``mass``).
 
-def _counted(rows: DataFrame, find: Callable[[pa.Array], tuple[np.ndarray, tuple[np.ndarray, ...]]], parts: int, least: int) -> DataFrame:
-    """Counts of what ``find`` finds in a run of texts: words (keys) and n-grams (keys, contexts, followers); ``key``, ``n``, ``context`` (null for words).
+    ``total`` and ``mass`` (what n-grams of the context hold) are null for n-grams; contexts of two words or more come only if they may have n-grams. ``gate``:
+    the filter of the order below: an n-gram is counted only if its first words and its last ones are in it. Where that holds a null, all are.
 
-    N-grams seen less often than ``least`` are left out. A task sums before it passes runs on, one for each part of the keys, so no frequent context gathers its
-    followers in one place; a part is summed by itself.
+    A task sums before it passes runs on, one for each part, in which a context stands once before its followers. Past ``SPREAD`` parts a context's followers
+    are dealt to several, so that no frequent context gathers them in one place; its rows are then to be summed (``_contexts``).
     """
+    spread = 1 + parts // SPREAD
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, grams, held = [], [], 0
-
-        def runs(key: np.ndarray, n: np.ndarray, *cols: np.ndarray) -> Iterator[tuple]:
-            part = (mixed(key) >> np.uint64(20)) % np.uint64(parts)
-            order = np.lexsort((n > 1, part))  # those seen once first: their counts need not be sent
-            part, n, cols = part[order], n[order], [c[order] for c in cols]
-            cuts = np.searchsorted(part, np.arange(parts + 1, dtype=np.uint64))
-            for i in np.flatnonzero(np.diff(cuts)).tolist():
-                some = slice(cuts[i], cuts[i + 1])
-                yield i, n[some][n[some] > 1].astype(np.uint32).tobytes(), [c[some] for c in cols]
+        held, size = [], 0
 
         def flush() -> pa.RecordBatch:
+            ends = np.cumsum([0, *(len(t.words) for t in held)])
+            t = Tokens(np.concatenate([t.words for t in held]), np.concatenate([*(t.offsets[:-1] + e for t, e in zip(held, ends)), ends[-1:]]))
+            held.clear()
+            words, code = coded(t)
+            keys, ids, whole = words, code, np.ones(len(code), dtype=bool)
+            for k in range(2, order):
+                back, whole = _shifted(ids, t.offsets, np.searchsorted(words, word_keys(_END)) if k == 2 else 0), _shifted(whole, t.offsets, k == 2)
+                grams, ids = _grams(back, code, len(words))
+                keys = _keys_of(grams, keys, words)
+            back, counted = _shifted(ids, t.offsets, np.searchsorted(words, word_keys(_END)) if order == 2 else 0), _shifted(whole, t.offsets, order == 2)
+            kept = counted
+            if gate is not None and gate.value is not None:
+                stored = contains(gate.value, keys, LEAST, PROBES)
+                counted = counted & stored[back]
+                kept = counted & stored[ids]
+            total = np.bincount(back[counted], minlength=len(keys))
+            own = np.flatnonzero(total)  # a context's total stands as one more follower, behind all others
+            grams, n = np.unique(np.concatenate([_both(back[kept], code[kept]), _both(own, np.full(len(own), _LOW))]), return_counts=True)
+            del back, ids, counted, kept, code, whole
+            context, follower = (grams >> _HALF).astype(np.int64), grams & _LOW
+            last = follower == _LOW
+            n[last] = total[context[last]]
+            follower = words[np.where(last, 0, follower)] >> _CUT
+            part = (mixed(keys >> _CUT) >> np.uint64(20))[context]
+            if spread > 1:
+                part += np.where(last, 0, follower >> np.uint64(8)) % np.uint64(spread)
+            part = (part % np.uint64(parts)).astype(np.uint16 if parts < 1 << 16 else np.uint32)
+            by = np.argsort(part, kind="stable")
+            part, context, follower, last, n = part[by], context[by], follower[by], last[by], n[by]
+            begin = np.flatnonzero(np.diff(part, prepend=part[:1] + 1).astype(bool) | np.diff(context, prepend=-1).astype(bool))
+            totals, sizes = (np.add.reduceat(x, begin) if len(begin) else x for x in (np.where(last, n, 0), (~last).astype(np.int64)))
+            keys, follower, n = keys[context[begin]], follower[~last], n[~last]
+            own, inner = part[begin], part[~last]
             out = []
-            if words:
-                key, n = _total(*map(np.concatenate, zip(*words)))
-                out += [(i, n, k.tobytes(), None) for i, n, (k,) in runs(key, n, key)]
-            if grams:
-                key, n, context, follower = _total(*map(np.concatenate, zip(*grams)))
-                out += [(i, n, _short(c), _short(f)) for i, n, (c, f) in runs(key, n, context, follower)]
-            words.clear(), grams.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.binary(), pa.binary(), pa.binary()))], ["part", "counts", "a", "b"])
+            for i in np.unique(own).tolist():
+                some, those = (slice(*np.searchsorted(x, [i, i + 1])) for x in (own, inner))
+                out.append((i, keys[some].tobytes() if order == 2 else _short(keys[some] >> _CUT), _small(totals[some]), _small(sizes[some]), _short(follower[those]), _small(n[those])))
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), [pa.int64()] + [pa.binary()] * 5)], ["part", *"abcde"]) if out else None
 
         for b in batches:
             for piece in slices(b, most=SLICE):
-                key, (gram, context, follower) = find(piece.column("text"))
-                if len(key):
-                    words.append(np.unique(key, return_counts=True))
-                if len(gram):
-                    different, first, n = np.unique(gram, return_index=True, return_counts=True)
-                    grams.append((different, n, context[first], follower[first]))
-                held += sum(len(x[-1][0]) for x in (words, grams) if x)
-                if held > FLUSH:
-                    yield flush()
-                    held = 0
-        if words or grams:
-            yield flush()
+                held.append(tokens(piece.column("text")))
+                size += len(held[-1].words)
+                if size > FLUSH:
+                    if (found := flush()) is not None:
+                        yield found
+                    size = 0
+        if held and (found := flush()) is not None:
+            yield found
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, words, grams = None, [], []
+        now, held = None, []
 
         def close() -> pa.RecordBatch:
-            none = np.zeros(0, dtype=np.uint64)
-            key, n = _total(*map(np.concatenate, zip(*words))) if words else (none, none.view(np.int64))
-            gram, m, context = none, none.view(np.int64), none
-            if grams:
-                contexts, followers = (np.concatenate([g[i] for g in grams]) for i in (0, 1))
-                gram, m, context = _total(_gram_keys(contexts, followers), np.concatenate([g[2] for g in grams]), contexts)
-                kept = m >= least
-                gram, m, context = gram[kept], m[kept], context[kept]
-            words.clear(), grams.clear()
-            named = pa.concat_arrays([pa.nulls(len(key), pa.int64()), pa.array(context.view(np.int64))])
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([key, gram]).view(np.int64)), pa.array(np.concatenate([n, m])), named], ["key", "n", "context"])
+            key, totals, context, follower, n = map(np.concatenate, zip(*held))
+            held.clear()
+            gram, back = _different(_gram_keys(context >> _CUT, follower))
+            n = np.bincount(back, weights=n, minlength=len(gram)).astype(np.int64)
+            at = np.empty(len(gram), dtype=np.int64)
+            at[back] = np.arange(len(back))
+            kept = n >= LEAST
+            gram, n, context = gram[kept], n[kept], context[at[kept]] >> _CUT
+            key, back = _different(key)
+            own = np.bincount(back, weights=totals, minlength=len(key))
+            different, first, back = np.unique(key >> _CUT, return_index=True, return_inverse=True)
+            all_ = np.bincount(back, weights=own, minlength=len(different))
+            mass = np.bincount(np.searchsorted(different, context), weights=level_value(level_of(n)) - DISCOUNT, minlength=len(different))
+            one = np.zeros(len(key), dtype=bool)  # two words may share the name of a context
+            one[first] = True
+            shown = np.ones(len(key), dtype=bool) if order == 2 or spread > 1 else one & (mass[back] > 0)
+            totals = pa.array(np.concatenate([all_[back][shown], np.zeros(len(gram))]).astype(np.int64), mask=np.concatenate([~one[shown], np.ones(len(gram), dtype=bool)]))
+            masses = pa.array(np.concatenate([mass[back][shown], np.zeros(len(gram))]), mask=np.concatenate([~one[shown], np.ones(len(gram), dtype=bool)]))
+            is_gram = pa.array(np.concatenate([np.zeros(shown.sum(), dtype=bool), np.ones(len(gram), dtype=bool)]))
+            keys, counts = np.concatenate([key[shown], gram]).view(np.int64), np.concatenate([own[shown].astype(np.int64), n])
+            return pa.RecordBatch.from_arrays([is_gram, pa.array(keys), pa.array(counts), totals, masses], ["gram", "key", "n", "total", "mass"])
 
         for batch in batches:
-            for part, counts, a, b in zip(batch.column("part").to_pylist(), *(batch.column(c) for c in ("counts", "a", "b"))):
-                if part != now and (words or grams):
+            for part, a, b, c, d, e in zip(*(batch.column(x).to_pylist() for x in ("part", *"abcde"))):
+                if part != now and held:
                     yield close()
                 now = part
-                first = np.frombuffer(a.as_buffer(), dtype=np.uint64) if not b.is_valid else _long(a.as_py())
-                n = np.ones(len(first), dtype=np.int64)
-                if len(more := np.frombuffer(counts.as_buffer(), dtype=np.uint32)):
-                    n[-len(more) :] = more
-                words.append((first, n)) if not b.is_valid else grams.append((first, _long(b.as_py()), n))
-        if words or grams:
+                key, follower = np.frombuffer(a, dtype=np.uint64) if order == 2 else _long(a) << _CUT, _long(d)
+                held.append((key, _counts(b, len(key)), np.repeat(key, _counts(c, len(key))), follower, _counts(e, len(follower))))
+        if held:
             yield close()
 
-    dealt = rows.mapInArrow(scan, "part bigint, counts binary, a binary, b binary").repartition("part").sortWithinPartitions("part")
-    return dealt.mapInArrow(total, "key bigint, n bigint, context bigint")
+    dealt = rows.mapInArrow(scan, "part bigint, a binary, b binary, c binary, d binary, e binary").repartition("part").sortWithinPartitions("part")
+    return dealt.mapInArrow(total, "gram boolean, key bigint, n bigint, total bigint, mass double")
+
+
+@contextmanager
+def _tidy(spark: SparkSession) -> Iterator[None]:
+    """What an action shuffles is deleted at its end, not when the driver happens to collect its garbage, and Python takes ``BATCH`` rows at a time."""
+    wanted = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": str(BATCH)}
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    try:
+        for k, v in wanted.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def word_and_pair_counts(rows: DataFrame, parts: int) -> DataFrame:
-    def find(texts: pa.Array) -> tuple[np.ndarray, tuple[np.ndarray, ...]]:
-        t = tokens(texts)
-        context, follower, key = ngrams(t, 2)[2]
-        return word_keys(t.words), (key, context, follower)
+def _kept(rows: DataFrame, name: str) -> DataFrame:
+    with _tidy(rows.sparkSession):
+        return materialize(rows, name)
 
-    return _counted(rows, find, parts, LEAST)
 
+def _words(found: DataFrame, parts: int) -> DataFrame:
+    """Exact counts of words (``key``, ``n``), of the counts of pairs."""
+    counts = found.filter("NOT gram").select("key", "n")
+    return counts if parts < SPREAD else _kept(counts.groupBy("key").agg(F.sum("n").alias("n")), "words")
 
-def longer_counts(rows: DataFrame, order: int, shared: Broadcast, parts: int) -> DataFrame:
-    """Counts of n-grams of ``order`` whose last words are in the broadcast filter of the shorter ones (all, if that is None)."""
 
-    def find(texts: pa.Array) -> tuple[np.ndarray, tuple[np.ndarray, ...]]:
-        t = tokens(texts)
-        found = ngrams(t, order)
-        context, follower, key = found[order]
-        kept = key > 0
-        if shared.value is not None:
-            last, at = np.unique(ngrams(t, order - 1)[order - 1][2], return_inverse=True)
-            kept &= contains(shared.value, last, LEAST, PROBES)[at]
-        return key[:0], (key[kept], context[kept], follower[kept])
+def _contexts(found: DataFrame, parts: int) -> DataFrame:
+    """Contexts with stored n-grams: ``context``, ``total`` and ``mass``."""
+    rows = found.filter("total IS NOT NULL").select(F.shiftrightunsigned("key", int(_CUT)).alias("context"), "total", "mass")
+    if parts < SPREAD:
+        return rows.filter("mass > 0")
+    return _kept(rows.groupBy("context").agg(F.sum("total").alias("total"), F.sum("mass").alias("mass")).filter("mass > 0"), "contexts")
 
-    return _counted(rows, find, parts, LEAST)
+
+def _find(sorted_: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place of each key (any, if it has none), and whether it is there."""
+    if not len(sorted_):
+        return np.zeros(len(keys), dtype=np.int64), np.zeros(len(keys), dtype=bool)
+    at = np.minimum(np.searchsorted(sorted_, keys), len(sorted_) - 1)
+    return at, sorted_[at] == keys
 
 
 @dataclass(frozen=True)
 class Vocabulary:
-    """The most frequent words: sorted keys, their counts, and what is left over after each as a context (1 where nothing is stored)."""
+    """The most frequent words: sorted keys and their counts."""
 
     hashes: np.ndarray
     counts: np.ndarray
-    left: np.ndarray
-
-    def find(self, keys: np.ndarray, shift: int = 0) -> tuple[np.ndarray, np.ndarray]:
-        """Place of each key (any, if it has none), and whether it is in the head; ``shift``: bits by which ``keys`` are cut."""
-        hashes = self.hashes >> np.uint64(shift)
-        if not len(hashes):
-            return np.zeros(len(keys), dtype=np.int64), np.zeros(len(keys), dtype=bool)
-        at = np.minimum(np.searchsorted(hashes, keys), len(hashes) - 1)
-        return at, hashes[at] == keys
-
-
-def vocabulary(counts: DataFrame, contexts: DataFrame, most: int = HEAD) -> Vocabulary:
-    """Words as frequent as the least count that ``most`` words or fewer reach; the others are joined, so where the line runs changes no result."""
-    levels = counts.groupBy("n").count().toArrow()  # one row for each different count
-    n, words = levels.column("n").to_numpy(), levels.column("count").to_numpy()
-    order = np.argsort(-n)
-    fit = np.cumsum(words[order]) <= most
-    if not fit.any():
-        none = np.zeros(0, dtype=np.int64)
-        return Vocabulary(none.view(np.uint64), none, none.astype(float))
-    cut = int(n[order][fit][-1])
-    head = counts.filter(F.col("n") >= cut).toArrow()
+
+
+@dataclass(frozen=True)
+class Contexts:
+    """The most frequent contexts with stored n-grams: sorted names, tokens seen in them, what their n-grams hold; are these all?"""
+
+    keys: np.ndarray
+    totals: np.ndarray
+    mass: np.ndarray
+    whole: bool
+
+
+def _frequent(rows: DataFrame, n: str, most: int) -> tuple[pa.Table, int]:
+    """Rows as frequent as the least ``n`` that ``most`` rows or fewer reach, and the number of all; others are joined, so where the line runs changes no result."""
+    levels = rows.groupBy(n).count().toArrow()  # one row for each different count
+    values, count = levels.column(n).to_numpy(), levels.column("count").to_numpy()
+    order = np.argsort(-values)
+    fit = np.cumsum(count[order]) <= most
+    cut = int(values[order][fit][-1]) if fit.any() else None
+    return (rows.filter(F.col(n) >= cut) if cut is not None else rows.limit(0)).toArrow(), int(count.sum())
+
+
+def vocabulary(counts: DataFrame, most: int = HEAD) -> Vocabulary:
+    head, _ = _frequent(counts, "n", most)
     hashes, n = head.column("key").to_numpy().view(np.uint64), head.column("n").to_numpy()
     order = np.argsort(hashes)
-    hashes, n = hashes[order], n[order]
-    known = contexts.filter(F.col("total") >= cut).toArrow()  # of these words alone
-    context, left = known.column("context").to_numpy().view(np.uint64), known.column("left").to_numpy()
-    out = np.ones(len(hashes))
-    if len(context):
-        by = np.argsort(context)
-        context, left = context[by], left[by]
-        at = np.minimum(np.searchsorted(context, hashes >> _CUT), len(context) - 1)
-        hit = context[at] == hashes >> _CUT
-        out[hit] = left[at[hit]]
-    return Vocabulary(hashes, n, out)
+    return Vocabulary(hashes[order], n[order])
+
+
+def _narrow(x: np.ndarray, kind: type) -> np.ndarray:
+    """As ``kind``, if that changes no value."""
+    return y if (y := x.astype(kind)).astype(x.dtype).tobytes() == x.tobytes() else x
+
+
+def frequent_contexts(contexts: DataFrame, most: int) -> tuple[Contexts, int]:
+    """The contexts that are broadcast, and the number of all."""
+    head, count = _frequent(contexts, "total", most)
+    keys = head.column("context").to_numpy().view(np.uint64)
+    order = np.argsort(keys)
+    total, mass = _narrow(head.column("total").to_numpy(), np.uint32), _narrow(head.column("mass").to_numpy(), np.float32)
+    near = Contexts(keys[order], total[order], mass[order], len(keys) == count)
+    del head, keys
+    pa.default_memory_pool().release_unused()
+    return near, count
 
 
 def level_value(level: np.ndarray) -> np.ndarray:
@@ -312,8 +422,16 @@ def level_value(level: np.ndarray) -> np.ndarray:
     return np.where(level < 2, level, np.where(level % 2 == 0, 1 << half, 3 << half - 1))
 
 
-def _level(n: Column) -> Column:
+_VALUES = level_value(np.arange(1, 126))
+
+
+def level_of(n: np.ndarray) -> np.ndarray:
     """The highest level that a count of one or more reaches."""
+    return np.searchsorted(_VALUES, n, side="right")
+
+
+def _level(n: Column) -> Column:
+    """``level_of`` for a column."""
     b = F.length(F.bin(n)).cast("int") - 1
     return F.when(n < 2, n.cast("int")).otherwise(2 * b + (n >= 1.5 * F.pow(F.lit(2.0), b)).cast("int"))
 
@@ -331,29 +449,26 @@ def log_frequency(bitmap: np.ndarray, keys: np.ndarray, least: int = LEAST) -> n
 
 @dataclass(frozen=True)
 class Order:
-    """N-grams of one length: filter, the least level in it, and does it tell which contexts have n-grams?"""
+    """N-grams of one length: filter, the least level in it, the contexts that are at hand; does the filter tell which others have n-grams?"""
 
     bitmap: np.ndarray
     least: int
+    contexts: Contexts
     flags: bool
 
 
 def _values(level: Column) -> Column:
-    return F.element_at(F.array(*(F.lit(float(x)) for x in level_value(np.arange(1, 126)))), level)
-
+    return F.element_at(F.array(*(F.lit(float(x)) for x in _VALUES)), level)
 
-def order_of(table: DataFrame, shorter: DataFrame, filter_bits: int) -> tuple[Order, DataFrame, DataFrame]:
-    """The order whose counts (as of ``_counted``) are ``table``; its contexts (``context``, ``total``, ``left``); and the n-grams that its filter leaves out (``key``, ``q``).
 
-    ``shorter``: the counts of the n-grams that are its contexts, which say how many tokens each context has.
-    """
-    stored = table.filter("context IS NOT NULL").select("key", "context", _level(F.col("n")).alias("level"))
-    mass = stored.groupBy("context").agg(F.sum(_values(F.col("level")) - DISCOUNT).alias("mass"))
-    totals = shorter.groupBy(F.shiftrightunsigned("key", int(_CUT)).alias("context")).agg(F.sum("n").alias("total"))
-    contexts = materialize(mass.join(totals, "context").select("context", "total", (1 - F.col("mass") / F.col("total")).alias("left")), "contexts")
+def order_of(found: DataFrame, parts: int, filter_bits: int) -> tuple[Order, DataFrame, DataFrame]:
+    """The order whose counts (as of ``_counted``) are ``found``; its contexts (``context``, ``total``, ``left``); and the n-grams that its filter leaves out (``key``, ``q``)."""
+    stored = found.filter("gram").select("key", _level(F.col("n")).alias("level"))
+    contexts = _contexts(found, parts)
+    near, marks = frequent_contexts(contexts, CONTEXTS)
+    marks -= len(near.keys)
     held = {r[0]: r[1] for r in stored.groupBy("level").count().collect()}  # one row a level
-    marks = contexts.count()
-    flags = BITS_EACH * marks * 2 <= filter_bits
+    flags = 0 < BITS_EACH * marks * 2 <= filter_bits
     above = lambda low: sum(k * max(0, level - low + 1) for level, k in held.items())
     needed = lambda low: BITS_EACH * (above(low) - above(low + 1) + flags * marks) + HIGHER_BITS * above(low + 1)
     least = LEAST
@@ -361,10 +476,13 @@ def order_of(table: DataFrame, shorter: DataFrame, filter_bits: int) -> tuple[Or
         least += 1
     keys = stored.filter(F.col("level") >= least).select("key", F.lit(least).alias("lo"), F.col("level").alias("hi"))
     if flags:
-        flagged = contexts.select("context").mapInArrow(_flagged, "key bigint")
+        cut = int(near.totals.min()) if len(near.keys) else None
+        flagged = (contexts if cut is None else contexts.filter(F.col("total") < cut)).select("context").mapInArrow(_flagged, "key bigint")
         keys = keys.union(flagged.select("key", F.lit(1).alias("lo"), F.lit(1).alias("hi")))
-    bitmap = build(keys, bits_for(needed(least), filter_bits, 1), PROBES, HIGHER_PROBES)
-    return Order(bitmap, least, flags), contexts, stored.filter(F.col("level") < least).select("key", _values(F.col("level")).alias("q"))
+    with _tidy(found.sparkSession):
+        bitmap = build(keys, bits_for(needed(least), filter_bits, 1), PROBES, HIGHER_PROBES)
+    left = contexts.select("context", "total", (1 - F.col("mass") / F.col("total")).alias("left"))
+    return Order(bitmap, least, near, flags), left, stored.filter(F.col("level") < least).select("key", _values(F.col("level")).alias("q"))
 
 
 def _flagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -387,35 +505,45 @@ class Model:
         """By order and token: ``part`` and ``left``, so that p = part + left * (p of the order below), where the context's numbers are at hand.
 
         Elsewhere ``context`` is not 0, and ``part`` is still to be divided by its total. ``gram`` is not 0 where the n-gram may be one that the filter leaves out;
-        ``share`` is what its count is then multiplied by. ``words`` and ``code``: the different keys of words and each token's place in them, where they are known.
+        ``share`` is what its count is then multiplied by. ``words`` and ``code``: as of ``coded``, where they are known.
         """
-        found = ngrams(t, max(self.orders, default=1))
+        if words is None:
+            words, code = coded(t)
+        size = len(code)
+        keys, ids, whole = words, code, np.ones(size, dtype=bool)
         out = {}
-        for order, o in self.orders.items():
-            context, _, key = found[order]
-            if order == 2 and words is not None and len(words):  # contexts are the words before
-                different, back = words >> _CUT, np.empty_like(code)
-                back[1:] = code[:-1]
-                back[t.offsets[:-1]] = np.searchsorted(words, word_keys(_END))
+        for order in range(2, max(self.orders, default=1) + 1):
+            back, whole = _shifted(ids, t.offsets, np.searchsorted(words, word_keys(_END)) if order == 2 else 0), _shifted(whole, t.offsets, order == 2)
+            o, named = self.orders.get(order), keys >> _CUT
+            if o is None:  # asked for longer n-grams only
+                asked = np.flatnonzero(whole)
             else:
-                different, back = np.unique(context, return_inverse=True)
-            has = different > 0
-            if o.flags:  # few probes: a context that is taken for one with n-grams by mistake costs a look, no more
-                has &= contains(o.bitmap, flag_keys(different), 1, FLAG_PROBES)
-            place, head = self.words.find(different, int(_CUT)) if order == 2 else (np.zeros(len(different), np.int64), np.zeros(len(different), bool))
-            if len(self.words.left):
-                has &= ~head | (self.words.left[place] < 1)
-            asked = np.flatnonzero(has[back])  # in other contexts no n-gram is stored, so what a probe would find there is a mistake
-            grams, at = np.unique(key[asked], return_inverse=True)
-            q = np.zeros(len(key))
+                place, near = _find(o.contexts.keys, named)
+                has = near.copy()
+                if not o.contexts.whole:
+                    far = np.flatnonzero(~near)
+                    has[far] = contains(o.bitmap, flag_keys(named[far]), 1, FLAG_PROBES) if o.flags else True  # one that is taken for one with n-grams by mistake costs a look, no more
+                asked = np.flatnonzero(whole & has[back])  # in other contexts no n-gram is stored, so what a probe would find there is a mistake
+            grams, at = _grams(back[asked], code[asked], len(words))
+            grams = _keys_of(grams, keys, words)
+            ids, whole = np.zeros(size, dtype=np.int64), np.zeros(size, dtype=bool)
+            ids[asked], whole[asked], keys = at, True, grams
+            if o is None:
+                continue
+            q, share, left = np.zeros(size), np.ones(size), np.ones(size)
             q[asked] = log_frequency(o.bitmap, grams, o.least)[at]
-            share, left = np.ones(len(key)), np.ones(len(key))
-            known = (has & head)[back]
-            share[known] /= self.words.counts[place[back[known]]]
-            left[known] = self.words.left[place[back[known]]]
-            part = np.maximum(q - DISCOUNT, 0) * share
-            gram = np.where((q == 0) & has[back], key, 0) if o.least > LEAST else np.zeros(len(key), dtype=np.uint64)
-            out[order] = {"part": part, "share": share, "left": left, "context": np.where((has & ~head)[back], context, 0), "gram": gram}
+            known = asked[near[back[asked]]]
+            spot = place[back[known]]
+            share[known] /= o.contexts.totals[spot]
+            left[known] -= o.contexts.mass[spot] * share[known]
+            far, gram = np.zeros(size, dtype=np.uint64), np.zeros(size, dtype=np.uint64)
+            some = asked[~near[back[asked]]]
+            far[some] = named[back[some]]
+            if o.least > LEAST:
+                gram[asked] = np.where(q[asked] == 0, grams[at], 0)
+            else:
+                whole &= q > 0  # an n-gram that is not stored is no context of longer ones
+            out[order] = {"part": np.maximum(q - DISCOUNT, 0) * share, "share": share, "left": left, "context": far, "gram": gram}
         return out
 
 
@@ -423,20 +551,19 @@ def train(rows: DataFrame, filter_bits: int = FILTER_BITS, lengths: Sequence[int
     """The model of the texts of ``rows``, the exact counts of all their words (``key``, ``n``), and by order its contexts and the n-grams beyond its filter."""
     chars = rows.agg(F.coalesce(F.sum(F.octet_length("text").cast("bigint")), F.lit(0))).first()[0]
     parts = 1 + chars // PART_CHARS
-    found = materialize(word_and_pair_counts(rows, parts), "words-and-pairs")
-    counts = found.filter("context IS NULL").select("key", "n")
+    found = _kept(_counted(rows, 2, None, parts), "words-and-pairs")
+    counts = _words(found, parts)
     n, v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    orders, tables, shorter = {}, {}, counts
+    orders, tables = {}, {}
     for order in lengths:
         if order > 2:
-            before = orders[order - 1]
-            gate = before.bitmap if before.least == LEAST else None  # a filter that leaves n-grams out says nothing about longer ones
+            before = orders.get(order - 1)
+            gate = before.bitmap if before and before.least == LEAST else None  # a filter that leaves n-grams out says nothing about longer ones
             shared = rows.sparkSession.sparkContext.broadcast(gate)
-            shorter = found.filter("context IS NOT NULL")
-            found = materialize(longer_counts(rows, order, shared, parts), f"{order}-grams")
-            shared.unpersist()
-        orders[order], *tables[order] = order_of(found, shorter, filter_bits)
-    return Model(vocabulary(counts, tables[2][0]), orders, n, v), counts, tables
+            found = _kept(_counted(rows, order, shared, parts), f"{order}-grams")
+            shared.destroy()
+        orders[order], *tables[order] = order_of(found, parts, filter_bits)
+    return Model(vocabulary(counts), orders, n, v), counts, tables
 
 
 def score(docs: DataFrame, model: Model, counts: DataFrame, tables: dict[int, tuple[DataFrame, DataFrame]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -448,8 +575,13 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, tables: dict[int, tu
     kind = rows.schema["id"].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(model)
     orders = sorted(model.orders)
+    joined = [k for k in orders if not model.orders[k].contexts.whole or model.orders[k].least > LEAST]
     fields = {"key": "bigint", "single": "double"}
-    for k in orders:
+    for k in orders:  # orders that are at hand are put together: p = a + b * (p of the order below)
+        if k not in joined:
+            up = next((j for j in joined if j > k), "")
+            fields |= {f"a{up}": "double", f"b{up}": "double"}
+            continue
         fields |= {f"part{k}": "double", f"left{k}": "double", f"context{k}": "bigint"} | ({f"gram{k}": "bigint", f"share{k}": "double"} if model.orders[k].least > LEAST else {})
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -461,16 +593,22 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, tables: dict[int, tu
                 t = tokens(piece.column("text"))
                 k, sizes = len(t.offsets) - 1, np.diff(t.offsets)
                 text = np.repeat(np.arange(k), sizes)
-                different, code = np.unique(word_keys(t.words), return_inverse=True)
-                place, inside = m.words.find(different)
+                different, code = coded(t)
+                place, inside = _find(m.words.hashes, different)
                 exact = np.where(inside, m.words.counts[place], 0) if len(m.words.counts) else np.zeros(len(different))
                 head, single = inside[code], ((exact + ALPHA) / m.whole)[code]
                 base = np.where(head, np.log10(single), 0.0)
                 p, open_, values = single, ~head, {}
+                a, b = np.zeros(len(text)), np.ones(len(text))
                 for order, found in sorted(m.parts(t, different, code).items()):
                     p = found["part"] + found["left"] * p
-                    open_ = open_ | (found["context"] > 0) | (found["gram"] > 0)
-                    values |= {f"{c}{order}": x for c, x in found.items()}
+                    if order in joined:
+                        open_ = open_ | (found["context"] > 0) | (found["gram"] > 0)
+                        values |= {f"{c}{order}": x for c, x in (found | {"a": a, "b": b}).items()}
+                        a, b = np.zeros(len(text)), np.ones(len(text))
+                    else:
+                        a, b = found["part"] + found["left"] * a, found["left"] * b
+                values |= {"a": a, "b": b}
                 log_p = np.zeros(len(text))
                 log_p[~open_] = np.log10(np.minimum(p[~open_], 1.0))
                 ends = pa.array(np.concatenate(([0], np.cumsum(np.bincount(text[open_], minlength=k)))).astype(np.int32))
@@ -487,10 +625,10 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, tables: dict[int, tu
 
     opened = ", ".join(f"{name}: {type_}" for name, type_ in fields.items())
     schema = f"row bigint, id {kind}, n_tokens bigint, known bigint, base double, score double, open array<struct<{opened}>>"
-    scanned = materialize(rows.mapInArrow(scan, schema), "scores")
+    scanned = _kept(rows.mapInArrow(scan, schema), "scores")
     left = scanned.select("row", F.explode("open").alias("x")).select("row", "x.*")
     left = _looked_up(left, "key", counts.select("key", "n"), ["n"])
-    for k in orders:
+    for k in joined:
         contexts, beyond = tables[k]
         if f"gram{k}" in fields:
             left = _looked_up(left, f"gram{k}", beyond.select(F.col("key").alias(f"gram{k}"), F.col("q").alias(f"q{k}")), [f"q{k}"])
@@ -499,11 +637,14 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, tables: dict[int, tu
     rare = F.col("key").isNotNull()
     single = F.when(rare, (F.coalesce("n", F.lit(0)) + ALPHA) / F.lit(model.whole)).otherwise(F.col("single"))
     p = single
-    for k in orders:
+    over = lambda k, p: F.col(f"a{k}") + F.col(f"b{k}") * p if f"a{k}" in fields else p
+    for k in joined:
+        p = over(k, p)
         part = F.col(f"part{k}")
         if f"gram{k}" in fields:
             part = part + F.greatest(F.coalesce(F.col(f"q{k}"), F.lit(0.0)) - DISCOUNT, F.lit(0.0)) * F.col(f"share{k}")
         p = part / F.coalesce(F.col(f"total{k}"), F.lit(1)) + F.coalesce(F.col(f"more{k}"), F.col(f"left{k}")) * p
+    p = over("", p)
     found = left.groupBy("row").agg(
         F.count_if(rare & (F.col("n") > 0)).alias("more"),
         F.sum(F.when(rare, F.log10(single)).otherwise(0.0)).alias("rest"),

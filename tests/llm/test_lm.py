@@ -181,3 +181,23 @@ def test_the_query_scores_with_triples(spark):
     train = [t for i, t in rows if not got[i][1]]
     off = np.abs(np.array([got[i][0] for i, _ in rows]) / np.array(plain_scores([t for _, t in rows], train, True, (2, 3))) - 1)
     assert off.max() < 2e-3 and off.mean() < 2e-5
+
+
+def test_contexts_of_triples_are_at_hand_and_rare_ones_are_joined(spark, monkeypatch):
+    """Whether contexts are broadcast or joined, and their followers meet in one part or in several, no score changes."""
+    rng = np.random.default_rng(7)
+    p = 1 / np.arange(1, 61)
+    texts = [" ".join(f"w{k}" for k in rng.choice(60, rng.integers(0, 200), p=p / p.sum())) for _ in range(80)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").repartition(3)
+    want = plain_scores(texts, texts[:60], True, (2, 3))
+    for most, chars, spread in ((1 << 21, 1 << 23, 128), (40, 1 << 23, 128), (40, 2000, 5)):
+        for name, value in (("CONTEXTS", most), ("PART_CHARS", chars), ("SPREAD", spread), ("FLUSH", 2000), ("SLICE", 4000)):
+            monkeypatch.setattr(lm, name, value)
+        model, counts, tables = lm.train(docs.filter("doc_id < 60").select("text"), lengths=(2, 3))
+        found = model.parts(lm.tokens(pa.array(texts)))
+        assert (found[3]["left"] < 1).any()
+        assert found[3]["context"].any() == found[2]["context"].any() == (most == 40)
+        got = {r["doc_id"]: r["score"] for r in lm.score(docs, model, counts, tables).collect()}
+        assert np.allclose([got[i] for i in range(len(want))], want, rtol=1e-6)
+        totals = tables[3][0].agg(F.count(F.lit(1)), F.countDistinct("context")).first()
+        assert totals[0] == totals[1] > 40
