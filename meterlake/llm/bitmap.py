@@ -36,6 +36,25 @@ def _places(keys: np.ndarray, level: int | np.ndarray) -> tuple[np.ndarray, np.n
     return tuple((h >> np.uint64(n)).astype(np.uint32) | np.uint32(n == 7) for n in (45, 26, 7))
 
 
+def entered(bits: int, key: np.ndarray, lo: np.ndarray, hi: np.ndarray, probes: int = PROBES, higher: int | None = None) -> np.ndarray:
+    """The filter of these keys (uint64) at levels ``lo`` to ``hi``, as ``contains`` reads it; for keys that one task holds."""
+    levels = (hi - lo + 1).astype(np.int64)
+    begin = np.cumsum(levels) - levels
+    level = np.repeat(lo, levels) + np.arange(levels.sum()) - np.repeat(begin, levels)
+    base = np.repeat((key >> np.uint64(8)) % np.uint64(bits // BLOCK) * np.uint64(BLOCK), levels)
+    at, step, more = _places(np.repeat(key, levels), level)
+    flags = np.zeros(bits, dtype=bool)
+    for k in range(probes):
+        if k == higher:
+            lowest = np.zeros(len(at), dtype=bool)
+            lowest[begin] = True
+            base, at, step, more = base[lowest], at[lowest], step[lowest], more[lowest]
+        flags[base + (at & np.uint32(BLOCK - 1))] = True
+        at += step
+        step += more
+    return np.packbits(flags, bitorder="little")
+
+
 def build(keys: DataFrame, bits: int, probes: int = PROBES, higher: int | None = None) -> np.ndarray:
     """The filter of all rows of ``key`` (bigint), ``lo`` and ``hi`` (levels, inclusive): ``bits`` / 8 bytes, whatever the number of keys.
 
@@ -47,20 +66,7 @@ def build(keys: DataFrame, bits: int, probes: int = PROBES, higher: int | None =
 
     def filled(n: int, held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
         key, lo, hi = (np.concatenate(x) for x in zip(*held))
-        levels = (hi - lo + 1).astype(np.int64)
-        begin = np.cumsum(levels) - levels
-        level = np.repeat(lo, levels) + np.arange(levels.sum()) - np.repeat(begin, levels)
-        at, step, more = _places(np.repeat(key, levels), level)
-        flags = np.zeros(BLOCK, dtype=bool)
-        for k in range(probes):
-            if k == higher:
-                lowest = np.zeros(len(at), dtype=bool)
-                lowest[begin] = True
-                at, step, more = at[lowest], step[lowest], more[lowest]
-            flags[at & np.uint32(BLOCK - 1)] = True
-            at += step
-            step += more
-        return pa.RecordBatch.from_arrays([pa.array([n]), pa.array([np.packbits(flags, bitorder="little").tobytes()], pa.binary())], ["block", "bits"])
+        return pa.RecordBatch.from_arrays([pa.array([n]), pa.array([entered(BLOCK, key, lo, hi, probes, higher).tobytes()], pa.binary())], ["block", "bits"])
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = -1, []

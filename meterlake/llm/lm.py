@@ -46,7 +46,7 @@ from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterlake.llm.bitmap import bits_for, build, contains
+from meterlake.llm.bitmap import bits_for, build, contains, entered
 from meterlake.llm.shared import materialize, remainder, text_of
 from meterlake.llm.words import BASE, mixed, slices
 from meterlake.sources.tables import table
@@ -66,8 +66,10 @@ FLAG_PROBES = 8
 LEAST = 2
 #: Tokens that a task counts before it passes the counts on, characters of text whose n-grams meet in one part, and of a slice.
 FLUSH, PART_CHARS, SLICE = 1 << 20, 1 << 23, 1 << 19
-#: Rows that Python takes at a time.
-BATCH = 1000
+#: Rows that Python takes at a time, and of runs of texts, which are some MB each.
+BATCH, RUNS = 1000, 16
+#: Tokens whose n-grams meet in one part, and contexts whose n-grams are dealt to all parts, at most.
+PART, HOT = 1 << 20, 1 << 14
 #: Parts up to which a context's followers meet in one; with every so many more, in one more.
 SPREAD = 128
 #: Places of two numbers in one.
@@ -205,15 +207,15 @@ def _long(raw: bytes) -> np.ndarray:
     return out.reshape(-1).view(np.uint64)
 
 
-def _small(n: np.ndarray) -> bytes:
-    """Counts in a byte each; those of 255 or more follow in four."""
+def _small(n: np.ndarray, wide: str = "<u4") -> bytes:
+    """Counts in a byte each; those of 255 or more follow in four (or as ``wide``)."""
     big = n > 254
-    return np.where(big, 255, n).astype(np.uint8).tobytes() + n[big].astype("<u4").tobytes()
+    return np.where(big, 255, n).astype(np.uint8).tobytes() + n[big].astype(wide).tobytes()
 
 
-def _counts(raw: bytes, k: int) -> np.ndarray:
+def _counts(raw: bytes, k: int, wide: str = "<u4") -> np.ndarray:
     n = np.frombuffer(raw, dtype=np.uint8, count=k).astype(np.int64)
-    n[n == 255] = np.frombuffer(raw, dtype="<u4", offset=k)
+    n[n == 255] = np.frombuffer(raw, dtype=wide, offset=k)
     return n
 
 
@@ -323,9 +325,11 @@ def _counted(rows: DataFrame, order: int, gate: Broadcast | None, parts: int) ->
 
 
 @contextmanager
-def _tidy(spark: SparkSession) -> Iterator[None]:
-    """What an action shuffles is deleted at its end, not when the driver happens to collect its garbage, and Python takes ``BATCH`` rows at a time."""
-    wanted = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": str(BATCH)}
+def _tidy(spark: SparkSession, batch: int | None = None) -> Iterator[None]:
+    """What an action shuffles is deleted at its end, not when the driver happens to collect its garbage, and Python takes ``BATCH`` rows at a time; ``batch``: so many, also from files."""
+    wanted = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": str(batch or BATCH)}
+    if batch:
+        wanted["spark.sql.parquet.columnarReaderBatchSize"] = str(batch)
     before = {k: spark.conf.get(k, None) for k in wanted}
     try:
         for k, v in wanted.items():
@@ -336,8 +340,8 @@ def _tidy(spark: SparkSession) -> Iterator[None]:
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def _kept(rows: DataFrame, name: str) -> DataFrame:
-    with _tidy(rows.sparkSession):
+def _kept(rows: DataFrame, name: str, batch: int | None = None) -> DataFrame:
+    with _tidy(rows.sparkSession, batch):
         return materialize(rows, name)
 
 
@@ -667,14 +671,419 @@ def _looked_up(rows: DataFrame, key: str, table: DataFrame, names: Sequence[str]
     return met.unionByName(rows.filter(F.col(key).isNull()).select("*", *none))
 
 
+@dataclass(frozen=True)
+class Run:
+    """Texts that ask together: different words (keys, the most frequent first), each token's place among them, the texts' offsets, and which texts are learned from."""
+
+    words: np.ndarray
+    code: np.ndarray
+    offsets: np.ndarray
+    training: np.ndarray
+
+    @property
+    def learned(self) -> np.ndarray:
+        return np.repeat(self.training, np.diff(self.offsets))
+
+
+def _run_of(held: Sequence[tuple[Tokens, np.ndarray]]) -> Run:
+    words, code = _different(word_keys(np.concatenate([t.words for t, _ in held])))
+    by = np.argsort(-np.bincount(code), kind="stable")
+    rank = np.empty(len(by), dtype=np.int64)
+    rank[by] = np.arange(len(by))
+    sizes = np.concatenate([np.diff(t.offsets) for t, _ in held])
+    return Run(words[by], rank[code], np.concatenate(([0], np.cumsum(sizes))), np.concatenate([x for _, x in held]))
+
+
+def _squeezed(raw: bytes) -> bytes:
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _loose(raw: bytes) -> bytes:
+    return pa.decompress(raw[8:], decompressed_size=int.from_bytes(raw[:8], "little"), codec="zstd", asbytes=True)
+
+
+def _planes(x: np.ndarray, width: int = 8) -> bytes:
+    """Numbers of so many bytes, byte by byte, so that the many small ones take little."""
+    return _squeezed(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes())
+
+
+def _numbers(raw: bytes, width: int = 8) -> np.ndarray:
+    planes = np.frombuffer(_loose(raw), dtype=np.uint8).reshape(width, -1)
+    out = np.zeros(planes.shape[1], dtype=np.uint64)
+    for i in range(width):
+        out |= planes[i].astype(np.uint64) << np.uint64(8 * i)
+    return out
+
+
+def _width(n: int) -> int:
+    """Bytes of numbers below ``n``."""
+    return max(1, -(-(int(n) - 1).bit_length() // 8))
+
+
+def _packed(run: Run) -> tuple[bytes, ...]:
+    """Sizes, marks, differences of words (those of one frequency are sorted), and places."""
+    return _planes(np.diff(run.offsets)), run.training.tobytes(), _planes(np.diff(run.words, prepend=np.uint64(0))), _planes(run.code, _width(len(run.words)))
+
+
+def _unpacked(sizes: bytes, training: bytes, words: bytes, code: bytes) -> Run:
+    words = np.cumsum(_numbers(words), dtype=np.uint64)
+    offsets = np.concatenate(([0], np.cumsum(_numbers(sizes).astype(np.int64))))
+    return Run(words, _numbers(code, _width(len(words))).astype(np.int64), offsets, np.frombuffer(training, dtype=bool))
+
+
+@dataclass(frozen=True)
+class Asked:
+    """What a run asks the parts for, in the order in which it goes there and answers come back.
+
+    ``at``: each token's n-gram (-1: none); ``by`` and ``part``: n-grams by part; ``own``, ``place`` and ``size``: part of each stretch of n-grams of one context, that context, and the stretch's length.
+    """
+
+    context: np.ndarray
+    word: np.ndarray
+    follower: np.ndarray
+    at: np.ndarray
+    hot: np.ndarray
+    by: np.ndarray
+    part: np.ndarray
+    own: np.ndarray
+    place: np.ndarray
+    size: np.ndarray
+
+
+def _asked(names: np.ndarray, followers: np.ndarray, back: np.ndarray, code: np.ndarray, kept: np.ndarray, hot: np.ndarray, alone: np.ndarray, parts: int) -> Asked:
+    """``names`` and ``followers``: of contexts and words, 48 bits; ``back`` and ``code``: each token's places in them; ``kept``: tokens whose n-grams are asked for.
+
+    A context goes to a part by its name, a ``hot`` one's n-grams are dealt by their followers; contexts marked ``alone`` are asked for even if no n-gram of theirs is.
+    """
+    many = np.uint64(parts)
+    grams, found = _grams(back[kept], code[kept], max(len(names), len(followers)))
+    at = np.full(len(code), -1, dtype=np.int64)
+    at[kept] = found
+    context, word = (grams >> _HALF).astype(np.int64), (grams & _LOW).astype(np.int64)
+    follower = followers[word]
+    home = (mixed(names) >> np.uint64(20)) % many
+    part = np.where(hot[context], (mixed(mixed(names[context] * BASE + follower)) >> np.uint64(20)) % many, home[context]).astype(np.uint16 if parts < 1 << 16 else np.uint32)
+    by = np.argsort(part, kind="stable")
+    part = part[by]
+    begin = np.flatnonzero(np.diff(part, prepend=part[:1] + 1).astype(bool) | np.diff(context[by], prepend=-1).astype(bool))
+    own, place, size = part[begin], context[by][begin], np.diff(begin, append=len(by))
+    with_none = alone & ~hot
+    with_none[context] = False
+    if with_none.any():
+        more = np.flatnonzero(with_none)
+        own, place, size = (np.concatenate(x) for x in ((own, home[more].astype(own.dtype)), (place, more), (size, np.zeros(len(more), dtype=size.dtype))))
+        order = np.argsort(own.astype(np.int64) << 40 | place, kind="stable")
+        own, place, size = own[order], place[order], size[order]
+    return Asked(context, word, follower, at, hot, by, part, own, place, size)
+
+
+def _pairs(run: Run, hot: np.ndarray, parts: int) -> Asked:
+    """``hot``: names of the words that very many others follow, sorted."""
+    end = int(np.flatnonzero(run.words == word_keys(_END))[0])
+    names, everywhere = run.words >> _CUT, np.ones(len(run.code), dtype=bool)
+    return _asked(names, names, _shifted(run.code, run.offsets, end), run.code, everywhere, _find(hot, names)[1], np.zeros(len(names), dtype=bool), parts)
+
+
+def _longer(run: Run, shorter: Asked, names: np.ndarray, level: np.ndarray, cut: int, parts: int) -> tuple[Asked, np.ndarray, np.ndarray]:
+    """N-grams one word longer than ``shorter``, whose keys are ``names`` and whose levels are known; also each token's context (-1: none), and contexts' names.
+
+    An n-gram is asked for if its first words and its last are stored; a context is if it is stored.
+    """
+    stored = level > 0
+    back = _shifted(shorter.at, run.offsets, -1)
+    back[(back >= 0) & ~stored[back]] = -1
+    kept = (back >= 0) & (shorter.at >= 0)
+    kept[kept] = stored[shorter.at[kept]]
+    named, alone = names >> _CUT, np.zeros(len(names), dtype=bool)
+    alone[back[back >= 0]] = True
+    asked = _asked(named, run.words >> _CUT, np.maximum(back, 0), run.code, kept, level_value(level) >= cut, alone, parts)
+    return asked, back, named
+
+
+def _sent(asked: Asked, names: np.ndarray, learned: np.ndarray, flush: int) -> Iterator[tuple]:
+    """One row a part: contexts, lengths of their stretches (and whether they are hot), different followers, which of these each n-gram has, counts in the texts learned from."""
+    n = np.bincount(asked.at[learned & (asked.at >= 0)], minlength=len(asked.by))[asked.by]
+    names, length, word = names[asked.place], asked.size * 2 + asked.hot[asked.place], asked.word[asked.by]
+    different, back = _different(_both(asked.part, word))
+    of = np.empty(len(different), dtype=np.uint64)
+    of[back] = asked.follower[asked.by]
+    owner = different >> _HALF
+    for i in np.unique(asked.own).tolist():
+        some, those, words = (slice(*np.searchsorted(x, np.array([i, i + 1], dtype=x.dtype))) for x in (asked.own, asked.part, owner))
+        which = back[those] - words.start
+        yield i, flush, _short(names[some]), _squeezed(_small(length[some])), _short(of[words]), _planes(which, _width(words.stop - words.start)), _squeezed(_small(n[those]))
+
+
+_SENT = "part bigint, flush bigint, a binary, b binary, c binary, d binary, e binary"
+#: Answers to a run (``flush``) about n-grams of ``size`` words; with no run, numbers of the whole input by ``key``.
+_ANSWER = "flush bigint, size int, part bigint, level binary, mass binary, n binary, key bigint, total bigint"
+
+
+def _batch(rows: Sequence[tuple], schema: str) -> pa.RecordBatch:
+    kinds = {"bigint": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "double": pa.float64()}
+    names, of = zip(*(x.split() for x in schema.split(", ")))
+    cols = list(zip(*rows)) if rows else [()] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, k in zip(cols, of)], list(names))
+
+
+def _by_part(batches: Iterator[pa.RecordBatch], close) -> Iterator[pa.RecordBatch]:
+    """``close`` on the rows of each part, which follow each other."""
+    now, held = None, []
+    for batch in batches:
+        for part, *row in zip(*(c.to_pylist() for c in batch.columns)):
+            if part != now and held:
+                yield _batch(close(now, held), _ANSWER)
+                held = []
+            now = part
+            held.append(row)
+    if held:
+        yield _batch(close(now, held), _ANSWER)
+
+
+def _words_answered(cut: int):
+    """Exact counts of words; those of ``cut`` or more by name too, and how many words and tokens there are."""
+
+    def close(part: int, held: list[list]) -> list[tuple]:
+        keys, n = [np.frombuffer(r[1], dtype=np.uint64) for r in held], [_counts(r[2], len(r[1]) // 8) for r in held]
+        different, back = _different(np.concatenate(keys))
+        count = np.bincount(back, weights=np.concatenate(n), minlength=len(different)).astype(np.int64)
+        out = [(None, 0, part, None, None, None, None, int(count.sum())), (None, 1, part, None, None, None, None, int((count > 0).sum()))]
+        out += [(None, 2, part, None, None, None, int(k), None) for k in different[count >= cut] >> _CUT]
+        for r, b in zip(held, np.split(back, np.cumsum([len(k) for k in keys])[:-1])):
+            out.append((r[0], 1, part, None, None, _squeezed(_small(count[b], "<u8")), None, None))
+        return out
+
+    return close
+
+
+def _grams_answered(order: int, last: bool):
+    """A part of the filter: filled with the part's n-grams, at the levels that their counts reach, and read for each that is asked for.
+
+    Also what a context's n-grams hold (in quarters, which is exact), and the exact counts of those that are found, if they may be contexts of longer ones.
+    """
+
+    def close(part: int, held: list[list]) -> list[tuple]:
+        names = [_long(r[1]) for r in held]
+        sizes = [_counts(_loose(r[2]), len(x)) for r, x in zip(held, names)]
+        followers = [x[_numbers(r[4], _width(len(x))).astype(np.int64)] for r in held for x in [_long(r[3])]]
+        n = np.concatenate([_counts(_loose(r[5]), len(x)) for r, x in zip(held, followers)])
+        size = np.concatenate(sizes)
+        hot, size = (size & 1).astype(bool), size >> 1
+        different, place = _different(np.concatenate(names))
+        place = place.astype(np.int64)
+        of = np.repeat(place, size)
+        gram, back = _different(_gram_keys(different[of], np.concatenate(followers)))
+        count = np.bincount(back, weights=n, minlength=len(gram)).astype(np.int64)
+        context = np.empty(len(gram), dtype=np.int64)
+        context[back] = of
+        stored = count >= LEAST
+        level = level_of(count[stored])
+        bits = bits_for(int(BITS_EACH * stored.sum() + HIGHER_BITS * (level - LEAST).sum()), 1 << 62, 1)
+        bitmap = entered(bits, gram[stored], np.full(len(level), LEAST), level, PROBES, HIGHER_PROBES)
+        read = level_of(log_frequency(bitmap, gram)).astype(np.uint8)
+        mass = np.bincount(context[stored], weights=(level_value(level) - DISCOUNT) * 4, minlength=len(different)).astype(np.int64)
+        is_hot = np.zeros(len(different), dtype=bool)
+        is_hot[place[hot]] = True
+        out = [(None, order, part, None, None, None, int(k), int(x)) for k, x in zip(different[is_hot], mass[is_hot])]
+        mass[is_hot] = 0
+        ends = [np.cumsum([len(x) for x in of_])[:-1] for of_ in (names, followers)]
+        for r, p, b in zip(held, np.split(place, ends[0]), np.split(back, ends[1])):
+            found = read[b]
+            n_of = None if last else _squeezed(_small(count[b][found > 0], "<u8"))
+            out.append((r[0], order, part, _squeezed(found.tobytes()), _squeezed(_small(mass[p], "<u8")), n_of, None, None))
+        return out
+
+    return close
+
+
+def _heard(rows: Sequence[tuple], stretches: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Levels, what contexts hold, and counts of what was found, of all answers about one order, by part; ``stretches``: the part of each context asked for."""
+    k = np.bincount(stretches, minlength=1)
+    level = [np.frombuffer(_loose(r[1]), dtype=np.uint8) for r in rows]
+    mass = [_counts(_loose(r[2]), int(k[r[0]]), "<u8") for r in rows]
+    n = [_counts(_loose(r[3]), int(np.count_nonzero(x)), "<u8") for r, x in zip(rows, level) if r[3] is not None]
+    return tuple(np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in (level, mass, n))
+
+
+@dataclass(frozen=True)
+class Known:
+    """Of one order, by n-gram: its level and exact count (0 where it is not found); by context: what its n-grams hold."""
+
+    level: np.ndarray
+    count: np.ndarray
+    mass: np.ndarray
+
+
+def _known(asked: Asked, names: np.ndarray, rows: Sequence[tuple], hot: tuple[np.ndarray, np.ndarray]) -> Known:
+    found, held, n = _heard(rows, asked.own)
+    level = np.zeros(len(asked.by), dtype=np.int64)
+    level[asked.by] = found
+    count = np.zeros(len(level), dtype=np.int64)
+    count[asked.by[found > 0]] = n if len(n) else 0
+    mass = np.zeros(len(names), dtype=np.int64)
+    mass[asked.place] = held
+    at, is_hot = _find(hot[0], names)
+    mass[is_hot & asked.hot] = hot[1][at[is_hot & asked.hot]]
+    return Known(level, count, mass / 4)
+
+
+def _with_answers(runs: DataFrame, answers: Sequence[DataFrame]) -> DataFrame:
+    """Each run, then the answers to it, by order and part."""
+    kinds = {"size": "int", "part": "bigint", "level": "binary", "mass": "binary", "n": "binary"}
+    first = runs.withColumns({c: F.lit(0 if c in ("size", "part") else None).cast(k) for c, k in kinds.items()})
+    for a in answers:
+        first = first.unionByName(a.filter("flush IS NOT NULL").select("flush", *kinds), allowMissingColumns=True)
+    return first.repartition("flush").sortWithinPartitions("flush", "size", "part")
+
+
+def _each_run(batches: Iterator[pa.RecordBatch], ids: bool = False) -> Iterator[tuple]:
+    """Number, run, ids (where wanted), and the answers by order."""
+    now = None
+    for batch in batches:
+        col = {c: batch.column(c) for c in batch.schema.names}
+        for k, (size, part) in enumerate(zip(col["size"].to_pylist(), col["part"].to_pylist())):
+            if size == 0:
+                if now:
+                    yield now
+                run = _unpacked(*(col[c][k].as_py() for c in ("sizes", "training", "words", "code")))
+                now = col["flush"][k].as_py(), run, pa.concat_arrays([col["ids"][k].values]) if ids else None, {}
+            else:
+                now[3].setdefault(size, []).append((part, *(col[c][k].as_py() for c in ("level", "mass", "n"))))
+    if now:
+        yield now
+
+
+def _word_counts(run: Run, rows: Sequence[tuple], parts: int) -> np.ndarray:
+    part = _home(run.words, parts)
+    by, k = np.argsort(part, kind="stable"), np.bincount(part, minlength=parts)
+    out = np.empty(len(by), dtype=np.int64)
+    out[by] = np.concatenate([_counts(_loose(r[3]), int(k[r[0]]), "<u8") for r in rows])
+    return out
+
+
+def _home(words: np.ndarray, parts: int) -> np.ndarray:
+    return ((mixed(words) >> np.uint64(20)) % np.uint64(parts)).astype(np.int64)
+
+
+def _following(run: Run, heard: dict[int, list[tuple]], hots: dict[int, tuple[np.ndarray, np.ndarray]], cut: int, parts: int, until: int) -> Iterator[tuple]:
+    """By order, up to ``until``: what was asked for, each token's context, contexts' names, and what is known (None: not yet)."""
+    asked, names = _pairs(run, hots[2][0], parts), run.words >> _CUT
+    back, order = _shifted(run.code, run.offsets, int(np.flatnonzero(run.words == word_keys(_END))[0])), 2
+    while True:
+        known = _known(asked, names, heard.get(order, []), hots[order]) if order in hots and (order in heard or not len(asked.by)) else None
+        yield order, asked, back, names, known
+        if order == until:
+            return
+        keys = _gram_keys(names[asked.context], asked.follower)
+        asked, back, names = _longer(run, asked, keys, known.level, cut, parts)
+        order += 1
+
+
+def scored(docs: DataFrame, training: Column, lengths: Sequence[int] = QUERY_ORDERS, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, int]:
+    """Rows as of ``score``, by a model of the texts marked ``training``, and the number of tokens learned from. Nothing of the model is broadcast or joined by token.
+
+    A run of texts (about ``FLUSH`` tokens) is written once, as places in its own words. It asks for its different words, then pairs, then triples: they go to parts by
+    their hashes with their counts, a part makes its piece of the filter of all that it gets, reads it and answers each run. Pieces follow the input in number, not in size.
+    Contexts with more than one token in ``HOT`` have their n-grams dealt to all parts; what these hold is summed and given to all tasks, ``HOT`` numbers an order at most.
+    """
+    spark = docs.sparkSession
+    rows = docs.select(docs[id_col].alias("id"), text_of(docs[text_col]).alias("text"), training.alias("training"))
+    kind = rows.schema["id"].dataType.simpleString()
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, ids, size, at = [], [], 0, TaskContext.get().partitionId() << 36
+
+        def flush() -> pa.RecordBatch:
+            run, k = _run_of(held), pa.concat_arrays(ids)
+            cols = [pa.array([at]), pa.ListArray.from_arrays(pa.array([0, len(k)], pa.int32()), k), *(pa.array([x], pa.binary()) for x in _packed(run)), pa.array([len(run.code)])]
+            return pa.RecordBatch.from_arrays(cols, ["flush", "ids", "sizes", "training", "words", "code", "tokens"])
+
+        for batch in batches:
+            for piece in slices(batch, most=SLICE):
+                held.append((tokens(piece.column("text")), piece.column("training").to_numpy(zero_copy_only=False)))
+                ids.append(piece.column("id"))
+                size += len(held[-1][0].words)
+                if size > FLUSH:
+                    yield flush()
+                    held, ids, size, at = [], [], 0, at + 1
+        if held:
+            yield flush()
+
+    runs = _kept(rows.mapInArrow(write, f"flush bigint, ids array<{kind}>, sizes binary, training binary, words binary, code binary, tokens bigint"), "runs")
+    all_ = runs.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
+    runs, parts, cut = runs.drop("tokens"), 1 + all_ // PART, 1 + all_ // HOT
+    plain = runs.drop("ids")
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for flush, *x in zip(*(batch.column(c).to_pylist() for c in ("flush", "sizes", "training", "words", "code"))):
+                run = _unpacked(*x)
+                n, part = np.bincount(run.code[run.learned], minlength=len(run.words)), _home(run.words, parts)
+                by = np.argsort(part, kind="stable")
+                ends = np.cumsum(np.bincount(part, minlength=parts))
+                out = [(i, flush, run.words[k].tobytes(), _small(n[k]), None, None, None) for i, k in enumerate(np.split(by, ends[:-1])) if len(k)]
+                yield _batch(out, _SENT)
+
+    def answered(sent: DataFrame, close, name: str) -> DataFrame:
+        dealt = sent.repartition("part").sortWithinPartitions("part")
+        return _kept(dealt.mapInArrow(lambda batches: _by_part(batches, close), _ANSWER), name, RUNS)
+
+    answers = [answered(plain.mapInArrow(words, _SENT), _words_answered(cut), "words")]
+    totals = answers[0].filter("flush IS NULL")
+    n, v = (totals.filter(F.col("size") == k).agg(F.coalesce(F.sum("total"), F.lit(0))).first()[0] for k in (0, 1))
+    # at most HOT words reach the cut
+    hot = np.sort(totals.filter("size = 2").select("key").distinct().toArrow().column("key").to_numpy()).view(np.uint64)
+    hots = {2: (hot, np.zeros(len(hot), dtype=np.int64))}
+    longest = max(lengths)
+    for order in range(2, longest + 1):
+
+        def ask(batches: Iterator[pa.RecordBatch], order: int = order, hots: dict = dict(hots)) -> Iterator[pa.RecordBatch]:  # noqa: B006
+            for flush, run, _, heard in _each_run(batches):
+                *_, (_, asked, _, names, _) = _following(run, heard, hots, cut, parts, order)
+                yield _batch(list(_sent(asked, names, run.learned, flush)), _SENT)
+
+        met = _with_answers(plain, answers[1:]) if order > 2 else plain.withColumns({"size": F.lit(0), "part": F.lit(0).cast("bigint")})
+        answers.append(answered(met.mapInArrow(ask, _SENT), _grams_answered(order, order == longest), f"{order}-grams"))
+        held = answers[-1].filter("flush IS NULL").groupBy("key").agg(F.sum("total").alias("total")).toArrow()  # hot contexts only
+        key, total = held.column("key").to_numpy().view(np.uint64), held.column("total").to_numpy()
+        by = np.argsort(key)
+        hots[order] = key[by], total[by]
+        if order == 2:  # what is hot stays as it was when pairs were asked for
+            mass = np.zeros(len(hot), dtype=np.int64)
+            at, there = _find(hots[2][0], hot)
+            mass[there] = hots[2][1][at[there]]
+            hots[2] = hot, mass
+    whole = n + ALPHA * (v + 1)
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, run, ids, heard in _each_run(batches, ids=True):
+            k, text = len(run.offsets) - 1, np.repeat(np.arange(len(run.offsets) - 1), np.diff(run.offsets))
+            total = _word_counts(run, heard[1], parts)
+            single, is_known = ((total + ALPHA) / whole), total > 0
+            p = single[run.code]
+            for order, asked, back, _, known in _following(run, heard, hots, cut, parts, longest):
+                if order in lengths:
+                    inside = np.flatnonzero(back >= 0)
+                    inside = inside[known.mass[back[inside]] > 0]  # in other contexts no n-gram is stored
+                    of = back[inside]
+                    at, t = asked.at[inside], np.maximum(total[of], 1)
+                    q = np.where(at >= 0, level_value(known.level)[at] if len(known.level) else 0, 0)
+                    p[inside] = np.maximum(q - DISCOUNT, 0) / t + np.maximum(1 - known.mass[of] / t, 0) * p[inside]
+                total = known.count
+            sums = (np.bincount(text, weights=x, minlength=k) for x in (np.log10(single)[run.code], np.log10(np.minimum(p, 1.0))))
+            known_ = np.bincount(text, weights=is_known[run.code], minlength=k).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([ids, pa.array(np.diff(run.offsets)), pa.array(known_), *map(pa.array, sums)], [id_col, "n_tokens", "n_known", "base_score", "score"])
+
+    schema = f"`{id_col}` {kind}, n_tokens bigint, n_known bigint, base_score double, score double"
+    return _kept(_with_answers(runs, answers).mapInArrow(finish, schema), "scores", RUNS), n
+
+
 def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document scored by a model of those that are not held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", text_of("text").alias("text"))
     held_out = remainder("doc_id", FOLDS) == 0
-    model, counts, beyond = train(docs.filter(~held_out).select("text"), lengths=QUERY_ORDERS)
-    return score(docs, model, counts, beyond).select(
-        "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"), "base_score", "score"
-    )
+    found, n = scored(docs, ~held_out)
+    return found.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 QUERIES = {"op6_lm_score": op6_lm_score}

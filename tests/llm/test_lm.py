@@ -201,3 +201,33 @@ def test_contexts_of_triples_are_at_hand_and_rare_ones_are_joined(spark, monkeyp
         assert np.allclose([got[i] for i in range(len(want))], want, rtol=1e-6)
         totals = tables[3][0].agg(F.count(F.lit(1)), F.countDistinct("context")).first()
         assert totals[0] == totals[1] > 40
+
+
+@pytest.mark.parametrize("flush, part, hot", [(1 << 20, 1 << 20, 1 << 14), (1500, 700, 40), (1, 300, 4), (3000, 300, 1 << 30)])
+def test_what_parts_answer_equals_a_plain_model(spark, flush, part, hot, monkeypatch):
+    """However many runs ask however many parts, and whichever contexts are dealt to all parts; texts held out, empty, with words and pairs of their own."""
+    rng = np.random.default_rng(8)
+    p = 1 / np.arange(1, 201)
+    texts = [" ".join(f"w{k}" for k in rng.choice(200, rng.integers(0, 200), p=p / p.sum())) for _ in range(120)]
+    texts = [*texts, "never W1 seen W2 here w1 w1", "", " \n", "w1", "alone", *["the same text again and again"] * 3]
+    for name, value in (("FLUSH", flush), ("PART", part), ("HOT", hot), ("SLICE", 1000), ("HIGHER_PROBES", 20), ("HIGHER_BITS", 29)):
+        monkeypatch.setattr(lm, name, value)
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id int, text string").repartition(3)
+    train = [t for i, t in enumerate(texts) if i % 4]
+    for lengths in ((2, 3), (2,), (3,), (2, 3, 4)) if flush == 1500 else ((2, 3),):
+        found, n = lm.scored(docs, F.col("doc_id") % 4 > 0, lengths)
+        got = {r["doc_id"]: r for r in found.collect()}
+        assert n == sum(len(tokens(t)) for t in train) and sorted(got) == list(range(len(texts)))
+        assert [got[i]["n_tokens"] for i in range(len(texts))] == [len(tokens(t)) for t in texts]
+        if lengths != (2, 3, 4):
+            assert np.allclose([got[i]["score"] for i in range(len(texts))], plain_scores([t.lower() for t in texts], train, True, lengths), rtol=1e-9)
+        else:
+            more = [got[i]["score"] for i in range(len(texts))]
+            assert max(more) <= 0 and np.isfinite(more).all()
+
+
+def test_the_query_sends_no_model_to_all_tasks(spark, monkeypatch):
+    """Neither a filter nor tables of words and contexts are broadcast or gathered: they grew until most tokens were joined one by one."""
+    for name in ("build", "vocabulary", "frequent_contexts", "_looked_up"):
+        monkeypatch.setattr(lm, name, None)
+    assert lm.op6_lm_score(spark, "/root/testdata/sf0.001").count() == spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count()
