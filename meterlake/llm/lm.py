@@ -23,6 +23,9 @@ and one stored n-gram in 4,000 is read a level too high (``HIGHER_PROBES``).
 The base score is the sum of log10 p(w). Counts of words are exact: the most frequent (``HEAD``) are broadcast, all others
 are joined on the word, for both scores at once.
 
+There are two ways to the same scores. ``train`` and ``score`` make a model that is at hand in every task and scores any texts; it suits small ones. ``scored``, which the query
+uses, makes and reads the filter in pieces, in tasks that the texts' n-grams are sent to: nothing of the model is at hand anywhere, and no token is joined by itself.
+
 Words are runs outside ASCII white space, A-Z lower-cased, then one end mark, which is also what stands before a
 text; the first word of a text has no context of two. Rows whose crc32 of the id as text is 0 modulo ``FOLDS`` are held out from training. Words are identified by
 62 bits of their hashes, contexts and followers by 48 bits, n-grams by 62 bits of theirs: no table of fixed size stands between a context and its counts.
@@ -68,8 +71,10 @@ LEAST = 2
 FLUSH, PART_CHARS, SLICE = 1 << 20, 1 << 23, 1 << 19
 #: Rows that Python takes at a time, and of runs of texts, which are some MB each.
 BATCH, RUNS = 1000, 16
-#: Tokens whose n-grams meet in one part, and contexts whose n-grams are dealt to all parts, at most.
-PART, HOT = 1 << 20, 1 << 14
+#: Tokens whose n-grams meet in one part, so many at least where there are up to ``FEW`` parts, so many beyond that: a run sends a row to each part, so parts are not many.
+LESS, FEW, PART = 1 << 18, 64, 1 << 23
+#: N-grams that a part takes at a time, and contexts whose n-grams are dealt to all parts, at most.
+PIECE, HOT = 1 << 19, 1 << 14
 #: Parts up to which a context's followers meet in one; with every so many more, in one more.
 SPREAD = 128
 #: Places of two numbers in one.
@@ -857,40 +862,50 @@ def _words_answered(cut: int):
 
 
 def _grams_answered(order: int, last: bool):
-    """A part of the filter: filled with the part's n-grams, at the levels that their counts reach, and read for each that is asked for.
+    """Pieces of the filter: filled with some of the part's n-grams, at the levels that their counts reach, and read for each of these that is asked for.
 
     Also what a context's n-grams hold (in quarters, which is exact), and the exact counts of those that are found, if they may be contexts of longer ones.
     """
 
     def close(part: int, held: list[list]) -> list[tuple]:
         names = [_long(r[1]) for r in held]
-        sizes = [_counts(_loose(r[2]), len(x)) for r, x in zip(held, names)]
-        followers = [x[_numbers(r[4], _width(len(x))).astype(np.int64)] for r in held for x in [_long(r[3])]]
-        n = np.concatenate([_counts(_loose(r[5]), len(x)) for r, x in zip(held, followers)])
-        size = np.concatenate(sizes)
+        size = np.concatenate([_counts(_loose(r[2]), len(x)) for r, x in zip(held, names)])
         hot, size = (size & 1).astype(bool), size >> 1
         different, place = _different(np.concatenate(names))
-        place = place.astype(np.int64)
         of = np.repeat(place, size)
-        gram, back = _different(_gram_keys(different[of], np.concatenate(followers)))
-        count = np.bincount(back, weights=n, minlength=len(gram)).astype(np.int64)
-        context = np.empty(len(gram), dtype=np.int64)
-        context[back] = of
-        stored = count >= LEAST
-        level = level_of(count[stored])
-        bits = bits_for(int(BITS_EACH * stored.sum() + HIGHER_BITS * (level - LEAST).sum()), 1 << 62, 1)
-        bitmap = entered(bits, gram[stored], np.full(len(level), LEAST), level, PROBES, HIGHER_PROBES)
-        read = level_of(log_frequency(bitmap, gram)).astype(np.uint8)
-        mass = np.bincount(context[stored], weights=(level_value(level) - DISCOUNT) * 4, minlength=len(different)).astype(np.int64)
+        stretches = np.cumsum([0, *(len(x) for x in names)])
+        ends = np.concatenate(([0], np.cumsum(size)))[stretches]
+        follower, n = np.empty(len(of), dtype=np.uint64), np.empty(len(of), dtype=np.uint32)
+        for r, lo, hi in zip(held, ends, ends[1:]):
+            words = _long(r[3])
+            follower[lo:hi] = words[_numbers(r[4], _width(len(words))).astype(np.int64)]
+            n[lo:hi] = _counts(_loose(r[5]), hi - lo)
+            del r[1:]
+        level, counts, mass = np.zeros(len(of), dtype=np.uint8), np.zeros(0 if last else len(of), dtype=np.int64), np.zeros(len(different), dtype=np.int64)
+        pieces = 1 + len(of) // PIECE
+        piece = follower.astype("<u8", copy=False).view("<u2")[::4] % np.uint16(pieces)
+        for i in range(pieces):
+            some = np.flatnonzero(piece == i) if pieces > 1 else np.arange(len(of))
+            gram, back = _different(_gram_keys(different[of[some]], follower[some]))
+            count = np.bincount(back, weights=n[some], minlength=len(gram)).astype(np.int64)
+            context = np.empty(len(gram), dtype=np.int64)
+            context[back] = of[some]
+            stored = count >= LEAST
+            true = level_of(count[stored])
+            bits = bits_for(int(BITS_EACH * stored.sum() + HIGHER_BITS * (true - LEAST).sum()), 1 << 62, 1)
+            bitmap = entered(bits, gram[stored], np.full(len(true), LEAST), true, PROBES, HIGHER_PROBES)
+            level[some] = level_of(log_frequency(bitmap, gram))[back]
+            mass += np.bincount(context[stored], weights=(level_value(true) - DISCOUNT) * 4, minlength=len(different)).astype(np.int64)
+            if not last:
+                counts[some] = count[back]
         is_hot = np.zeros(len(different), dtype=bool)
         is_hot[place[hot]] = True
         out = [(None, order, part, None, None, None, int(k), int(x)) for k, x in zip(different[is_hot], mass[is_hot])]
         mass[is_hot] = 0
-        ends = [np.cumsum([len(x) for x in of_])[:-1] for of_ in (names, followers)]
-        for r, p, b in zip(held, np.split(place, ends[0]), np.split(back, ends[1])):
-            found = read[b]
-            n_of = None if last else _squeezed(_small(count[b][found > 0], "<u8"))
-            out.append((r[0], order, part, _squeezed(found.tobytes()), _squeezed(_small(mass[p], "<u8")), n_of, None, None))
+        for k, r in enumerate(held):
+            found = level[ends[k] : ends[k + 1]]
+            n_of = None if last else _squeezed(_small(counts[ends[k] : ends[k + 1]][found > 0], "<u8"))
+            out.append((r[0], order, part, _squeezed(found.tobytes()), _squeezed(_small(mass[place[stretches[k] : stretches[k + 1]]], "<u8")), n_of, None, None))
         return out
 
     return close
@@ -1011,7 +1026,7 @@ def scored(docs: DataFrame, training: Column, lengths: Sequence[int] = QUERY_ORD
 
     runs = _kept(rows.mapInArrow(write, f"flush bigint, ids array<{kind}>, sizes binary, training binary, words binary, code binary, tokens bigint"), "runs")
     all_ = runs.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
-    runs, parts, cut = runs.drop("tokens"), 1 + all_ // PART, 1 + all_ // HOT
+    runs, parts, cut = runs.drop("tokens"), 1 + max(min(all_ // LESS, FEW), all_ // PART), 1 + all_ // HOT
     plain = runs.drop("ids")
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

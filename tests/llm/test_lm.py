@@ -203,14 +203,14 @@ def test_contexts_of_triples_are_at_hand_and_rare_ones_are_joined(spark, monkeyp
         assert totals[0] == totals[1] > 40
 
 
-@pytest.mark.parametrize("flush, part, hot", [(1 << 20, 1 << 20, 1 << 14), (1500, 700, 40), (1, 300, 4), (3000, 300, 1 << 30)])
+@pytest.mark.parametrize("flush, part, hot", [(1 << 20, 1 << 23, 1 << 14), (1500, 700, 40), (1, 300, 4), (3000, 300, 1 << 30)])
 def test_what_parts_answer_equals_a_plain_model(spark, flush, part, hot, monkeypatch):
     """However many runs ask however many parts, and whichever contexts are dealt to all parts; texts held out, empty, with words and pairs of their own."""
     rng = np.random.default_rng(8)
     p = 1 / np.arange(1, 201)
     texts = [" ".join(f"w{k}" for k in rng.choice(200, rng.integers(0, 200), p=p / p.sum())) for _ in range(120)]
     texts = [*texts, "never W1 seen W2 here w1 w1", "", " \n", "w1", "alone", *["the same text again and again"] * 3]
-    for name, value in (("FLUSH", flush), ("PART", part), ("HOT", hot), ("SLICE", 1000), ("HIGHER_PROBES", 20), ("HIGHER_BITS", 29)):
+    for name, value in (("FLUSH", flush), ("PART", part), ("HOT", hot), ("PIECE", part // 3), ("SLICE", 1000), ("HIGHER_PROBES", 20), ("HIGHER_BITS", 29)):
         monkeypatch.setattr(lm, name, value)
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id int, text string").repartition(3)
     train = [t for i, t in enumerate(texts) if i % 4]
